@@ -1,10 +1,13 @@
 """The queries of this subpackage, and SQL where it can express them on whole tables."""
 
-from plumbline.llm import decontamination, language, quality
+from plumbline.llm import decontamination, language, packing, quality, secrets, sharding
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_language": language.op3_language,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_packing": packing.op5_packing,
+    "op6_secrets": secrets.op6_secrets,
     "op8_quality": quality.op8_quality,
 }
 
