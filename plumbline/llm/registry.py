@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL where it can express them on whole tables."""
 
-from plumbline.llm import decontamination, language, packing, quality, secrets, sharding
+from plumbline.llm import decontamination, language, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_neardup": neardup.op1_neardup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_language": language.op3_language,
     "op4_sharding": sharding.op4_sharding,
