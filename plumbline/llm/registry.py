@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express them on whole tables."""
 
-from plumbline.llm import decontamination, language, neardup, packing, quality, secrets, sharding
+from plumbline.llm import decontamination, html_text, language, neardup, neighbours, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -9,7 +9,9 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
     "op6_secrets": secrets.op6_secrets,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_quality": quality.op8_quality,
+    "op9_html": html_text.op9_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
