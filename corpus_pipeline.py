@@ -1,18 +1,49 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, packing."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontamination, neardup, packing, quality, secrets
+from plumbline.llm.common import staged
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones of the training folds, doesn't reject."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~quality.fold())
+    return quality.keep_good(docs, model)
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return neardup.deduplicate(docs).select(docs.columns)
+
 
-STAGES: list = []
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-#: SQL can't express the trained classifier, signatures or packing; tests compare with brute-force versions.
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked in their texts."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, placed in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", good), ("near_duplicates", unique), ("decontamination", clean), ("secrets", masked), ("packing", packed)]
+
+#: SQL can't express the trained classifier or packing; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.common import staged
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -200,10 +200,25 @@ def longest_matches(docs: DataFrame, tests: DataFrame, id_col: str = "item_id",
     return whole
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
-    """The documents without any occurrence of a test window, with all their columns; doc_id must be unique."""
-    bad = contaminated_words(docs, tests, **options).where(F.size("hit") > 0).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs without any occurrence of a test window, with all their columns; one pass for each block of items."""
+
+    def run(held):
+        def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Tests(held.value, window)
+            for batch in batches:
+                at = 0
+                for ids, texts in sliced(iter([batch])):
+                    clean = np.ones(len(ids), bool)
+                    clean[found.search(texts)[0]] = False
+                    yield batch.slice(at, len(ids)).filter(pa.array(clean))
+                    at += len(ids)
+
+        return inner
+
+    for block in _blocks(tests, id_col, text_col, block_words):
+        docs = docs.mapInArrow(run(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,16 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Each document's set of word shingles gives COORDINATES minima. Documents with equal sets become one class (by a 128-bit
-hash of the set). Classes are posted under their (coordinate, value) pairs. Two classes whose signatures agree in at least MATCHES
+hash of the set). Classes are posted under their (coordinate, value) pairs. Two classes whose signatures agree in at least `matches`
 coordinates must meet in the prefixes of their pairs, taken rarest first: pairs of one document alone are skipped, as is every class with
-fewer than MATCHES shared pairs, and only the rarest (shared - MATCHES + 1) pairs are posted. Frequent pairs, such as those of
+fewer than `matches` shared pairs, and only the rarest (shared - matches + 1) pairs are posted. Frequent pairs, such as those of
 a passage that many documents share, are so skipped unless whole documents agree.
 
 Classes that meet in a posting form loose clusters (connected components of class and smallest class of the posting). Within a
 cluster every pair is settled on full sets, by a sparse-count matrix product in blocks of bounded size, and only a spanning
 forest of links leaves a task. A cluster too large for a block is first compared with some central classes; classes linked to them
 are done, and the rest is compared with all blocks. So no task holds a group, no group is expanded into pairs, and no
-link is lost but for signatures that agree in fewer than MATCHES coordinates: with 64 and 40 about one pair in a million at the threshold.
+link is lost but for signatures that agree in fewer than `matches` coordinates: with 40 of 64 at a similarity of 0.85 about one pair in a million.
 
 Words are lower-cased (A-Z) runs of what is not ASCII white space. Texts of fewer words than a shingle are one shingle; texts without
 words (null, empty, blank) have none, are linked with nothing and are their own component. Rows of one doc_id
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import LOWER_AND_SPACE, mixed, sliced, staged, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-COORDINATES, MATCHES = 64, 40
+COORDINATES = 64
+#: Agreements asked of signatures: so many standard deviations fewer than expected of a pair at the threshold.
+DEVIATIONS = 5
 #: A block holds at most so many classes, and about so many shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1500, 1_500_000
 #: Clustered classes (40 bytes each) up to which they are broadcast to the documents; beyond, both sides are shuffled.
@@ -136,7 +138,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own)
 
 
-def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
+def matches_of(percent: int, coordinates: int = COORDINATES) -> int:
+    """Agreements that all but about one in a million pairs at the threshold reach."""
+    share = percent / 100
+    return max(1, int(coordinates * share - DEVIATIONS * (coordinates * share * (1 - share)) ** 0.5))
+
+
+def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     """(token, class, central) of the rarest shared tokens of every class that shares at least `matches` tokens.
 
     central: higher for classes whose tokens are frequent, as those of the text that others are copies of."""
@@ -264,7 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one class, named by its smallest document
     classes = staged(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class"), F.min_by("tokens", "doc_id").alias("tokens")))
-    postings = staged(prefix_postings(classes))
+    postings = staged(prefix_postings(classes, matches_of(percent)))
     meet = postings.groupBy("token").agg(F.min("class").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
     clusters = components(postings.join(meet, "token").select(F.col("class").alias("a"), "b"))
     central = postings.groupBy("class").agg(F.max("central").alias("central"))
@@ -278,10 +286,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns; doc_id must be unique."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def deduplicate(docs: DataFrame, broadcast_ids: int = 2 * BROADCAST_ROWS, **options) -> DataFrame:
+    """The documents that stay, one row of each component, with all their columns; rows with a null doc_id all stay."""
+    found = staged(near_duplicates(docs, **options).select("doc_id", "kept").where("doc_id IS NOT NULL"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    gone = F.broadcast(gone) if found.where("NOT kept").count() <= broadcast_ids else gone
+    out = docs.join(gone, "doc_id", "left_anti")
+    if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated rows
+        named = F.col("doc_id").isNotNull()
+        out = out.where(named).dropDuplicates(["doc_id"]).unionByName(out.where(~named))
+    return out
 
 
 def op1_neardup(spark, sf_dir: str) -> DataFrame:

@@ -110,6 +110,20 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least the threshold, with all their columns, in one pass."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, texts in sliced(iter([batch])):
+                yield batch.slice(at, len(ids)).filter(pa.array(held.value.scores(texts) >= threshold))
+                at += len(ids)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold() -> Column:
     return F.pmod(id_crc("doc_id"), F.lit(5)) == 0
 
