@@ -3,7 +3,7 @@
 A page is cut into blocks at block tags. Menus, headers, footers, sidebars, forms, scripts and other parts that a tag, role, class
 or id names as such are left out. In the first pass, stop-word density, length and link density call each block good, bad or
 open; within an <article> or <main> the stop words are asked for less. In the second pass open (ambiguous, short) blocks inherit
-the label of the nearest decided neighbours: good if both sides are good or the nearer one is; else bad.
+the label of the nearest decided neighbours: good if the nearer one, or either of two as near, is good; else bad.
 
 Character references are decoded; white space within a block becomes one space; good blocks are joined by one newline in page
 order. A null or empty page, or one without good blocks, has the empty text. Broken and truncated markup is read as far as it goes.
@@ -187,11 +187,9 @@ def labels(found: list[Block]) -> list[bool]:
             out.append(found[i].main)
         elif before is None or after is None:
             out.append((before or after)[1])
-        elif before[1] == after[1]:
-            out.append(before[1])
         else:
-            near = before if i - before[0] <= after[0] - i else after
-            out.append(near[1])
+            left, right = i - before[0], after[0] - i
+            out.append(before[1] and left <= right or after[1] and right <= left)
     return out
 
 
