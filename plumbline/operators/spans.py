@@ -73,14 +73,17 @@ def densest(points: DataFrame, key: list[str], position: str, gap: int) -> DataF
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, text) of a pattern's matches, leftmost and non-overlapping, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    named = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pieces = F.split(text, pattern, -1)
+    # what lies between matches and the matches alternate, so lengths add up to places; zipped, each is worked out once
+    before = F.transform(F.split(text, pattern, -1), F.length)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    rows = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(F.length(F.get(pieces, i - 1)).alias("before"), F.length(F.get(found, i - 1)).alias("size"), F.get(named, i - 1).alias("text")))
+    rows = F.filter(F.arrays_zip(before.alias("before"), found.alias("text")), lambda x: x["text"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["before"]
-        one = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["text"].alias("text"))
-        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        end = start + F.length(x["text"])
+        # the group is looked for in the match alone
+        shown = F.regexp_extract(x["text"], pattern, group) if group else x["text"]
+        one = F.struct(start.alias("start"), end.alias("end"), shown.alias("text"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    return F.aggregate(rows, zero, step, lambda acc: acc["out"])

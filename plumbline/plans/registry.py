@@ -1,7 +1,7 @@
 """All queries of the library but those of the training-data operators."""
 
-from plumbline.plans import evidence_queries, join_queries, text_queries
+from plumbline.plans import claim_queries, evidence_queries, join_queries, text_queries, trace_queries
 
-MODULES = (evidence_queries, text_queries, join_queries)
+MODULES = (evidence_queries, text_queries, join_queries, claim_queries, trace_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
