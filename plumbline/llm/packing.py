@@ -26,7 +26,7 @@ from plumbline.llm.common import sliced
 
 CAPACITY, LONGEST, BLOCK_DOCS, END = 1024, 320, 400, 0
 #: Words whose ids a worker keeps; later new words are worked out anew in each slice.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 700_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -75,8 +75,36 @@ def cuts(tokens: int, capacity: int = CAPACITY, longest: int = LONGEST) -> list[
     return out
 
 
+#: Fixed value: how byte-level vocabularies of this family split a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _merger(path: str):
+    """The same vocabulary for a faster merging library, or None if the file is not a plain byte-level one whose ids follow its merges."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    split, model = found.get("pre_tokenizer") or {}, found["model"]
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or split.get("use_regex") is False or found.get("normalizer") or model.get("type") != "BPE":
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if any(b <= a for a, b in itertools.pairwise(ids)) or (ids and ids[0] < 0):
+        return None
+    special = {t["content"] for t in found.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordTokens:
-    """Token ids of texts. A text is split at single spaces between two characters that are no white space, where the
+    """Token ids of texts, as `tokenizers` gives them for the vocabulary file; where a faster library merges the same vocabulary,
+    its ids are compared on the first words and used if they are equal. A text is split at single spaces between two characters that are no white space, where the
     tokenizer always splits too; ids of the words are kept. A text with other spacing at a word's edge goes whole."""
 
     def __init__(self, path: str):
@@ -87,6 +115,7 @@ class WordTokens:
         # tokens that begin with a space: words after a space start with one and hold no other
         n = self.tokenizer.get_vocab_size()
         self.spaced = np.fromiter(((self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)), bool, n)
+        self.merger = _merger(path)
         self.clear()
 
     def clear(self) -> None:
@@ -94,10 +123,16 @@ class WordTokens:
         self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, text: str) -> np.ndarray:
+        if self.merger is not None:
+            return np.array(self.merger.encode_ordinary(text), np.uint32)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
         ids, sizes = [self.ids], [self.size]
+        if self.merger is not None and not len(self.size):
+            sample = " " + " ".join(words[:2000])
+            if self.tokenizer.encode(sample, add_special_tokens=False).ids != self.merger.encode_ordinary(sample):
+                self.merger = None
         for at in range(0, len(words), 20_000):
             flat = self.encode(" " + " ".join(words[at : at + 20_000]))
             edge = np.flatnonzero(self.spaced[flat])
