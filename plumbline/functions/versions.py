@@ -16,7 +16,7 @@ def let(value: Column, body) -> Column:
 
 def numbers_of(raw: Column) -> Column:
     """The leading dotted numbers of a version, as integers; null if there is none."""
-    found = F.regexp_extract(raw, "^[vV]?([0-9]{1,9}(?:[._-][0-9]{1,9})*)", 1)
+    found = F.regexp_extract(raw, "^[vV]?([0-9]{1,9}(?:[._-][0-9]{1,9})*+)", 1)
     return F.when(found != "", F.transform(F.split(found, "[._-]"), lambda x: x.try_cast("int")))
 
 
@@ -31,7 +31,7 @@ def tag(name: Column) -> Column:
 
     A name is family, separator, numbers and an optional qualifier (alpha, beta, pre, rc, dev, post with a number, or one
     letter, which is a later release). Names whose numbers are a date are no versions."""
-    pattern = "^(|.*?[^0-9.])([0-9]{1,9}(?:[._-][0-9]{1,9})*)(?:[._-]?(alpha|beta|pre|rc|dev|post|[a-z])[._-]?([0-9]{0,9}))?(?:-candidate)?$"
+    pattern = "^(|.*?[^0-9.])([0-9]{1,9}(?:[._-][0-9]{1,9})*+)(?:[._-]?(alpha|beta|pre|rc|dev|post|[a-z])[._-]?([0-9]{0,9}))?(?:-candidate)?$"
     part = lambda k: F.regexp_extract(F.lower(name), pattern, k)
     raw = part(2)
     numbers = F.transform(F.split(raw, "[._-]"), lambda x: x.try_cast("int"))

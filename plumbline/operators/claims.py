@@ -13,17 +13,17 @@ from plumbline.operators import spans
 #: Fixed values: (kind, extractor, pattern, group of the value, confidence).
 EXTRACTORS = (
     ("version", "versions", r"(?i)\b(?:version |v|release )([0-9]{1,4}(?:\.[0-9]{1,4}){1,3}(?:-?(?:alpha|beta|rc)[0-9]*)?)\b", 1, 0.85),
-    ("symbol", "symbols.code", r"`([A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)*)(?:\(\))?`", 1, 0.85),
+    ("symbol", "symbols.code", r"`([A-Za-z_][A-Za-z0-9_:]*)(?:\(\))?`", 1, 0.85),
     ("symbol", "symbols.call", r"\b([a-z_][a-z0-9_]*_[a-z0-9_]+)\(\)", 1, 0.7),
-    ("line", "paths.line", r"\b((?:[\w.-]+/)+[\w.-]+\.(?:c|h|cc|cpp|py|go|rs|js|java):[0-9]{1,7})\b", 1, 0.9),
-    ("file", "paths.file", r"\b((?:[\w.-]+/)+[\w.-]+\.(?:c|h|cc|cpp|py|go|rs|js|java))\b", 1, 0.8),
+    ("line", "paths.line", r"\b([\w.-]+/[\w./-]*\.(?:c|h|cc|cpp|py|go|rs|js|java):[0-9]{1,7})\b", 1, 0.9),
+    ("file", "paths.file", r"\b([\w.-]+/[\w./-]*\.(?:c|h|cc|cpp|py|go|rs|js|java))\b", 1, 0.8),
     ("reference", "references.cve", r"\b(CVE-[0-9]{4}-[0-9]{4,7})\b", 1, 0.95),
     ("reference", "references.cwe", r"\b(CWE-[0-9]{1,5})\b", 1, 0.95),
     ("reference", "references.ghsa", r"\b(GHSA(?:-[0-9a-z]{4}){3})\b", 1, 0.95),
     ("reference", "references.url", r"(https?://[A-Za-z0-9./_%#?=&~-]*[A-Za-z0-9/])", 1, 0.9),
     ("reference", "references.commit", r"\bcommit ([0-9a-f]{7,40})\b", 1, 0.9),
     ("option", "options.flag", r"(?:^|[ \n`])(--[a-z][a-z0-9-]+)\b", 1, 0.8),
-    ("impact", "impact.vector", r"(CVSS:3\.[01]/(?:[A-Z]{1,3}:[A-Z]/?){8,})", 1, 0.95),
+    ("impact", "impact.vector", r"(CVSS:3\.[01]/[A-Z:/]{30,}[A-Z])", 1, 0.95),
     ("impact", "impact.severity", r"(?i)\bseverity:? (critical|high|medium|moderate|low|none)\b", 1, 0.7),
     ("behavior", "behavior", r"(?i)\b(?:never calls|does not call|calls|frees|checks|validates) `?([a-z_][a-z0-9_]*)`?", 1, 0.6),
 )

@@ -129,7 +129,7 @@ def negation_window(spark, sf_dir):
 
 
 def number_spans(spark, sf_dir):
-    found = spans.matches(F.col("text"), "[0-9]+(?:[.-][0-9]+)+")
+    found = spans.matches(F.col("text"), "[0-9]+(?:[.-][0-9]+)++")
     return _docs(spark, sf_dir).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.start", "m.end", "m.text")
 
 
