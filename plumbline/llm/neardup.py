@@ -252,7 +252,7 @@ def links(docs: DataFrame, clustered: DataFrame, percent: int, shingle: int, blo
     dealt = large.select("class", "cluster", "found", "parts", block.alias("block"))
     spread = pivots.join(large.select("cluster", "parts").distinct(), "cluster").select("class", "cluster", "found", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
     first = dealt.select("class", "cluster", "found", "block", F.lit(True).alias("left")).unionByName(spread.select("class", "cluster", "found", "block", F.lit(False).alias("left")))
-    star = staged(first.groupBy("cluster", "block").applyInArrow(_compare(percent), EDGES))
+    star = staged(first.repartition("cluster", "block").groupBy("cluster", "block").applyInArrow(_compare(percent), EDGES))
     done = components(star)
     labelled = large.join(done, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
     # the component of each cluster's most central class needs no more comparisons within itself
@@ -262,7 +262,7 @@ def links(docs: DataFrame, clustered: DataFrame, percent: int, shingle: int, blo
     rows = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / block_classes).cast("int"))
     left = rest.join(counts, "cluster").withColumn("row", rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("class", "cluster", "found", "row", "block", F.lit(True).alias("left"))
     right = dealt.join(counts, "cluster").withColumn("row", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block_classes).cast("int") - 1))).select("class", "cluster", "found", "row", "block", F.lit(False).alias("left"))
-    second = left.unionByName(right).groupBy("cluster", "row", "block").applyInArrow(_compare(percent), EDGES)
+    second = left.unionByName(right).repartition("cluster", "row", "block").groupBy("cluster", "row", "block").applyInArrow(_compare(percent), EDGES)
     return small.unionByName(star).unionByName(second)
 
 
