@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express them on whole tables."""
 
-from plumbline.llm import decontamination, html_text, language, mixing, neardup, neighbours, packing, quality, secrets, sharding
+from plumbline.llm import decontamination, html_text, language, mixing, neardup, neighbours, oracles, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -15,4 +15,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL

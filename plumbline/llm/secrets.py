@@ -122,11 +122,15 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
     pieces = F.split(text, rule.pattern, -1)
     rows = F.arrays_zip(F.transform(matches, F.length).alias("n"), F.transform(counted, F.length).alias("m"), F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length).alias("before"))
 
-    def at(row: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(rows, F.lit(1), i), F.lit(0), lambda acc, x: acc + x["before"] + x["n"]) + row["before"]
-        return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + row["n"]).alias("end"), row["m"].alias("m"))
+    def placed(all_rows: Column) -> Column:
+        def at(row: Column, i: Column) -> Column:
+            start = F.aggregate(F.slice(all_rows, F.lit(1), i), F.lit(0), lambda acc, x: acc + x["before"] + x["n"]) + row["before"]
+            return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + row["n"]).alias("end"), row["m"].alias("m"))
 
-    found = F.filter(F.transform(rows, at), lambda x: x["m"] >= rule.least)
+        return F.filter(F.transform(all_rows, at), lambda x: x["m"] >= rule.least)
+
+    # bound to a variable, so that the text is searched once and not for each match
+    found = F.get(F.transform(F.array(rows), placed), F.lit(0))
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
