@@ -198,11 +198,37 @@ def flag_rate(spark, sf_dir):
     return rows.agg(metrics.rate(F.col("flagged")).alias("flag_rate"), F.count("*").alias("reports"))
 
 
+def explain_view(spark, sf_dir):
+    from plumbline.operators import render
+
+    return render.explain_lines(fusion.running(fusion.ledger(fusion.gated(evidence(spark, sf_dir)))))
+
+
+def markdown_view(spark, sf_dir):
+    from plumbline.operators import render
+
+    rows = fusion.gated(evidence(spark, sf_dir))
+    return render.markdown(fusion.verdicts(rows), fusion.key_evidence(rows))
+
+
+def calibrated_error(spark, sf_dir):
+    """Users' outcome counts as features; the label follows from the user."""
+    from plumbline.operators import calibration
+
+    rows = feature_matrix(spark, sf_dir).withColumn("label", ((F.col("n_supports") * 3 + F.col("report_id") % 5) % 2).cast("int"))
+    found = calibration.calibrated(rows, "report_id", ["n_supports", "n_refutes", "n_neutral"], "label", least=2)
+    return metrics.calibration_error(found, "p", "label")
+
+
 _SWEEP = f"WITH {CASES}, s AS (SELECT score, count(*) FILTER (quality = 0) AS pos, count(*) FILTER (quality = 1) AS neg FROM c GROUP BY score), w AS (SELECT score, round(sum(pos) OVER (ORDER BY score) / nullif(sum(pos) OVER (), 0) - sum(neg) OVER (ORDER BY score) / nullif(sum(neg) OVER (), 0), 6) AS j FROM s)"
 
-QUERIES = {f.__name__: f for f in (verdict_ladder, refutation_gate, ledger_damped, ledger_running, report_scores, key_evidence, drop_one_ablation, ablation_summary, question_topk, feature_matrix, confusion_grid, rate_null_safe, percentile_nearest_rank, brier, reliability_bins, ece10, wilson_upper, youden_j, j_sweep, best_j_sweep, flag_rate)}
+QUERIES = {f.__name__: f for f in (verdict_ladder, refutation_gate, ledger_damped, ledger_running, report_scores, key_evidence, drop_one_ablation, ablation_summary, question_topk, feature_matrix, confusion_grid, rate_null_safe, percentile_nearest_rank, brier, reliability_bins, ece10, wilson_upper, youden_j, j_sweep, best_j_sweep, flag_rate, explain_view, markdown_view, calibrated_error)}
+
+_KEY = "SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY abs(strength) DESC, evidence_id) AS place FROM ev WHERE strength <> 0 AND outcome IN ('SUPPORTS', 'REFUTES')"
 
 ORACLE_SQL = {
+    "explain_view": f"WITH {EVIDENCE} SELECT report_id, grp, rank::INTEGER AS rank, printf('%-4s %-32s %+.2f x 0.5^%d = %+.6f -> %+.6f', check_id, outcome_key, strength, rank, contribution + 0.0, (sum(contribution::DECIMAL(18, 6)) OVER (PARTITION BY report_id ORDER BY grp, rank ROWS UNBOUNDED PRECEDING))::DOUBLE) AS line FROM ({ledger_sql()})",
+    "markdown_view": f"WITH {EVIDENCE}, k AS ({_KEY}), l AS (SELECT report_id, string_agg('- ' || check_id || ': ' || replace(outcome_key, '_', chr(92) || '_') || printf(' (%+.2f)', strength), chr(10) ORDER BY place) AS items FROM k WHERE place <= 5 GROUP BY 1) SELECT report_id, printf('**%s** (score %d, %s confidence, rule %s)', label, score, confidence, rule) || chr(10) || items AS markdown FROM ({verdict_sql()}) JOIN l USING (report_id)",
     "refutation_gate": f"WITH {EVIDENCE} SELECT evidence_id, outcome, strength, withheld_strength, gate FROM ev",
     "ledger_damped": f"WITH {EVIDENCE} SELECT report_id, grp, evidence_id, rank::INTEGER AS rank, contribution FROM ({ledger_sql()})",
     "ledger_running": f"WITH {EVIDENCE} SELECT report_id, grp, rank::INTEGER AS rank, (sum(contribution::DECIMAL(18, 6)) OVER (PARTITION BY report_id ORDER BY grp, rank ROWS UNBOUNDED PRECEDING))::DOUBLE AS total FROM ({ledger_sql()})",

@@ -61,7 +61,13 @@ def asan_region_arithmetic(spark, sf_dir):
     return found.select("report_id", F.col("region_start").cast("long").alias("region_start"), F.col("region_end").cast("long").alias("region_end"), "relation", "distance", "access_size")
 
 
-QUERIES = {f.__name__: f for f in (trace_frames, trace_stacks, trace_sanity, asan_region_arithmetic)}
+def planted_mistakes(spark, sf_dir):
+    from plumbline.operators import mutations
+
+    return mutations.mutated(reports(spark, sf_dir)).groupBy("kind", "expected").agg(F.count("*").alias("cases"), F.count_if("applied").alias("applied"))
+
+
+QUERIES = {f.__name__: f for f in (trace_frames, trace_stacks, trace_sanity, asan_region_arithmetic, planted_mistakes)}
 
 
 def _value(text: str | None) -> str:
@@ -74,7 +80,11 @@ _ROWS = " UNION ALL ".join(
     for index, (function, path, line, runtime) in enumerate(EXPECTED[name])
 )
 
+#: Kinds that find a place in the text of each format; M2 in all with a path and line, M4 in those that number frames, M5 in patches alone.
+_PLACES = {"M1": [], "M2": ["asan", "valgrind", "gdb", "java", "go", "rust", "node"], "M3": [], "M4": ["asan", "gdb"], "M5": [], "M6": [], "M7": ["asan"]}
+
 ORACLE_SQL = {
+    "planted_mistakes": " UNION ALL ".join(f"SELECT '{k}' AS kind, '{'MIXED' if k == 'M3' else 'UNGROUNDED'}' AS expected, 3 * count(*) AS cases, 3 * count(*) FILTER (event_id % 8 IN ({', '.join(str(FORMATS.index(f)) for f in v) or '-1'})) AS applied FROM events" for k, v in _PLACES.items()),
     "trace_frames": _ROWS,
     "trace_stacks": f"SELECT format, 'main' AS stack, count(*) AS frames, count(DISTINCT report_id) AS reports FROM ({_ROWS}) GROUP BY format UNION ALL SELECT ['asan', 'valgrind'][event_id % 8 + 1], 'alloc', 2 * count(*), count(*) FROM events WHERE event_id % 8 IN (0, 1) GROUP BY 1",
     "trace_sanity": "SELECT event_id AS report_id, 1::BIGINT AS trace_no, true AS one_pid, true AS frames_numbered, true AS addresses_agree, event_id % 24 <> 0 AS region_fits, true AS summary_agrees, true AS stacks_present, true AS size_possible FROM events WHERE event_id % 8 = 0",
