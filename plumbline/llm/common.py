@@ -91,18 +91,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1 << 10, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
+    """The first n powers of a fixed base, or more."""
     global _POWERS
     if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS)), _BASE, np.uint64)
-        grown[0] = 1
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(grown, dtype=np.uint64)
-    elif _POWERS[1] == 1:
-        grown = np.full(len(_POWERS), _BASE, np.uint64)
+        grown = np.full(max(n, 2 * len(_POWERS), 1 << 10), _BASE, np.uint64)
         grown[0] = 1
         with np.errstate(over="ignore"):
             _POWERS = np.cumprod(grown, dtype=np.uint64)
