@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.bugs import same_class
 from plumbline.functions.text import collapsed, path_parts
 from plumbline.functions.versions import base_score, severity_band, tag
+from plumbline.operators.alignment import anchored_alignment
 from plumbline.operators.fusion import gated
 from plumbline.operators.joins import suffix_join
 from plumbline.operators.series import kgrams, winnowed
@@ -36,6 +38,7 @@ STRENGTHS = {
     "C16": {"consistent": 0.3, "range_predates_symbol": -1.0},
     "C17": {"vector_unparseable": -0.3, "score_mismatch": -0.6, "severity_mismatch": -0.3},
     "C18": {"calls_api": 0.8, "does_not_call_api": -1.2},
+    "C19": {"signature_match": 6.0, "different_signature": 0.5, "no_crash": -0.5},
     "C21": {"hygiene": 0.0},
 }
 
@@ -284,6 +287,30 @@ def c18_api_usage(behaviors: DataFrame, calls: DataFrame, functions: DataFrame)
     return evidence(rows, "C18", "behavior", key)
 
 
+#: Frames that must align, and frames from the top among which the named function must be.
+LEAST_ALIGNED, LOCUS_DEPTH = 2, 5
+
+
+def c19_dynamic_repro(runs: DataFrame) -> DataFrame:
+    """Does the crash of a run look like the one that is claimed? runs, one row a run that was made elsewhere: report_id, subject, claim_ids, failed (stage
+    or null), timed_out, claims_hang, exit_code, in_project, claimed_class, claimed_frames, locus, observed_class, observed_frames (null if nothing was read)."""
+    same = same_class(F.col("claimed_class"), F.col("observed_class"))
+    stacks = F.size("claimed_frames") > 0
+    aligned = anchored_alignment(F.col("claimed_frames"), F.col("observed_frames")) >= LEAST_ALIGNED
+    rows = runs.withColumn("aligned", F.when(stacks, aligned).otherwise(F.array_contains(F.slice("observed_frames", 1, LOCUS_DEPTH), F.col("locus"))))
+    key = (
+        F.when(F.col("failed").isNotNull(), "run_failed")
+        .when(F.col("timed_out") & F.col("claims_hang"), "timeout_consistent_with_hang")
+        .when(F.col("timed_out") | (F.col("exit_code") == 0), "no_crash")
+        .when(F.col("observed_frames").isNull(), "crash_unparsed")
+        .when(~F.col("in_project"), "crash_not_in_project")
+        .when(~stacks & F.col("claimed_class").isNull() & F.col("locus").isNull(), "crash_uncompared")
+        .when(same & F.coalesce("aligned", F.lit(False)), "signature_match")
+        .otherwise("different_signature")
+    )
+    return evidence(rows, "C19", "dynamic", key)
+
+
 def c21_hygiene(missing: DataFrame) -> DataFrame:
     """One neutral row a report; missing: report_id, missing (array)."""
     return evidence(missing.select("report_id", F.array_join("missing", ",").alias("subject"), F.array().cast("array<string>").alias("claim_ids")), "C21", "hygiene", F.lit("hygiene"))

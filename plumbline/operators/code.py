@@ -108,3 +108,49 @@ def grep(lines: DataFrame, literal: str, word: bool = False) -> DataFrame:
     import re
 
     return found.where(F.col("line").rlike(r"(?<!\w)" + re.escape(literal) + r"(?!\w)"))
+
+
+#: How a file that holds others marks them: its banners name the file that begins, ends, is included or goes on.
+BANNER = r"^/\*{14} (Begin file|End of|Include|Continuing where we left off in) ([^\s*]+)"
+
+
+def inlined(lines: DataFrame) -> DataFrame:
+    """Of each line of a file made of others the source file and line it shows: blob, line_no, source, source_line; both null on banners and outside.
+
+    lines: blob, line_no, line. Banners nest; the depth is a running count, a line belongs to the last file begun at its depth, and
+    a file's lines are counted where nothing deeper is open. The banner of an inclusion stands for one line of the including file."""
+    by = Window.partitionBy("blob").orderBy("line_no")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.regexp_extract("line", BANNER, 1)
+    rows = lines.withColumn("kind", kind).withColumn("named", F.regexp_extract("line", BANNER, 2))
+    begun, ended = F.sum((F.col("kind") == "Begin file").cast("int")).over(so_far), F.sum((F.col("kind") == "End of").cast("int")).over(so_far)
+    rows = rows.withColumn("begun", begun).withColumn("depth", begun - ended)
+    level = Window.partitionBy("blob", "depth").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("kind") == "Begin file"
+    rows = rows.withColumn("source", F.last(F.when(first, F.col("named")), ignorenulls=True).over(level)).withColumn("of", F.last(F.when(first, F.col("begun")), ignorenulls=True).over(level))
+    counts = F.sum(F.col("kind").isin("", "Include").cast("int")).over(Window.partitionBy("blob", "of").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    shown = (F.col("kind") == "") & (F.col("depth") > 0)
+    return rows.withColumn("count", counts).select("blob", "line_no", F.when(shown, F.col("source")).alias("source"), F.when(shown, F.col("count")).alias("source_line"))
+
+
+TOKEN = r'[A-Za-z_]\w*|0[xX][0-9A-Fa-f]+\w*|[0-9][\w.]*|"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\'|->|\+\+|--|<<|>>|[<>=!+*/%&|^-]=|&&|\|\||::|\.\.\.|[^\s\w]'
+
+
+def tokens(text: Column, hash_comments: bool = False) -> Column:
+    """Tokens of code without comments; strings are STR, numbers NUM, so that edits of either don't count."""
+    plain = F.regexp_replace(text, r"#[^\n]*" if hash_comments else r"(?s)/\*.*?\*/|//[^\n]*", " ")
+    named = lambda t: F.when(t.rlike("^[\"'].*[\"']$"), "STR").when(t.rlike("^[0-9]"), "NUM").otherwise(t)
+    return F.transform(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)), named)
+
+
+def distinctive_lines(lines: DataFrame, least: int = 8, most: int = 1000) -> DataFrame:
+    """Per blob the line of code with most tokens, then the longest, then the first: blob, line_no, text. Comments are gone from lines and don't count."""
+    rows = lines.select("blob", "line_no", F.trim("line").alias("text"), F.size(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("n")).where(F.length("text").between(least, most) & (F.col("n") > 0))
+    return rows.groupBy("blob").agg(F.max_by(F.struct("line_no", "text"), F.struct("n", F.length("text"), -F.col("line_no"))).alias("best")).select("blob", "best.*")
+
+
+def rarest_names(names: DataFrame, uses: DataFrame) -> DataFrame:
+    """Per blob its name with fewest uses, then the longest, then the first. names: blob, name; uses: name, one row a use."""
+    counts = uses.groupBy("name").agg(F.count("*").alias("n"))
+    rows = names.distinct().join(counts, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.groupBy("blob").agg(F.min_by(F.struct("name", "n"), F.struct("n", -F.length("name"), "name")).alias("best")).select("blob", "best.*")

@@ -123,3 +123,19 @@ def questions(evidence: DataFrame, templates: DataFrame, most: int = 6) -> DataF
     one = asked.withColumn("question", text).withColumn("n", F.row_number().over(first)).where("n = 1")
     by = Window.partitionBy("report_id").orderBy(F.desc(F.abs("strength")), "evidence_id")
     return one.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("report_id", "place", "question")
+
+
+#: The order in which findings are listed.
+OUTCOMES = ("REFUTES", "NEUTRAL", "ERROR", "SUPPORTS")
+
+
+def lint_rows(evidence: DataFrame) -> DataFrame:
+    """Per claim of a report the finding to show: its strongest refutation, else its strongest finding; ties by id. place: refutations first.
+
+    evidence: report_id, claim_id, evidence_id, outcome, strength."""
+    against = (F.col("outcome") == "REFUTES") & (F.col("strength") < 0)
+    shown = F.struct("evidence_id", "check_id", "outcome", "strength")
+    best = evidence.groupBy("report_id", "claim_id").agg(F.min_by(shown, F.struct((~against).cast("int"), -F.abs("strength"), "evidence_id")).alias("e"), F.count_if(against).alias("refutations"))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("e.outcome")), F.lit(0)), F.lit(9))
+    by = Window.partitionBy("report_id").orderBy(rank, "e.evidence_id")
+    return best.withColumn("place", F.row_number().over(by)).select("report_id", "claim_id", "e.*", "refutations", "place")

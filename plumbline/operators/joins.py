@@ -103,3 +103,12 @@ def containment(small: DataFrame, large: DataFrame) -> DataFrame:
     sizes = s.groupBy("small_id").agg(F.count("*").alias("size"))
     met = s.join(large.select("large_id", "hash").distinct(), "hash").groupBy("small_id", "large_id").agg(F.count("*").alias("shared"))
     return met.join(sizes, "small_id").select("small_id", "large_id", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("containment"))
+
+
+def templates(missing: DataFrame, tree: DataFrame) -> DataFrame:
+    """Missing paths that a file of the tree is a template of: path, template (the first kind that is there). missing, tree: path."""
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    kinds = F.array(F.concat("path", F.lit(".in")), F.concat("path", F.lit(".cmake")), F.concat("path", F.lit(".in.cmake")), F.when(F.col("path").endswith(".h"), F.concat(stem, F.lit("-cmake.h.in"))), F.when(F.col("path").endswith(".c"), F.concat(stem, F.lit(".y"))))
+    asked = missing.select("path").distinct().join(tree.select("path"), "path", "left_anti").select("path", F.posexplode(kinds).alias("kind", "template"))
+    met = asked.join(tree.select(F.col("path").alias("template")).distinct(), "template", "left_semi")
+    return met.groupBy("path").agg(F.min_by("template", "kind").alias("template"))

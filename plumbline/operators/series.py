@@ -72,3 +72,26 @@ def robust_winnowed(docs: DataFrame, hashes: str = "hashes", window: int = 4) ->
 
     chosen = F.aggregate(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), start, step, lambda acc: acc["out"])
     return docs.where(n > 0).select("doc_id", hashes, F.explode(chosen).alias("pos")).select("doc_id", "pos", F.get(hashes, F.col("pos")).alias("hash"))
+
+
+#: Families whose names say nothing of the project; share of a family's versions that may stand on the line already.
+GENERIC_FAMILIES, MOST_SHARED = ("v", "version", "release", ""), 0.2
+
+
+def main_families(releases: DataFrame, key: list[str]) -> DataFrame:
+    """Families of tags that make up the main line of releases: key, families. releases: key, family, version (of final releases).
+
+    The largest family begins; others follow by size if at most MOST_SHARED of their versions are on the line and their name doesn't extend the
+    first one's. A project has few families with some hundred releases each, so the fold is over one small array a project."""
+    sets = releases.groupBy(*key, "family").agg(F.collect_set("version").alias("versions"))
+    order = F.array_sort(F.collect_list(F.struct((-F.size("versions")).alias("size"), "family", "versions")))
+    start = F.struct(F.array().cast("array<string>").alias("families"), F.array().cast("array<string>").alias("covered"))
+
+    def step(acc: Column, one: Column) -> Column:
+        first = F.get(acc["families"], F.lit(0))
+        variant = ~first.isin(*GENERIC_FAMILIES) & F.contains(one["family"], first)
+        overlap = F.size(F.array_intersect(one["versions"], acc["covered"])) > MOST_SHARED * F.size(one["versions"])
+        out = F.coalesce(first.isNotNull() & (variant | overlap), F.lit(False))
+        return F.struct(F.when(out, acc["families"]).otherwise(F.concat(acc["families"], F.array(one["family"]))).alias("families"), F.when(out, acc["covered"]).otherwise(F.array_union(acc["covered"], one["versions"])).alias("covered"))
+
+    return sets.groupBy(*key).agg(order.alias("all")).select(*key, F.aggregate("all", start, step, lambda acc: F.array_sort(acc["families"])).alias("families"))

@@ -87,3 +87,21 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+
+
+def source_map(raw: Column) -> Column:
+    """Where the characters of a normalized text stood in the raw one: an array of (norm_start, orig_start, length), without gaps in the normalized text.
+
+    Normalizing drops single characters (control characters, the first half of a double line end), so each one moves what follows by one."""
+    # characters that are dropped are told apart from the line ends that stay
+    dropped = F.transform(matches(raw, "\r(?=\n)|[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}\\x{FEFF}]"), lambda m: m["start"])
+    starts = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda at: at + 1))
+    ends = F.concat(dropped, F.array(F.length(raw)))
+    parts = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x, i: F.struct((x["a"] - i).alias("norm_start"), x["a"].alias("orig_start"), (x["b"] - x["a"]).alias("length")))
+    return F.filter(parts, lambda x: x["length"] > 0)
+
+
+def original_offset(parts: Column, offset: Column) -> Column:
+    """The place in the raw text of an offset in the normalized one; null before the first part."""
+    last = F.try_element_at(F.filter(parts, lambda x: x["norm_start"] <= offset), F.lit(-1))
+    return last["orig_start"] + (offset - last["norm_start"])

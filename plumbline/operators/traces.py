@@ -28,9 +28,10 @@ HEADERS = (
 )
 _NATIVE = r"^\s*#([0-9]+)\s+(?:0x[0-9a-f]+\s+)?(?:in\s+)?(\S.*?)\s+([^\s():]+):([0-9]+)(?::([0-9]+))?(?:\s+\(.*\))?$"
 _MODULE = r"^\s*#([0-9]+)\s+0x[0-9a-f]+\s+(?:in\s+)?(\S.*?)?\s*\(([^()\s]+)\+0x[0-9a-f]+\)"
+_NOWHERE = r"^\s*#([0-9]+)\s+(?:0x[0-9a-f]+\s+)?(?:in\s+)?(\S.*?)\s+<null>(?:\s+\(.*\))?$"
 #: Frames of each format: patterns with the groups of index, function, path, line and column (0: has none).
 FRAMES = {
-    "native": ((_NATIVE, (1, 2, 3, 4, 5)), (_MODULE, (1, 2, 0, 0, 0))),
+    "native": ((_NATIVE, (1, 2, 3, 4, 5)), (_NOWHERE, (1, 2, 0, 0, 0)), (_MODULE, (1, 2, 0, 0, 0))),
     "valgrind": ((r"^==[0-9]+==\s+(?:at|by) 0x[0-9A-F]+: (\S.*?) \(([^():]+):([0-9]+)\)$", (0, 1, 2, 3, 0)), (r"^==[0-9]+==\s+(?:at|by) 0x[0-9A-F]+: (\S.*?) \((?:in|within) ([^)]*)\)$", (0, 1, 0, 0, 0))),
     "gdb": ((r"^#([0-9]+)\s+(?:0x[0-9a-f]+ in )?([^\s(]+) \(.*\) at ([^\s:]+):([0-9]+)$", (1, 2, 3, 4, 0)), (r"^#([0-9]+)\s+(?:0x[0-9a-f]+ in )?([^\s(]+) \(.*\)(?: from \S+)?$", (1, 2, 0, 0, 0))),
     "python": ((r"^\s+File \"([^\"]+)\", line ([0-9]+), in (\S+)$", (0, 3, 1, 2, 0)),),

@@ -206,3 +206,46 @@ def test_results_are_stable(spark, tmp_path):
 def test_text_functions(spark):
     df = spark.createDataFrame([("a\r\nb\rc\x07﻿\x7f",)], "t string")
     assert df.select(X.normalized(F.col("t"))).first()[0] == "a\nb\nc"
+
+
+def test_common_subsequences_like_brute_force():
+    import itertools
+    import random
+
+    from plumbline.operators import alignment
+
+    def brute(a, b):
+        subs = {s for n in range(len(b) + 1) for s in itertools.combinations(b, n)}
+        return max(n for n in range(len(a) + 1) for s in itertools.combinations(a, n) if s in subs)
+
+    rng = random.Random(3)
+    for _ in range(150):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(7))) for _ in range(2))
+        assert alignment.common(a, b) == brute(a, b)
+        best = max((brute(a[:i], b[:j]) + 1 + brute(a[i + 1 :], b[j + 1 :]) for i in range(min(2, len(a))) for j in range(len(b)) if a[i] == b[j]), default=0)
+        assert alignment.anchored(a, b) == best
+    assert alignment.likeness("", "x") == 0 and alignment.likeness("", "") == 1 and alignment.likeness(None, "x") is None
+    assert alignment.shared(["a", "b"], ["a", "b"]) == 0
+
+
+def test_source_map_leads_back(spark):
+    from plumbline.functions.text import normalized
+    from plumbline.operators import spans
+
+    rows = [(0, "a\r\nb\rc\x07d\ufeffe\r\r\nf"), (1, ""), (2, "\x00"), (3, None), (4, "\r\n\r\n")]
+    df = spark.createDataFrame(rows, "k int, raw string").select("k", "raw", normalized(F.col("raw")).alias("norm"), spans.source_map(F.col("raw")).alias("map"))
+    for k, raw, norm, parts in df.collect():
+        if raw is None:
+            assert parts is None
+            continue
+        back = [p.orig_start + i for p in parts for i in range(p.length)]
+        assert [p.norm_start for p in parts] == [sum(q.length for q in parts[:i]) for i in range(len(parts))]
+        assert "".join(raw[i] for i in back).replace("\r", "\n") == norm, k
+
+
+def test_bug_classes_of_odd_texts(spark):
+    from plumbline.functions import bugs
+
+    rows = [(None, None), ("x" * 600 + " double free", None), ("double-free", "double-free"), ("neither a double free nor a heap overflow", None), ("DATA\tRACE", "data-race")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", bugs.class_of_text(F.col("t")).alias("got")).collect())
