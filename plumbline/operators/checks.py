@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.bugs import same_class
 from plumbline.functions.text import collapsed, path_parts
 from plumbline.functions.versions import base_score, severity_band, tag
-from plumbline.operators.alignment import anchored_alignment
+from plumbline.operators.alignment import anchored_alignment, line_likeness
 from plumbline.operators.fusion import gated
 from plumbline.operators.joins import suffix_join
 from plumbline.operators.series import kgrams, winnowed
@@ -24,18 +24,18 @@ STRENGTHS = {
     "C02": {"exists": 0.5, "missing_here_present_elsewhere": -0.8, "never_in_history": -2.0},
     "C03": {"defined": 0.6, "defined_core": 1.0, "absent_here_present_elsewhere": -0.8, "never_in_history_core": -3.0, "never_in_history_supporting": -1.5},
     "C04": {"in_bounds": 0.2, "past_end": -1.5},
-    "C05": {"in_function": 1.0, "outside_function": -0.8},
-    "C06": {"exact": 1.5, "near_by_offset": 0.8, "elsewhere_in_file": -0.3, "nowhere_in_history": -2.0},
+    "C05": {"in_function": 1.0, "outside_function": -0.8, "fits_nearby_release": -0.3},
+    "C06": {"exact": 1.5, "near_by_offset": 0.8, "elsewhere_in_file": -0.3, "other_release_only": -0.4, "nowhere_in_history": -2.0},
     "C07": {"contained": 2.0, "partial": 0.5, "absent_everywhere": -2.5},
     "C08": {"all_consistent": 2.0, "mostly": 0.8, "mixed": -0.5, "inconsistent": -2.0},
     "C09": {"all_edges_real": 1.5, "missing_edge": -1.0},
     "C10": {"claimed_release_fits": 1.0, "other_release_fits": -0.3, "no_release_fits": -1.5},
     "C11": {"consistent": 0.3, "violation": -0.7},
-    "C12": {"applies_clean": 1.5, "applies_with_offset": 0.6, "context_not_found": -1.8},
+    "C12": {"applies_clean": 1.5, "applies_with_fuzz": 0.6, "already_applied": 0.0, "other_release_only": -0.4, "context_not_found": -1.8},
     "C13": {"modified_after": 0.0},
     "C14": {"present": 0.4, "other_release_only": -0.5, "never_in_history": -2.0},
-    "C15": {"cve_matches_product": 0.3, "cve_other_product": -1.0, "cve_rejected": -0.5, "cve_not_found": -0.3, "cwe_incompatible": -0.4},
-    "C16": {"consistent": 0.3, "range_predates_symbol": -1.0},
+    "C15": {"commit_exists": 0.3, "commit_touches_file": 0.5, "commit_missing": 0.0, "foreign_repo": -0.3, "cve_matches_product": 0.3, "cve_other_product": -1.0, "cve_rejected": -0.5, "cve_not_found": -0.3, "cwe_incompatible": -0.4},
+    "C16": {"consistent": 0.3, "range_predates_symbol": -1.0, "fixed_in_unchanged": -0.6},
     "C17": {"vector_unparseable": -0.3, "score_mismatch": -0.6, "severity_mismatch": -0.3},
     "C18": {"calls_api": 0.8, "does_not_call_api": -1.2},
     "C19": {"signature_match": 6.0, "different_signature": 0.5, "no_crash": -0.5},
@@ -132,23 +132,39 @@ def c04_line_in_bounds(claims: DataFrame, targets: DataFrame, tree: DataFrame, b
     return evidence(rows, "C04", "location", F.when(F.col("ok"), "in_bounds").otherwise("past_end"))
 
 
-def c05_line_in_function(frames: DataFrame, tree: DataFrame, blobs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Does the function hold the line? frames: report_id, release, path, line, function, claim_ids."""
+def c05_line_in_function(frames: DataFrame, tree: DataFrame, blobs: DataFrame, symbols: DataFrame, nearby: DataFrame | None = None) -> DataFrame:
+    """Does the function hold the line? frames: report_id, release, path, line, function, claim_ids; nearby: release, near (the releases around each),
+    in which a line that is outside the function here may be inside."""
     met = frames.join(tree, ["release", "path"]).join(blobs, "blob")
     held = met.join(symbols.select("blob", F.col("name").alias("function"), "start", "end"), ["blob", "function"], "left")
     rows = held.groupBy("report_id", F.concat_ws(":", "path", "line", "function").alias("subject"), "claim_ids").agg(F.bool_or(F.col("line").between(F.col("start"), F.col("end"))).alias("inside"), F.bool_or(F.col("start").isNotNull()).alias("defined"), F.bool_and("parsed").alias("parsed"), F.bool_or(F.col("line") <= F.col("n_lines")).alias("bounded"))
-    key = F.when(F.col("inside"), "in_function").when(~F.col("bounded"), "line_past_end").when(~F.col("parsed"), "parse_incomplete").when(F.col("defined"), "outside_function").otherwise("function_not_defined")
+    fits = F.lit(False)
+    if nearby is not None:
+        there = frames.join(nearby, "release").join(tree.select(F.col("release").alias("near"), "path", "blob"), ["near", "path"]).join(symbols.select("blob", F.col("name").alias("function"), "start", "end"), ["blob", "function"])
+        there = there.where(F.col("line").between(F.col("start"), F.col("end"))).select("report_id", F.concat_ws(":", "path", "line", "function").alias("subject"), F.lit(True).alias("fits")).distinct()
+        rows, fits = rows.join(there, ["report_id", "subject"], "left"), F.coalesce("fits", F.lit(False))
+    key = F.when(F.col("inside"), "in_function").when(fits, "fits_nearby_release").when(~F.col("bounded"), "line_past_end").when(~F.col("parsed"), "parse_incomplete").when(F.col("defined"), "outside_function").otherwise("function_not_defined")
     return evidence(rows, "C05", "location", key)
 
 
+#: From which likeness on a line counts as the quoted one.
+LEAST_LIKE = 0.9
+
+
 def c06_line_content(quotes: DataFrame, lines: DataFrame, history_lines: DataFrame, radius: int = 3, least: int = 8) -> DataFrame:
-    """Is the quoted text on the line? quotes: report_id, subject, claim_ids, blob, line, quoted. Texts are compared with white space as one blank."""
+    """Is the quoted text on the line or near it? quotes: report_id, subject, claim_ids, blob, line, quoted. Texts are compared with white space as one blank.
+
+    Lines around the cited one are met by (blob, line) and compared by likeness if their lengths allow it; others must be equal."""
     rows = quotes.withColumn("text_", collapsed(F.col("quoted"))).where(F.length("text_") >= least)
-    found = lines.select("blob", F.col("line_no").alias("at"), collapsed(F.col("text")).alias("text_"))
-    met = rows.join(found, ["blob", "text_"], "left")
+    found = lines.select("blob", F.col("line_no").alias("at"), collapsed(F.col("text")).alias("have"))
+    met = rows.join(found.select("blob", F.col("have").alias("text_"), F.lit(True).alias("elsewhere")).distinct(), ["blob", "text_"], "left")
+    around = rows.select("report_id", "subject", "blob", "line", "text_", F.explode(F.sequence(F.col("line") - radius, F.col("line") + radius)).alias("at")).join(found, ["blob", "at"])
+    possible = 2 * F.least(F.length("text_"), F.length("have")) >= LEAST_LIKE * (F.length("text_") + F.length("have"))
+    like = around.where(F.contains("have", F.col("text_")) | possible).where(line_likeness(F.col("text_"), F.col("have")) >= LEAST_LIKE)
+    off = like.groupBy("report_id", "subject", "line", "text_").agg(F.min(F.abs(F.col("at") - F.col("line"))).alias("off"))
     ever = history_lines.select(collapsed(F.col("text")).alias("text_")).distinct().withColumn("ever", F.lit(True))
-    best = met.groupBy("report_id", "subject", "claim_ids", "line", "text_").agg(F.min(F.abs(F.col("at") - F.col("line"))).alias("off")).join(ever, "text_", "left")
-    key = F.when(F.col("off") == 0, "exact").when(F.col("off") <= radius, "near_by_offset").when(F.col("off").isNotNull(), "elsewhere_in_file").when(F.col("ever"), "other_release_only").otherwise("nowhere_in_history")
+    best = met.join(off, ["report_id", "subject", "line", "text_"], "left").join(ever, "text_", "left")
+    key = F.when(F.col("off") == 0, "exact").when(F.col("off").isNotNull(), "near_by_offset").when(F.col("elsewhere"), "elsewhere_in_file").when(F.col("ever"), "other_release_only").otherwise("nowhere_in_history")
     return evidence(best, "C06", "content", key)
 
 
@@ -212,23 +228,46 @@ def c11_sanitizer_sanity(found: DataFrame) -> DataFrame:
     return evidence(rows, "C11", "trace", F.when(F.col("broken") > 0, "violation").otherwise("consistent"), factor)
 
 
-def c12_patch_applies(hunks: DataFrame, lines: DataFrame, radius: int = 200) -> DataFrame:
-    """Does a hunk's context stand in the file? hunks: report_id, hunk, blob, start, context (array of lines). A patch is its worst hunk.
+def _places(blocks: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
+    """Of each block of lines how far from its start it stands in the file: key, off. blocks: key, blob, start, body.
 
-    Every place where the first line stands is a candidate; the array of lines from there on must equal the context."""
-    size = F.size("context")
+    Every place where the block's first line stands is a candidate; the lines from there on must equal it."""
     first = lines.select("blob", "line_no", F.rtrim("text").alias("first"))
-    heads = hunks.select("*", F.rtrim(F.get("context", F.lit(0))).alias("first"))
-    starts = heads.join(first, ["blob", "first"]).select("report_id", "hunk", "blob", F.col("line_no").alias("at"))
-    want = hunks.select("report_id", "hunk", "blob", "start", size.alias("size"), F.posexplode("context").alias("k", "want"))
-    met = starts.join(want, ["report_id", "hunk", "blob"]).withColumn("line_no", F.col("at") + F.col("k")).join(lines.select("blob", "line_no", F.rtrim("text").alias("have")), ["blob", "line_no"])
-    whole = met.where(F.col("have") == F.rtrim("want")).groupBy("report_id", "hunk", "at", "start", "size").agg(F.count("*").alias("n")).where(F.col("n") == F.col("size"))
-    off = whole.groupBy("report_id", "hunk").agg(F.min(F.abs(F.col("at") - F.col("start"))).alias("off"))
-    rung = F.when(F.col("off") == 0, 0).when(F.col("off") <= radius, 1).when(F.col("off").isNotNull(), 2).otherwise(3)
-    worst = hunks.select("report_id", "hunk").join(off, ["report_id", "hunk"], "left").groupBy("report_id").agg(F.max(rung).alias("rung"))
+    starts = blocks.select("*", F.rtrim(F.get("body", F.lit(0))).alias("first")).join(first, ["blob", "first"]).select(*key, "blob", F.col("line_no").alias("at"))
+    want = blocks.select(*key, "blob", "start", F.size("body").alias("size"), F.posexplode("body").alias("k", "want"))
+    met = starts.join(want, [*key, "blob"]).withColumn("line_no", F.col("at") + F.col("k")).join(lines.select("blob", "line_no", F.rtrim("text").alias("have")), ["blob", "line_no"])
+    whole = met.where(F.col("have") == F.rtrim("want")).groupBy(*key, "at", "start", "size").agg(F.count("*").alias("n")).where(F.col("n") == F.col("size"))
+    return whole.groupBy(*key).agg(F.min(F.abs(F.col("at") - F.col("start"))).alias("off"))
+
+
+#: Context lines at either end of a hunk that may differ; the rungs of a hunk, best first.
+MOST_FUZZ = 2
+RUNGS = ("applies_clean", "applies_with_fuzz", "already_applied", "context_elsewhere_in_file", "other_release_only", "context_not_found")
+
+
+def c12_patch_applies(hunks: DataFrame, lines: DataFrame, others: DataFrame | None = None, radius: int = 200) -> DataFrame:
+    """Does a hunk apply to the file? hunks: report_id, hunk, blob, start, context (the lines before), target (after), lead and trail (context lines at
+    either end); others: report_id, hunk, blob: the file in other releases. A patch is its worst hunk.
+
+    In this order: the lines before stand near; the lines after do; either does without up to MOST_FUZZ outer context lines; the lines before stand anywhere."""
+    key, body = ["report_id", "hunk", "side", "fuzz"], F.col("whole")
+    sides = hunks.select("report_id", "hunk", "blob", "start", "lead", "trail", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("context").alias("whole")), F.struct(F.lit(1).alias("side"), F.when(F.col("target") != F.col("context"), F.col("target")).alias("whole")))).alias("s")).select("*", "s.*").where("whole IS NOT NULL")
+    cut = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST_FUZZ))).alias("fuzz")).withColumn("head", F.least("fuzz", "lead")).withColumn("tail", F.least("fuzz", "trail")).where("fuzz = 0 OR head > 0 OR tail > 0")
+    size = F.size(body) - F.col("head") - F.col("tail")
+    blocks = cut.where(size > 0).select(*key, "blob", (F.col("start") + F.col("head")).alias("start"), F.slice(body, F.col("head") + 1, size).alias("body"))
+    near = F.col("off") <= radius
+    rank = F.when(near, F.when(F.col("fuzz") == 0, F.col("side")).otherwise(F.col("side") + 2)).when((F.col("fuzz") == 0) & (F.col("side") == 0), 4)
+    best = _places(blocks, lines, key).withColumn("rank", rank).where("rank IS NOT NULL").groupBy("report_id", "hunk").agg(F.min_by(F.struct("side", "fuzz", "off", "rank"), "rank").alias("m"))
+    rung = F.when(F.col("m.rank") == 4, 3).when(F.col("m.side") == 1, 2).when((F.col("m.fuzz") == 0) & (F.col("m.off") == 0), 0).when(F.col("m").isNotNull(), 1)
+    rows = hunks.select("report_id", "hunk").join(best, ["report_id", "hunk"], "left")
+    elsewhere = F.lit(False)
+    if others is not None:
+        asked = hunks.select("report_id", "hunk", "start", F.col("context").alias("body")).join(others, ["report_id", "hunk"])
+        there = _places(asked.withColumn("of", F.col("blob")), lines, ["report_id", "hunk", "of"]).where(near).select("report_id", "hunk", F.lit(True).alias("there")).distinct()
+        rows, elsewhere = rows.join(there, ["report_id", "hunk"], "left"), F.coalesce("there", F.lit(False))
+    worst = rows.groupBy("report_id").agg(F.max(F.coalesce(rung, F.when(elsewhere, 4).otherwise(5))).alias("rung"))
     rows = worst.select("report_id", F.lit("patch").alias("subject"), F.array().cast("array<string>").alias("claim_ids"), "rung")
-    key = F.get(F.array(*[F.lit(k) for k in ("applies_clean", "applies_with_offset", "context_elsewhere_in_file", "context_not_found")]), F.col("rung"))
-    return evidence(rows, "C12", "patch", key)
+    return evidence(rows, "C12", "patch", F.get(F.array(*[F.lit(k) for k in RUNGS]), F.col("rung")))
 
 
 def c13_fix_status(loci: DataFrame, commits: DataFrame) -> DataFrame:
@@ -255,6 +294,16 @@ def c15_references(claims: DataFrame, records: DataFrame, products: DataFrame) -
     return evidence(rows.drop("attributed", "negated"), "C15", "reference", key)
 
 
+def c15_commits(claims: DataFrame, commits: DataFrame, cited: DataFrame, complete: bool = True) -> DataFrame:
+    """Commit ids, whole or shortened to 7 digits or more, against commits (sha, path); cited: report_id, path. Ids meet on their first 7 digits."""
+    rows = subjects(claims, ["reference"]).where(F.col("subject").rlike("^[0-9a-f]{7,40}$")).withColumn("head", F.substring("subject", 1, 7))
+    met = rows.select("report_id", "subject", "head").join(commits.select(F.substring("sha", 1, 7).alias("head"), "sha", "path"), "head").where(F.startswith("sha", F.col("subject")))
+    touched = met.join(cited.select("report_id", "path", F.lit(True).alias("cited")).distinct(), ["report_id", "path"], "left").groupBy("report_id", "subject").agg(F.bool_or(F.coalesce("cited", F.lit(False))).alias("touches"))
+    rows = rows.join(touched, ["report_id", "subject"], "left")
+    key = F.when(F.col("touches"), "commit_touches_file").when(F.col("touches").isNotNull(), "commit_exists").when(F.lit(complete), "commit_missing").otherwise("history_incomplete")
+    return evidence(rows.drop("attributed", "negated"), "C15", "reference", key)
+
+
 def cwe_compatibility(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """pairs: report_id, subject, claim_ids, cwe, family; table: cwe, families (array; empty means any)."""
     rows = pairs.join(F.broadcast(table), "cwe", "left")
@@ -269,6 +318,14 @@ def c16_version_range(ranges: DataFrame, introduced: DataFrame) -> DataFrame:
     return evidence(rows, "C16", "version", key)
 
 
+def c16_fixed_in(fixes: DataFrame, digests: DataFrame) -> DataFrame:
+    """Does the release that is said to hold the fix change the function? fixes: report_id, subject (symbol), claim_ids, fixed (ord); digests: symbol, ord, digest."""
+    at = lambda name: digests.select(F.col("symbol").alias("subject"), F.col("ord").alias("at"), F.col("digest").alias(name))
+    rows = fixes.withColumn("at", F.col("fixed")).join(at("after"), ["subject", "at"], "left").withColumn("at", F.col("fixed") - 1).join(at("before"), ["subject", "at"], "left")
+    key = F.when(F.col("before").isNull() | F.col("after").isNull(), "definition_missing").when(F.col("before") == F.col("after"), "fixed_in_unchanged").otherwise("consistent")
+    return evidence(rows, "C16", "version", key)
+
+
 def c17_impact(impacts: DataFrame) -> DataFrame:
     """impacts: report_id, subject, claim_ids, vector, score, word. The vector must give the score, the word must be its band's."""
     rows = impacts.withColumn("computed", base_score(F.col("vector")))

@@ -90,6 +90,15 @@ def c05_line_in_function(spark, sf_dir):
     return _out(checks.c05_line_in_function(rows, tree(spark, sf_dir), blobs(spark, sf_dir), symbols(spark, sf_dir)))
 
 
+def c05_nearby_release(spark, sf_dir):
+    """In the next two releases every function holds two lines more, in files of their own."""
+    rows = _frames(spark, sf_dir).where(F.col("index") == 0)
+    longer = symbols(spark, sf_dir).select((-F.col("blob") - 1).alias("blob"), "name", "start", (F.col("end") + 2).alias("end"))
+    later = tree(spark, sf_dir).select(F.concat(F.col("release"), F.lit("+")).alias("release"), "path", (-F.col("blob") - 1).alias("blob"))
+    nearby = releases(spark).select(F.col("name").alias("release"), F.concat("name", F.lit("+")).alias("near"))
+    return _out(checks.c05_line_in_function(rows, tree(spark, sf_dir).unionByName(later), blobs(spark, sf_dir), symbols(spark, sf_dir).unionByName(longer), nearby))
+
+
 def c06_line_content(spark, sf_dir):
     """Events quote the line two further on than they say, or a line of nowhere."""
     quotes = table(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), (F.col("event_id") % 500).alias("blob"), (F.col("event_id") % 4 + 1).cast("int").alias("line"), (F.col("event_id") % 3 * 2).alias("by"))
@@ -114,13 +123,57 @@ def c11_sanitizer_sanity(spark, sf_dir):
 
 
 def c12_patch_applies(spark, sf_dir):
-    """Documents are patched by hunks of their own lines, moved or changed."""
-    rows = files(spark, sf_dir).withColumn("l", lines_of(F.col("text"))).where(F.size("l") >= 4)
-    shift = (F.col("doc_id") % 3).cast("int")
-    context = F.slice("l", F.lit(1) + shift, F.lit(3))
-    context = F.when(F.col("doc_id") % 5 == 0, F.concat(F.slice(context, 1, 2), F.array(F.lit("not there")))).otherwise(F.slice(context, 1, F.size("l") - shift))
-    hunks = rows.select(F.col("doc_id").alias("report_id"), F.lit(1).alias("hunk"), "blob", F.lit(1).alias("start"), context.alias("context"))
-    return _out(checks.c12_patch_applies(hunks, lines(spark, sf_dir)))
+    """Documents are patched by hunks of their own lines: moved, with other context, applied already, or of another document."""
+    rows = files(spark, sf_dir).withColumn("l", lines_of(F.col("text"))).where(F.size("l") >= 8)
+    kind, shift = F.col("doc_id") % 6, (F.col("doc_id") % 3).cast("int")
+    own = F.slice("l", F.lit(1) + shift, F.lit(4))
+    odd = F.array(F.lit("not there"))
+    context = F.when(kind == 1, F.concat(odd, F.slice(own, 2, 3))).when(kind == 2, F.concat(F.slice(own, 1, 2), odd, F.slice(own, 4, 1))).when(kind == 3, F.concat(F.slice(own, 1, 1), odd, F.slice(own, 3, 2))).otherwise(own)
+    target = F.when(kind == 3, own).otherwise(F.concat(F.slice(own, 1, 1), F.array(F.lit("changed")), F.slice(own, 3, 2)))
+    hunks = rows.select(F.col("doc_id").alias("report_id"), F.lit(1).alias("hunk"), F.when(kind == 5, -1).otherwise(F.col("blob")).alias("blob"), (F.lit(1) + F.when(kind == 4, F.lit(0)).otherwise(shift)).alias("start"), context.alias("context"), target.alias("target"), F.lit(1).alias("lead"), F.lit(1).alias("trail"))
+    others = rows.where("doc_id % 2 = 1").select(F.col("doc_id").alias("report_id"), F.lit(1).alias("hunk"), "blob")
+    return _out(checks.c12_patch_applies(hunks, lines(spark, sf_dir), others))
+
+
+def c09_trace_call_edges(spark, sf_dir):
+    from plumbline.operators import graph
+
+    frames = _frames(spark, sf_dir)
+    calls = files(spark, sf_dir).where("doc_id % 5 <> 0").select(F.concat(F.lit("fn_"), F.col("doc_id") + 1).alias("caller"), F.concat(F.lit("fn_"), F.col("doc_id")).alias("callee"), F.lit(False).alias("indirect"))
+    pairs = graph.consecutive(frames, ["report_id"], "index", "function")
+    none = calls.limit(0).select(F.col("caller").alias("name"))
+    kinds = graph.edges(pairs, calls, none.select("name", F.lit(1).alias("lines"), F.lit(False).alias("inline")), none.select("name", F.array("name").alias("calls")), none)
+    return _out(checks.c09_trace_call_edges(pairs.join(kinds, ["caller", "target"]).select("report_id", "kind")))
+
+
+def c13_fix_status(spark, sf_dir):
+    """Every order is a commit on its customer's path."""
+    commits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("f"), F.col("o_custkey")).alias("path"), (F.col("o_orderkey") % 1000).alias("epoch"))
+    loci = table(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), F.concat(F.lit("f"), F.col("event_id") % 200).alias("path"), (F.col("event_id") % 1500).alias("epoch"))
+    return _out(checks.c13_fix_status(loci, commits))
+
+
+
+def c15_commits(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    sha = lambda key: F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 40)
+    commits = orders.select(sha(F.col("o_orderkey")).alias("sha"), F.concat(F.lit("f"), F.col("o_custkey") % 10).alias("path"))
+    i = F.col("event_id")
+    rows = claims(spark, sf_dir, "reference", "CASE WHEN event_id % 4 = 0 THEN substr(sha2(cast(event_id AS string), 256), 1, 40) ELSE substr(sha2(cast(event_id AS string), 256), 1, 12) END")
+    cited = table(spark, sf_dir, "events").select(i.alias("report_id"), F.concat(F.lit("f"), i % 10).alias("path"))
+    return _out(checks.c15_commits(rows, commits, cited))
+
+
+def c16_fixed_in(spark, sf_dir):
+    """Functions change in every third release from their first on."""
+    digests = files(spark, sf_dir).select(F.concat(F.lit("fn_"), F.col("doc_id")).alias("symbol"), F.explode(F.sequence((F.col("doc_id") % 12).cast("int"), F.lit(11))).alias("ord"), "doc_id").withColumn("digest", F.floor((F.col("ord") + F.col("doc_id")) / 3)).drop("doc_id")
+    fixes = table(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), F.concat(F.lit("fn_"), F.col("event_id") % 1100).alias("subject"), F.array().cast("array<string>").alias("claim_ids"), (F.col("event_id") % 12).cast("int").alias("fixed"))
+    return _out(checks.c16_fixed_in(fixes, digests))
+
+
+def c21_hygiene(spark, sf_dir):
+    missing = table(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), F.filter(F.array(F.when(F.col("event_id") % 2 == 0, "version"), F.when(F.col("event_id") % 3 == 0, "trace")), lambda x: x.isNotNull()).alias("missing"))
+    return _out(checks.c21_hygiene(missing))
 
 
 def c14_option_exists(spark, sf_dir):
@@ -187,7 +240,7 @@ def checks_to_verdicts(spark, sf_dir):
     return fusion.verdicts(rows).groupBy("label", "rule").agg(F.count("*").alias("reports"))
 
 
-QUERIES = {f.__name__: f for f in (c01_version_resolves, c02_file_exists, c03_symbol_exists, c04_line_in_bounds, c05_line_in_function, c06_line_content, c07_snippet_provenance, c08_trace_frames, c10_trace_version_fit, c11_sanitizer_sanity, c12_patch_applies, c14_option_exists, c15_cve_records, cwe_compat, c16_version_range, c17_impact_consistency, c18_api_usage, checks_to_verdicts)}
+QUERIES = {f.__name__: f for f in (c01_version_resolves, c02_file_exists, c03_symbol_exists, c04_line_in_bounds, c05_line_in_function, c05_nearby_release, c06_line_content, c07_snippet_provenance, c08_trace_frames, c09_trace_call_edges, c10_trace_version_fit, c11_sanitizer_sanity, c12_patch_applies, c13_fix_status, c14_option_exists, c15_commits, c15_cve_records, cwe_compat, c16_fixed_in, c16_version_range, c17_impact_consistency, c18_api_usage, c21_hygiene, checks_to_verdicts)}
 
 
 def _ladder(check: str, source: str, cases: str, *, gate: bool = True, factor: str = "1.0") -> str:
@@ -212,10 +265,12 @@ ORACLE_SQL = {
     "c04_line_in_bounds": f"WITH {_E}, x AS (SELECT *, concat('f', doc, '.c:', report_id % 30 + 1) AS subject FROM j WHERE doc_id IS NOT NULL AND here), " + _ladder("C04", "x", "CASE WHEN report_id % 30 + 1 <= n_lines THEN 'in_bounds' ELSE 'past_end' END"),
     "c05_line_in_function": f"WITH {_E}, x AS (SELECT *, concat('src/m', doc % 17, '/f', doc, '.c:', report_id % 9 + 1, ':fn_', doc) AS subject FROM j WHERE doc_id IS NOT NULL AND here), "
     + _ladder("C05", "x", "CASE WHEN report_id % 9 + 1 <= n_lines // 2 + 1 THEN 'in_function' WHEN report_id % 9 + 1 > n_lines THEN 'line_past_end' WHEN doc % 13 = 0 THEN 'parse_incomplete' ELSE 'outside_function' END", gate=False),
+    "c05_nearby_release": f"WITH {_E}, x AS (SELECT *, concat('src/m', doc % 17, '/f', doc, '.c:', report_id % 9 + 1, ':fn_', doc) AS subject FROM j WHERE doc_id IS NOT NULL AND here), "
+    + _ladder("C05", "x", "CASE WHEN report_id % 9 + 1 <= n_lines // 2 + 1 THEN 'in_function' WHEN report_id % 9 + 1 <= n_lines // 2 + 3 THEN 'fits_nearby_release' WHEN report_id % 9 + 1 > n_lines THEN 'line_past_end' WHEN doc % 13 = 0 THEN 'parse_incomplete' ELSE 'outside_function' END", gate=False),
     "c06_line_content": f"""WITH {_D}, ln AS (SELECT doc_id AS blob, unnest(range(1, n_lines + 1)) AS pos, trim(regexp_replace(unnest(l), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM d),
  q AS (SELECT event_id AS r, event_id % 500 AS blob, event_id % 4 + 1 AS line, event_id % 3 * 2 AS stp FROM events), y AS (SELECT r, q.blob, line, CASE WHEN r % 7 = 0 THEN trim('nowhere ' || t) ELSE t END AS t FROM q JOIN ln ON ln.blob = q.blob AND ln.pos = line + stp),
- b AS (SELECT r AS report_id, 'q' || r AS subject, min(abs(ln.pos - line)) AS off FROM y LEFT JOIN ln ON ln.blob = y.blob AND ln.t = y.t WHERE length(y.t) >= 8 GROUP BY r), """
-    + _ladder("C06", "b", "CASE WHEN off = 0 THEN 'exact' WHEN off <= 3 THEN 'near_by_offset' WHEN off IS NOT NULL THEN 'elsewhere_in_file' ELSE 'nowhere_in_history' END", gate=False),
+ b AS (SELECT r AS report_id, 'q' || r AS subject, min(abs(ln.pos - line)) FILTER (abs(ln.pos - line) <= 3 AND (contains(ln.t, y.t) OR (y.t = trim('nowhere ' || ln.t) AND 2.0 * length(ln.t) / (length(ln.t) + length(y.t)) >= 0.9))) AS off, bool_or(ln.t = y.t) AS elsewhere FROM y LEFT JOIN ln ON ln.blob = y.blob WHERE length(y.t) >= 8 GROUP BY r), """
+    + _ladder("C06", "b", "CASE WHEN off = 0 THEN 'exact' WHEN off <= 3 THEN 'near_by_offset' WHEN elsewhere THEN 'elsewhere_in_file' ELSE 'nowhere_in_history' END", gate=False),
     "c08_trace_frames": f"WITH {_D}, e AS (SELECT event_id AS r, unnest(range(4)) AS i FROM events), s AS (SELECT r, {_STATUS.format(m='r % 12')} AS st FROM e LEFT JOIN d ON d.doc_id = (r + i) % 1100), b AS (SELECT r AS report_id, 'trace' AS subject, count(*) FILTER (st = 'consistent') AS good, count(*) FILTER (st <> 'uncertain') AS n FROM s GROUP BY r), "
     + _ladder("C08", "b", _BANDS, gate=False),
     "c10_trace_version_fit": f"""WITH {_D}, e AS (SELECT event_id AS r, unnest(range(4)) AS i FROM events WHERE event_id % 5 = 0), g AS (SELECT r, i, m FROM e, (SELECT unnest(range(12)) AS m) WHERE abs(m - r % 12) <= 3),
@@ -223,10 +278,16 @@ ORACLE_SQL = {
  b AS (SELECT r AS report_id, 'fit' AS subject, coalesce(max(good / n) FILTER (m = r % 12), 0) AS h, coalesce(max(good / n) FILTER (m <> r % 12), 0) AS o FROM c WHERE n >= 3 GROUP BY r), """
     + _ladder("C10", "b", "CASE WHEN h = 1 THEN 'claimed_release_fits' WHEN o = 1 THEN 'other_release_fits' WHEN greatest(h, o) < 0.5 THEN 'no_release_fits' ELSE 'partial_fit' END", gate=False),
     "c11_sanitizer_sanity": "WITH b AS (SELECT event_id AS report_id, 'trace 1' AS subject, event_id % 24 = 0 AS bad FROM events WHERE event_id % 8 = 0), " + _ladder("C11", "b", "CASE WHEN bad THEN 'violation' ELSE 'consistent' END", gate=False),
-    "c12_patch_applies": f"""WITH {_D}, b0 AS (SELECT doc_id, n_lines, l, l[1 + doc_id % 3:least(3 + doc_id % 3, n_lines)] AS c FROM d WHERE n_lines >= 4), b1 AS (SELECT doc_id, n_lines, l, CASE WHEN doc_id % 5 = 0 THEN c[1:2] || ['not there'] ELSE c END AS c FROM b0),
- b2 AS (SELECT doc_id, list_min(list_transform(list_filter(range(1, n_lines - len(c) + 2), lambda i: list_transform(l[i:i + len(c) - 1], lambda x: rtrim(x)) = list_transform(c, lambda x: rtrim(x))), lambda i: abs(i - 1))) AS off FROM b1),
- b AS (SELECT doc_id AS report_id, 'patch' AS subject, off FROM b2), """
-    + _ladder("C12", "b", "CASE WHEN off = 0 THEN 'applies_clean' WHEN off <= 200 THEN 'applies_with_offset' WHEN off IS NOT NULL THEN 'context_elsewhere_in_file' ELSE 'context_not_found' END", gate=False),
+    "c12_patch_applies": f"""WITH {_D}, h AS (SELECT doc_id, doc_id % 6 AS kind, doc_id % 3 AS s, n_lines, list_transform(l, lambda x: rtrim(x)) AS l FROM d WHERE n_lines >= 8), o AS (SELECT *, l[1 + s:4 + s] AS own FROM h),
+ t AS (SELECT *, CASE kind WHEN 1 THEN ['not there'] || own[2:4] WHEN 2 THEN own[1:2] || ['not there'] || own[4:4] WHEN 3 THEN own[1:1] || ['not there'] || own[3:4] ELSE own END AS c, CASE WHEN kind = 3 THEN own ELSE own[1:1] || ['changed'] || own[3:4] END AS a, CASE WHEN kind = 4 THEN 1 ELSE 1 + s END AS st FROM o),
+ u AS (SELECT doc_id, kind, {', '.join(f"list_min(list_transform(list_filter(range(1, n_lines - {n} + 2), lambda i: l[i:i + {n} - 1] = {body}), lambda i: abs(i - {at}))) AS {name}" for name, body, n, at in (("f0", "c", 4, "st"), ("r0", "a", 4, "st"), ("f1", "c[2:3]", 2, "(st + 1)"), ("r1", "a[2:3]", 2, "(st + 1)")))} FROM t),
+ b AS (SELECT doc_id AS report_id, 'patch' AS subject, doc_id, kind, f0, r0, f1, r1 FROM u), """
+    + _ladder("C12", "b", "CASE WHEN kind = 5 THEN CASE WHEN f0 <= 200 THEN 'other_release_only' ELSE 'context_not_found' END WHEN f0 = 0 THEN 'applies_clean' WHEN f0 <= 200 THEN 'applies_with_fuzz' WHEN r0 <= 200 THEN 'already_applied' WHEN f1 <= 200 THEN 'applies_with_fuzz' WHEN r1 <= 200 THEN 'already_applied' WHEN f0 IS NOT NULL THEN 'context_elsewhere_in_file' ELSE 'context_not_found' END", gate=False),
+    "c09_trace_call_edges": f"WITH {_D}, e AS (SELECT event_id AS r, unnest(range(3)) AS i FROM events), b AS (SELECT r AS report_id, 'edges' AS subject, count(*) FILTER (doc_id IS NULL OR doc_id % 5 = 0 OR (r + i) % 1100 = 1099) AS missing FROM e LEFT JOIN d ON doc_id = (r + i) % 1100 GROUP BY r), " + _ladder("C09", "b", "CASE WHEN missing > 0 THEN 'missing_edge' ELSE 'all_edges_real' END", gate=False, factor="CASE WHEN missing > 0 THEN least(missing, 3) ELSE 1 END"),
+    "c13_fix_status": "WITH e AS (SELECT DISTINCT event_id AS report_id, 'f' || event_id % 200 AS subject FROM events JOIN orders ON o_custkey = event_id % 200 AND o_orderkey % 1000 > event_id % 1500), " + _ladder("C13", "e", "'modified_after'", gate=False),
+    "c15_commits": "WITH e AS (SELECT event_id AS report_id, substr(sha256(event_id::VARCHAR), 1, CASE WHEN event_id % 4 = 0 THEN 40 ELSE 12 END) AS subject, o_orderkey, o_custkey % 10 = event_id % 10 AS touches FROM events LEFT JOIN orders ON o_orderkey = event_id), " + _ladder("C15", "e", "CASE WHEN o_orderkey IS NULL THEN 'commit_missing' WHEN touches THEN 'commit_touches_file' ELSE 'commit_exists' END", gate=False),
+    "c16_fixed_in": f"WITH {_E}, x AS (SELECT report_id, concat('fn_', doc) AS subject, doc_id, m FROM j), " + _ladder("C16", "x", "CASE WHEN doc_id IS NULL OR doc_id % 12 > m - 1 THEN 'definition_missing' WHEN (m + doc_id) // 3 = (m - 1 + doc_id) // 3 THEN 'fixed_in_unchanged' ELSE 'consistent' END", gate=False),
+    "c21_hygiene": "SELECT event_id AS report_id, array_to_string(list_filter([CASE WHEN event_id % 2 = 0 THEN 'version' END, CASE WHEN event_id % 3 = 0 THEN 'trace' END], lambda x: x IS NOT NULL), ',') AS subject, 'hygiene' AS outcome_key, 'NEUTRAL' AS outcome, 0.0::DOUBLE AS strength FROM events",
     "c14_option_exists": "WITH w AS (SELECT DISTINCT p_partkey % 6 AS m, p_partkey % 50 AS k FROM part), e AS (SELECT event_id AS report_id, event_id % 17 = 0 AS negated, concat('--opt-', event_id % 70) AS subject, EXISTS (SELECT 1 FROM w WHERE w.m = event_id % 12 AND k = event_id % 70) AS here, EXISTS (SELECT 1 FROM w WHERE k = event_id % 70) AS anyw FROM events), "
     + _ladder("C14", "e", "CASE WHEN here THEN 'present' WHEN anyw THEN 'other_release_only' ELSE 'never_in_history' END"),
     "c15_cve_records": "WITH e AS (SELECT event_id AS report_id, concat('CVE-2024-', 1000 + event_id % 70) AS subject, event_id % 70 AS k, event_id AS i FROM events), " + _ladder("C15", "e", "CASE WHEN k >= 60 THEN 'cve_not_found' WHEN k % 7 = 0 THEN 'cve_rejected' WHEN i % 4 = 0 THEN 'no_product' WHEN i % 3 = k % 3 THEN 'cve_matches_product' ELSE 'cve_other_product' END", gate=False),

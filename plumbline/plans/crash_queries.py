@@ -230,9 +230,10 @@ ORACLE_SQL = {
     "main_families": """WITH t AS (SELECT DISTINCT event_type, CASE event_id % 5 WHEN 0 THEN 'v' WHEN 1 THEN 'release' WHEN 2 THEN 'v' ELSE 'tiny-v' END AS family,
  (event_id % 7 + 1) || CASE WHEN event_id % 5 = 1 THEN '.' || event_id % 11 || '.1' WHEN event_id % 11 = 0 THEN '' ELSE '.' || event_id % 11 END AS version FROM events WHERE event_id % 5 <> 4),
  f AS (SELECT event_type, family, list(version) AS vs, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, family) AS k FROM t GROUP BY 1, 2),
- j AS (SELECT a.*, (SELECT list(DISTINCT v) FROM (SELECT unnest(b.vs) AS v FROM f b WHERE b.event_type = a.event_type AND b.k = 1)) AS first FROM f a),
- g AS (SELECT event_type, family, k, vs, len(list_intersect(vs, first)) AS n1 FROM j),
- s AS (SELECT event_type, family FROM g WHERE k = 1 OR n1 <= 0.2 * len(vs)) SELECT event_type, string_agg(family, ',' ORDER BY family) AS families FROM s GROUP BY 1""",
+ w AS (SELECT event_type, max(family) FILTER (k = 1) AS f1, first(vs) FILTER (k = 1) AS v1, max(family) FILTER (k = 2) AS f2, first(vs) FILTER (k = 2) AS v2, max(family) FILTER (k = 3) AS f3, first(vs) FILTER (k = 3) AS v3 FROM f GROUP BY 1),
+ x AS (SELECT *, f2 IS NOT NULL AND NOT (f1 NOT IN ('v', 'release') AND contains(f2, f1)) AND len(list_intersect(v2, v1)) <= 0.2 * len(v2) AS in2 FROM w),
+ y AS (SELECT *, f3 IS NOT NULL AND NOT (f1 NOT IN ('v', 'release') AND contains(f3, f1)) AND len(list_intersect(v3, CASE WHEN in2 THEN v1 || v2 ELSE v1 END)) <= 0.2 * len(v3) AS in3 FROM x)
+ SELECT event_type, array_to_string(list_sort(list_filter([f1, CASE WHEN in2 THEN f2 END, CASE WHEN in3 THEN f3 END], lambda x: x IS NOT NULL)), ',') AS families FROM y""",
     "lint_rows": f"""WITH {evidence_queries.EVIDENCE}, b AS (SELECT *, outcome = 'REFUTES' AND strength < 0 AS against FROM ev),
  r AS (SELECT report_id, claim_id, evidence_id, check_id, outcome, strength, count(*) FILTER (against) OVER (PARTITION BY report_id, claim_id) AS refutations, row_number() OVER (PARTITION BY report_id, claim_id ORDER BY against DESC, abs(strength) DESC, evidence_id) AS k FROM b)
  SELECT report_id, claim_id, evidence_id, check_id, outcome, strength, refutations, (row_number() OVER (PARTITION BY report_id ORDER BY CASE outcome WHEN 'REFUTES' THEN 1 WHEN 'NEUTRAL' THEN 2 WHEN 'ERROR' THEN 3 ELSE 4 END, evidence_id))::INTEGER AS place FROM r WHERE k = 1""",
