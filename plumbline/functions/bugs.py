@@ -94,3 +94,39 @@ def same_class(left: Column, right: Column) -> Column:
 def plain_function(name: Column) -> Column:
     """A function's bare name without what compilers append: foo.isra.0 -> foo."""
     return bare_function(F.regexp_replace(F.trim(name), f"(?<=.)\\.(?:{CLONES}|[0-9]+)(?:\\..*)?$", ""))
+
+
+#: Phrases of runtime errors and their kinds, more specific ones first.
+RUNTIME_ERRORS = (
+    ("unsigned integer overflow", "unsigned-integer-overflow"),
+    ("signed integer overflow", "signed-integer-overflow"),
+    ("negation of", "signed-integer-overflow"),
+    ("shift exponent", "shift-exponent"),
+    ("left shift of", "shift-base"),
+    ("division by zero", "integer-divide-by-zero"),
+    ("division of", "signed-integer-overflow"),
+    ("null pointer passed as argument", "nonnull-attribute"),
+    ("null pointer returned from function", "returns-nonnull-attribute"),
+    ("applying non-zero offset", "pointer-overflow"),
+    ("pointer index expression", "pointer-overflow"),
+    ("null pointer", "null-pointer-dereference"),
+    ("misaligned address", "misaligned-address"),
+    ("out of bounds for type", "array-bounds"),
+    ("is not a valid value for type", "invalid-value-load"),
+    ("is outside the range of representable values", "float-cast-overflow"),
+    ("implicit conversion", "implicit-conversion"),
+    ("unreachable program point", "unreachable"),
+    ("end of a value-returning function", "missing-return"),
+    ("through pointer to incorrect function type", "function-type-mismatch"),
+    ("variable length array bound", "vla-bound"),
+    ("insufficient space for an object", "object-size"),
+    ("which does not point to an object of type", "vptr"),
+)
+
+
+def runtime_error(message: Column) -> Column:
+    """The kind of a runtime error by its message; unknown if no phrase is in it."""
+    out = F.lit("unknown")
+    for phrase, kind in reversed(RUNTIME_ERRORS):
+        out = F.when(F.contains(F.lower(message), F.lit(phrase)), F.lit(kind)).otherwise(out)
+    return out

@@ -173,3 +173,22 @@ def language_of(path: Column) -> Column:
     by = {"c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "go": "go", "java": "java", "js": "javascript", "mjs": "javascript", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "ts": "typescript", "tsx": "tsx"}
     table = F.create_map(*[F.lit(x) for pair in by.items() for x in pair])
     return F.element_at(table, F.lower(F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1)))
+
+
+def permalink(repo: Column, commit: Column, path: Column, first: Column, last: Column) -> Column:
+    """A link to lines of a file at a commit, for hosts whose form of links is known; null for others."""
+    base = F.regexp_replace(repo, "\\.git$", "")
+    dash = F.when(base.startswith("https://github.com/"), "-L").when(base.startswith("https://gitlab.com/"), "-")
+    until = F.when(last > first, F.concat(dash, last.cast("string"))).otherwise("")
+    return F.when(dash.isNotNull(), F.concat(base, F.lit("/blob/"), commit, F.lit("/"), path, F.lit("#L"), F.greatest(first, F.lit(1)).cast("string"), until))
+
+
+def hex_number(text: Column) -> Column:
+    """The number of up to 16 hexadecimal digits, with 0x or without; null for other texts."""
+    digits = F.regexp_extract(text, "^(?:0[xX])?([0-9A-Fa-f]{1,16})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("decimal(20,0)"))
+
+
+def short_number(text: Column) -> Column:
+    """The number of up to 18 ASCII digits; null for other texts."""
+    return F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("long"))

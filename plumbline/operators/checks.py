@@ -26,7 +26,7 @@ STRENGTHS = {
     "C04": {"in_bounds": 0.2, "past_end": -1.5},
     "C05": {"in_function": 1.0, "outside_function": -0.8, "fits_nearby_release": -0.3},
     "C06": {"exact": 1.5, "near_by_offset": 0.8, "elsewhere_in_file": -0.3, "other_release_only": -0.4, "nowhere_in_history": -2.0},
-    "C07": {"contained": 2.0, "partial": 0.5, "absent_everywhere": -2.5},
+    "C07": {"contained": 2.0, "partial": 0.5, "other_release_only": -0.5, "absent_everywhere": -2.5},
     "C08": {"all_consistent": 2.0, "mostly": 0.8, "mixed": -0.5, "inconsistent": -2.0},
     "C09": {"all_edges_real": 1.5, "missing_edge": -1.0},
     "C10": {"claimed_release_fits": 1.0, "other_release_fits": -0.3, "no_release_fits": -1.5},
@@ -168,15 +168,21 @@ def c06_line_content(quotes: DataFrame, lines: DataFrame, history_lines: DataFra
     return evidence(best, "C06", "content", key)
 
 
-def c07_snippet_provenance(snippets: DataFrame, files: DataFrame, complete: bool = True) -> DataFrame:
-    """Does a snippet come from the project? snippets: doc_id (report), tokens, n_lines; files: doc_id, tokens. By shared fingerprints."""
+def c07_snippet_provenance(snippets: DataFrame, files: DataFrame, complete: bool = True, others: DataFrame | None = None) -> DataFrame:
+    """Does a snippet come from the project? snippets: doc_id (report), tokens, n_lines; files: doc_id, tokens; others: the same of other releases. By shared fingerprints."""
     prints = winnowed(kgrams(snippets, F.col("tokens"))).select("doc_id", "hash").distinct()
     sizes = prints.groupBy("doc_id").agg(F.count("*").alias("size"))
-    met = prints.join(kgrams(files, F.col("tokens")).select(F.col("doc_id").alias("file"), "hash").distinct(), "hash").groupBy("doc_id", "file").agg(F.count("*").alias("shared"))
-    best = met.groupBy("doc_id").agg(F.max("shared").alias("shared"))
+
+    def best(of: DataFrame, name: str) -> DataFrame:
+        met = prints.join(kgrams(of, F.col("tokens")).select(F.col("doc_id").alias("file"), "hash").distinct(), "hash").groupBy("doc_id", "file").agg(F.count("*").alias("shared"))
+        return met.groupBy("doc_id").agg(F.max("shared").alias(name))
+
     small = (F.col("n_lines") < 3) | (F.size("tokens") < 25)
-    rows = snippets.join(sizes, "doc_id").join(best, "doc_id", "left").select(F.col("doc_id").alias("report_id"), F.col("doc_id").cast("string").alias("subject"), F.array().cast("array<string>").alias("claim_ids"), (F.coalesce("shared", F.lit(0)) / F.col("size")).alias("share"), small.alias("small"))
-    key = F.when(F.col("share") >= 0.85, "contained").when(F.col("share") >= 0.5, "partial").when((F.col("share") < 0.3) & F.lit(complete), "absent_everywhere").otherwise("insufficient_containment")
+    rows = snippets.join(sizes, "doc_id").join(best(files, "shared"), "doc_id", "left")
+    rows = rows.join(best(others, "there"), "doc_id", "left") if others is not None else rows.withColumn("there", F.lit(None).cast("long"))
+    share = lambda name: F.coalesce(name, F.lit(0)) / F.col("size")
+    rows = rows.select(F.col("doc_id").alias("report_id"), F.col("doc_id").cast("string").alias("subject"), F.array().cast("array<string>").alias("claim_ids"), share("shared").alias("share"), share("there").alias("there"), small.alias("small"))
+    key = F.when(F.col("share") >= 0.85, "contained").when(F.col("there") >= 0.85, "other_release_only").when(F.col("share") >= 0.5, "partial").when((F.greatest("share", "there") < 0.3) & F.lit(complete), "absent_everywhere").otherwise("insufficient_containment")
     return evidence(rows, "C07", "content", key, F.when(F.col("small"), 0.3).otherwise(1.0))
 
 

@@ -110,3 +110,24 @@ def hygiene(reports: DataFrame, claims: DataFrame, traces: DataFrame) -> DataFra
 def sentences(text: Column) -> Column:
     """Sentences end at . ! or ? before white space, at a blank line, and before a list item or heading."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n\s*\n|\n(?=[-*#] )", -1), F.trim), lambda s: s != "")
+
+
+#: Fixed value: how far a sentence reaches from a mention.
+REACH = 600
+_ENDS = r"[.!?](?=\s)|\n[ \t]*\n|\n(?=[ \t]*(?:[-*+]|[0-9]{1,3}[.)]|#{1,6})\s)"
+
+
+def sentence_around(body: Column, start: Column, end: Column) -> Column:
+    """The sentence around body[start:end): bounded by . ! ? before white space, blank lines, list items and headings."""
+    before = F.substr(body, F.greatest(start - REACH + 1, F.lit(1)), F.least(start, F.lit(REACH)))
+    after = F.substr(body, end + 1, F.lit(REACH))
+    parts = F.split(before, _ENDS, -1)
+    return F.concat(F.element_at(parts, -1), F.substr(body, start + 1, end - start), F.get(F.split(after, _ENDS, 2), F.lit(0)))
+
+
+def attributed(claims: DataFrame, reports: DataFrame) -> DataFrame:
+    """Unscoped claims become the project's if the sentence of a mention names its product. reports: report_id, body, names (of the product, as words)."""
+    rows = claims.join(reports.select("report_id", "body", "names"), "report_id", "left")
+    named = lambda s: F.exists("names", lambda n: F.rlike(F.lower(sentence_around(F.col("body"), s["start"], s["end"])), F.concat(F.lit("(?<!\\w)\\Q"), F.lower(n), F.lit("\\E(?!\\w)"))))
+    mine = (F.col("provenance") == "unscoped") & F.coalesce(F.exists("spans", named), F.lit(False))
+    return rows.withColumn("provenance", F.when(mine, "project_attributed").otherwise(F.col("provenance"))).select(claims.columns)

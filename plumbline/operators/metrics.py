@@ -80,3 +80,32 @@ def ablation_summary(ablated: DataFrame, truth: DataFrame) -> DataFrame:
 def features(evidence: DataFrame, outcomes: list[str]) -> DataFrame:
     """Per report how often each outcome came, as columns."""
     return evidence.groupBy("report_id").agg(*[F.count_if(F.col("outcome") == o).alias(f"n_{o.lower()}") for o in outcomes])
+
+
+def distributions(rows: DataFrame, by: list[str], verdict: str) -> DataFrame:
+    """Of each group how often every verdict came, and its share."""
+    return rows.groupBy(*by, verdict).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 4))
+
+
+def drawn(key: Column, trial: Column | None = None) -> Column:
+    """A number in [0, 1) that a key and a trial fix: the same on every run and however rows are dealt."""
+    text = F.concat_ws(":", *([trial.cast("string")] if trial is not None else []), key.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def random_control(rows: DataFrame, key: str, label: str, positive, negative, trials: int = 21) -> DataFrame:
+    """The median over trials of the best separation that drawn scores reach: what a threshold picked after the fact is worth.
+
+    Scores are drawn to a thousandth, so that running sums are over few thresholds."""
+    scores = rows.select(label, F.col(key).alias("_key"), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial")).withColumn("score", F.floor(drawn(F.col("_key"), F.col("trial")) * 1000))
+    counts = scores.groupBy("trial", "score").agg(F.count_if(F.col(label) == positive).alias("pos"), F.count_if(F.col(label) == negative).alias("neg"))
+    up_to = Window.partitionBy("trial").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy("trial")
+    j = F.sum("pos").over(up_to) / F.nullif(F.sum("pos").over(all_), F.lit(0)) - F.sum("neg").over(up_to) / F.nullif(F.sum("neg").over(all_), F.lit(0))
+    best = counts.select("trial", j.alias("j")).groupBy("trial").agg(F.greatest(F.max("j"), F.lit(0.0)).alias("j"))
+    return best.agg(F.round(F.median("j"), 4).alias("control"))
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows picked by the digest of seed and key: the same ones on every run."""
+    return rows.orderBy(drawn(F.col(key), F.lit(seed)), key).limit(n)

@@ -1,7 +1,7 @@
 """All queries of the library but those of the training-data operators."""
 
-from plumbline.plans import check_queries, claim_queries, code_queries, crash_queries, evidence_queries, join_queries, source_queries, text_queries, trace_queries
+from plumbline.plans import check_queries, claim_queries, code_queries, crash_queries, evidence_queries, join_queries, report_queries, source_queries, text_queries, trace_queries
 
-MODULES = (evidence_queries, text_queries, join_queries, claim_queries, trace_queries, check_queries, source_queries, code_queries, crash_queries)
+MODULES = (evidence_queries, text_queries, join_queries, claim_queries, trace_queries, check_queries, source_queries, code_queries, crash_queries, report_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -159,6 +159,40 @@ def cve_ranges(records: DataFrame) -> DataFrame:
     return spread.where("s.status = 'affected'").select("cve_id", "product", F.col("s.at").alias("lower"), upper.alias("upper"), inclusive.alias("inclusive")).where("lower <> upper OR upper IS NULL OR inclusive")
 
 
+def cve_reports(records: DataFrame) -> DataFrame:
+    """Records as reports: a Markdown body with structured parts first and free text last; the id itself stays out of the body."""
+    lines = lambda items: F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+    part = lambda head, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"## {head}\n\n"), text, F.lit("\n")))
+    products = F.array_distinct(F.filter(F.transform("affected", lambda a: a["product"]), lambda x: x.isNotNull()))
+    impact = F.filter(F.array(F.col("vector"), F.col("cwe")), lambda x: x.isNotNull())
+    state = F.concat_ws(" · ", F.concat(F.lit("State: "), "state"), F.concat(F.lit("Published: "), F.col("published").cast("string")))
+    body = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("CVE record")), F.lit("\n")), F.when(state != "", F.concat(state, F.lit("\n"))), part("Affected", lines(products)), part("Impact", lines(impact)), part("References", lines(F.col("urls"))), part("Description", F.col("description")))
+    return records.select("cve_id", body.alias("body")).select(X.stable_id("cve_json", F.col("body")).alias("report_id"), F.lit("cve_json").alias("kind"), "cve_id", "body")
+
+
+#: The longest name of a stored file and of its extension.
+MOST_NAME, MOST_EXTENSION = 100, 10
+
+
+def safe_names(names: Column) -> Column:
+    """Names of a report's attachments (an array, of at most MOST_PARTS) as base names of safe characters, each used once: a-1.txt after a.txt."""
+    bare = lambda n: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(n, F.lit("\\"), F.lit("/")), "^.*/", ""), "[^A-Za-z0-9._-]", "_"), "^\\.+", "")
+    full = lambda n: F.when(n.rlike("[^_.]"), n).otherwise("attachment")
+    stem = lambda n: F.regexp_extract(n, "^(.+)\\.[^.]*$", 1)
+    extension = lambda n: F.regexp_extract(n, "^.+(\\.[^.]*)$", 1)
+
+    def cut(n: Column, more: Column) -> Column:
+        kept = (stem(n) != "") & (F.length(extension(n)) <= MOST_EXTENSION + 1)
+        left = F.lit(MOST_NAME) - F.length(more)
+        return F.when(kept, F.concat(F.substr(stem(n), F.lit(1), left - F.length(extension(n))), more, extension(n))).otherwise(F.concat(F.substr(n, F.lit(1), left), more))
+
+    def step(taken: Column, n: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(0), F.size(taken)), lambda k: cut(n, F.when(k > 0, F.concat(F.lit("-"), k.cast("string"))).otherwise("")))
+        return F.concat(taken, F.array(F.get(F.array_except(numbered, taken), F.lit(0))))
+
+    return F.aggregate(F.transform(F.slice(names, 1, MOST_PARTS), lambda n: full(bare(n))), F.array().cast("array<string>"), step)
+
+
 ADVISORY = "struct<ghsa_id:string,cve_id:string,summary:string,description:string,severity:string,cwe_ids:array<string>,vulnerabilities:array<struct<package:struct<ecosystem:string,name:string>,vulnerable_version_range:string,first_patched_version:string>>>"
 
 

@@ -249,3 +249,36 @@ def test_bug_classes_of_odd_texts(spark):
     rows = [(None, None), ("x" * 600 + " double free", None), ("double-free", "double-free"), ("neither a double free nor a heap overflow", None), ("DATA\tRACE", "data-race")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert all(r.got == r.want for r in df.select("want", bugs.class_of_text(F.col("t")).alias("got")).collect())
+
+
+def test_attachment_names_are_safe_and_unique(spark):
+    names = ["a.txt", "a-1.txt", "x/a.txt", "..", "", ".hidden", "b c?.png", "y" * 150 + ".tar", "y" * 150 + ".tar", "no", "no", "C:\\d\\no"]
+    got = spark.createDataFrame([(names,)], "n array<string>").select(reports.safe_names(F.col("n"))).first()[0]
+    assert len(got) == len(set(got)) == len(names)
+    assert got[:7] == ["a.txt", "a-1.txt", "a-2.txt", "attachment", "attachment-1", "hidden", "b_c_.png"]
+    assert all(len(n) <= 100 for n in got) and got[7].endswith(".tar") and got[8].endswith("-1.tar") and got[9:] == ["no", "no-1", "no-2"]
+
+
+def test_sentence_around_a_mention(spark):
+    body = "# T\n\nOne. Two is here, at x.c now! Three.\n- item four\n\nlast"
+    for word, want in (("here", "Two is here, at x.c now"), ("One", "One"), ("four", "item four"), ("last", "last"), ("T", "T")):
+        at = body.index(word)
+        got = spark.createDataFrame([(body, at, at + len(word))], "b string, s int, e int").select(claims.sentence_around(F.col("b"), F.col("s"), F.col("e"))).first()[0]
+        assert got.strip(" #-\n") == want, word
+
+
+def test_patch_ladder(spark):
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate("a b c d e".split(), 1)] + [(2, k, t) for k, t in enumerate("v w x y z".split(), 1)], "blob int, line_no int, text string")
+    hunks = [
+        ("clean", 1, 2, ["b", "c", "d"], ["b", "X", "d"]),
+        ("moved", 1, 1, ["b", "c", "d"], ["b", "X", "d"]),
+        ("fuzzy", 1, 2, ["?", "c", "d"], ["?", "X", "d"]),
+        ("applied", 1, 2, ["b", "OLD", "d"], ["b", "c", "d"]),
+        ("other", 1, 2, ["w", "x", "y"], ["w", "X", "y"]),
+        ("none", 1, 2, ["p", "q", "r"], ["p", "X", "r"]),
+        ("worst", 1, 2, ["b", "c", "d"], ["b", "X", "d"]),
+    ]
+    rows = [(r, 1, b, s, c, t, 1, 1) for r, b, s, c, t in hunks] + [("worst", 2, 1, 2, ["p"], ["q"], 0, 0)]
+    df = spark.createDataFrame(rows, "report_id string, hunk int, blob int, start int, context array<string>, target array<string>, lead int, trail int")
+    got = {r.report_id: r.outcome_key for r in checks.c12_patch_applies(df, lines, df.select("report_id", "hunk", F.lit(2).alias("blob"))).collect()}
+    assert got == {"clean": "applies_clean", "moved": "applies_with_fuzz", "fuzzy": "applies_with_fuzz", "applied": "already_applied", "other": "other_release_only", "none": "context_not_found", "worst": "context_not_found"}
