@@ -51,7 +51,7 @@ def test_entry(spark):
 
 
 def test_no_query_pairs_all_rows(spark, sf, capsys):
-    for name in ("asof_latest_before", "suffix_path_join", "fuzzy_suggest", "containment_join", "interval_overlap_join", "edge_priority"):
+    for name in ("asof_latest_before", "suffix_path_join", "fuzzy_suggest", "containment_join", "interval_overlap_join", "edge_priority", "template_join", "c05_nearby_release", "c06_line_content", "c12_patch_applies", "c15_commits", "c16_fixed_in", "rarest_name", "lint_rows", "inlined_lines"):
         registry.QUERIES[name](spark, sf).explain()
         plan = capsys.readouterr().out
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
