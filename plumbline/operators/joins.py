@@ -58,16 +58,28 @@ def deletions(word, distance: int):
     return F.array_distinct(out)
 
 
-def suggest(names: DataFrame, known: DataFrame, most: int = 3, distance: int = 2) -> DataFrame:
-    """For each name the nearest known ones: edit distance, lower-cased, of at most max(1, a quarter of its length) and `distance`;
+def suggest(names: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """For each name the nearest known ones: edit distance, lower-cased, of at most max(1, a quarter of its length);
     then the more shared name parts, then the word. names: name; known: word.
 
-    Names meet known words where both give one block of deletions, so that only near ones are compared."""
-    a = names.select("name").distinct().withColumn("low", F.lower("name"))
+    Names of a radius up to 2 meet known words where both give one block of deletions. A longer name is cut into one piece more than its
+    radius, so that one piece at least stands unchanged in any near word, at most the radius away: there they meet."""
+    radius = F.greatest(F.lit(1), F.floor(F.length("name") / 4).cast("int"))
+    a = names.select("name").distinct().withColumn("low", F.lower("name")).withColumn("radius", radius)
     b = known.select("word").distinct().withColumn("low_word", F.lower("word"))
-    radius = F.least(F.greatest(F.lit(1), F.floor(F.length("low") / 4).cast("int")), F.lit(distance))
-    met = a.withColumn("block", F.explode(deletions(F.col("low"), distance))).join(b.withColumn("block", F.explode(deletions(F.col("low_word"), distance))), "block").drop("block").distinct()
-    near = met.withColumn("distance", F.levenshtein("low", "low_word")).where(F.col("distance") <= radius).withColumn("shared", F.round(jaccard(name_parts(F.col("name")), name_parts(F.col("word"))), 6))
+    band = F.abs(F.length("low") - F.length("low_word")) <= F.col("radius")
+    # a name of a radius up to 2 has at most 11 characters, lower-cased at most 22
+    short = a.where("radius <= 2").withColumn("block", F.explode(deletions(F.col("low"), 2)))
+    met = short.join(b.where(F.length("low_word") <= 24).withColumn("block", F.explode(deletions(F.col("low_word"), 2))), "block").where(band)
+    # pieces have 3 characters or more, of which up to 4 are compared
+    edge = lambda k: F.floor(k * F.length("low") / (F.col("radius") + 1)).cast("int")
+    piece = lambda k: F.struct(edge(k).alias("start"), F.substr(F.col("low"), edge(k) + 1, F.least(F.lit(4), edge(k + 1) - edge(k))).alias("block"))
+    gram = lambda i: F.array(*[F.struct((i - 1).alias("at"), F.substr(F.col("low_word"), i, F.lit(n)).alias("block")) for n in (3, 4)])
+    long = a.where("radius > 2").withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("radius")), piece))).select("name", "low", "radius", "p.*")
+    grams = b.where(F.length("low_word") >= 3).withColumn("p", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low_word") - 2), gram)))).select("word", "low_word", "p.*")
+    met = met.drop("block").unionByName(long.join(grams, "block").where(band & (F.abs(F.col("start") - F.col("at")) <= F.col("radius"))).drop("block", "start", "at")).distinct()
+    near = met.withColumn("distance", F.call_function("levenshtein", F.col("low"), F.col("low_word"), F.col("radius"))).where("distance >= 0")
+    near = near.withColumn("shared", F.round(jaccard(name_parts(F.col("name")), name_parts(F.col("word"))), 6))
     by = Window.partitionBy("name").orderBy("distance", F.desc("shared"), "word")
     return near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("name", "word", "distance", "shared", "place")
 
