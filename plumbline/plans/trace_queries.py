@@ -52,12 +52,12 @@ def trace_stacks(spark, sf_dir):
 
 
 def trace_sanity(spark, sf_dir):
-    lines = traces.trace_lines(reports(spark, sf_dir).where("report_id % 8 = 0"))
+    lines = traces.trace_lines(reports(spark, sf_dir))
     return traces.sanity(traces.summaries(lines), traces.frames(lines))
 
 
 def asan_region_arithmetic(spark, sf_dir):
-    found = traces.summaries(traces.trace_lines(reports(spark, sf_dir).where("report_id % 8 = 0")))
+    found = traces.summaries(traces.trace_lines(reports(spark, sf_dir))).where("format = 'asan'")
     return found.select("report_id", F.col("region_start").cast("long").alias("region_start"), F.col("region_end").cast("long").alias("region_end"), "relation", "distance", "access_size")
 
 
