@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER_ALNUM, sliced
+from plumbline.llm.common import LOWER_ALNUM, sliced, staged
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -154,18 +154,22 @@ def _hits(docs: DataFrame, held, window: int) -> DataFrame:
 
 def contaminated_words(docs: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: n_words, the numbers of its words that lie in an occurrence of a test window, and the items that
-    occur in it. One scan for each block of test items, usually one; blocks are then joined by doc_id.
+    occur in it. One scan for each block of test items, usually one; for several, rows get a number first, by which blocks are then joined.
 
-    Rows of docs keep their count: repeated doc_ids give repeated rows (with one block; with several, doc_id must be
-    unique). Extra columns of docs and tests are ignored. Without any item nothing is hit."""
+    Rows of docs keep their count for any number of blocks: repeated and null doc_ids give a row each. Extra columns of
+    docs and tests are ignored. Without any item nothing is hit."""
     spark = docs.sparkSession
-    parts = [_hits(docs, spark.sparkContext.broadcast(b), window) for b in _blocks(tests, id_col, text_col, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(tests, id_col, text_col, block_words)]
+    if len(blocks) == 1:
+        return _hits(docs, blocks[0], window)
+    # written once, so that every scan sees the same numbers
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    numbered = rows.select(F.col("row").alias("doc_id"), "text")
+    whole = _hits(numbered, blocks[0], window)
+    for block in blocks[1:]:
+        whole = whole.unionByName(_hits(numbered, block, window))
+    found = whole.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("row", "doc_id").join(found, "row").drop("row")
 
 
 def longest_matches(docs: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
