@@ -5,6 +5,8 @@ or id names as such are left out. In the first pass, stop-word density, length a
 open; within an <article> or <main> the stop words are asked for less. In the second pass open (ambiguous, short) blocks inherit
 the label of the nearest decided neighbours: good if the nearer one, or either of two as near, is good; else bad.
 
+A page whose long blocks hold hardly any of the listed stop words is in another language; it is judged by length and links alone.
+
 Character references are decoded; white space within a block becomes one space; good blocks are joined by one newline in page
 order. A null or empty page, or one without good blocks, has the empty text. Broken and truncated markup is read as far as it goes.
 Repeated rows are extracted each. Columns of the input stay, but for text and n_chars, which are set.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,18 +37,21 @@ BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5
     h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul""".split()
 )
-#: Left out with all they hold, and never reading tags within the raw ones.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "title")
+#: Left out with all they hold, tags unread; an open one reaches to the end of the page.
+RAW = ("script", "style", "textarea", "title")
+#: Left out to their end tag; without one only the tag itself is.
+INNER = frozenset("noscript template svg iframe object canvas".split())
 OUT = frozenset("nav aside form footer button select menu dialog head".split())
 #: Left out too unless within the main part.
 OUT_ABOVE = frozenset(["header"])
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus
-    footer gdpr hidden login menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo
-    promoted promotion related recommended recommendations replies respond share sharing sidebar signup skip social sponsor sponsored subscribe
-    subscription toolbar topbar widget widgets""".split()
+    """ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus
+    footer gdpr menu modal nav navbar navigation newsletter pager pagination paywall popup promo sidebar signup sponsored toolbar topbar widget
+    widgets""".split()
 )
+#: Words that name such a part only where they begin a class or id: elsewhere they may speak of what a part is about.
+LEADING = frozenset("banner hidden login notice notices notification promoted promotion related recommended recommendations replies respond share sharing skip social sponsor subscribe subscription".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -54,7 +60,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.12, 0.2, 0.5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r""")\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)(?:>|\Z)|(?P<text>[^<]++|<)""",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r""")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)(?:>|\Z)|(?P<text>[^<]++|<)""",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -81,7 +87,7 @@ def _left_out(tag: str, rest: str, main: bool) -> bool:
         name = name.lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(_PARTS.split(value)):
+        if name in ("class", "id") and (not NAMES.isdisjoint(_PARTS.split(value)) or not LEADING.isdisjoint(_PARTS.split(value.strip().partition(" ")[0]))):
             return True
     return False
 
@@ -90,6 +96,10 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, left out, main
+    depth: Counter[str] = Counter()  # tags on the stack
+    endless: set[str] = set()  # tags of which no end tag follows
+    low = page.lower() if any(f"<{tag}" in page or f"<{tag.upper()}" in page for tag in INNER) else ""
+    low = low if len(low) == len(page) else page
     parts: list[str] = []
     linked = links = breaks = 0
     heading = False
@@ -103,7 +113,17 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, linked, left, main, heading))
             parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
+    def pop(k: int) -> None:
+        nonlocal left, main
+        for t, _, _ in stack[k:]:
+            depth[t] -= 1
+        del stack[k:]
+        left, main = stack[-1][1:] if stack else (False, False)
+
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         if (text := m["text"]) is not None:
             parts.append(text)
             if links:
@@ -126,6 +146,14 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             links = 0 if end else 1
             continue
+        if tag in INNER and not end and not m["rest"].endswith("/") and tag not in endless:
+            over = low.find(f"</{tag}", at)
+            if over < 0:
+                endless.add(tag)
+            else:
+                over = page.find(">", over)
+                at = over + 1 if over >= 0 else len(page)
+            continue
         block = tag in BLOCKS or tag in OUT
         if block:
             close()
@@ -134,32 +162,36 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m["rest"].endswith("/"):
             continue
         if end:
-            if block or any(t == tag for t, _, _ in stack[-8:]):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        close()
-                        del stack[k:]
-                        left, main = stack[-1][1:] if stack else (False, False)
-                        break
+            if depth[tag]:
+                close()
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         goes = _left_out(tag, m["rest"], main)
-        if block and tag not in ("p", "li", *HEADINGS) or goes:
-            close()
+        # a tag within a left-out one of its name is kept count of, so that its end does not end the outer one
+        if block and tag not in ("p", "li", *HEADINGS) or goes or (depth[tag] and not block):
+            if block or goes:
+                close()
             stack.append((tag, left or goes, main or tag in MAIN))
+            depth[tag] += 1
             left, main = stack[-1][1:]
         elif block and stack and stack[-1][0] in ("p", "li", *HEADINGS):
-            stack.pop()
-            left, main = stack[-1][1:] if stack else (False, False)
+            pop(len(stack) - 1)
     close()
     return out
 
 
 def labels(found: list[Block]) -> list[bool]:
     """For each block whether it belongs to the main text."""
-    first: list[bool | None] = []
+    shares = []
     for b in found:
         words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        shares.append((sum(w in STOP_WORDS for w in words), len(words)))
+    # a page whose long blocks lack such words is in a language that the list does not know: length and links decide alone
+    asked = [x for x, b in zip(shares, found, strict=True) if not b.out and len(b.text) >= LONG and b.linked <= LINKS * len(b.text)]
+    foreign = sum(n for n, _ in asked) < STOP_LOW * sum(n for _, n in asked)
+    first: list[bool | None] = []
+    for b, (hits, n) in zip(found, shares, strict=True):
+        stop = 1.0 if foreign else hits / n if n else 0.0
         if b.out or b.linked > LINKS * len(b.text):
             first.append(False)
         elif len(b.text) < SHORT and not (b.heading and b.main):
@@ -170,20 +202,21 @@ def labels(found: list[Block]) -> list[bool]:
             first.append(None)
         else:
             first.append(False)
-    # a left-out part within the main part says nothing about its neighbours
-    decided = [(i, v) for i, v in enumerate(first) if v is not None and not (found[i].out and found[i].main)]
+    # the nearest decided block on either side; what lies outside the main part says little about it, and a left-out part within it nothing
+    def nearest(order: range) -> list[tuple[int, bool] | None]:
+        last: dict[bool, tuple[int, bool]] = {}
+        out: list[tuple[int, bool] | None] = [None] * len(found)
+        for i in order:
+            out[i] = last.get(found[i].main)
+            if first[i] is not None and not (found[i].out and found[i].main):
+                last[found[i].main] = (i, first[i])
+        return out
+
     out = []
-    at = 0
-    for i, v in enumerate(first):
+    for i, (v, before, after) in enumerate(zip(first, nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1)), strict=True)):
         if v is not None:
             out.append(v)
-            continue
-        while at < len(decided) and decided[at][0] < i:
-            at += 1
-        # neighbours within the same kind of part come first: what lies outside the main part says little about it
-        before = next((d for d in reversed(decided[max(0, at - 4) : at]) if found[d[0]].main == found[i].main), None)
-        after = next((d for d in decided[at : at + 4] if found[d[0]].main == found[i].main), None)
-        if before is None and after is None:
+        elif before is None and after is None:
             out.append(found[i].main)
         elif before is None or after is None:
             out.append((before or after)[1])
