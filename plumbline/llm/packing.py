@@ -6,7 +6,7 @@ with the widest spread with the next, its largest windows with the other's small
 windows is left. If a window exceeds the capacity, the block is packed again with one window more.
 
 A null text is packed like an empty one: the end token alone. Repeated rows are packed each, as documents of their own.
-Special-token strings in texts are ordinary text. Extra columns are ignored. Only pieces' numbers are shuffled, never tokens;
+Strings of added tokens in texts become the ids that the library gives them. Extra columns are ignored. Only pieces' numbers are shuffled, never tokens;
 `sequences` gathers the tokens themselves.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -75,102 +76,75 @@ def cuts(tokens: int, capacity: int = CAPACITY, longest: int = LONGEST) -> list[
     return out
 
 
-#: Fixed value: how byte-level vocabularies of this family split a text before merging.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def _merger(path: str):
-    """The same vocabulary for a faster merging library, or None if the file is not a plain byte-level one whose ids follow its merges."""
-    import json
-
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        found = json.load(file)
-    split, model = found.get("pre_tokenizer") or {}, found["model"]
-    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or split.get("use_regex") is False or found.get("normalizer") or model.get("type") != "BPE":
-        return None
-    # printable bytes stand for themselves, the others for the characters from 256 on
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
-    if any(b <= a for a, b in itertools.pairwise(ids)) or (ids and ids[0] < 0):
-        return None
-    special = {t["content"] for t in found.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+#: A single space between two characters that are no white space: byte-level vocabularies always split a text before it.
+_EDGE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordTokens:
-    """Token ids of texts, as `tokenizers` gives them for the vocabulary file; where a faster library merges the same vocabulary,
-    its ids are compared on the first words and used if they are equal. A text is split at single spaces between two characters that are no white space, where the
-    tokenizer always splits too; ids of the words are kept. A text with other spacing at a word's edge goes whole."""
+    """Token ids of texts, as `tokenizers` gives them for the vocabulary file (added tokens in a text are ids of their own, as the library has it).
+
+    A text is cut before single spaces between characters that are no white space, where the tokenizer always splits too; the ids of each
+    distinct part are kept, so that a worker pays for a part once. Parts with other white space are tokenized whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # tokens that begin with a space: words after a space start with one and hold no other
         n = self.tokenizer.get_vocab_size()
         self.spaced = np.fromiter(((self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)), bool, n)
-        self.merger = _merger(path)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.merger is not None:
-            return np.array(self.merger.encode_ordinary(text), np.uint32)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
+        """Parts that begin a text come as they are, all others after their space."""
         ids, sizes = [self.ids], [self.size]
-        if self.merger is not None and not len(self.size):
-            sample = " " + " ".join(words[:2000])
-            if self.tokenizer.encode(sample, add_special_tokens=False).ids != self.merger.encode_ordinary(sample):
-                self.merger = None
-        for at in range(0, len(words), 20_000):
-            flat = self.encode(" " + " ".join(words[at : at + 20_000]))
+        plain = [k for k, part in enumerate(parts) if part[:1] == " " and " " not in part[1:]]
+        found: list = [None] * len(parts)
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            flat = np.array(self._encoded(["".join(parts[k] for k in some)])[0], np.uint32)
             edge = np.flatnonzero(self.spaced[flat])
-            ids.append(flat)
-            sizes.append(np.diff(edge, append=len(flat)))
+            for k, x in zip(some, np.split(flat, edge[1:]), strict=True):
+                found[k] = x
+        other = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(other, self._encoded([parts[k] for k in other]), strict=True):
+            found[k] = np.array(x, np.uint32)
+        ids += found
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
         self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > KEPT_WORDS:
             self.clear()
-        place, out, flat, bounds, known = self.place, [None] * len(texts), [], [], len(self.place)
-        for i, text in enumerate(texts):
-            first, *words = text.split(" ")
-            if not text or not first or first[-1].isspace() or not all(words):
-                out[i] = self.encode(text) if text else np.zeros(0, np.uint32)
-                continue
-            at = [place.setdefault(w, len(place)) for w in words]
-            bounds.append((i, len(flat), first))
-            flat += at
-        new = list(place)[known:]
-        odd = {known + k for k, w in enumerate(new) if w[0].isspace() or w[-1].isspace()}
+        place, flat, bounds, known = self.place, [], [0], len(self.place)
+        for text in texts:
+            if text:
+                parts = text.split(" ")
+                # most texts have single spaces alone, and no white space at a word's edge
+                if not all(parts) or any(map(_odd, parts)):
+                    parts = _EDGE.split(text)
+                flat.append(place.setdefault(parts[0], len(place)))
+                flat += [place.setdefault(" " + part, len(place)) for part in itertools.islice(parts, 1, None)]
+            bounds.append(len(flat))
+        new = list(itertools.islice(place, known, None))
         if new:
-            self._learn([w if known + k not in odd else "." for k, w in enumerate(new)])
-        self.odd = odd if not known else self.odd | odd
+            self._learn(new)
         at = np.array(flat, np.int64)
-        begin = np.cumsum(self.size) - self.size
         size = self.size[at]
-        total = int(size.sum())
         where = np.cumsum(size) - size
-        gathered = self.ids[np.repeat(begin[at] - where, size) + np.arange(total)]
-        ends = np.append(where, total)
-        for k, (i, a, first) in enumerate(bounds):
-            b = bounds[k + 1][1] if k + 1 < len(bounds) else len(flat)
-            if self.odd and not self.odd.isdisjoint(flat[a:b]):
-                out[i] = self.encode(texts[i])
-            else:
-                out[i] = np.concatenate([self.encode(first), gathered[ends[a] : ends[b]]])
-        return out
+        gathered = self.ids[np.repeat((np.cumsum(self.size) - self.size)[at] - where, size) + np.arange(int(size.sum()))]
+        return np.split(gathered, np.append(where, len(gathered))[bounds[1:-1]]) if texts else []
+
+
+def _odd(part: str) -> bool:
+    return part[0].isspace() or part[-1].isspace()
 
 
 _TOKENS: dict[str, WordTokens] = {}
