@@ -9,6 +9,29 @@ from pyspark.sql import functions as F
 BODY_CHARS, TITLE_CHARS = 2_000_000, 200
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_parts(whole: Column) -> Column:
+    """An array cut into parts of about the square root of its length."""
+    step = F.greatest(F.ceil(F.sqrt(F.size(whole))).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(whole) - 1, F.lit(0)), step), lambda at: F.slice(whole, at + 1, step))
+
+
+def running(values: Column, join=lambda a, b: a + b) -> Column:
+    """For each element of an array of integers what those before it come to (0 before the first), by parts: no array is copied for each element."""
+    total = lambda part: F.aggregate(part, F.lit(0), join)
+
+    def of(parts: Column) -> Column:
+        before = lambda sums: F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k)))
+        within = lambda bases: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda _, i: join(F.get(bases, k), total(F.slice(p, F.lit(1), i))))))
+        return bound(F.transform(parts, total), lambda sums: bound(before(sums), within))
+
+    return bound(values, lambda whole: bound(in_parts(whole), of))
+
+
 def normalized(text: Column) -> Column:
     """Line ends as \\n; no control characters but tab and line end, no byte-order mark, no DEL."""
     return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[\\x{0}-\\x{8}\\x{B}-\\x{1F}\\x{7F}\\x{FEFF}]", "")

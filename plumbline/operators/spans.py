@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import bound, running
+
 
 def _before(key: list[str]) -> Window:
     return Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,23 +72,31 @@ def densest(points: DataFrame, key: list[str], position: str, gap: int) -> DataF
     return clusters(points, key, position, gap).groupBy(*key).agg(F.max_by(F.struct("first", "last", "n"), F.struct("n", -F.col("first"))).alias("run")).select(*key, "run.*")
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, text) of a pattern's matches, leftmost and non-overlapping, in code points."""
+def matches(text: Column, pattern: str, group: int = 0, inner: bool = False) -> Column:
+    """Array of (start, end, text) of a pattern's matches, leftmost and non-overlapping, in code points.
+
+    text is that of the group; start and end are those of the whole match, or with inner those of the group's text, which
+    then stands at its first place in the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     # what lies between matches and the matches alternate, so lengths add up to places; zipped, each is worked out once
     before = F.transform(F.split(text, pattern, -1), F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    rows = F.filter(F.arrays_zip(before.alias("before"), found.alias("text")), lambda x: x["text"].isNotNull())
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["before"]
-        end = start + F.length(x["text"])
-        # the group is looked for in the match alone
-        shown = F.regexp_extract(x["text"], pattern, group) if group else x["text"]
-        one = F.struct(start.alias("start"), end.alias("end"), shown.alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+
+    def placed(rows: Column) -> Column:
+        sizes = F.transform(rows, lambda x: x["before"] + F.length(x["text"]))
+
+        def at(sums: Column):
+            def one(x: Column, i: Column) -> Column:
+                start = F.get(sums, i) + x["before"]
+                start = start + F.greatest(F.instr(x["text"], x["shown"]) - 1, F.lit(0)) if inner else start
+                return F.struct(start.alias("start"), (start + F.length(x["shown"] if inner else x["text"])).alias("end"), x["shown"].alias("text"))
+
+            return one
+
+        return bound(running(sizes), lambda sums: F.transform(rows, at(sums)))
+
+    rows = F.filter(F.arrays_zip(before.alias("before"), found.alias("text"), shown.alias("shown")), lambda x: x["text"].isNotNull())
+    return bound(rows, placed)
 
 
 def source_map(raw: Column) -> Column:
