@@ -37,6 +37,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str, *others: str) -> str:
+    """A column name that neither df nor the others have."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fraction_of(column: Column) -> Column:
     """A deterministic number in [0, 1) from a column's value, for samples that every attempt draws alike."""
     return F.pmod(F.xxhash64(column.cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -13,6 +13,7 @@ with a null doc_id is verified for all rules). Added columns replace ones of the
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser
@@ -20,7 +21,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import staged
+from plumbline.functions.text import bound, in_parts, running
+from plumbline.llm.common import fresh, staged
 
 #: Alternatives of a query beyond which an element ends the literal run; members of a class that are tried one by one.
 MOST_ALTERNATIVES, SMALL_CLASS = 64, 6
@@ -90,11 +92,29 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((g for g in found if not any(other < g for other in found)), key=sorted)  # a superset asks for no more
 
 
-def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The postings (trigram, doc_id) of the given lower-case trigrams."""
-    text = F.lower(F.col("text"))
-    held = F.filter(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in trigrams]), lambda x: x.isNotNull())
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(held).alias("trigram"))
+def gates(alternatives: list[frozenset[str]]) -> dict[str, list[frozenset[str]]]:
+    """Each alternative under one of its trigrams, as few different ones as covering most alternatives at a time gives."""
+    out: dict[str, list[frozenset[str]]] = {}
+    left = list(alternatives)
+    while left:
+        counts = Counter(g for grams in left for g in grams)
+        gate = min(counts, key=lambda g: (-counts[g], g))
+        out[gate] = [grams for grams in left if gate in grams]
+        left = [grams for grams in left if gate not in grams]
+    return out
+
+
+def trigram_index(docs: DataFrame, alternatives: list[frozenset[str]]) -> DataFrame:
+    """The postings (trigram, doc_id) that the alternatives' intersections can need: those of one trigram of each alternative, and those of its
+    other trigrams among the documents that hold it. A text is lower-cased once."""
+
+    def held(t: Column) -> Column:
+        found = lambda g: F.when(F.contains(t, F.lit(g)), F.lit(g))
+        of = lambda gate, under: F.when(F.contains(t, F.lit(gate)), F.array(F.lit(gate), *[found(g) for g in sorted(frozenset().union(*under) - {gate})]))
+        whole = F.flatten(F.filter(F.array(*[of(gate, under) for gate, under in sorted(gates(alternatives).items())]), lambda x: x.isNotNull()))
+        return F.array_distinct(F.filter(whole, lambda x: x.isNotNull()))
+
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(bound(F.lower("text"), held)).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -108,7 +128,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for kind, number, gram, size in clauses:
         by_gram.setdefault(gram, []).append(F.struct(F.lit(kind).alias("kind"), F.lit(number).alias("number"), F.lit(size).alias("size")))
     named = F.create_map(*[x for gram, parts in by_gram.items() for x in (F.lit(gram), F.array(*parts))])
-    postings = trigram_index(docs, sorted(by_gram)).distinct()
+    postings = trigram_index(docs, [grams for query in queries.values() for grams in query]).distinct()
     matched = postings.select("doc_id", F.explode(F.element_at(named, F.col("trigram"))).alias("clause"))
     whole = matched.groupBy("doc_id", "clause.kind", "clause.number", "clause.size").count().where(F.col("count") == F.col("size"))
     return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
@@ -118,54 +138,72 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
     """The rule's spans: matches lie between the pieces that splitting leaves, so lengths add up to places."""
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    counted = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
     pieces = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(F.transform(matches, F.length).alias("n"), F.transform(counted, F.length).alias("m"), F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length).alias("before"))
+    rows = F.filter(F.arrays_zip(F.transform(matches, F.length).alias("n"), F.transform(counted, F.length).alias("m"), F.transform(pieces, F.length).alias("before")), lambda x: x["n"].isNotNull())
+
+    def placed(found: Column) -> Column:
+        def at(sums: Column):
+            def one(x: Column, i: Column) -> Column:
+                start = F.get(sums, i) + x["before"]
+                return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + x["n"]).alias("end"), x["m"].alias("m"))
 
-    def placed(all_rows: Column) -> Column:
-        def at(row: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(all_rows, F.lit(1), i), F.lit(0), lambda acc, x: acc + x["before"] + x["n"]) + row["before"]
-            return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + row["n"]).alias("end"), row["m"].alias("m"))
+            return one
 
-        return F.filter(F.transform(all_rows, at), lambda x: x["m"] >= rule.least)
+        spans = bound(running(F.transform(found, lambda x: x["before"] + x["n"])), lambda sums: F.transform(found, at(sums)))
+        kept = F.filter(spans, lambda x: x["m"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    # bound to a variable, so that the text is searched once and not for each match
-    found = F.get(F.transform(F.array(rows), placed), F.lit(0))
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return bound(rows, placed)
 
 
 SPANS = "array<struct<start:int,place:int,kind:string,end:int>>"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """docs with a column spans: array of (start, place of the rule, kind, end), by start and then by rule."""
-    found = staged(candidates(docs, rules))
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_ids: int = BROADCAST_IDS, column: str = "spans") -> DataFrame:
+    """docs with a column of spans: array of (start, place of the rule, kind, end), by start and then by rule."""
+    found = staged(candidates(docs.select("doc_id", "text"), rules))
     few = found.count() <= broadcast_ids
-    found = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("kinds", "_kinds")
-    rows = docs.drop("spans").join(F.broadcast(found) if few else found, F.col("doc_id") == F.col("_id"), "left")
+    id_, kinds = fresh(docs, "id", column), fresh(docs, "kinds", column)
+    found = found.select(F.col("doc_id").alias(id_), F.col("kinds").alias(kinds))
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
+    rows = docs.select(*(f"`{c}`" for c in kept)).join(F.broadcast(found) if few else found, F.col("doc_id") == F.col(id_), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = []
     for place, rule in enumerate(rules):
         if trigram_query(rule.pattern) is None:
             check = F.col("text").rlike(rule.pattern)
         else:
-            check = F.array_contains("_kinds", rule.kind) | F.col("doc_id").isNull()
+            check = F.array_contains(kinds, rule.kind) | F.col("doc_id").isNull()
         parts.append(F.when(check, _spans(text, rule, place)).otherwise(F.array().cast(SPANS)))
-    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_id", "_kinds")
+    return rows.select(*(f"`{c}`" for c in kept), F.array_sort(F.concat(*parts)).alias(column))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", **options) -> DataFrame:
     """docs with every span (overlapping ones as one) replaced by the mask, in texts only; all columns stay."""
-    found = scan(docs, rules, **options)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = fresh(docs, "spans")
+    found = scan(docs, rules, column=spans, **options)
+
+    text = F.col("text")
+
+    def masked(all_: Column) -> Column:
+        reach = running(F.transform(all_, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+
+        def gaps(reached: Column) -> Column:
+            # what lies between the farthest end so far and a span; a span that begins before it is covered by the mask that is there
+            between = F.transform(all_, lambda x, i: F.struct(F.get(reached, i).alias("from"), x["start"].alias("to")))
+            last = F.struct(F.array_max(F.transform(all_, lambda x: x["end"])).alias("from"), F.length(text).alias("to"))
+            return F.concat(F.filter(between, lambda g: g["from"] <= g["to"]), F.array(last))
+
+        def texts(part: Column) -> Column:
+            base = F.get(part, F.lit(0))["from"]
+            cut = F.substr(text, base + 1, F.element_at(part, -1)["to"] - base)
+            return bound(cut, lambda t: F.transform(part, lambda g: F.substr(t, g["from"] - base + 1, g["to"] - g["from"])))
 
-    def step(acc: Column, x: Column) -> Column:
-        # a span that begins inside the last one is covered by its mask
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+        return F.array_join(bound(reach, lambda reached: F.flatten(F.transform(in_parts(gaps(reached)), texts))), mask)
 
-    masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text"))).drop("spans")
+    whole = F.when(F.size(spans) > 0, bound(F.col(spans), masked)).otherwise(text)
+    return found.select(*(whole.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:

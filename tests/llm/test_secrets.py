@@ -1,4 +1,7 @@
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from plumbline.llm import secrets as S
 
@@ -29,7 +32,8 @@ def rows(spark):
 
 
 def test_spans_like_brute_force(spark):
-    docs = rows(spark).drop("_kinds")
+    docs = rows(spark).withColumn("_id", F.lit(1)).withColumn("id", F.lit(2)).withColumn("kinds", F.lit("k"))
+    assert S.scan(docs).columns == [c for c in docs.columns if c != "spans"] + ["spans"]
     for options in ({}, {"broadcast_ids": -1}):
         got = sorted((str(r.doc_id), r.text or "", [tuple(s) for s in r.spans]) for r in S.scan(docs, **options).collect())
         assert got == sorted((str(r.doc_id), r.text or "", brute(r.text)) for r in docs.collect())
@@ -53,6 +57,33 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "é a [SECRET] b", 2: "clean", 3: None}
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = rows(spark).withColumn("_id", F.lit(1)).withColumn("id", F.lit(2))
+    got = S.redact(docs)
+    assert got.columns == docs.columns
+
+    def plain(text):
+        out, at = [], 0
+        for start, _, _, end in brute(text):
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        return "".join([*out, text[at:]])
+
+    expected = sorted((str(r.doc_id), None if r.text is None else plain(r.text), r._kinds, r.spans, 1, 2) for r in docs.collect())
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == expected
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é token=abcdef1 " * 20_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    spans = S.scan(docs).first().spans
+    assert [(s.start, s.end) for s in spans] == [(16 * k + 2, 16 * k + 15) for k in range(20_000)]
+    assert S.redact(docs).first().text == "é [SECRET] " * 20_000
+    assert time.time() - began < 60
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.scan(docs).collect() == []
