@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical navigable small-world graph for each shard,
 stored as flat neighbour arrays, with shard results merged.
 
-Vectors are dealt by a hash of vec_id to shards of about `shard_rows`. Within a shard equal vectors are one node. Nodes get
-levels drawn from a geometric law and are inserted in batches: each batch is searched for in the graph so far (a beam on every
-level), neighbours are chosen so that none is nearer to another chosen one than to the node, and the links back are
+Vectors are dealt by a hash of vec_id to shards of about `shard_rows`, up to MOST_SHARDS of them; beyond that shards grow, up to `most_rows`. Within a shard
+equal vectors are one node. Nodes get levels drawn from a geometric law. On each level a node's candidates are its nearest nodes, found by matrix products
+in blocks (a shard is bounded, and this costs a fraction of searching the growing graph in numpy), and its nearest nodes of the next level, so that every
+node hangs on one that is met earlier. Neighbours are chosen among them so that none is nearer to another chosen one than to the node, and the links back are
 pruned alike. One more component makes all norms equal, so that the largest inner product is the least distance.
 
 A graph is one row of flat arrays, written to the shared folder. Blocks of queries meet each shard by an equality join on (shard, block);
@@ -23,13 +24,17 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import staged
 
-SHARD_ROWS, QUERY_ROWS = 4096, 2048
-LINKS, BUILD_BEAM, SEARCH_BEAM, BATCH, STEP = 16, 64, 96, 256, 4
+SHARD_ROWS, MOST_SHARDS, MOST_ROWS, QUERY_ROWS = 16_384, 64, 131_072, 4096
+LINKS, CANDIDATES, PARENTS, SEARCH_BEAM, BATCH, STEP = 16, 40, 8, 128, 256, 8
+
+
+#: Tasks that build at most; with more shards some tasks build several.
+MOST_TASKS = 20_000
 
 
 def distances(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Squared distances of each query to its row of ids (all vectors have one norm, up to a constant); -1 is nowhere."""
-    d = -2 * np.einsum("qmd,qd->qm", vectors[ids], queries)
+    d = -2 * np.matmul(vectors[ids], queries[:, :, None])[:, :, 0]
     d[ids < 0] = np.inf
     return d
 
@@ -83,7 +88,7 @@ def diverse(vectors: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -
     is filled with the nearest others."""
     n, width = ids.shape
     x = vectors[ids]
-    between = -2 * np.einsum("qad,qbd->qab", x, x)
+    between = -2 * np.matmul(x, x.transpose(0, 2, 1))
     chosen = np.zeros((n, width), bool)
     count = np.zeros(n, np.int64)
     for c in range(width):
@@ -96,6 +101,11 @@ def diverse(vectors: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) -
     return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
 
 
+def _least(d: np.ndarray, count: int) -> np.ndarray:
+    """Columns of the `count` least values of each row, or of all."""
+    return np.argpartition(d, count - 1, 1)[:, :count] if d.shape[1] > count else np.tile(np.arange(d.shape[1]), (len(d), 1))
+
+
 class Graph:
     """Flat arrays: nodes' vectors, for each level links (nodes x links, -1 for none), the entry node of the top level."""
 
@@ -111,35 +121,32 @@ class Graph:
         order = np.argsort(-level, kind="stable")
         vectors, level = vectors[order], level[order]
         graph = cls(vectors, [np.full((n, LINKS * 2 if k == 0 else LINKS), -1) for k in range(level[0] + 1)], 0)
-        begin, size = 1, 16
-        while begin < n:
-            end = min(n, begin + size)
-            graph._insert(np.arange(begin, end), level)
-            begin, size = end, min(2 * size, BATCH)
+        for k in range(len(graph.links)):
+            graph._link(k, int((level >= k).sum()), int((level > k).sum()))
         graph.order = order
         return graph
 
-    def _insert(self, new: np.ndarray, level: np.ndarray) -> None:
-        x = self.vectors[new]
-        entries = np.full((len(new), 1), self.entry)
-        begin = new[0]
-        for k in range(len(self.links) - 1, -1, -1):
-            own = level[new] >= k
-            width = BUILD_BEAM if own.any() else 8
-            ids, dist = beam(self.vectors, self.links[k], x, entries, width, begin)
-            entries = ids[:, :4]
-            rows = np.flatnonzero(own)
-            if not len(rows):
-                continue
-            mates = np.where(level[new] >= k, new, -1)
-            mates = np.where(new[rows][:, None] == mates[None, :], -1, mates[None, :])
-            ids, dist = np.concatenate([ids[rows], mates], 1), np.concatenate([dist[rows], distances(self.vectors, mates, x[rows])], 1)
-            best = np.argsort(dist, 1, kind="stable")[:, :BUILD_BEAM]
+    def _link(self, k: int, nodes: int, above: int) -> None:
+        """Links of level k, whose nodes are the first `nodes`; the first `above` are on the next level too."""
+        most = self.links[k].shape[1]
+        source, target = [], []
+        for a in range(0, nodes, BATCH):
+            new = np.arange(a, min(a + BATCH, nodes))
+            d = -2 * (self.vectors[new] @ self.vectors[:nodes].T)
+            d[np.arange(len(new)), new] = np.inf
+            near = _least(d, CANDIDATES)
+            ids = np.concatenate([near, _least(d[:, :above], PARENTS)], 1) if above else near
+            ids = np.sort(ids, 1)
+            ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+            dist = np.where(ids < 0, np.inf, np.take_along_axis(d, np.maximum(ids, 0), 1))
+            best = np.argsort(dist, 1, kind="stable")
             ids, dist = np.take_along_axis(ids, best, 1), np.take_along_axis(dist, best, 1)
             ids = np.where(np.isfinite(dist), ids, -1)
-            most = self.links[k].shape[1]
-            self.links[k][new[rows]] = picked = diverse(self.vectors, ids, dist, most)
-            self._back(k, np.repeat(new[rows], most), picked.ravel())
+            self.links[k][new] = picked = diverse(self.vectors, ids, dist, most)
+            source.append(np.repeat(new, most))
+            target.append(picked.ravel())
+        if source:
+            self._back(k, np.concatenate(source), np.concatenate(target))
 
     def _back(self, k: int, source: np.ndarray, target: np.ndarray) -> None:
         ok = target >= 0
@@ -185,11 +192,14 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, dim)
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row of flat arrays for each shard, written to the shared folder."""
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
+    """One row of flat arrays for each shard, written to the shared folder; a shard is a task of its own."""
     rows = _valid(vectors)
-    counts = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    shards = F.greatest(F.least(F.ceil(F.count("*") / shard_rows), F.lit(MOST_SHARDS)), F.ceil(F.count("*") / most_rows))
+    counts = staged(rows.groupBy("dim").agg(shards.cast("int").alias("shards")))
+    total = counts.agg(F.sum("shards")).first()[0] or 1
     dealt = rows.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    dealt = dealt.repartition(min(8 * total, MOST_TASKS), "dim", "shard")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim, shard = key[0].as_py(), key[1].as_py()
