@@ -1,12 +1,12 @@
 """Sharding by sampled splitters.
 
-Records are ordered by a hash of their text, so that equal texts lie together, and within a text by a hash of doc_id.
+Records are ordered by a hash of their text, so that equal texts lie together, and within a text by a hash of doc_id and row.
 From size-weighted samples of these keys, quantile boundaries for many ranges are chosen. A boundary falls between
 two texts unless one text's copies are heavier than a range; then it falls inside them. Every record goes to its
-range; ranges whose exact size comes out overfull are subdivided by the doc_id hash. Ranges in order then fill the shards.
+range; ranges whose exact size comes out overfull are subdivided by that hash. Ranges in order then fill the shards.
 
 Sizes are UTF-8 bytes of the text plus 1. A null text has the size, checksum and order of an empty one. Repeated rows
-are placed each. An empty table gives no rows. Extra columns are ignored. Only keys and sizes are shuffled, never texts.
+are placed each; the hash within a text takes in a number of the row, fixed when keys are written, so that they are told apart. An empty table gives no rows. Extra columns are ignored. Only keys and sizes are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from plumbline.llm.common import fraction_of, staged
 
 #: Ranges for each shard at least, rows of a range at most on average, key samples drawn for each range.
 RANGES, ROWS, SAMPLES = 256, 50_000, 8
+#: Ranges at most; beyond it they hold more rows. So the samples (24 bytes each) and the plan that reach the driver have a bound.
+MOST_RANGES = 100_000
 #: A range this many times the mean size is overfull.
 OVERFULL = 2.0
 
@@ -52,13 +54,13 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES, rows: int = RO
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row; shards' bytes near equal."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64("doc_id", F.lit("order")).alias("g")))
+    keys = staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit("order")).alias("g")))
     total, count = keys.agg(F.sum("size"), F.count("*")).first()
     if not count:
         return keys.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    wanted = max(shards * ranges, count // rows)
+    wanted = max(shards * ranges, min(count // rows, MOST_RANGES))
     step = total / (wanted * SAMPLES)  # a row is drawn with the probability size / step, a larger one always
-    drawn = keys.where(fraction_of(F.concat_ws(":", "doc_id", "text_crc32")) * step < F.col("size")).select("h", "g", F.greatest(F.col("size").cast("double"), F.lit(step)).alias("weight")).toPandas()
+    drawn = keys.where(fraction_of(F.col("g")) * step < F.col("size")).select("h", "g", F.greatest(F.col("size").cast("double"), F.lit(step)).alias("weight")).toPandas()
     held = spark.sparkContext.broadcast(splitters(drawn.h.to_numpy(np.int64), drawn.g.to_numpy(np.int64), drawn.weight.to_numpy(), wanted))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,17 @@ def test_equal_texts_of_small_groups_stay_together(spark):
     assert sum(len(s) > 1 for s in shards.values()) <= 8
 
 
+def test_repeated_rows_are_dealt(spark):
+    rows = [(7, "the same row " * 3)] * 4000 + [(i, f"text {i} " * (1 + i % 9)) for i in range(100, 1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = S.shard(docs, 8).toPandas()
+    assert len(got) == len(rows)
+    total = got["size"].sum()
+    by = got.groupby("shard")
+    assert len(by) == 8 and (by["size"].sum() - total / 8).abs().max() < 0.02 * total
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in by)
+
+
 def test_shard_of_few_and_no_rows(spark):
     assert S.shard(spark.createDataFrame([], SCHEMA)).collect() == []
     got = S.shard(spark.createDataFrame([(1, "a", 1, 1)], SCHEMA)).collect()
@@ -62,7 +73,6 @@ def test_packing_round_trip(spark):
 
     path = P.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(6)
     odd = ["", " ", "a  b", " lead", "trail ", "tab\t x", "x y z", "<|endoftext|> it's 12,000 é😀\n\n end", "don't  stop\r\nnow", None, "ünïcode wörds " * 900]
     texts = odd + [" ".join(rng.choice(["alpha", "Beta,", "x1", "ß", "don't", "…", "\nnew"]) for _ in range(rng.randrange(1, 900))) for _ in range(120)]
