@@ -128,7 +128,7 @@ def fit(texts: list[str], labels: list[str], bits: int = BITS, width: int = WIDT
 
 def train(docs: DataFrame, where: Column | None = None, per_language: int = PER_LANGUAGE, **options) -> LanguageModel:
     """Fits on a sample of docs (doc_id, text, lang) of about per_language texts of each language, drawn by hash."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(where) if where is not None else rows
     counts = rows.groupBy("lang").count().collect()
     if not counts:
@@ -180,6 +180,6 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def op3_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    fold = F.pmod(id_crc("doc_id"), F.lit(3)) == 1
+    fold = F.coalesce(F.pmod(id_crc("doc_id"), F.lit(3)) == 1, F.lit(False))  # a null doc_id is in no fold; it is predicted but teaches nothing
     model = train(docs, ~fold)
     return predict(docs, model).select("doc_id", fold.alias("held_out"), "lang_pred", "score", "accepted")

@@ -125,7 +125,8 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
 
 
 def fold() -> Column:
-    return F.pmod(id_crc("doc_id"), F.lit(5)) == 0
+    """Whether a document is held out; a null doc_id is not."""
+    return F.coalesce(F.pmod(id_crc("doc_id"), F.lit(5)) == 0, F.lit(False))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
