@@ -3,10 +3,11 @@
 Each Arrow slice of the training documents is a shard. Its suffix array holds the word positions whose first
 words occur in some test item (no other suffix can match so far), sorted by their first `window` words. Every test
 suffix is binary-searched in it; the matching range gives all verbatim occurrences with their places, and runs of
-occurrences along the same diagonal give the longest matches.
+occurrences along the same diagonal give the longest matches with their locations. Hit words, items and what is
+removed all follow from these longest matches.
 
-Test items are broadcast in blocks of at most BLOCK_WORDS words, each with its own scan of the documents, so what is
-broadcast stays bounded however many items there are.
+Test items are fetched and broadcast in blocks of at most BLOCK_WORDS words. With several, each has its own scan of the documents,
+whose result is written before the next block is fetched: the driver and the executors hold one block at a time, however many items there are.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and bytes over 0x7F. A window is `window` consecutive words of
 an item; an item with fewer words, but not none, is one window. Null or empty texts have no words and are never hit.
@@ -15,6 +16,7 @@ Repeated items count by their own item_id; equal (item_id, text) rows count once
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER_ALNUM, sliced, staged
+from plumbline.llm.common import LOWER_ALNUM, discard, sliced, staged
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -119,34 +121,52 @@ class Tests:
         text = np.searchsorted(base, place, "right") - 1
         return text, place - base[text], window, counts
 
-
-def _blocks(tests: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """The test items in blocks of a bounded number of words; the items of one block at a time reach the driver."""
+    def runs(self, texts: list[bytes | None]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """The longest matches as (text, item, place in the text, place in the item, words), and each text's count of words."""
+        text, place, which, counts = self.search(texts)
+        item, start, size = np.array(self.owner, np.int64)[which], np.array(self.starts, np.int64)[which], self.size[which]
+        order = np.lexsort((place, place - start, item, text))
+        text, place, item, start, size = (x[order] for x in (text, place, item, start, size))
+        new = np.ones(len(text), bool)
+        new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(place - start) != 0) | (np.diff(place) != 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(text))[: len(first)] - 1
+        return (text[first], item[first], place[first], start[first], place[last] - place[first] + size[last]), counts
+
+
+def _passes(tests: DataFrame, id_col: str, text_col: str, block_words: int, work) -> list[DataFrame]:
+    """work(broadcast items, None) for the only block of test items; with several of a bounded number of words, work(items, what the block before gave
+    or False) for each, written before the next is fetched."""
+    spark = tests.sparkSession
     items = tests.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).distinct()
     words = items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n = max(1, -(-words // (2 * block_words)))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text.encode()) for r in sorted(items.where(block == b).collect())] for b in range(n)]
+    fetched = lambda rows: spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in sorted(rows.select("item_id", "text").collect())])
+    if n == 1:
+        return [work(fetched(items), None)]
+    dealt = staged(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))))
+    out = []
+    for b in range(n):
+        held = fetched(dealt.where(F.col("block") == b))
+        out.append(staged(work(held, out[-1] if out else False)))
+        held.destroy()
+    discard(dealt)
+    return out
 
 
 def _hits(docs: DataFrame, held, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(held.value, window)
         names = np.array(tests.ids, object)
-        owner = np.array(tests.owner, np.int64)
         for ids, texts in sliced(batches):
-            text, place, which, counts = tests.search(texts)
+            (text, item, place, _, length), counts = tests.runs(texts)
             hit: list = [[] for _ in ids]
             items: list = [[] for _ in ids]
-            if len(text):
-                order = np.argsort(text, kind="stable")
-                text, place, which = text[order], place[order], which[order]
-                edge = np.flatnonzero(np.diff(text, prepend=-1))
-                for a, b in zip(edge, [*edge[1:], len(text)], strict=True):
-                    spans = np.unique(np.stack([place[a:b], tests.size[which[a:b]]], 1), axis=0)
-                    words = np.unique(np.concatenate([np.arange(s, s + n) for s, n in spans]))
-                    hit[text[a]] = words.tolist()
-                    items[text[a]] = sorted(set(names[owner[which[a:b]]]))
+            edge = np.flatnonzero(np.diff(text, prepend=-1))
+            for a, b in zip(edge, np.append(edge, len(text))[1:], strict=True):
+                spans = np.unique(np.stack([place[a:b], length[a:b]], 1), axis=0)
+                hit[text[a]] = np.unique(np.concatenate([np.arange(s, s + n) for s, n in spans])).tolist()
+                items[text[a]] = sorted(set(names[item[a:b]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hit", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, HITS)
@@ -158,71 +178,58 @@ def contaminated_words(docs: DataFrame, tests: DataFrame, id_col: str = "item_id
 
     Rows of docs keep their count for any number of blocks: repeated and null doc_ids give a row each. Extra columns of
     docs and tests are ignored. Without any item nothing is hit."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(tests, id_col, text_col, block_words)]
-    if len(blocks) == 1:
-        return _hits(docs, blocks[0], window)
-    # written once, so that every scan sees the same numbers
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    numbered = rows.select(F.col("row").alias("doc_id"), "text")
-    whole = _hits(numbered, blocks[0], window)
-    for block in blocks[1:]:
-        whole = whole.unionByName(_hits(numbered, block, window))
+    rows = None
+
+    def work(held, before: DataFrame | bool | None) -> DataFrame:
+        nonlocal rows
+        if before is None:
+            return _hits(docs, held, window)
+        if rows is None:  # written once, so that every scan sees the same numbers
+            rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        return _hits(rows.select(F.col("row").alias("doc_id"), "text"), held, window)
+
+    parts = _passes(tests, id_col, text_col, block_words, work)
+    if rows is None:
+        return parts[0]
+    whole = functools.reduce(DataFrame.unionByName, parts)
     found = whole.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return rows.select("row", "doc_id").join(found, "row").drop("row")
 
 
 def longest_matches(docs: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every longest verbatim match of at least a window: doc_id, item_id, first word in document and item, words."""
-    spark = docs.sparkSession
 
-    def run(held):
-        def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(held, _before: DataFrame | bool | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Tests(held.value, window)
-            owner, starts = np.array(found.owner, np.int64), np.array(found.starts, np.int64)
+            names = np.array(found.ids, object)
             for ids, texts in sliced(batches):
-                text, place, which, _ = found.search(texts)
-                rows = []
-                if len(text):
-                    item, start = owner[which], starts[which]
-                    order = np.lexsort((place, place - start, item, text))
-                    text, place, item, start, size = (x[order] for x in (text, place, item, start, found.size[which]))
-                    new = np.ones(len(text), bool)
-                    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(place - start) != 0) | (np.diff(place) != 1)
-                    first = np.flatnonzero(new)
-                    last = np.append(first[1:], len(text)) - 1
-                    rows = [(ids[text[a]], found.ids[item[a]], int(place[a]), int(start[a]), int(place[b] - place[a] + size[b])) for a, b in zip(first, last, strict=True)]
-                types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "doc_start", "item_start", "length"])
-
-        return inner
-
-    whole = None
-    for block in _blocks(tests, id_col, text_col, block_words):
-        part = docs.select("doc_id", "text").mapInArrow(run(spark.sparkContext.broadcast(block)), MATCHES)
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
+                (text, item, *rest), _ = found.runs(texts)
+                columns = [pa.array(np.array(ids, object)[text], pa.int64()), pa.array(names[item], pa.string()), *(pa.array(x, pa.int32()) for x in rest)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "doc_start", "item_start", "length"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, MATCHES)
+
+    return functools.reduce(DataFrame.unionByName, _passes(tests, id_col, text_col, block_words, work))
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs without any occurrence of a test window, with all their columns; one pass for each block of items."""
 
-    def run(held):
-        def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(held, before: DataFrame | bool | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Tests(held.value, window)
             for batch in batches:
                 at = 0
                 for ids, texts in sliced(iter([batch])):
                     clean = np.ones(len(ids), bool)
-                    clean[found.search(texts)[0]] = False
+                    clean[found.runs(texts)[0][0]] = False
                     yield batch.slice(at, len(ids)).filter(pa.array(clean))
                     at += len(ids)
 
-        return inner
+        return (before if isinstance(before, DataFrame) else docs).mapInArrow(run, docs.schema)
 
-    for block in _blocks(tests, id_col, text_col, block_words):
-        docs = docs.mapInArrow(run(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
-    return docs
+    return _passes(tests, id_col, text_col, block_words, work)[-1]
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
