@@ -7,14 +7,15 @@ fewer than `matches` shared pairs, and only the rarest (shared - matches + 1) pa
 a passage that many documents share, are so skipped unless whole documents agree.
 
 Classes that meet in a posting form loose clusters (connected components of class and smallest class of the posting). Within a
-cluster every pair is settled on full sets, by a sparse-count matrix product in blocks of bounded size, and only a spanning
+cluster, in blocks of bounded size, the collisions of every pair are counted by merging the postings of the block (a sparse-count product over its
+tokens); pairs of at least `matches` collisions are retained, and those alone are confirmed on full sets. Only a spanning
 forest of links leaves a task. A cluster too large for a block is first compared with some central classes; classes linked to them
 are done, and the rest is compared with all blocks. So no task holds a group, no group is expanded into pairs, and no
 link is lost but for signatures that agree in fewer than `matches` coordinates: with 40 of 64 at a similarity of 0.85 about one pair in a million.
 
 Words are lower-cased (A-Z) runs of what is not ASCII white space. Texts of fewer words than a shingle are one shingle; texts without
 words (null, empty, blank) have none, are linked with nothing and are their own component. Rows of one doc_id
-are one document for linking, represented by one of its texts if these differ; they all get a component. A null doc_id is linked with nothing, and its component is null. Extra columns are ignored.
+are one document for linking, represented by the text of the set that names its class if texts differ; they all get a component. A null doc_id is linked with nothing, and its component is null. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER_AND_SPACE, mixed, sliced, staged, word_hashes
+from plumbline.llm.common import LOWER_AND_SPACE, discard, mixed, sliced, staged, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 COORDINATES = 64
 #: Agreements asked of signatures: so many standard deviations fewer than expected of a pair at the threshold.
 DEVIATIONS = 5
 #: A block holds at most so many classes, and about so many shingles.
-BLOCK_CLASSES, BLOCK_SHINGLES = 1500, 1_500_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 600, 600_000
 #: Clustered classes (40 bytes each) up to which they are broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
 #: Central classes with which a large cluster is compared first.
@@ -93,6 +94,17 @@ def minima(found: np.ndarray, edges: np.ndarray, coordinates: int = COORDINATES)
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>"
 
 
+def _sums(found: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each set, in two rows."""
+    out = np.zeros((2, len(edges) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(edges))
+    with np.errstate(over="ignore"):
+        for row, seed in zip(out, (0xA24BAED4963EE407, 0x9FB21C651E98DF25), strict=True):
+            if len(full):
+                row[full] = np.add.reduceat(mixed(found ^ np.uint64(seed)), edges[:-1][full])
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the shingle set, and the signature as tokens of (coordinate, value)."""
 
@@ -101,39 +113,45 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found, edges = distinct_sets(texts, shingle)
             n = np.diff(edges)
             full = np.flatnonzero(n)
-            sums = np.zeros((2, len(ids)), np.uint64)
-            with np.errstate(over="ignore"):
-                for row, seed in zip(sums, (0xA24BAED4963EE407, 0x9FB21C651E98DF25), strict=True):
-                    if len(full):
-                        row[full] = np.add.reduceat(mixed(found ^ np.uint64(seed)), edges[:-1][full])
-            tokens = minima(found, edges)
+            sums, tokens = _sums(found, edges), minima(found, edges)
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, tokens.shape[1], 0))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[full].view(np.int64).ravel()))],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[full].view(np.int64).ravel()))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "tokens"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
 
 
+#: Edges of one node from which it is hot: at least so many, and so many that only HOT_NODES nodes can have them.
+HOT_EDGES, HOT_NODES = 1000, 10_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until the edges stay as they are."""
+    Large-star and small-star steps in turn, each written to the shared folder, until the edges stay as they are. Nodes of very many edges, of
+    which there are few, are broadcast with their smallest neighbour, so that no task gathers such a node's edges."""
     edges = staged(edges.select("a", "b").where("a <> b").distinct())
-    state = None
+    size, state = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("n"))
+        up = both.where("b > a")
+        large = up.join(least.select("a", "root"), "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        if size > HOT_EDGES:
+            hot = F.broadcast(least.where(F.col("n") > max(HOT_EDGES, 2 * size // HOT_NODES)).select("a", "root"))
+            cold = up.join(hot, "a", "left_anti").join(least.select("a", "root"), "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
+            large = cold.union(up.join(hot, "a").select(F.col("b").alias("a"), F.col("root").alias("b")))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("root"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).union(least.select("a", F.col("root").alias("b")))
-        edges = staged(small.where("a <> b").distinct())
+        small_least = down.groupBy("a").agg(F.min("b").alias("root"))
+        small = down.join(small_least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).union(small_least.select("a", F.col("root").alias("b")))
+        before, edges = edges, staged(small.where("a <> b").distinct())
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        size, state = now[0], now
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own)
 
@@ -202,33 +220,46 @@ def _linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> n
     return 100 * both >= percent * union
 
 
+def _lists(column: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    flat, edges = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [flat[edges[i] : edges[i + 1]] for i in order]
+
+
 EDGES = "a long, b long"
 
 
-def _compare(percent: int):
+def _compare(percent: int, matches: int):
+    """Links of a block's left classes with its others, or of all with each other: retained by collisions, confirmed on full sets."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table.column("class").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, left = ids[order], table.column("left").to_numpy()[order]
-        column = table.column("found").combine_chunks()
-        flat, edges = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-        sets = [flat[edges[i] : edges[i + 1]] for i in order]
+        sets, tokens = _lists(table.column("found"), order), _lists(table.column("tokens"), order)
         rows, others = np.flatnonzero(left), np.flatnonzero(~left) if not left.all() else np.arange(len(ids))
         edges_out = []
         if len(rows) and len(others):
-            edges_out = _forest(ids[rows], ids[others], _linked([sets[i] for i in rows], [sets[i] for i in others], percent))
+            retained = _counts([tokens[i] for i in rows], [tokens[i] for i in others]) >= matches
+            retained &= ids[rows][:, None] != ids[others][None, :]
+            rows_at, others_at = np.flatnonzero(retained.any(1)), np.flatnonzero(retained.any(0))
+            if len(rows_at):
+                confirmed = _linked([sets[i] for i in rows[rows_at]], [sets[i] for i in others[others_at]], percent)
+                edges_out = _forest(ids[rows[rows_at]], ids[others[others_at]], confirmed & retained[np.ix_(rows_at, others_at)])
         return pa.table({"a": pa.array([a for a, _ in edges_out], pa.int64()), "b": pa.array([b for _, b in edges_out], pa.int64())})
 
     return run
 
 
-def links(docs: DataFrame, clustered: DataFrame, percent: int, shingle: int, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """A spanning forest (a, b) of the links within clusters. clustered: class, cluster, central, n_shingles; docs: doc_id, text."""
+def links(docs: DataFrame, clustered: DataFrame, percent: int, shingle: int, repeated: bool = True, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, list[DataFrame]]:
+    """A spanning forest (a, b) of the links within clusters, and what was written for it. clustered: class, cluster, central, n_shingles, set_a,
+    set_b; docs: doc_id, text; repeated: whether a doc_id may have several rows."""
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     parts = F.greatest(F.ceil(F.col("n") / block_classes), F.ceil(F.col("total") / block_shingles)).cast("int")
-    placed = clustered.join(sizes.select("cluster", parts.alias("parts")), "cluster")
+    placed = clustered.drop("n_shingles").join(sizes.select("cluster", parts.alias("parts")), "cluster")
     placed = F.broadcast(placed) if clustered.count() <= BROADCAST_ROWS else placed
-    members = docs.join(placed, docs["doc_id"] == placed["class"]).dropDuplicates(["class"]).select("class", "cluster", "central", "parts", "text")
+    members = docs.select(F.col("doc_id").alias("class"), "text").join(placed, "class").select("class", "cluster", "central", "parts", "set_a", "set_b", "text")
+    matches = matches_of(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,38 +267,46 @@ def links(docs: DataFrame, clustered: DataFrame, percent: int, shingle: int, blo
             for ids, texts in sliced(iter([batch]), "class"):
                 found, edges = distinct_sets(texts, shingle)
                 columns = [batch.column(c).slice(at, len(ids)) for c in ("class", "cluster", "central", "parts")]
+                # of several texts of one doc_id only that of the class's own set counts
+                mine = np.all(_sums(found, edges) == np.stack([batch.column(c).slice(at, len(ids)).to_numpy() for c in ("set_a", "set_b")]), axis=0)
                 at += len(ids)
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(found.view(np.int64)))], names=["class", "cluster", "central", "parts", "found"])
-
-    sets = staged(members.mapInArrow(run, "class long, cluster long, central double, parts int, found array<long>"))
-    small = sets.where("parts = 1").select("class", "cluster", F.lit(True).alias("left"), "found").groupBy("cluster").applyInArrow(_compare(percent), EDGES)
+                tokens = minima(found, edges)
+                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(found.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * tokens.shape[1], pa.int32()), pa.array(tokens.view(np.int64).ravel()))]
+                yield pa.RecordBatch.from_arrays([*columns, *lists], names=["class", "cluster", "central", "parts", "found", "tokens"]).filter(pa.array(mine))
+
+    sets = members.mapInArrow(run, "class long, cluster long, central double, parts int, found array<long>, tokens array<long>")
+    sets = staged(sets.dropDuplicates(["class"]) if repeated else sets)
+    held = ["class", "cluster", "found", "tokens"]
+    compare = _compare(percent, matches)
+    small = sets.where("parts = 1").select(*held, F.lit(True).alias("left")).groupBy("cluster").applyInArrow(compare, EDGES)
     if not sets.where("parts > 1").limit(1).count():
-        return small
+        return small, [sets]
     # large clusters: first against their central classes
     large = sets.where("parts > 1")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("central"), "class"))
     tops = large.select("class", "cluster", "central").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-    pivots = staged(large.join(tops.select("class"), "class", "left_semi").select("class", "cluster", "found"))
+    pivots = staged(large.join(tops.select("class"), "class", "left_semi").select(*held))
     block = F.pmod(F.xxhash64("class"), F.col("parts"))
-    dealt = large.select("class", "cluster", "found", "parts", block.alias("block"))
-    spread = pivots.join(large.select("cluster", "parts").distinct(), "cluster").select("class", "cluster", "found", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
-    first = dealt.select("class", "cluster", "found", "block", F.lit(True).alias("left")).unionByName(spread.select("class", "cluster", "found", "block", F.lit(False).alias("left")))
-    star = staged(first.repartition("cluster", "block").groupBy("cluster", "block").applyInArrow(_compare(percent), EDGES))
+    dealt = large.select(*held, "parts", block.alias("block"))
+    spread = pivots.join(large.select("cluster", "parts").distinct(), "cluster").select(*held, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    first = dealt.select(*held, "block", F.lit(True).alias("left")).unionByName(spread.select(*held, "block", F.lit(False).alias("left")))
+    star = staged(first.repartition("cluster", "block").groupBy("cluster", "block").applyInArrow(compare, EDGES))
     done = components(star)
     labelled = large.join(done, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
     # the component of each cluster's most central class needs no more comparisons within itself
-    main = labelled.join(pivots.select(F.col("class").alias("pivot")), F.col("class") == F.col("pivot")).groupBy("cluster").agg(F.max_by("root", F.struct("central", "root")).alias("main"))
-    rest = staged(labelled.join(main, "cluster").where("root <> main").select("class", "cluster", "found", "parts"))
-    counts = rest.groupBy("cluster").agg(F.count("*").alias("n"))
-    rows = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / block_classes).cast("int"))
-    left = rest.join(counts, "cluster").withColumn("row", rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("class", "cluster", "found", "row", "block", F.lit(True).alias("left"))
-    right = dealt.join(counts, "cluster").withColumn("row", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block_classes).cast("int") - 1))).select("class", "cluster", "found", "row", "block", F.lit(False).alias("left"))
-    second = left.unionByName(right).repartition("cluster", "row", "block").groupBy("cluster", "row", "block").applyInArrow(_compare(percent), EDGES)
-    return small.unionByName(star).unionByName(second)
+    main = staged(labelled.join(pivots.select(F.col("class").alias("pivot")), F.col("class") == F.col("pivot")).groupBy("cluster").agg(F.max_by("root", F.struct("central", "root")).alias("main")))
+    few = (lambda x: F.broadcast(x)) if main.count() <= BROADCAST_ROWS else (lambda x: x)  # a row for each large cluster
+    rest = staged(labelled.join(few(main), "cluster").where("root <> main").select(*held, "parts"))
+    counts = staged(rest.groupBy("cluster").agg(F.ceil(F.count("*") / block_classes).cast("int").alias("rows")))
+    left = rest.join(few(counts), "cluster").withColumn("row", F.pmod(F.xxhash64("class"), F.col("rows"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*held, "row", "block", F.lit(True).alias("left"))
+    right = dealt.join(few(counts), "cluster").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(*held, "row", "block", F.lit(False).alias("left"))
+    second = left.unionByName(right).repartition("cluster", "row", "block").groupBy("cluster", "row", "block").applyInArrow(compare, EDGES)
+    return small.unionByName(star).unionByName(second), [sets, pivots, star, main, rest, counts]
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = round(100 * THRESHOLD), **options) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
+    docs = docs.select("doc_id", "text")
     rows = staged(signatures(docs, shingle))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one class, named by its smallest document
@@ -276,9 +315,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     meet = postings.groupBy("token").agg(F.min("class").alias("b"), F.count("*").alias("n")).where("n > 1").select("token", "b")
     clusters = components(postings.join(meet, "token").select(F.col("class").alias("a"), "b"))
     central = postings.groupBy("class").agg(F.max("central").alias("central"))
-    clustered = staged(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(central, "class").join(classes.select("class", "n_shingles"), "class"))
-    found = links(docs, clustered, percent, shingle, **options)
+    clustered = staged(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(central, "class").join(classes.select("class", "n_shingles", "set_a", "set_b"), "class"))
+    repeated = full.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    found, written = links(docs, clustered, percent, shingle, repeated, **options)
     named = components(found)
+    discard(postings, clustered, *written)
     of_class = classes.select("set_a", "set_b", "n_shingles", "class").join(named, F.col("class") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "class").alias("component_id"))
     out = rows.drop("tokens").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))

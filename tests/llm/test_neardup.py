@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import neardup
 from plumbline.llm.common import LOWER_AND_SPACE
@@ -69,6 +70,8 @@ def test_edges(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One Two"), (5, "one\ttwo"), (6, "one"), (7, long), (8, long.upper()), (9, "a b c"), (9, "a b c"), (None, "a b c")]
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    for name in ("class", "cluster", "central", "parts", "set_a", "tokens", "n_shingles", "component_id"):
+        docs = docs.withColumn(name, F.lit(7))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 3, 85).collect()), key=str)
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 29_998, 7, True), (8, 29_998, 7, False), (9, 1, 9, True), (9, 1, 9, True), (None, 1, None, None)], key=str)
     kept = neardup.deduplicate(docs, shingle=3, percent=85)
@@ -76,6 +79,21 @@ def test_edges(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 7, 9, None], key=str)
 
 
+def test_several_texts_of_one_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    near = [*words[:299], "else"]
+    rows = [(1, " ".join(words)), (1, "quite another text of some words"), (2, " ".join(near)), (2, " ".join(near)), (3, "quite another text of some words")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got[(1, 298)] == got[(2, 298)] == 1 and got[(3, 4)] == 1
+
+
+def test_components_of_a_star_with_hot_node(spark):
+    n = neardup.HOT_EDGES + 500
+    edges = spark.createDataFrame([(0, i) for i in range(1, n)] + [(i, i + n) for i in range(1, 50)], "a long, b long")
+    rows = neardup.components(edges).collect()
+    assert {r.root for r in rows} == {0} and {r.node for r in rows} == {*range(n), *range(n + 1, n + 50)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert neardup.near_duplicates(docs).collect() == []
