@@ -144,7 +144,7 @@ def test_mixing_counts_like_brute_force(spark):
 
 def test_mixing_is_a_distribution():
     """The probabilities of all bytes at a place add up to one."""
-    total = np.zeros((1 << mixing.BITS, 2), np.float32)
+    total = np.zeros((1 << mixing.LEAST_BITS, 2), np.float32)
     mixing.counted([b"abc", b"abd"], np.array([0, 1]), np.array([3.0, 2.0]), total)
     zeros, ones = total[:, 0].copy(), total[:, 1].copy()
     model = mixing.Mixer.new(zeros, ones)
