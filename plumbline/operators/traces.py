@@ -55,14 +55,16 @@ def trace_lines(reports: DataFrame, text: str = "body") -> DataFrame:
     line = F.col("line")
     header = F.lit(None).cast("string")
     for name, pattern in reversed(HEADERS):
-        header = F.when(line.rlike(pattern), F.lit(name)).otherwise(header)
+        # an error's name and message begin a trace of this format only before a frame: they also end tracebacks of another one
+        follows = F.coalesce(F.col("next").rlike(r"^\s+at "), F.lit(False)) if name == "node" else F.lit(True)
+        header = F.when(line.rlike(pattern) & follows, F.lit(name)).otherwise(header)
     label = F.lit(None).cast("string")
     for name, pattern in reversed(LABELS):
         label = F.when(line.rlike(pattern), F.lit(name)).otherwise(label)
     by = Window.partitionBy("report_id").orderBy("line_no")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = reports.select("report_id", F.posexplode(lines_of(F.col(text))).alias("line_no", "line")).withColumn("header", header).withColumn("label", F.when(F.col("header").isNull(), label))
-    rows = rows.withColumn("trace_no", F.count("header").over(so_far)).withColumn("format", F.last("header", ignorenulls=True).over(so_far)).withColumn("next", F.lead("line").over(by))
+    rows = reports.select("report_id", F.posexplode(lines_of(F.col(text))).alias("line_no", "line")).withColumn("next", F.lead("line").over(by)).withColumn("header", header).withColumn("label", F.when(F.col("header").isNull(), label))
+    rows = rows.withColumn("trace_no", F.count("header").over(so_far)).withColumn("format", F.last("header", ignorenulls=True).over(so_far))
     within = Window.partitionBy("report_id", "trace_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     # the first goroutine is the one that broke
     new = F.when((F.col("format") == "go") & F.col("line").rlike("^goroutine "), F.lit(None)).otherwise(F.col("label"))

@@ -83,10 +83,17 @@ _ROWS = " UNION ALL ".join(
 #: Kinds that find a place in the text of each format; M2 in all with a path and line, M4 in those that number frames, M5 in patches alone.
 _PLACES = {"M1": [], "M2": ["asan", "valgrind", "gdb", "java", "go", "rust", "node"], "M3": [], "M4": ["asan", "gdb"], "M5": [], "M6": [], "M7": ["asan"]}
 
+
+def _of(*formats: str) -> str:
+    return f"event_id % {len(FORMATS)} IN ({', '.join(str(FORMATS.index(f)) for f in formats)})"
+
+
 ORACLE_SQL = {
     "planted_mistakes": " UNION ALL ".join(f"SELECT '{k}' AS kind, '{'MIXED' if k == 'M3' else 'UNGROUNDED'}' AS expected, 3 * count(*) AS cases, 3 * count(*) FILTER (event_id % 8 IN ({', '.join(str(FORMATS.index(f)) for f in v) or '-1'})) AS applied FROM events" for k, v in _PLACES.items()),
     "trace_frames": _ROWS,
     "trace_stacks": f"SELECT format, 'main' AS stack, count(*) AS frames, count(DISTINCT report_id) AS reports FROM ({_ROWS}) GROUP BY format UNION ALL SELECT ['asan', 'valgrind'][event_id % 8 + 1], 'alloc', 2 * count(*), count(*) FROM events WHERE event_id % 8 IN (0, 1) GROUP BY 1",
-    "trace_sanity": "SELECT event_id AS report_id, 1::BIGINT AS trace_no, true AS one_pid, true AS frames_numbered, true AS addresses_agree, event_id % 24 <> 0 AS region_fits, true AS summary_agrees, true AS stacks_present, true AS size_possible FROM events WHERE event_id % 8 = 0",
+    "trace_sanity": f"""SELECT event_id AS report_id, 1::BIGINT AS trace_no, CASE WHEN {_of('asan', 'valgrind')} THEN true END AS one_pid, CASE WHEN {_of('asan', 'gdb', 'rust')} THEN true END AS frames_numbered,
+ CASE WHEN {_of('asan')} THEN true END AS addresses_agree, CASE WHEN {_of('asan')} THEN event_id % 24 <> 0 END AS region_fits, CASE WHEN {_of('asan')} THEN true END AS summary_agrees, CASE WHEN {_of('asan')} THEN true END AS stacks_present,
+ CASE WHEN {_of('asan')} THEN true END AS size_possible FROM events""",
     "asan_region_arithmetic": "SELECT event_id AS report_id, ('0x60200000' || printf('%04x', (event_id % 256 + CASE WHEN event_id % 24 = 0 THEN 1 ELSE 0 END)::INTEGER))::BIGINT AS region_start, ('0x60200000' || printf('%04x', (event_id % 256 + 16)::INTEGER))::BIGINT AS region_end, 'after' AS relation, 0::BIGINT AS distance, event_id % 400 + 1 AS access_size FROM events WHERE event_id % 8 = 0",
 }

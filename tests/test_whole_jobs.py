@@ -4,7 +4,6 @@ import random
 
 import duckdb
 
-from plumbline.llm import decontamination
 from plumbline.operators import joins
 from plumbline.plans import registry, trace_queries
 from tests.test_queries import plain
@@ -37,7 +36,7 @@ def test_suggestions_for_long_names(spark):
 def test_trace_rules_of_every_report(spark, sf):
     formats = trace_queries.FORMATS
     ids = [r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()]
-    got = trace_queries.trace_sanity(spark, sf).where("trace_no = 1").collect()
+    got = trace_queries.trace_sanity(spark, sf).collect()
     assert sorted(r.report_id for r in got) == sorted(ids)
     # what applies to the formats that show process ids, frame numbers or neither
     for r in got:
@@ -58,19 +57,9 @@ def test_version_fit_of_every_report(spark, sf):
     con = duckdb.connect()
     for name in ("part", "events", "documents"):
         con.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
-    sql = registry.ORACLE_SQL["c10_trace_version_fit"].replace("FROM events WHERE event_id % 5 = 0", "FROM events")
+    sql = registry.ORACLE_SQL["c10_trace_version_fit"]
     found = con.sql(sql)
     got = registry.QUERIES["c10_trace_version_fit"](spark, sf).select(*found.columns).collect()
     expected = con.sql(f"select {', '.join(found.columns)} from ({sql})").fetchall()
     assert len({r.report_id for r in got}) == con.sql("select count(*) from events").fetchall()[0][0]
     assert sorted((tuple(map(plain, r)) for r in got), key=repr) == sorted((tuple(map(plain, r)) for r in expected), key=repr)
-
-
-def test_rows_are_kept_over_several_blocks_of_items(spark):
-    words = [f"w{i}" for i in range(60)]
-    tests = spark.createDataFrame([(str(k), " ".join(words[k * 10 : k * 10 + 10])) for k in range(6)], "item_id string, text string")
-    texts = [(1, " ".join(words[:10])), (1, " ".join(words[:10])), (None, " ".join(words[20:40])), (None, "x y"), (None, None), (2, " ".join(words[30:45])), (1, "other")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    one, several = (sorted((tuple(r) for r in decontamination.contaminated_words(docs, tests, block_words=n).collect()), key=repr) for n in (1_000_000, 10))
-    assert len(one) == len(texts) and several == one
-    assert sum(len(r[2]) for r in one) == 10 + 10 + 20 + 10
