@@ -82,3 +82,13 @@ def test_very_long_and_repeated(spark):
     docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
     tests = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "a b c d e f g h i j")], "item_id long, text string")
     assert [(r.n_words, len(r.hit), r["items"]) for r in D.contaminated_words(docs, tests).collect()] == [(100_010, 10, ["1", "2"])] * 2
+
+
+def test_rows_are_kept_over_several_blocks_of_items(spark):
+    words = [f"w{i}" for i in range(60)]
+    tests = spark.createDataFrame([(str(k), " ".join(words[k * 10 : k * 10 + 10])) for k in range(6)], "item_id string, text string")
+    texts = [(1, " ".join(words[:10])), (1, " ".join(words[:10])), (None, " ".join(words[20:40])), (None, "x y"), (None, None), (2, " ".join(words[30:45])), (1, "other")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one, several = (sorted((tuple(r) for r in D.contaminated_words(docs, tests, block_words=n).collect()), key=repr) for n in (1_000_000, 10))
+    assert len(one) == len(texts) and several == one
+    assert sum(len(r[2]) for r in one) == 10 + 10 + 20 + 10
