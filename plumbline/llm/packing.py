@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from plumbline.llm.common import sliced
 
 CAPACITY, LONGEST, BLOCK_DOCS, END = 1024, 320, 400, 0
 #: Words whose ids a worker keeps; later new words are worked out anew in each slice.
-KEPT_WORDS = 700_000
+KEPT_WORDS, HOT_WORDS = 700_000, 10_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -76,8 +75,34 @@ def cuts(tokens: int, capacity: int = CAPACITY, longest: int = LONGEST) -> list[
     return out
 
 
-#: A single space between two characters that are no white space: byte-level vocabularies always split a text before it.
-_EDGE = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: characters that count as white space to this language or to the tokenizer.
+_SPACES = frozenset(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def _parts(text: str) -> list[str]:
+    """A text cut at each single space between two characters that are no white space: byte-level vocabularies always split a text before it."""
+    words = text.split(" ")
+    closed = [k for i, w in enumerate(words) if not w or w[0] in _SPACES or w[-1] in _SPACES for k in ((i, i + 1) if not w else (i,) * (w[0] in _SPACES) + (i + 1,) * (w[-1] in _SPACES))]
+    if not closed:
+        return words
+    # places between words, other than the ends, at which the text is not cut
+    out, begin = [], 0
+    for run in _runs(sorted({k for k in closed if 0 < k < len(words)})):
+        out += words[begin : run[0] - 1]
+        begin = run[1] + 1
+        out.append(" ".join(words[run[0] - 1 : begin]))
+    return out + words[begin:]
+
+
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    """First and last of the runs of consecutive numbers."""
+    out: list[tuple[int, int]] = []
+    for n in numbers:
+        if out and out[-1][1] == n - 1:
+            out[-1] = (out[-1][0], n)
+        else:
+            out.append((n, n))
+    return out
 
 
 class WordTokens:
@@ -96,57 +121,75 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.heads: dict[str, int] = {}  # parts that begin a text
+        self.place: dict[str, int] = {}  # parts after a space
+        self.hot: dict[str, int] = {}  # the first of these, most of the frequent ones among them: a table that stays in the processor's cache
+        # of each part where its ids begin and how many there are
+        self.begin, self.size, self.parts = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.ids, self.used = np.zeros(1024, np.uint32), 0
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _keep(self, where: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> None:
+        """Stores the ids of the parts numbered `where`; begin: where each one's start in flat."""
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.used + 2 * len(flat), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[where], self.size[where] = self.used + begin, np.diff(begin, append=len(flat))
+        self.used += len(flat)
 
     def _learn(self, parts: list[str]) -> None:
         """Parts that begin a text come as they are, all others after their space."""
-        ids, sizes = [self.ids], [self.size]
-        plain = [k for k, part in enumerate(parts) if part[:1] == " " and " " not in part[1:]]
-        found: list = [None] * len(parts)
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            flat = np.array(self._encoded(["".join(parts[k] for k in some)])[0], np.uint32)
-            edge = np.flatnonzero(self.spaced[flat])
-            for k, x in zip(some, np.split(flat, edge[1:]), strict=True):
-                found[k] = x
-        other = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(other, self._encoded([parts[k] for k in other]), strict=True):
-            found[k] = np.array(x, np.uint32)
-        ids += found
-        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        if self.parts + len(parts) > len(self.size):
+            more = np.zeros(self.parts + 2 * len(parts), np.int64)
+            self.begin, self.size = np.concatenate([self.begin, more]), np.concatenate([self.size, more])
+        plain = np.fromiter((part[:1] == " " and " " not in part[1:] for part in parts), bool, len(parts))
+        joined = list(itertools.compress(parts, plain))
+        where = self.parts + np.flatnonzero(plain)
+        for at in range(0, len(joined), 20_000):
+            flat = np.array(self._encoded(["".join(joined[at : at + 20_000])])[0], np.uint32)
+            self._keep(where[at : at + 20_000], flat, np.flatnonzero(self.spaced[flat]))
+        rest = self._encoded(list(itertools.compress(parts, ~plain)))
+        if rest:
+            size = np.fromiter(map(len, rest), np.int64, len(rest))
+            self._keep(self.parts + np.flatnonzero(~plain), np.fromiter(itertools.chain.from_iterable(rest), np.uint32), np.cumsum(size) - size)
+        self.parts += len(parts)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > KEPT_WORDS:
+        if self.parts > KEPT_WORDS:
             self.clear()
-        place, flat, bounds, known = self.place, [], [0], len(self.place)
+        parts, heads, bounds = [], [], [0]
         for text in texts:
             if text:
-                parts = text.split(" ")
-                # most texts have single spaces alone, and no white space at a word's edge
-                if not all(parts) or any(map(_odd, parts)):
-                    parts = _EDGE.split(text)
-                flat.append(place.setdefault(parts[0], len(place)))
-                flat += [place.setdefault(" " + part, len(place)) for part in itertools.islice(parts, 1, None)]
-            bounds.append(len(flat))
-        new = list(itertools.islice(place, known, None))
+                heads.append(len(parts))
+                parts += _parts(text)
+            bounds.append(len(parts))
+        at = np.fromiter(map(self.hot.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        cold = np.flatnonzero(at < 0)
+        at[cold] = np.fromiter(map(self.place.get, map(parts.__getitem__, cold.tolist()), itertools.repeat(-1)), np.int64, len(cold))
+        at[heads] = [self.heads.get(parts[i], -1) for i in heads]
+        missing = np.flatnonzero(at < 0)
+        first, new, number = set(heads), [], self.parts
+        found = []
+        for i in missing.tolist():
+            of = self.heads if i in first else self.place
+            k = of.setdefault(parts[i], number)
+            found.append(k)
+            if k == number:
+                new.append(parts[i] if i in first else " " + parts[i])
+                number += 1
+        at[missing] = found
         if new:
             self._learn(new)
-        at = np.array(flat, np.int64)
+        if len(self.hot) < HOT_WORDS:
+            self.hot = dict(itertools.islice(self.place.items(), HOT_WORDS))
         size = self.size[at]
         where = np.cumsum(size) - size
-        gathered = self.ids[np.repeat((np.cumsum(self.size) - self.size)[at] - where, size) + np.arange(int(size.sum()))]
+        gathered = self.ids[np.repeat(self.begin[at] - where, size) + np.arange(int(size.sum()))]
         return np.split(gathered, np.append(where, len(gathered))[bounds[1:-1]]) if texts else []
 
 
-def _odd(part: str) -> bool:
-    return part[0].isspace() or part[-1].isspace()
-
-
 _TOKENS: dict[str, WordTokens] = {}
 
 
