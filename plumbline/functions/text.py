@@ -158,18 +158,19 @@ PATH_EXTENSIONS = "c cc cpp cxx h hh hpp hxx inc go java js jsx ts tsx mjs php p
 
 
 def is_path_candidate(text: Column) -> Column:
-    """Looks like a file path: a known extension, no blank, not a product name such as Node.js."""
-    known = F.lower(F.regexp_extract(text, "\\.([A-Za-z0-9]{1,5})$", 1)).isin(PATH_EXTENSIONS)
-    return known & ~text.rlike("\\s") & ~F.lower(text).isin("node.js", "vue.js", "next.js", "three.js", "d3.js")
+    """Looks like a file path: a name and a known extension (before .in too), no blank, not a product name such as Node.js or a version."""
+    base = F.regexp_replace(text, "^.*/", "")
+    ending = F.lower(F.regexp_extract(base, "\\.([A-Za-z0-9]{1,5})(?:\\.in)?$", 1))
+    return ending.isin(PATH_EXTENSIONS) & ~text.rlike("\\s") & base.rlike("^(?![0-9]+\\.)[^.]") & ~text.rlike("^[A-Z][A-Za-z]{1,30}\\.js$")
 
 
 def path_owner(path: Column) -> Column:
-    """system, reporter, home or project, by where a path lies."""
+    """third_party, reporter_artifact, unscoped (home folders: a build tree may still be the project) or project_attributed, by where a path lies."""
     return (
-        F.when(path.rlike("^(/usr/|/lib(32|64)?/|/opt/|/System/|/Library/|C:\\\\Windows)"), "system")
-        .when(path.rlike("(^|/)(poc|exploit|repro|reproducer|crash|fuzz)[^/]*\\.[a-z]+$"), "reporter")
-        .when(path.rlike("^(/home/|/root/|/Users/|~/|/tmp/)"), "home")
-        .otherwise("project")
+        F.when(path.rlike("^(?:/usr/|/lib|/opt/|/System/|/Library/|/nix/store/|[A-Za-z]:/Windows/|/Applications/)"), "third_party")
+        .when(path.rlike("^(?:/tmp/|/var/tmp/|/private/tmp/|/var/folders/|/dev/shm/)"), "reporter_artifact")
+        .when(path.rlike("^(?:~/|/home/|/Users/|/root/)"), "unscoped")
+        .otherwise("project_attributed")
     )
 
 

@@ -205,7 +205,7 @@ ORACLE_SQL = {
     "html_links": "WITH p AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages) SELECT page_id, (unnest(range(len(l))))::INTEGER AS pos, unnest(l) AS href FROM p",
     "html_drop_script": "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS digest FROM pages",
     "block_roles": "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'patch' WHEN event_id % 10 = 1 THEN 'poc' ELSE ['trace', 'patch', 'poc', 'log', 'trace', 'snippet'][event_id % 6 + 1] END AS role FROM events",
-    "path_roles": "SELECT event_id, [true, true, true, true, false, false, false, true][event_id % 8 + 1] AS candidate, ['project', 'system', 'home', 'reporter', 'project', 'project', 'project', 'reporter'][event_id % 8 + 1] AS owner, ['c', 'c', 'python', 'c', 'javascript', 'c', NULL, NULL][event_id % 8 + 1] AS language FROM events",
+    "path_roles": "SELECT event_id, [true, true, true, true, false, false, false, true][event_id % 8 + 1] AS candidate, ['project_attributed', 'third_party', 'unscoped', 'project_attributed', 'project_attributed', 'project_attributed', 'project_attributed', 'reporter_artifact'][event_id % 8 + 1] AS owner, ['c', 'c', 'python', 'c', 'javascript', 'c', NULL, NULL][event_id % 8 + 1] AS language FROM events",
     "negation_window": "SELECT event_id, event_id % 5 IN (0, 3) OR event_id % 3 = 0 AS negated FROM events",
     "number_spans": """WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:[.-][0-9]+)+') AS m, regexp_split_to_array(text, '[0-9]+(?:[.-][0-9]+)+') AS p FROM documents),
  e AS (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS k FROM d), s AS (SELECT doc_id, m[k] AS text, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS start FROM e)
