@@ -112,6 +112,12 @@ def canonical_url(url: Column) -> Column:
     return F.concat(head, rest)
 
 
+def repository(url: Column) -> Column:
+    """host/owner/name of a link to a repository or into one, in lower case; empty for others, local paths too."""
+    part = lambda k: F.lower(F.regexp_extract(F.trim(url), r"^(?i:https?)://(?:[^/@?#]*@)?(?i:www\.)?([^/?#]+)/+([^/?#]+)/+([^/?#]+?)(?:\.git)?(?:[/?#].*)?$", k))
+    return F.when(part(1) != "", F.concat_ws("/", part(1), part(2), part(3))).otherwise("")
+
+
 def url_kind(url: Column) -> Column:
     """What a link refers to: commit, pull, issue, advisory, cve, cwe, file, release, compare or url."""
     path = F.lower(F.regexp_replace(url, "^[A-Za-z]+://[^/]*", ""))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.bugs import same_class
-from plumbline.functions.text import collapsed, path_parts
+from plumbline.functions.text import collapsed, path_owner, path_parts, repository
 from plumbline.functions.versions import base_score, severity_band, tag
 from plumbline.operators.alignment import anchored_alignment, line_likeness
 from plumbline.operators.fusion import gated
@@ -87,8 +87,10 @@ def c01_version_resolves(claims: DataFrame, releases: DataFrame, reported: DataF
     return evidence(met, "C01", "version", key)
 
 
-def c02_file_exists(claims: DataFrame, targets: DataFrame, tree: DataFrame, history_paths: DataFrame, complete: bool = True) -> DataFrame:
-    """Is there such a file in the target release, in another one, or ever? targets: report_id, release. Paths meet on suffixes."""
+def c02_file_exists(claims: DataFrame, targets: DataFrame, tree: DataFrame, history_paths: DataFrame, complete: bool = True, generated: DataFrame | None = None) -> DataFrame:
+    """Is there such a file in the target release, in another one, or ever? targets: report_id, release. Paths meet on suffixes.
+
+    generated: cited paths that a build makes or only releases hold (from globs and templates); these, and paths outside the repository, are neutral where missing."""
     rows = subjects(claims, ["file"]).join(targets, "report_id", "left")
     met = suffix_join(rows.select(F.col("subject").alias("cited")), tree.select("path"))
     base = F.element_at(path_parts(F.col("subject")), -1)
@@ -97,7 +99,11 @@ def c02_file_exists(claims: DataFrame, targets: DataFrame, tree: DataFrame, hist
     rows = rows.join(met.select(F.col("cited").alias("any")).distinct(), F.col("subject") == F.col("any"), "left")
     ever = history_paths.select(F.element_at(path_parts(F.col("path")), -1).alias("base")).distinct()
     rows = rows.withColumn("name", base).join(ever, F.col("name") == F.col("base"), "left")
-    key = F.when(F.col("here"), "exists").when(F.col("any").isNotNull(), "missing_here_present_elsewhere").when(F.col("base").isNull() & F.lit(complete), "never_in_history").otherwise("absence_not_established")
+    made = F.lit(False)
+    if generated is not None:
+        rows, made = rows.join(generated.select(F.col("cited").alias("subject"), F.lit(True).alias("made")).distinct(), "subject", "left"), F.coalesce("made", F.lit(False))
+    out = path_owner(F.col("subject")) != "project_attributed"
+    key = F.when(F.col("here"), "exists").when(made, "generated_or_release_only").when(out, "outside_repository").when(F.col("any").isNotNull(), "missing_here_present_elsewhere").when(F.col("base").isNull() & F.lit(complete), "never_in_history").otherwise("absence_not_established")
     return evidence(rows, "C02", "file", key, F.when(F.col("core") & (F.col("outcome_key") == "never_in_history"), 1.5).otherwise(1.0))
 
 
@@ -310,6 +316,17 @@ def c15_commits(claims: DataFrame, commits: DataFrame, cited: DataFrame, complet
     return evidence(rows.drop("attributed", "negated"), "C15", "reference", key)
 
 
+def c15_foreign_repositories(references: DataFrame, homes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Links into other repositories than the report's own. references: report_id, claim_id, url; homes: report_id, repo (its link), names (what the project answers to,
+    lower-case); commits: sha. A mirror of the project's name is no other project, nor is a fork whose linked commit is the project's."""
+    sha = F.lower(F.regexp_extract("url", "/commits?/([0-9a-fA-F]{7,40})", 1))
+    rows = references.join(homes.select("report_id", repository(F.col("repo")).alias("home"), "names"), "report_id").withColumn("subject", repository(F.col("url"))).withColumn("sha", sha)
+    rows = rows.where((F.col("home") != "") & (F.col("subject") != "") & (F.col("subject") != F.col("home")) & ~F.array_contains("names", F.regexp_extract("subject", "([^/]+)$", 1)))
+    here = rows.where("sha <> ''").select("claim_id", "sha", F.substring("sha", 1, 7).alias("head")).join(commits.select(F.substring("sha", 1, 7).alias("head"), F.col("sha").alias("whole")), "head").where(F.startswith("whole", F.col("sha"))).select("claim_id").distinct()
+    rows = rows.join(here, "claim_id", "left_anti").groupBy("report_id", "subject").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+    return evidence(rows, "C15", "reference", F.lit("foreign_repo"))
+
+
 def cwe_compatibility(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """pairs: report_id, subject, claim_ids, cwe, family; table: cwe, families (array; empty means any)."""
     rows = pairs.join(F.broadcast(table), "cwe", "left")

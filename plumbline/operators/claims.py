@@ -1,107 +1,188 @@
 """Typed claims of reports, with their spans, merged, scoped and given a role.
 
-reports: report_id, title, body. Each extractor is a pattern over the body; its matches keep their code-point spans."""
+reports: report_id, title, body. Each kind is a pattern over the prose; its matches keep their code-point spans."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import extraction as X
 from plumbline.operators import spans
 
-#: Fixed values: (kind, extractor, pattern, group of the value, confidence).
-EXTRACTORS = (
-    ("version", "versions", r"(?i)\b(?:version |v|release )([0-9]{1,4}(?:\.[0-9]{1,4}){1,3}(?:-?(?:alpha|beta|rc)[0-9]*)?)\b", 1, 0.85),
-    ("symbol", "symbols.code", r"`([A-Za-z_][A-Za-z0-9_:]*)(?:\(\))?`", 1, 0.85),
-    ("symbol", "symbols.call", r"\b([a-z_][a-z0-9_]*_[a-z0-9_]+)\(\)", 1, 0.7),
-    ("line", "paths.line", r"\b([\w.-]+/[\w./-]*\.(?:c|h|cc|cpp|py|go|rs|js|java):[0-9]{1,7})\b", 1, 0.9),
-    ("file", "paths.file", r"\b([\w.-]+/[\w./-]*\.(?:c|h|cc|cpp|py|go|rs|js|java))\b", 1, 0.8),
-    ("reference", "references.cve", r"\b(CVE-[0-9]{4}-[0-9]{4,7})\b", 1, 0.95),
-    ("reference", "references.cwe", r"\b(CWE-[0-9]{1,5})\b", 1, 0.95),
-    ("reference", "references.ghsa", r"\b(GHSA(?:-[0-9a-z]{4}){3})\b", 1, 0.95),
-    ("reference", "references.url", r"(https?://[A-Za-z0-9./_%#?=&~-]*[A-Za-z0-9/])", 1, 0.9),
-    ("reference", "references.commit", r"\bcommit ([0-9a-f]{7,40})\b", 1, 0.9),
-    ("option", "options.flag", r"(?:^|[ \n`])(--[a-z][a-z0-9-]+)\b", 1, 0.8),
-    ("impact", "impact.vector", r"(CVSS:3\.[01]/[A-Z:/]{30,}[A-Z])", 1, 0.95),
-    ("impact", "impact.severity", r"(?i)\bseverity:? (critical|high|medium|moderate|low|none)\b", 1, 0.7),
-    ("behavior", "behavior", r"(?i)\b(?:never calls|does not call|calls|frees|checks|validates) `?([a-z_][a-z0-9_]*)`?", 1, 0.6),
+#: References, impacts, flags and behaviours; links and vectors come first, so that they own what stands in them.
+REFERENCES = r"https?://[A-Za-z0-9./_%#?=&~-]*[A-Za-z0-9/]|\bCVE-[0-9]{4}-[0-9]{4,7}\b|\bCWE-[0-9]{1,5}\b|\bGHSA(?:-[0-9a-z]{4}){3}\b|\bcommit [0-9a-f]{7,40}\b"
+IMPACTS = r"CVSS:3\.[01]/[A-Z:/]{30,}[A-Z]|(?i:\bseverity:? (?:critical|high|medium|moderate|low|none)\b|\b(?:cvss|base)? ?score:? (?:10\.0|[0-9]\.[0-9])\b)"
+FLAGS = r"(?<![\w-])--[A-Za-z0-9][A-Za-z0-9-]{0,60}+(?![\w-])"
+BEHAVIORS = r"(?i)\b(?:never calls|does not call|calls|invokes|frees|checks|validates) `?[a-z_][a-z0-9_]*`?"
+#: Functions of the C library and of common ones, by family rather than one by one.
+EXTERNAL = (
+    r"^(?:std::.*|__(?:builtin|cxa|stack_chk|assert|errno|mem|str|sprintf)\w*|(?:mem|str|wcs|wmem|stp|is|to)(?:[a-z]{2,9}|mb)(?:_[rs])?|[fsdv]*(?:as|sn|s|f|d)?printf(?:_s)?|v?[fs]?scanf|[mcr]e?alloc|(?:alig|v|posix_mem|memalig)\w*alloc|malloc|reallocarray|free|alloca|brk|sbrk|mmap|munmap|mprotect"
+    r"|f?(?:open|close|read|write|gets|puts|getc|putc|seek|tell|flush|eof|error|sync|truncate|dopen|reopen|lock|stat|chmod|chown|cntl|ileno)|openat|pread|pwrite|readv|writev|lseek|dup2?|pipe|poll|select|ioctl|unlink|rename|remove|mkdir|rmdir|chdir|readlink|realpath|access|umask"
+    r"|fork|exec[lv][ep]?p?|wait(?:pid)?|kill|raise|abort|_?exit|atexit|signal|sigaction|setjmp|longjmp|system|popen|getenv|setenv|sleep|usleep|nanosleep|time|localtime(?:_r)?|gmtime(?:_r)?|mktime|rand(?:om)?|srand|qsort|bsearch|ato[ifl]l?|l?labs"
+    r"|socket(?:pair)?|bind|listen|accept|connect|send(?:to|msg)?|recv(?:from|msg)?|shutdown|[gs]etsockopt|getaddrinfo|freeaddrinfo|gethostby\w+|hton[sl]|ntoh[sl]|inet_\w+|pthread_\w+|dl(?:open|sym|close|error)|syscall|sysconf|main"
+    r"|(?:BIO|BN|CRYPTO|ERR|EVP|OPENSSL|PEM|RAND|SSL|X509)_\w+|(?:adler|crc)32|(?:de|in)flate\w*|(?:un)?compress\w{0,5}|gz(?:open|close|read|write)|(?:Heap|Virtual|Local)(?:Alloc|Free|ReAlloc|Protect)|(?:Create|Close|Read|Write)(?:File|Handle|Process|Thread)[AW]?|LoadLibrary[AW]|GetProcAddress|GetLastError)$"
+)
+BUG_WORDS = (
+    r"(?i)\b(?:vulnerab\w{0,8}|overflow\w{0,3}|overrun\w{0,3}|underflow\w{0,3}|out[- ]of[- ]bounds|use[- ]after[- ]free|double[- ]free|uaf|oob|crash\w{0,3}|segfault\w{0,3}|sigsegv|bug|flaw|null[- ]pointer|dereferenc\w{0,5}|corrupt\w{0,5}|leak\w{0,3}|race|injection"
+    r"|rce|dos|exploit\w{0,5}|uninitiali[sz]ed|memory[- ]safety|heap|stack[- ]buffer)\b"
 )
-#: Symbols that belong to libraries rather than the project.
-EXTERNAL = "malloc calloc realloc free memcpy memmove memset strcpy strncpy strlen strcmp printf sprintf snprintf fopen fread fwrite open read write pthread_create pthread_mutex_lock exit abort main".split()
 #: Claims of a report that are kept.
 MOST = 500
 
 
-def _claim(kind: str, name: str, confidence: float):
-    return lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("extractor"), m["text"].alias("value"), m["start"].alias("start"), m["end"].alias("end"), F.lit(confidence).alias("confidence"))
+def _lead_end(body: Column) -> Column:
+    """Where the first paragraph after leading comments and a heading ends."""
+    head = F.length(F.regexp_extract(body, r"\A(?:\s*<!--(?s:.*?)-->)*\s*(?:#[^\n]*\n?\s*)?", 0))
+    blank = F.instr(F.substr(body, head + 1), "\n\n")
+    return F.when(blank > 0, head + blank).otherwise(F.length(body))
+
+
+def _read(kind, extractor, value, confidence, provenance) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(kind).alias("kind"), lit(extractor).alias("extractor"), value.alias("value"), lit(confidence).alias("confidence"), lit(provenance).alias("provenance"))
+
+
+def _version(t: Column, clause: Column) -> Column:
+    sha = F.lower(F.regexp_extract(t, r"(?i)(?:commit/|(?:commit|rev|revision|sha|hash|at)\b\s{0,3}[:#]?\s{0,3}`?)([0-9a-f]{7,40})`?$", 1))
+    tag = F.replace(F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9]{1,30}[-_]([0-9]{1,4}(?:_[0-9]{1,4}){1,3}[a-z]?)$", 1), F.lit("_"), F.lit("."))
+
+    def of(numbers: Column) -> Column:
+        ranged = (F.size(numbers) > 1) | t.rlike(r"(?i)^all\s+version|and\s+(all\s+)?(earlier|prior|older|below|previous)$")
+        return F.when(ranged, t).when(F.size(numbers) == 1, F.get(numbers, F.lit(0))).when(tag != "", tag).when(sha != "", F.when(sha.rlike("[a-f]"), sha).otherwise("")).otherwise(t)
+
+    return _read("version", "versions", T.bound(F.regexp_extract_all(t, F.lit(f"(?i){X.V}"), F.lit(0)), of), 0.9, "project_attributed")
+
 
+def _location(t: Column, clause: Column) -> Column:
+    def of(at: Column) -> Column:
+        line, link = at["line"].isNotNull(), at["permalink"].isNotNull()
+        value = F.when(link | (at["path"].isNotNull() & T.is_path_candidate(at["path"])), F.when(line, F.concat(at["path"], F.lit(":"), at["line"].cast("string"))).otherwise(at["path"])).otherwise("")
+        extractor = F.when(link, "paths.permalink").when(line, "paths.line").otherwise("paths.file")
+        return _read(F.when(line, "line").otherwise("file"), extractor, value, F.when(line, 0.9).otherwise(0.8), F.when(link, "project_attributed").otherwise(T.path_owner(F.coalesce(at["path"], F.lit("")))))
 
-def extracted(reports: DataFrame, most: int | None = None) -> DataFrame:
-    """report_id, kind, extractor, value, start, end, confidence: one row for each match of each extractor."""
-    parts = []
-    for kind, name, pattern, group, confidence in EXTRACTORS:
-        found = F.transform(spans.matches(F.col("body"), pattern, group), _claim(kind, name, confidence))
-        parts.append(found)
-    return reports.select("report_id", F.explode(F.concat(*parts)).alias("c")).select("report_id", "c.*")
+    return T.bound(X.location_of(t), of)
 
 
-def uncovered(claims: DataFrame) -> DataFrame:
-    """Claims but those within a longer span of a kind that owns what it holds: paths with lines own files, links own ids in them, vectors own words."""
-    owner = F.col("extractor").isin("paths.line", "references.url", "impact.vector")
-    owned = F.col("extractor").isin("paths.file", "references.cve", "references.cwe", "references.ghsa", "impact.severity")
-    # some owner that starts no later contains the claim if the farthest of them does
-    by = Window.partitionBy("report_id").orderBy("start", (~owner).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max(F.when(owner, F.col("end"))).over(by)
-    return claims.withColumn("_reach", reach).where(~owned | F.col("_reach").isNull() | (F.col("_reach") < F.col("end"))).drop("_reach")
+def _symbol(t: Column, clause: Column) -> Column:
+    near = F.filter(F.regexp_extract_all(clause, F.lit(rf"(?<![\w/.@:~-])({X.PATH})(?![\w/-])"), F.lit(1)), lambda p: T.is_path_candidate(p) & (T.path_owner(p) == "project_attributed"))
 
+    def of(s: Column) -> Column:
+        provenance = F.when(s["name"].rlike(EXTERNAL), "third_party").when(F.size(near) > 0, "project_attributed").otherwise("unscoped")
+        return _read("symbol", "symbols", F.when(X.acceptable(s["name"]), s["name"]).otherwise(""), F.when(s["kind"] == "unknown", 0.7).otherwise(0.85), provenance)
+
+    return T.bound(X.symbol_of(t), of)
+
+
+def _reference(t: Column, clause: Column) -> Column:
+    name = F.when(t.startswith("http"), "url").when(t.startswith("CVE"), "cve").when(t.startswith("CWE"), "cwe").when(t.startswith("GHSA"), "ghsa").otherwise("commit")
+    return _read("reference", F.concat(F.lit("references."), name), F.regexp_replace(t, "^commit ", ""), 0.95, F.when(name == "commit", "project_attributed").otherwise("unscoped"))
+
+
+def _impact(t: Column, clause: Column) -> Column:
+    vector = t.startswith("CVSS:")
+    extractor = F.when(vector, "impact.vector").when(t.rlike("(?i)severity"), "impact.severity").otherwise("impact.score")
+    return _read("impact", extractor, F.when(vector, t).otherwise(F.regexp_extract(t, r"([\w.]+)$", 1)), F.when(vector, 0.95).otherwise(0.7), "project_attributed")
+
+
+#: Each kind's pattern, how a match is read, what a text must hold to have one, and whether what surrounds it counts.
+SOURCES = (
+    (lambda names: X.version_pattern(names), _version, (".", "_", "HEAD", "master", "main", "trunk", "latest", "commit"), False),
+    (lambda names: X.LOCATIONS, _location, (".",), True),
+    (lambda names: X.SYMBOLS, _symbol, ("`", "(", "_"), True),
+    (lambda names: REFERENCES, _reference, ("http", "CVE-", "CWE-", "GHSA-", "commit "), False),
+    (lambda names: FLAGS, lambda t, clause: _read("option", "options.flag", t, 0.8, "project_attributed"), ("--",), True),
+    (lambda names: IMPACTS, _impact, ("CVSS", "everity", "EVERITY", "core"), False),
+    (lambda names: BEHAVIORS, lambda t, clause: _read("behavior", "behavior", F.regexp_extract(t, r"([A-Za-z0-9_]+)`?$", 1), 0.7, "project_attributed"), ("call", "invoke", "free", "check", "validate", "Call", "Free", "Check"), False),
+)
+MENTION = "array<struct<kind:string,extractor:string,value:string,start:int,end:int,confidence:double,provenance:string,negated:boolean,core:boolean>>"
 
-def merged(claims: DataFrame) -> DataFrame:
-    """One claim for each (report, kind, value): its spans in order, the best confidence, the extractor of that confidence."""
-    return claims.groupBy("report_id", "kind", "value").agg(
+
+def extracted(reports: DataFrame, products: dict[str, str] | None = None, sources: tuple = SOURCES) -> DataFrame:
+    """One row for each mention: report_id, kind, extractor, value, start, end, confidence, provenance, negated, core (the place or sentence makes it so).
+
+    Each kind is one pattern over the prose; what surrounds a mention comes with it, so that bodies are not shuffled. sources may hold further kinds."""
+    text, names = F.col("prose"), tuple(k.lower() for k in products or {})
+
+    def found(pattern: str, read, marks: tuple[str, ...], context: bool) -> Column:
+        def alone(m: Column) -> Column:
+            return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit("").alias("sentence"), F.lit("").alias("clause"), F.lit(False).alias("negated"))
+
+        def around(m: Column) -> Column:
+            before, after = F.element_at(F.split(m["before"], _ENDS, -1), -1), F.get(F.split(m["after"], _ENDS, 2), F.lit(0))
+            clause = F.concat(F.regexp_replace(before, r"(?s)^.*;", ""), m["text"], F.regexp_replace(after, r"(?s);.*$", ""))
+            negated = T.is_negated(F.right(m["before"], F.lit(48)), F.left(m["after"], F.lit(48)))
+            return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.concat(before, m["text"], after).alias("sentence"), clause.alias("clause"), negated.alias("negated"))
+
+        def one(m: Column) -> Column:
+            r = m["r"]
+            exists = F.lit(context)
+            place = F.when(r["kind"].isin("symbol", "version", "behavior"), F.greatest(F.instr(m["text"], r["value"]) - 1, F.lit(0))).otherwise(0)
+            size = F.when(r["kind"] == "symbol", F.length(r["value"])).otherwise(F.length(m["text"]) - place)
+            core = exists & ~((r["kind"] == "symbol") & (r["provenance"] == "third_party")) & ((m["start"] < F.col("lead_end")) | F.contains(F.coalesce(F.col("title"), F.lit("")), r["value"]) | m["sentence"].rlike(BUG_WORDS))
+            return F.struct(*[r[c].alias(c) for c in ("kind", "extractor", "value")], (m["start"] + place).alias("start"), (m["start"] + place + size).alias("end"), r["confidence"].alias("confidence"), r["provenance"].alias("provenance"), (exists & m["negated"]).alias("negated"), core.alias("core"))
+
+        rows = F.transform(spans.mentions(text, pattern), around) if context else F.transform(spans.matches(text, pattern), alone)
+        rows = F.transform(rows, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), m["sentence"].alias("sentence"), m["negated"].alias("negated"), read(m["text"], m["clause"]).alias("r")))
+        rows = F.transform(F.filter(rows, lambda m: m["r"]["value"] != ""), one)
+        some = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(mark)) for mark in marks]) if marks else F.lit(True)
+        return F.coalesce(F.when(some, rows), F.array()).cast(MENTION)
+
+    rows = reports.select("report_id", "title", X.prose(F.col("body")).alias("prose")).withColumn("lead_end", _lead_end(text))
+    whole = F.concat(*[found(pattern(names), *rest) for pattern, *rest in sources])
+    return rows.select("report_id", F.explode(whole).alias("m")).select("report_id", "m.*")
+
+
+def merged(mentions: DataFrame, most: int = MOST) -> DataFrame:
+    """One claim for each (report, kind, value): its spans in order, the best confidence and its extractor, the project's if one mention is, negated if all
+    are, and a role: core by its place or sentence, references, impacts and external symbols peripheral, others supporting. A report's first `most` claims stay."""
+    rank = F.when(F.col("provenance") == "project_attributed", 0).when(F.col("provenance") == "third_party", 1).when(F.col("provenance") == "reporter_artifact", 2).otherwise(3)
+    rows = mentions.groupBy("report_id", "kind", "value").agg(
         F.max("confidence").alias("confidence"),
         F.min_by("extractor", F.struct(-F.col("confidence"), "start", "extractor")).alias("extractor"),
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
+        F.min("start").alias("start"),
+        F.min_by("provenance", rank).alias("provenance"),
+        F.bool_and("negated").alias("negated"),
+        F.bool_or("core").alias("core"),
     )
-
-
-def scoped(claims: DataFrame, reports: DataFrame) -> DataFrame:
-    """Adds provenance, negated (all mentions are denied) and role; keeps the MOST first claims of a report."""
-    rows = claims.join(reports.select("report_id", "title", "body"), "report_id")
-    before = lambda s: F.substr("body", F.greatest(s["start"] - 47, F.lit(1)), F.least(F.lit(48), s["start"]))
-    after = lambda s: F.substr("body", s["end"] + 1, F.lit(48))
-    negated = F.forall("spans", lambda s: T.is_negated(before(s), after(s)))
-    first = F.get("spans", F.lit(0))["start"]
-    lead = F.instr("body", "\n\n")
-    owner = T.path_owner(F.col("value"))
-    provenance = (
-        F.when(F.col("kind").isin("file", "line"), F.when(owner == "system", "third_party").when(owner.isin("reporter", "home"), "reporter_artifact").otherwise("project_attributed"))
-        .when(F.col("kind") == "symbol", F.when(F.col("value").isin(EXTERNAL), "third_party").otherwise("project_attributed"))
-        .when(F.col("kind").isin("version", "option"), "project_attributed")
-        .otherwise("unscoped")
-    )
-    role = F.when(F.contains(F.coalesce("title", F.lit("")), F.col("value")) | ((lead > 0) & (first < lead)), "core").when(F.col("confidence") >= 0.8, "supporting").otherwise("peripheral")
+    outer = F.col("kind").isin("reference", "impact") | ((F.col("kind") == "symbol") & (F.col("provenance") == "third_party"))
+    role = F.when(outer, "peripheral").when(F.col("core") & ~F.col("negated"), "core").otherwise("supporting")
     claim_id = T.stable_id("claim", F.to_json(F.struct("kind", "report_id", "value")))
     by = Window.partitionBy("report_id").orderBy("start", "kind", "value")
-    out = rows.select("report_id", claim_id.alias("claim_id"), "kind", "value", "extractor", "confidence", "spans", first.alias("start"), provenance.alias("provenance"), negated.alias("negated"), role.alias("role"))
-    return out.withColumn("place", F.row_number().over(by)).where(F.col("place") <= MOST).drop("place")
+    out = rows.select("report_id", claim_id.alias("claim_id"), "kind", "value", "extractor", "confidence", "spans", "start", "provenance", "negated", role.alias("role"))
+    return out.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).drop("place")
 
 
-def extract_claims(reports: DataFrame) -> DataFrame:
+def extract_claims(reports: DataFrame, products: dict[str, str] | None = None) -> DataFrame:
     """The claims of reports: report_id, claim_id, kind, value, extractor, confidence, spans, start, provenance, negated, role."""
-    return scoped(merged(uncovered(extracted(reports))), reports)
-
-
-def resolve_target(claims: DataFrame) -> DataFrame:
-    """Which release a report speaks of: the version claim of the best role, then the earliest."""
-    rank = F.when(F.col("role") == "core", 0).when(F.col("role") == "supporting", 1).otherwise(2)
-    return claims.where((F.col("kind") == "version") & ~F.col("negated")).groupBy("report_id").agg(F.min_by("value", F.struct(rank, "start")).alias("version"))
-
-
-def hygiene(reports: DataFrame, claims: DataFrame, traces: DataFrame) -> DataFrame:
-    """Per report, empty ones too, what it lacks of version, poc, trace and location. traces: report_ids with a trace."""
-    has = claims.groupBy("report_id").agg(F.bool_or(F.col("kind") == "version").alias("version"), F.bool_or(F.col("kind") == "option").alias("poc"), F.bool_or(F.col("kind").isin("file", "line", "symbol")).alias("location"))
-    rows = reports.select("report_id").join(has, "report_id", "left").join(traces.select("report_id", F.lit(True).alias("trace")).distinct(), "report_id", "left")
+    return merged(extracted(reports, products))
+
+
+def from_traces(claims: DataFrame, frames: DataFrame) -> DataFrame:
+    """Claims with what traces say of them: symbols of a trace's functions are the project's, and what names a trace's top frame of the program is core.
+
+    frames: report_id, trace_no, stack_no, index, function, path, is_runtime. Frames of system paths and those that show only a module are not the program's."""
+    own = frames.where("NOT is_runtime AND function IS NOT NULL").withColumn("foreign", F.coalesce(T.path_owner(F.col("path")) == "third_party", F.lit(False)) | F.coalesce(F.lower("path").rlike(r"\.(so|dylib|dll)\b"), F.lit(False)))
+    named = own.select("report_id", T.bare_function(F.col("function")).alias("name")).distinct().withColumn("in_trace", F.lit(True))
+    first = own.where("stack_no = 0 AND NOT foreign AND path IS NOT NULL").groupBy("report_id", "trace_no").agg(F.min_by(F.struct("function", "path"), "index").alias("f"))
+    tops = first.select("report_id", F.explode(F.array(T.bare_function(F.col("f.function")), F.regexp_replace("f.path", "^.*/", ""))).alias("name")).where("name IS NOT NULL").distinct().withColumn("top", F.lit(True))
+    name = F.when(F.col("kind") == "symbol", T.bare_function(F.col("value"))).when(F.col("kind") == "file", F.regexp_replace("value", "^.*/", ""))
+    rows = claims.withColumn("name", name).join(named, ["report_id", "name"], "left").join(tops, ["report_id", "name"], "left")
+    mine = F.coalesce("in_trace", F.lit(False)) & (F.col("kind") == "symbol") & (F.col("provenance") == "unscoped")
+    best = F.coalesce("top", F.lit(False)) & ~F.col("negated") & (F.col("role") == "supporting")
+    return rows.withColumn("provenance", F.when(mine, "project_attributed").otherwise(F.col("provenance"))).withColumn("role", F.when(best, "core").otherwise(F.col("role"))).select(claims.columns)
+
+
+def hygiene(reports: DataFrame, claims: DataFrame, traces: DataFrame, pocs: DataFrame) -> DataFrame:
+    """Per report, empty ones too, what it lacks of version, poc, trace and location. traces, pocs: report_ids with a trace or a proof of concept."""
+    has = claims.groupBy("report_id").agg(F.bool_or(F.col("kind") == "version").alias("version"), F.bool_or(F.col("kind").isin("file", "line", "symbol")).alias("location"))
+    rows = reports.select("report_id").join(has, "report_id", "left")
+    for name, held in (("trace", traces), ("poc", pocs)):
+        rows = rows.join(held.select("report_id", F.lit(True).alias(name)).distinct(), "report_id", "left")
     kinds = ("version", "poc", "trace", "location")
     missing = F.filter(F.array(*[F.when(~F.coalesce(F.col(k), F.lit(False)), F.lit(k)) for k in kinds]), lambda x: x.isNotNull())
     return rows.select("report_id", missing.alias("missing"))

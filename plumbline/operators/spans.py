@@ -99,6 +99,32 @@ def matches(text: Column, pattern: str, group: int = 0, inner: bool = False) ->
     return bound(rows, placed)
 
 
+def mentions(text: Column, pattern: str, reach: int = 160) -> Column:
+    """Array of (start, end, text, before, after) of a pattern's matches with up to `reach` characters around, taken from what lies between matches."""
+
+    def placed(rows: Column) -> Column:
+        cut = lambda i: F.get(rows, i)
+        none = F.lit("")
+
+        def one(sums: Column):
+            def at(x: Column, i: Column) -> Column:
+                start = F.get(sums, i) + F.length(x["lead"])
+                before = F.concat(F.coalesce(F.right(cut(i - 1)["lead"], F.lit(reach)), none), F.coalesce(cut(i - 1)["text"], none), F.right(x["lead"], F.lit(reach)))
+                after = F.concat(F.left(x["tail"], F.lit(reach)), F.coalesce(cut(i + 1)["text"], none), F.coalesce(F.left(cut(i + 1)["tail"], F.lit(reach)), none))
+                return F.struct(start.alias("start"), (start + F.length(x["text"])).alias("end"), x["text"].alias("text"), F.right(before, F.lit(reach)).alias("before"), F.left(after, F.lit(reach)).alias("after"))
+
+            return at
+
+        return bound(running(F.transform(rows, lambda x: F.length(x["lead"]) + F.length(x["text"]))), lambda sums: F.transform(rows, one(sums)))
+
+    def zipped(found: Column) -> Column:
+        n = F.size(found)
+        rows = lambda pieces: F.arrays_zip(found.alias("text"), F.slice(pieces, F.lit(1), n).alias("lead"), F.slice(pieces, F.lit(2), n).alias("tail"))
+        return F.when(n > 0, bound(bound(F.split(text, pattern, -1), rows), placed))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zipped)
+
+
 def source_map(raw: Column) -> Column:
     """Where the characters of a normalized text stood in the raw one: an array of (norm_start, orig_start, length), without gaps in the normalized text.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import extraction
-from plumbline.sources.tables import table
+from plumbline.sources.tables import spread, table
 
 #: Reports by shape; {k} is the event's user, {n} a number from 1 to 300.
 VERSIONS = "It shows from 1.{k}.0 to 1.{k}.9 and was fixed in 2.0.{k}. Tested on 1.{k}.3 as of 2026-05-02.\n\nExample 1.2.{k} and earlier are open, all versions before 3.{k}.1 too, since 0.{k}.5 or so.\nConstraint >= 1.0.1, < 1.{k}.7rc1. Seen on master, at commit abcdef{n}f and in tag curl-8_{k}_0; not at 0x1234abcd1234.\n```\nversion 9.9.9 in a log\n```\nversion 7.{k} here"
@@ -22,7 +22,7 @@ def reports(spark, sf_dir: str) -> DataFrame:
     body = F.get(F.array(*[F.lit(s) for s in SHAPES]), (i % len(SHAPES)).cast("int"))
     for name, value in {"{k}": F.col("user_id").cast("string"), "{n}": (i % 300 + 1).cast("string")}.items():
         body = F.replace(body, F.lit(name), value)
-    return table(spark, sf_dir, "events").select(i.alias("report_id"), F.lit("A report").alias("title"), body.alias("body"))
+    return spread(table(spark, sf_dir, "events")).select(i.alias("report_id"), F.lit("A report").alias("title"), body.alias("body"))
 
 
 def version_claims(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import traces
-from plumbline.sources.tables import table
+from plumbline.sources.tables import spread, table
 
 #: A trace of each format: lines with {i} (the event's id), {n} (a line number), {k} (its user) put in. The second and third frames show a path.
 TEXTS = {
@@ -39,7 +39,7 @@ def reports(spark, sf_dir: str) -> DataFrame:
     values = {"{i}": i.cast("string"), "{n}": (i % 400 + 1).cast("string"), "{k}": F.col("user_id").cast("string"), "{h}": F.lower(F.lpad(F.hex(i % 256 + 16), 4, "0")), "{g}": F.lower(F.lpad(F.hex(i % 256 + F.when(i % 24 == 0, 1).otherwise(0)), 4, "0"))}
     for name, value in values.items():
         pick = F.replace(pick, F.lit(name), value)
-    return table(spark, sf_dir, "events").select(i.alias("report_id"), F.concat(F.lit("It breaks:\n\n"), pick).alias("body"))
+    return spread(table(spark, sf_dir, "events")).select(i.alias("report_id"), F.concat(F.lit("It breaks:\n\n"), pick).alias("body"))
 
 
 def trace_frames(spark, sf_dir):
