@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.llm.secrets import BASE, RULES
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,20 +28,35 @@ DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_words(_ALNUM)} AS w FROM docum
  SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+#: Kind, pattern, group whose length counts, and the least length: the three base kinds as the contract states them (of hexadecimal runs those
+#: long enough alone, which are the same), then the further formats.
+SECRETS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("google", r"AIza[0-9A-Za-z_-]{35}", 0, 1),
+)
+BASE_KINDS = ("assign", "access", "hex")
+
+
 def _secrets() -> str:
     parts = []
-    for place, rule in enumerate(RULES):
-        pattern = rule.pattern.replace("'", "''")
+    for place, (kind, written, group, least) in enumerate(SECRETS):
+        pattern = written.replace("'", "''")
         parts.append(
-            f"""SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda k: {{'s': list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0), 'n': length(m[k]), 'g': length(c[k])}})) AS x
- FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS c, regexp_split_to_array(text, '{pattern}') AS p FROM documents WHERE regexp_matches(text, '{pattern}')) WHERE {rule.least} > 0"""
+            f"""SELECT doc_id, {place} AS place, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda k: {{'s': list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0), 'n': length(m[k]), 'g': length(c[k])}})) AS x
+ FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS c, regexp_split_to_array(text, '{pattern}') AS p FROM documents WHERE regexp_matches(text, '{pattern}')) WHERE {least} > 0"""
         )
-    least = "CASE kind " + " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in RULES) + " END"
+    shortest = "CASE kind " + " ".join(f"WHEN '{kind}' THEN {least}" for kind, _, _, least in SECRETS) + " END"
     line = "kind || ':' || x.s::BIGINT || ':' || (x.s + x.n)::BIGINT"
-    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
-    return f"""WITH a AS ({' UNION ALL '.join(parts)}), b AS (SELECT * FROM a WHERE x.g >= {least}),
- g AS (SELECT doc_id, {counts}, string_agg(CASE WHEN place < {len(BASE)} THEN {line} END, ',' ORDER BY x.s, place) AS base, string_agg({line}, ',' ORDER BY x.s, place) AS spans FROM b GROUP BY doc_id)
- SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    return f"""WITH a AS ({' UNION ALL '.join(parts)}), b AS (SELECT * FROM a WHERE x.g >= {shortest}),
+ g AS (SELECT doc_id, {counts}, string_agg(CASE WHEN place < {len(BASE_KINDS)} THEN {line} END, ',' ORDER BY x.s, place) AS base, string_agg({line}, ',' ORDER BY x.s, place) AS spans FROM b GROUP BY doc_id)
+ SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
 ORACLE_SQL = {"op1_neardup": NEARDUP, "op2_decontamination": DECONTAMINATION, "op6_secrets": _secrets()}
