@@ -112,7 +112,7 @@ def extracted(reports: DataFrame, products: dict[str, str] | None = None, source
             return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit("").alias("sentence"), F.lit("").alias("clause"), F.lit(False).alias("negated"))
 
         def around(m: Column) -> Column:
-            before, after = F.element_at(F.split(m["before"], _ENDS, -1), -1), F.get(F.split(m["after"], _ENDS, 2), F.lit(0))
+            before, after = F.regexp_replace(m["before"], rf"(?s)^.*(?:{_ENDS})", ""), F.regexp_extract(m["after"], rf"(?s)^(.*?)(?:{_ENDS}|\z)", 1)
             clause = F.concat(F.regexp_replace(before, r"(?s)^.*;", ""), m["text"], F.regexp_replace(after, r"(?s);.*$", ""))
             negated = T.is_negated(F.right(m["before"], F.lit(48)), F.left(m["after"], F.lit(48)))
             return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.concat(before, m["text"], after).alias("sentence"), clause.alias("clause"), negated.alias("negated"))

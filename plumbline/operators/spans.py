@@ -72,57 +72,73 @@ def densest(points: DataFrame, key: list[str], position: str, gap: int) -> DataF
     return clusters(points, key, position, gap).groupBy(*key).agg(F.max_by(F.struct("first", "last", "n"), F.struct("n", -F.col("first"))).alias("run")).select(*key, "run.*")
 
 
+#: A noncharacter, which marks the edges of matches.
+_EDGE = "\uffff"
+
+
+def _around(text: Column, pattern: str) -> Column:
+    """Array of (lead, text, tail) of a pattern's matches: what lies before and after each up to the next one. One search, with the pattern compiled once."""
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_EDGE}$0{_EDGE}")), _EDGE, -1)
+    row = lambda lead, match, tail: F.struct(lead.alias("lead"), match.alias("text"), tail.alias("tail"))
+    empty = F.array().cast("array<struct<lead:string,text:string,tail:string>>")
+
+    def zipped(pieces: Column) -> Column:
+        return F.when(F.size(pieces) > 2, F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: row(F.get(pieces, i - 1), F.get(pieces, i), F.get(pieces, i + 1)))).when(pieces.isNotNull(), empty)
+
+    def slowly(found: Column) -> Column:
+        pieces = F.split(text, pattern, -1)
+        return bound(pieces, lambda ps: F.transform(found, lambda m, i: row(F.get(ps, i), m, F.get(ps, i + 1))))
+
+    # a text that holds the mark itself is searched twice
+    return F.when(F.contains(text, F.lit(_EDGE)), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), slowly)).otherwise(bound(parts, zipped))
+
+
 def matches(text: Column, pattern: str, group: int = 0, inner: bool = False) -> Column:
     """Array of (start, end, text) of a pattern's matches, leftmost and non-overlapping, in code points.
 
     text is that of the group; start and end are those of the whole match, or with inner those of the group's text, which
     then stands at its first place in the match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    # what lies between matches and the matches alternate, so lengths add up to places; zipped, each is worked out once
-    before = F.transform(F.split(text, pattern, -1), F.length)
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.lit(None)
 
     def placed(rows: Column) -> Column:
-        sizes = F.transform(rows, lambda x: x["before"] + F.length(x["text"]))
+        sizes = F.transform(rows, lambda x: F.length(x["lead"]) + F.length(x["text"]))
 
-        def at(sums: Column):
+        def within(sums: Column, shown) -> Column:
             def one(x: Column, i: Column) -> Column:
-                start = F.get(sums, i) + x["before"]
-                start = start + F.greatest(F.instr(x["text"], x["shown"]) - 1, F.lit(0)) if inner else start
-                return F.struct(start.alias("start"), (start + F.length(x["shown"] if inner else x["text"])).alias("end"), x["shown"].alias("text"))
+                part = shown(x, i)
+                start = F.get(sums, i) + F.length(x["lead"])
+                start = start + F.greatest(F.instr(x["text"], part) - 1, F.lit(0)) if inner else start
+                return F.struct(start.alias("start"), (start + F.length(part if inner else x["text"])).alias("end"), part.alias("text"))
 
-            return one
+            return F.transform(rows, one)
 
-        return bound(running(sizes), lambda sums: F.transform(rows, at(sums)))
+        if group:
+            return bound(groups, lambda all_: bound(running(sizes), lambda sums: within(sums, lambda x, i: F.get(all_, i))))
+        return bound(running(sizes), lambda sums: within(sums, lambda x, i: x["text"]))
 
-    rows = F.filter(F.arrays_zip(before.alias("before"), found.alias("text"), shown.alias("shown")), lambda x: x["text"].isNotNull())
-    return bound(rows, placed)
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    return bound(_around(text, pattern), lambda rows: F.when(F.size(rows) > 0, placed(rows)).when(rows.isNotNull(), none))
 
 
 def mentions(text: Column, pattern: str, reach: int = 160) -> Column:
     """Array of (start, end, text, before, after) of a pattern's matches with up to `reach` characters around, taken from what lies between matches."""
 
     def placed(rows: Column) -> Column:
-        cut = lambda i: F.get(rows, i)
         none = F.lit("")
+        cut = lambda i: F.get(rows, i)
 
-        def one(sums: Column):
-            def at(x: Column, i: Column) -> Column:
+        def within(sums: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
                 start = F.get(sums, i) + F.length(x["lead"])
                 before = F.concat(F.coalesce(F.right(cut(i - 1)["lead"], F.lit(reach)), none), F.coalesce(cut(i - 1)["text"], none), F.right(x["lead"], F.lit(reach)))
                 after = F.concat(F.left(x["tail"], F.lit(reach)), F.coalesce(cut(i + 1)["text"], none), F.coalesce(F.left(cut(i + 1)["tail"], F.lit(reach)), none))
                 return F.struct(start.alias("start"), (start + F.length(x["text"])).alias("end"), x["text"].alias("text"), F.right(before, F.lit(reach)).alias("before"), F.left(after, F.lit(reach)).alias("after"))
 
-            return at
-
-        return bound(running(F.transform(rows, lambda x: F.length(x["lead"]) + F.length(x["text"]))), lambda sums: F.transform(rows, one(sums)))
+            return F.transform(rows, one)
 
-    def zipped(found: Column) -> Column:
-        n = F.size(found)
-        rows = lambda pieces: F.arrays_zip(found.alias("text"), F.slice(pieces, F.lit(1), n).alias("lead"), F.slice(pieces, F.lit(2), n).alias("tail"))
-        return F.when(n > 0, bound(bound(F.split(text, pattern, -1), rows), placed))
+        return bound(running(F.transform(rows, lambda x: F.length(x["lead"]) + F.length(x["text"]))), within)
 
-    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zipped)
+    return bound(_around(text, pattern), lambda rows: F.when(F.size(rows) > 0, placed(rows)))
 
 
 def source_map(raw: Column) -> Column:
