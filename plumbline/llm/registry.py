@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express them on whole tables."""
 
-from plumbline.llm import decontamination, html_text, language, mixing, neardup, neighbours, oracles, packing, quality, secrets, sharding
+from plumbline.llm import conversations, decontamination, html_text, language, mixing, neardup, neighbours, oracles, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_html": html_text.op9_html,
     "op10_mixing": mixing.op10_mixing,
+    "op11_conversations": conversations.op11_conversations,
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
