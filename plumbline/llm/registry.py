@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express them on whole tables."""
 
-from plumbline.llm import conversations, decontamination, html_text, language, mixing, neardup, neighbours, oracles, packing, quality, secrets, sharding, whitening
+from plumbline.llm import bestfit, conversations, decontamination, html_text, language, mixing, neardup, neighbours, oracles, packing, quality, secrets, sharding, whitening
 
 QUERIES = {
     "op1_neardup": neardup.op1_neardup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_html": html_text.op9_html,
     "op10_mixing": mixing.op10_mixing,
     "op11_conversations": conversations.op11_conversations,
+    "op12_bestfit": bestfit.op12_bestfit,
     "op13_whitening": whitening.op13_whitening,
 }
 
