@@ -12,13 +12,17 @@ C = '/* copy_{i}() { */\n#include <x.h>\n#define CHECK(x) check_{k}((x))\n\nstat
 PYTHON = "import os\n\ndef helper_{k}(a):\n    return a + 1  # parse()\n\nclass A:\n    def copy_{i}(self, n):\n        if n:\n            helper_{k}(n)\n        return os.getcwd()\n\nprint(A)\n"
 
 
-def lines(spark, sf_dir) -> DataFrame:
+def files(spark, sf_dir) -> DataFrame:
     i = F.col("event_id")
     text = F.when(i % 3 == 2, F.lit(PYTHON)).otherwise(F.lit(C))
     for name, value in {"{i}": i, "{k}": F.col("user_id")}.items():
         text = F.replace(text, F.lit(name), value.cast("string"))
     text = F.when(i % 30 == 0, F.concat(text, F.lit("}\n"))).otherwise(text)
-    return code.code_lines(table(spark, sf_dir, "events").select(i.alias("blob"), F.when(i % 3 == 2, "python").otherwise("c").alias("lang"), text.alias("text")))
+    return table(spark, sf_dir, "events").select(i.alias("blob"), F.when(i % 3 == 2, "python").otherwise("c").alias("lang"), text.alias("text"))
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    return code.code_lines(files(spark, sf_dir))
 
 
 def code_definitions(spark, sf_dir):
