@@ -59,4 +59,32 @@ def _secrets() -> str:
  SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"""
 
 
-ORACLE_SQL = {"op1_neardup": NEARDUP, "op2_decontamination": DECONTAMINATION, "op6_secrets": _secrets()}
+def _conversations() -> str:
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    state = lambda x, cost, letter, text="''": f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {x}.t || {text}}} END"
+    line = lambda role, text="''": f"(chr(10) || {role} || ':' || {text})"
+    least = lambda *x: f"least({', '.join(x)})"
+    extra = "(CASE WHEN cut THEN 3 ELSE 0 END)"
+    kept = lambda x, initial: f"CASE WHEN stays AND initial = '{initial}' THEN {state(x, extra, 'K', line('role', 'text'))} END"
+    reroled = lambda x, role: f"CASE WHEN stays THEN {state(x, f'{extra} + 3', 'R', line(repr(role), 'text'))} END"
+    dropped = lambda x: state(x, 4, "D")
+    after_u = least("u", *(state(x, 3, "I", line("'user'")) for x in "esa"))
+    after_a = least("a", state("iu", 3, "I", line("'assistant'")))
+    new_u = least(dropped("u"), *(f(x, r) for x in ("e", "s", "ia") for f, r in ((kept, "u"), (reroled, "user"))))
+    return f"""WITH RECURSIVE b AS (SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) q(i)),
+ o AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+ k AS (SELECT o.*, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::UBIGINT)), lambda c, x: xor(c >> 8, tab[((xor(c, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 20 AS kind FROM o, b),
+ d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+ p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, rtrim(text, {blanks}) AS body FROM d),
+ f AS (SELECT *, length(body) = 0 AS blank, length(body) > 0 AND right(body, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS seen, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY pos) AS before FROM p),
+ g AS (SELECT *, NOT blank AND NOT seen AS stays FROM f),
+ r(conv, pos, e, s, u, a) AS (SELECT DISTINCT conv, 0::BIGINT, {{'c': 0::BIGINT, 'a': '', 't': ''}}, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) FROM g
+  UNION ALL SELECT conv, pos, {dropped('e')}, {least(dropped('s'), kept('e', 's'))}, {new_u}, {least(dropped('a'), kept('iu', 'a'), reroled('iu', 'assistant'))}
+  FROM (SELECT *, {after_a} AS ia FROM (SELECT g.*, e, s, u, a, {after_u} AS iu FROM r JOIN g ON g.conv = r.conv AND g.pos = r.pos + 1))),
+ n AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT seen) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS pos FROM g GROUP BY conv),
+ z AS (SELECT conv, {least('e', 'ia')} AS best FROM (SELECT *, {after_a} AS ia FROM (SELECT r.*, {after_u} AS iu FROM r JOIN n ON n.conv = r.conv AND n.pos = r.pos)))
+ SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv, conv_id FROM o) i LEFT JOIN n ON n.conv = i.conv LEFT JOIN z ON z.conv = i.conv"""
+
+
+ORACLE_SQL = {"op1_neardup": NEARDUP, "op2_decontamination": DECONTAMINATION, "op6_secrets": _secrets(), "op11_conversations": _conversations()}
