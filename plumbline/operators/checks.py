@@ -16,7 +16,7 @@ from plumbline.functions.versions import base_score, severity_band, tag
 from plumbline.operators.alignment import anchored_alignment, line_likeness
 from plumbline.operators.fusion import gated
 from plumbline.operators.joins import suffix_join
-from plumbline.operators.series import kgrams, winnowed
+from plumbline.operators.series import covered, introduced, kgrams, winnowed
 
 #: Strengths by check and outcome; what is not named is neutral.
 STRENGTHS = {
@@ -341,11 +341,46 @@ def c16_version_range(ranges: DataFrame, introduced: DataFrame) -> DataFrame:
     return evidence(rows, "C16", "version", key)
 
 
-def c16_fixed_in(fixes: DataFrame, digests: DataFrame) -> DataFrame:
-    """Does the release that is said to hold the fix change the function? fixes: report_id, subject (symbol), claim_ids, fixed (ord); digests: symbol, ord, digest."""
+#: Which finding of several stands for a claim: support, then what can't be decided, then a refutation.
+PREFERENCE = ("SUPPORTS", "NEUTRAL", "REFUTES")
+
+
+def preferred(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of a key's evidence the row of the best outcome, then the first by `order`: a claim is refuted only if all refute it."""
+    rank = F.coalesce(*[F.when(F.col("outcome") == name, i) for i, name in enumerate(PREFERENCE)])
+    by = Window.partitionBy(*key).orderBy(rank, *order)
+    return rows.withColumn("_k", F.row_number().over(by)).where("_k = 1").drop("_k")
+
+
+def c16_affected_range(ranges: DataFrame, cores: DataFrame, line: DataFrame, releases: DataFrame) -> DataFrame:
+    """Does an affected range begin where one of the report's core symbols exists? The range's first release lies within both its bounds.
+
+    ranges: report_id, repo, claim_id, lower, lower_inclusive, upper, upper_inclusive; cores: report_id, symbol; line: a timeline (symbol, ord, defined, uncertain); releases: repo,
+    ord, trimmed. Each range is held against each core symbol; a range that covers no release is another check's matter."""
+    rows = covered(ranges, releases, ["repo"]).where("first IS NOT NULL").join(cores.select("report_id", F.col("symbol").alias("subject")).distinct(), "report_id")
+    known = introduced(line).select(F.col("symbol").alias("subject"), "introduced", "ever_defined")
+    rows = rows.join(known, "subject", "left")
+    doubts = line.where("uncertain").groupBy(F.col("symbol").alias("subject")).agg(F.collect_set("ord").alias("doubts"))
+    rows = rows.join(doubts, "subject", "left")
+    doubted = F.coalesce(F.exists("doubts", lambda o: (o >= F.col("first")) & (o < F.col("introduced"))), F.lit(False))
+    key = F.when(~F.coalesce("ever_defined", F.lit(False)), "timeline_blocked").when(F.col("first") >= F.col("introduced"), "consistent").when(doubted, "partial_history").otherwise("range_predates_symbol")
+    found = evidence(rows.withColumn("claim_ids", F.array("claim_id")), "C16", "version", key)
+    found = found.join(known.select("subject", "introduced"), "subject", "left").withColumn("claim_id", F.get("claim_ids", F.lit(0)))
+    return preferred(found, ["report_id", "claim_id"], ["introduced", "subject"]).drop("introduced", "claim_id")
+
+
+def c16_fixed_in(fixes: DataFrame, digests: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
+    """Does the release that is said to hold the fix change the function? fixes: report_id, subject (symbol), claim_ids, fixed (ord); digests: symbol, ord, digest.
+
+    lineage: ord, linear (whether the release before is in its history); where it isn't, an unchanged function says nothing of the fix."""
     at = lambda name: digests.select(F.col("symbol").alias("subject"), F.col("ord").alias("at"), F.col("digest").alias(name))
     rows = fixes.withColumn("at", F.col("fixed")).join(at("after"), ["subject", "at"], "left").withColumn("at", F.col("fixed") - 1).join(at("before"), ["subject", "at"], "left")
-    key = F.when(F.col("before").isNull() | F.col("after").isNull(), "definition_missing").when(F.col("before") == F.col("after"), "fixed_in_unchanged").otherwise("consistent")
+    if lineage is not None:
+        rows = rows.join(lineage.select(F.col("ord").alias("fixed"), "linear"), "fixed", "left")
+    else:
+        rows = rows.withColumn("linear", F.lit(True))
+    same = F.col("before") == F.col("after")
+    key = F.when(F.col("before").isNull() | F.col("after").isNull(), "definition_missing").when(same & ~F.coalesce("linear", F.lit(False)), "previous_release_not_ancestor").when(same, "fixed_in_unchanged").otherwise("consistent")
     return evidence(rows, "C16", "version", key)
 
 

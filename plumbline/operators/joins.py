@@ -35,18 +35,45 @@ def band(rows: DataFrame, anchors: DataFrame, key: list[str], order: str, radius
     return rows.join(anchors, key).where(F.abs(F.col(order) - F.col("anchor")) <= radius).withColumn("distance", F.col(order) - F.col("anchor"))
 
 
-def suffix_join(cited: DataFrame, tree: DataFrame, most: int = 32) -> DataFrame:
-    """For each cited path all tree paths that share the longest suffix of whole components with it.
-
-    cited: cited; tree: path. Both are split into suffixes once and meet on equal ones."""
-    def suffixes(df: DataFrame, column: str) -> DataFrame:
-        parts = path_parts(F.col(column))
-        depths = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most)))
-        return df.select(column).distinct().where(F.size(parts) > 0).select(column, F.explode(depths).alias("depth"), parts.alias("parts")).select(column, "depth", F.array_join(F.slice("parts", F.size("parts") - F.col("depth") + 1, F.col("depth")), "/").alias("suffix"))
-
-    met = suffixes(cited, "cited").join(suffixes(tree, "path"), ["suffix", "depth"]).groupBy("cited", "path").agg(F.max("depth").alias("depth"))
-    best = Window.partitionBy("cited").orderBy(F.desc("depth"))
-    return met.withColumn("_rank", F.rank().over(best)).where("_rank = 1").drop("_rank")
+def _suffixes(df: DataFrame, column: str) -> DataFrame:
+    """column, depth and suffix (of so many whole components) of each distinct path."""
+    parts = path_parts(F.col(column))
+    rows = df.select(column).distinct().where(F.size(parts) > 0).select(column, F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("parts"))
+    return rows.select(column, "depth", F.array_join(F.slice("parts", F.size("parts") - F.col("depth") + 1, F.col("depth")), "/").alias("suffix"))
+
+
+def suffix_join(cited: DataFrame, tree: DataFrame) -> DataFrame:
+    """For each cited path all tree paths that share the longest suffix of whole components with it: cited, path, depth.
+
+    cited: cited; tree: path. Which depth is the deepest is settled by a semi-join with the tree's distinct suffixes, paths not carried; only
+    at that depth cited paths and tree paths are paired, so that paths of one base name meet only where nothing deeper does."""
+    asked, held = _suffixes(cited, "cited"), _suffixes(tree, "path")
+    known = held.select("suffix", "depth").distinct()
+    deepest = asked.join(known, ["suffix", "depth"], "left_semi").groupBy("cited").agg(F.max(F.struct("depth", "suffix")).alias("best")).select("cited", "best.*")
+    return deepest.join(held, ["suffix", "depth"]).select("cited", "path", "depth")
+
+
+def compatible(cited, real):
+    """Whether a cited path can name a real one that shares a suffix with it: one of the two is a suffix of the other, by whole components."""
+    a, b = path_parts(cited), path_parts(real)
+    n = F.least(F.size(a), F.size(b))
+    return (n > 0) & (F.slice(a, F.size(a) - n + 1, n) == F.slice(b, F.size(b) - n + 1, n))
+
+
+def resolve_paths(cited: DataFrame, tree: DataFrame, preferred: DataFrame | None = None) -> DataFrame:
+    """The tree's paths that each cited one may name: cited, path, depth, exact, compatible.
+
+    A path that is in the tree as it is written names itself alone; only the others go on to be matched by suffix. preferred: cited, path of pairs that a
+    predicate holds for, such as that the file defines the function of the frame; where it holds for one of a path's candidates, the others go."""
+    exact = cited.select("cited").distinct().join(tree.select(F.col("path").alias("cited")).distinct(), "cited", "left_semi")
+    rest = suffix_join(cited.select("cited").join(exact, "cited", "left_anti"), tree)
+    own = exact.select("cited", F.col("cited").alias("path"), F.size(path_parts(F.col("cited"))).alias("depth"), F.lit(True).alias("exact"))
+    rows = own.unionByName(rest.withColumn("exact", F.lit(False)))
+    if preferred is not None:
+        rows = rows.join(preferred.select("cited", "path", F.lit(True).alias("_holds")).distinct(), ["cited", "path"], "left")
+        best = F.max(F.coalesce("_holds", F.lit(False))).over(Window.partitionBy("cited"))
+        rows = rows.withColumn("_best", best).where(F.coalesce("_holds", F.lit(False)) == F.col("_best")).drop("_holds", "_best")
+    return rows.withColumn("compatible", compatible(F.col("cited"), F.col("path")))
 
 
 def deletions(word, distance: int):

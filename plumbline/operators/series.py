@@ -95,3 +95,46 @@ def main_families(releases: DataFrame, key: list[str]) -> DataFrame:
         return F.struct(F.when(out, acc["families"]).otherwise(F.concat(acc["families"], F.array(one["family"]))).alias("families"), F.when(out, acc["covered"]).otherwise(F.array_union(acc["covered"], one["versions"])).alias("covered"))
 
     return sets.groupBy(*key).agg(order.alias("all")).select(*key, F.aggregate("all", start, step, lambda acc: F.array_sort(acc["families"])).alias("families"))
+
+
+def outward(fits: DataFrame, homes: DataFrame, key: list[str], radius: int, usable: float, most: int) -> DataFrame:
+    """From each home outwards the place that fits best: key, best, ratio, looked, radius, complete.
+
+    fits: key, ord, ratio (null where nothing could be compared); homes: key, home. Places are looked at by distance, the earlier of two first. A window of `radius`
+    doubles until a usable ratio is found or all is seen; after `most` places the scan ends, incomplete. One fold over the band of a home's places, which stops looking, though
+    not counting, at its end; of equal ratios the nearer wins."""
+    distance = F.abs(F.col("ord") - F.col("home"))
+    rows = fits.join(homes, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(distance.alias("distance"), "ord", "ratio"))).alias("places"))
+    kind = "struct<best:struct<ratio:double,back:bigint,behind:bigint>,looked:int,radius:bigint,open:boolean,complete:boolean>"
+    start = F.struct(F.lit(None).cast("struct<ratio:double,back:bigint,behind:bigint>").alias("best"), F.lit(0).alias("looked"), F.lit(radius).cast("long").alias("radius"), F.lit(True).alias("open"), F.lit(True).alias("complete")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        beyond = x["distance"] > acc["radius"]
+        enough = F.coalesce(acc["best"]["ratio"] >= usable, F.lit(False))
+        ends = ~acc["open"] | (beyond & enough)
+        capped = ~ends & (acc["looked"] >= most)
+        wider = F.when(beyond, acc["radius"] * F.pow(F.lit(2.0), F.ceil(F.log2(x["distance"] / acc["radius"]) - 1e-9)).cast("long")).otherwise(acc["radius"])
+        here = F.when(x["ratio"].isNotNull(), F.struct(x["ratio"].alias("ratio"), (-x["distance"]).cast("long").alias("back"), (-x["ord"]).cast("long").alias("behind")))
+        new = F.struct(F.greatest(acc["best"], here).alias("best"), (acc["looked"] + 1).alias("looked"), wider.alias("radius"), F.lit(True).alias("open"), acc["complete"].alias("complete"))
+        shut = F.struct(acc["best"].alias("best"), acc["looked"].alias("looked"), acc["radius"].alias("radius"), F.lit(False).alias("open"), (acc["complete"] & ~capped).alias("complete"))
+        return F.when(ends | capped, shut).otherwise(new).cast(kind)
+
+    found = rows.select(*key, F.aggregate("places", start, step).alias("x"))
+    return found.select(*key, (-F.col("x.best.behind")).alias("best"), F.col("x.best.ratio").alias("ratio"), "x.looked", "x.radius", "x.complete")
+
+
+def covered(ranges: DataFrame, releases: DataFrame, key: list[str]) -> DataFrame:
+    """ranges with `first`, the ord of the earliest release that a range covers; null if there is none.
+
+    ranges: key, lower, lower_inclusive, upper, upper_inclusive (bounds as arrays of numbers, null for an open end); releases: key, ord, trimmed, in one order. Distinct lower
+    bounds and releases are laid in one ordered window for each key: the next release from a bound on is its first, if it is within the upper bound."""
+    bound = F.coalesce("lower", F.array().cast("array<int>"))
+    inclusive = F.coalesce("lower_inclusive", F.lit(True))
+    asked = ranges.select("*", bound.alias("_bound"), F.when(inclusive, 0).otherwise(2).alias("_side"))
+    points = asked.select(*key, "_bound", "_side").distinct().withColumn("_at", F.lit(None).cast("struct<ord:int,trimmed:array<int>>"))
+    every = points.unionByName(releases.select(*key, F.col("trimmed").cast("array<int>").alias("_bound"), F.lit(1).alias("_side"), F.struct(F.col("ord").cast("int").alias("ord"), F.col("trimmed").cast("array<int>").alias("trimmed")).alias("_at")))
+    ahead = Window.partitionBy(*key).orderBy("_bound", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    nearest = every.withColumn("_next", F.first("_at", ignorenulls=True).over(ahead)).where("_side <> 1").select(*key, "_bound", "_side", "_next")
+    rows = asked.join(nearest, [*key, "_bound", "_side"], "left")
+    within = F.col("upper").isNull() | (F.col("_next.trimmed") < F.col("upper")) | (F.coalesce("upper_inclusive", F.lit(False)) & (F.col("_next.trimmed") == F.col("upper")))
+    return rows.select(*ranges.columns, F.when(within, F.col("_next.ord")).alias("first"))

@@ -60,6 +60,29 @@ def no_overlaps(spans: DataFrame, key: list[str]) -> DataFrame:
     return spans.withColumn("reach", F.max("end").over(_before(key))).where("reach IS NULL OR start >= reach").drop("reach")
 
 
+def accepted(spans: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Spans taken one by one in the order given, each unless it overlaps one that was taken before it: an ordered fold over each key's spans.
+
+    A key's spans are one array (the traces or regions of one report)."""
+    columns = [c for c in spans.columns if c not in key]
+    ranked = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], *columns)
+    one = "struct<start:bigint,end:bigint>"
+    start = F.array().cast(f"array<{one}>")
+    pair = lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"))
+    # an empty span has a place of its own
+    clash = lambda a, b: (a["start"] < F.greatest(b["end"], b["start"] + 1)) & (b["start"] < F.greatest(a["end"], a["start"] + 1))
+    take = lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(pair(x))))
+    rows = spans.groupBy(*key).agg(F.array_sort(F.collect_list(ranked)).alias("all")).withColumn("taken", F.aggregate("all", start, take))
+    # equal spans: the first in order is the one that was taken
+    firsts = F.filter("all", lambda x, i: F.array_contains("taken", pair(x)) & ~F.exists(F.slice("all", 1, i), lambda y: pair(y) == pair(x)))
+    return rows.select(*key, F.explode(firsts).alias("x")).select(*key, *[F.col(f"x.{c}") for c in columns])
+
+
+def longest_first(spans: DataFrame, key: list[str], *ties: Column) -> DataFrame:
+    """Overlaps resolved for the longer span, then the earlier one."""
+    return accepted(spans, key, [F.col("start") - F.col("end"), F.col("start"), *ties])
+
+
 def clusters(points: DataFrame, key: list[str], position: str, gap: int) -> DataFrame:
     """Runs of positions no more than `gap` apart: key, first, last, n."""
     by = Window.partitionBy(*key).orderBy(position)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import lines_of
+from plumbline.operators import spans
 
 #: How a trace of each format begins; group 1 is what went wrong, group 2 the message.
 HEADERS = (
@@ -49,15 +50,18 @@ LABELS = (("alloc", r"allocated by|was created by|Uninitialized value was create
 RUNTIME = r"^(?:__asan_|__interceptor_|__sanitizer|__libc_|_start$|abort$|raise$|java\.|jdk\.|sun\.|runtime\.|std::|core::|node:|rust_begin_unwind|panic\()"
 
 
+def _follows(name: str) -> Column:
+    """An error's name and message begin a trace of one format only before a frame: they also end tracebacks of another one."""
+    return F.coalesce(F.col("next").rlike(r"^\s+at "), F.lit(False)) if name == "node" else F.lit(True)
+
+
 def trace_lines(reports: DataFrame, text: str = "body") -> DataFrame:
     """report_id, line_no, line, header (format, if the line begins a trace), format and trace_no (of the trace the line belongs to), label,
     stack_no (0 is the faulting stack), next."""
     line = F.col("line")
     header = F.lit(None).cast("string")
     for name, pattern in reversed(HEADERS):
-        # an error's name and message begin a trace of this format only before a frame: they also end tracebacks of another one
-        follows = F.coalesce(F.col("next").rlike(r"^\s+at "), F.lit(False)) if name == "node" else F.lit(True)
-        header = F.when(line.rlike(pattern) & follows, F.lit(name)).otherwise(header)
+        header = F.when(line.rlike(pattern) & _follows(name), F.lit(name)).otherwise(header)
     label = F.lit(None).cast("string")
     for name, pattern in reversed(LABELS):
         label = F.when(line.rlike(pattern), F.lit(name)).otherwise(label)
@@ -104,6 +108,27 @@ def frames(lines: DataFrame) -> DataFrame:
     return found.select("report_id", "trace_no", "format", "stack_no", "stack", turned.cast("int").alias("index"), F.col("f.index").alias("shown_index"), "f.function", "f.path", "f.line", "f.col", runtime.alias("is_runtime"), "line_no")
 
 
+def extents(lines: DataFrame) -> DataFrame:
+    """report_id, format, start, end (line numbers, end exclusive) of what each format reads on its own: from a header of it to the last of its frames
+    before its next header. Formats see the same lines, so that their extents may overlap."""
+    line = F.col("line")
+
+    def mark(name: str, header: str) -> Column:
+        frames = F.greatest(*[line.rlike(p) for p, _ in FRAMES.get(name, FRAMES["native"])], F.lit(False))
+        return F.struct(F.lit(name).alias("format"), (line.rlike(header) & _follows(name)).alias("head"), F.coalesce(frames, F.lit(False)).alias("frame"))
+
+    marks = F.array(*[mark(name, header) for name, header in HEADERS])
+    rows = lines.select("report_id", "line_no", F.explode(F.filter(marks, lambda m: m["head"] | m["frame"])).alias("m")).select("report_id", "line_no", "m.*")
+    by = Window.partitionBy("report_id", "format").orderBy("line_no")
+    number = F.sum(F.col("head").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("n", number).where("n > 0").groupBy("report_id", "format", "n").agg(F.min("line_no").cast("long").alias("start"), (F.max("line_no") + 1).cast("long").alias("end")).drop("n")
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """Extents without those that overlap a longer one; of equally long ones the earlier, then the first format by name."""
+    return spans.longest_first(found, ["report_id"], F.col("format"))
+
+
 def summaries(lines: DataFrame) -> DataFrame:
     """Per trace: format, bug type, message, process ids, access, addresses, region and the summary's claims."""
     pick = lambda pattern, k: F.max(F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, k)))
