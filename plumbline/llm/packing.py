@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import sliced
+from plumbline.llm.common import sliced, staged
 
 CAPACITY, LONGEST, BLOCK_DOCS, END = 1024, 320, 400, 0
 #: Words whose ids a worker keeps; later new words are worked out anew in each slice.
@@ -79,9 +80,15 @@ def cuts(tokens: int, capacity: int = CAPACITY, longest: int = LONGEST) -> list[
 _SPACES = frozenset(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
+#: White space but for single spaces and line ends.
+_ODD = re.compile("[" + "".join(sorted(_SPACES - {" ", "\n"})) + "]")
+
+
 def _parts(text: str) -> list[str]:
     """A text cut at each single space between two characters that are no white space: byte-level vocabularies always split a text before it."""
     words = text.split(" ")
+    if text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text and "\n " not in text and not _ODD.search(text):
+        return words  # each space stands alone
     closed = [k for i, w in enumerate(words) if not w or w[0] in _SPACES or w[-1] in _SPACES for k in ((i, i + 1) if not w else (i,) * (w[0] in _SPACES) + (i + 1,) * (w[-1] in _SPACES))]
     if not closed:
         return words
@@ -216,7 +223,7 @@ def pack(parts: DataFrame, documents: int, capacity: int = CAPACITY, block_docs:
     blocks = max(1, documents // block_docs)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        order = table.sort_by("number")
         sizes = order.column("length").to_pylist()
         block = key[0].as_py()
         full = [[i] for i, n in enumerate(sizes) if n >= capacity]
@@ -228,9 +235,10 @@ def pack(parts: DataFrame, documents: int, capacity: int = CAPACITY, block_docs:
             for i in group:
                 sequence[i], offset[i] = (block << 32) + number, at
                 at += sizes[i]
-        return order.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return order.drop_columns(["block", "number"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = parts.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(blocks)))
+    # each piece is dealt by a number of its own, written first, so that however many rows are alike no block holds more than its share
+    dealt = staged(parts.withColumn("number", F.monotonically_increasing_id())).withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(run, PACKED)
 
 

@@ -103,5 +103,13 @@ def test_packing_round_trip(spark):
         assert ids[r.offset : r.offset + r.length] == expected[r.doc_id][r.start : r.start + r.length].tolist()
 
 
+def test_many_equal_rows_are_dealt_over_blocks(spark):
+    docs = spark.createDataFrame([(None, "the same text of a row " * 4)] * 30_000 + [(7, "x")] * 20_000, "doc_id long, text string")
+    rows = P.pack_documents(docs).select("doc_id", "sequence_id", "length").collect()
+    assert len(rows) == 50_000
+    total = sum(r.length for r in rows)
+    assert len({r.sequence_id for r in rows}) <= 1.03 * total / 1024 + 60
+
+
 def test_packing_of_no_rows(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
