@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.external import is_external
+from plumbline.functions.versions import tag
 from plumbline.operators import extraction as X
-from plumbline.operators import spans
+from plumbline.operators import spans, traces
+from plumbline.staging import staged
 
 #: References, impacts, flags and behaviours; links and vectors come first, so that they own what stands in them.
 REFERENCES = r"https?://[A-Za-z0-9./_%#?=&~-]*[A-Za-z0-9/]|\bCVE-[0-9]{4}-[0-9]{4,7}\b|\bCWE-[0-9]{1,5}\b|\bGHSA(?:-[0-9a-z]{4}){3}\b|\bcommit [0-9a-f]{7,40}\b"
@@ -53,13 +55,16 @@ def _version(t: Column, clause: Column) -> Column:
 
 
 def _location(t: Column, clause: Column) -> Column:
+    def whole(at: Column) -> Column:
+        return T.bound(at.withField("path", F.when(at["path"].isNull() & at["line"].isNotNull(), X.only_path(clause)).otherwise(at["path"])), of)
+
     def of(at: Column) -> Column:
         line, link = at["line"].isNotNull(), at["permalink"].isNotNull()
         value = F.when(link | (at["path"].isNotNull() & T.is_path_candidate(at["path"])), F.when(line, F.concat(at["path"], F.lit(":"), at["line"].cast("string"))).otherwise(at["path"])).otherwise("")
         extractor = F.when(link, "paths.permalink").when(line, "paths.line").otherwise("paths.file")
         return _read(F.when(line, "line").otherwise("file"), extractor, value, F.when(line, 0.9).otherwise(0.8), F.when(link, "project_attributed").otherwise(T.path_owner(F.coalesce(at["path"], F.lit("")))))
 
-    return T.bound(X.location_of(t), of)
+    return T.bound(X.location_of(t), whole)
 
 
 def _symbol(t: Column, clause: Column, further: Iterable[str] = ()) -> Column:
@@ -83,15 +88,23 @@ def _impact(t: Column, clause: Column) -> Column:
     return _read("impact", extractor, F.when(vector, t).otherwise(F.regexp_extract(t, r"([\w.]+)$", 1)), F.when(vector, 0.95).otherwise(0.7), "project_attributed")
 
 
+def _flag(t: Column, clause: Column) -> Column:
+    return _read("option", "options.flag", t, 0.8, "project_attributed")
+
+
+def _behavior(t: Column, clause: Column) -> Column:
+    return _read("behavior", "behavior", F.regexp_extract(t, r"([A-Za-z0-9_]+)`?$", 1), 0.7, "project_attributed")
+
+
 #: Each kind's pattern, how a match is read, what a text must hold to have one, and whether what surrounds it counts.
 SOURCES = (
     (lambda names: X.version_pattern(names), _version, (".", "_", "HEAD", "master", "main", "trunk", "latest", "commit"), False),
     (lambda names: X.LOCATIONS, _location, (".",), True),
     (lambda names: X.SYMBOLS, _symbol, ("`", "(", "_"), True),
     (lambda names: REFERENCES, _reference, ("http", "CVE-", "CWE-", "GHSA-", "commit "), False),
-    (lambda names: FLAGS, lambda t, clause: _read("option", "options.flag", t, 0.8, "project_attributed"), ("--",), True),
+    (lambda names: FLAGS, _flag, ("--",), True),
     (lambda names: IMPACTS, _impact, ("CVSS", "everity", "EVERITY", "core"), False),
-    (lambda names: BEHAVIORS, lambda t, clause: _read("behavior", "behavior", F.regexp_extract(t, r"([A-Za-z0-9_]+)`?$", 1), 0.7, "project_attributed"), ("call", "invoke", "free", "check", "validate", "Call", "Free", "Check"), False),
+    (lambda names: BEHAVIORS, _behavior, ("call", "invoke", "free", "check", "validate", "Call", "Free", "Check"), False),
 )
 MENTION = "array<struct<kind:string,extractor:string,value:string,start:int,end:int,confidence:double,provenance:string,negated:boolean,core:boolean>>"
 
@@ -107,10 +120,9 @@ def extracted(reports: DataFrame, products: dict[str, str] | None = None, source
             return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit("").alias("sentence"), F.lit("").alias("clause"), F.lit(False).alias("negated"))
 
         def around(m: Column) -> Column:
-            before, after = F.regexp_replace(m["before"], rf"(?s)^.*(?:{_ENDS})", ""), F.regexp_extract(m["after"], rf"(?s)^(.*?)(?:{_ENDS}|\z)", 1)
-            clause = F.concat(F.regexp_replace(before, r"(?s)^.*;", ""), m["text"], F.regexp_replace(after, r"(?s);.*$", ""))
+            near = X.around(m)
             negated = T.is_negated(F.right(m["before"], F.lit(48)), F.left(m["after"], F.lit(48)))
-            return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.concat(before, m["text"], after).alias("sentence"), clause.alias("clause"), negated.alias("negated"))
+            return F.struct(m["start"].alias("start"), m["text"].alias("text"), near["sentence"].alias("sentence"), near["clause"].alias("clause"), negated.alias("negated"))
 
         def one(m: Column) -> Column:
             r = m["r"]
@@ -120,13 +132,13 @@ def extracted(reports: DataFrame, products: dict[str, str] | None = None, source
             core = exists & ~((r["kind"] == "symbol") & (r["provenance"] == "third_party")) & ((m["start"] < F.col("lead_end")) | F.contains(F.coalesce(F.col("title"), F.lit("")), r["value"]) | m["sentence"].rlike(BUG_WORDS))
             return F.struct(*[r[c].alias(c) for c in ("kind", "extractor", "value")], (m["start"] + place).alias("start"), (m["start"] + place + size).alias("end"), r["confidence"].alias("confidence"), r["provenance"].alias("provenance"), (exists & m["negated"]).alias("negated"), core.alias("core"))
 
-        rows = F.transform(spans.mentions(text, pattern, REACH), around) if context else F.transform(spans.matches(text, pattern), alone)
+        rows = F.transform(spans.mentions(text, pattern, X.REACH), around) if context else F.transform(spans.matches(text, pattern), alone)
         rows = F.transform(rows, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), m["sentence"].alias("sentence"), m["negated"].alias("negated"), read(m["text"], m["clause"]).alias("r")))
         rows = F.transform(F.filter(rows, lambda m: m["r"]["value"] != ""), one)
         some = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(mark)) for mark in marks]) if marks else F.lit(True)
         return F.coalesce(F.when(some, rows), F.array()).cast(MENTION)
 
-    rows = reports.select("report_id", "title", X.prose(F.col("body")).alias("prose")).withColumn("lead_end", _lead_end(text))
+    rows = X.with_plain(reports).select("report_id", "title", F.col("plain").alias("prose")).withColumn("lead_end", _lead_end(text))
     whole = F.concat(*[found(pattern(names), *rest) for pattern, *rest in sources])
     return rows.select("report_id", F.explode(whole).alias("m")).select("report_id", "m.*")
 
@@ -138,17 +150,18 @@ def merged(mentions: DataFrame, most: int = MOST) -> DataFrame:
     rows = mentions.groupBy("report_id", "kind", "value").agg(
         F.max("confidence").alias("confidence"),
         F.min_by("extractor", F.struct(-F.col("confidence"), "start", "extractor")).alias("extractor"),
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
+        F.filter(F.array_sort(F.collect_set(F.struct("start", "end"))), lambda x: x["start"].isNotNull()).alias("spans"),
         F.min("start").alias("start"),
         F.min_by("provenance", rank).alias("provenance"),
         F.bool_and("negated").alias("negated"),
         F.bool_or("core").alias("core"),
+        *([F.min_by("details", F.struct("start", "extractor")).alias("details")] if "details" in mentions.columns else []),
     )
     outer = F.col("kind").isin("reference", "impact") | ((F.col("kind") == "symbol") & (F.col("provenance") == "third_party"))
     role = F.when(outer, "peripheral").when(F.col("core") & ~F.col("negated"), "core").otherwise("supporting")
     claim_id = T.stable_id("claim", F.to_json(F.struct("kind", "report_id", "value")))
     by = Window.partitionBy("report_id").orderBy("start", "kind", "value")
-    out = rows.select("report_id", claim_id.alias("claim_id"), "kind", "value", "extractor", "confidence", "spans", "start", "provenance", "negated", role.alias("role"))
+    out = rows.select("report_id", claim_id.alias("claim_id"), "kind", "value", "extractor", "confidence", "spans", "start", "provenance", "negated", role.alias("role"), *(["details"] if "details" in mentions.columns else []))
     return out.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).drop("place")
 
 
@@ -160,6 +173,74 @@ def extract_claims(reports: DataFrame, products: dict[str, str] | None = None, e
     return merged(extracted(reports, products, tuple(known)))
 
 
+def structured(reports: DataFrame, lines: DataFrame, products: dict[str, str] | None = None, programs: list[str] | None = None, prefixes: list[str] | None = None) -> DataFrame:
+    """Mentions that hold more than a value: versions with their relation and range, options by kind, behaviours, patches, snippets and the symbols they define, proofs of concept and
+    traces; what they hold is in details, as JSON. Rows as those of extracted; what has no place of its own in the text has no start. lines: of traces.trace_lines."""
+
+    def rows(found: DataFrame, kind: str, extractor: str, value: Column, details: Column, confidence=0.9, provenance="project_attributed", start=None, end=None, core=None) -> DataFrame:
+        lit = lambda x, t: (x if isinstance(x, Column) else F.lit(x)).cast(t)
+        return found.select(
+            "report_id", F.lit(kind).alias("kind"), F.lit(extractor).alias("extractor"), value.alias("value"), lit(start, "int").alias("start"), lit(end, "int").alias("end"), lit(confidence, "double").alias("confidence"),
+            lit(provenance, "string").alias("provenance"), F.lit(False).alias("negated"), lit(False if core is None else core, "boolean").alias("core"), F.to_json(details).alias("details"),
+        )
+
+    versions = X.version_claims(reports, products)
+    blocks = X.block_rows(reports)
+    snippets = X.snippet_claims(reports)
+    diffs = X.diff_texts(reports)
+    patches = X.patch_claims(diffs, X.patch_hunks(diffs)).join(diffs.select("report_id", "patch", "start", F.length("diff").alias("size")), ["report_id", "patch"])
+    behaviors = X.behavior_claims(reports)
+    options = X.option_claims(reports, programs, prefixes)
+    pocs = X.poc_claims(blocks).join(blocks.select("report_id", "block", "start", "end"), ["report_id", "block"])
+    crashes = traces.summaries(lines).join(traces.frames(lines).groupBy("report_id", "trace_no").agg(F.count("*").alias("frames")), ["report_id", "trace_no"], "left")
+    of = lambda *names: F.struct(*names)
+    parts = [
+        rows(versions, "version", "versions", F.col("raw"), of("relation", "parsed", "lower", "lower_inclusive", "upper", "upper_inclusive", "special_ref", "commit", "product"), start=F.col("start"), end=F.col("end")),
+        rows(options, "option", "options", F.col("token"), of("option_kind"), 0.8, F.col("provenance")),
+        rows(behaviors, "behavior", "behavior", F.concat_ws(" ", "subject", "predicate", "object"), of("subject", "predicate", "object"), 0.7, start=F.col("start"), end=F.col("start") + F.length("subject"), core=True),
+        rows(patches, "patch", "patches", F.array_join("files", ","), of("files", "n_hunks"), F.col("confidence"), start=F.col("start"), end=F.col("start") + F.col("size")),
+        rows(snippets, "snippet", "snippets", F.md5(F.col("content").cast("binary")), of("path", "function", "n_lines", "defines"), 0.85, F.col("provenance"), F.col("start"), F.col("end")),
+        rows(snippets.withColumn("name", F.explode("defines")), "symbol", "snippets.defines", F.col("name"), of("block"), 0.85, F.col("provenance"), F.col("start"), F.col("end")),
+        rows(pocs, "poc", "pocs", F.coalesce("entry", "poc_kind"), of("poc_kind"), 0.85, "reporter_artifact", F.col("start"), F.col("end")),
+        rows(crashes, "trace", "traces", F.concat_ws(":", "format", "bug_type", "trace_no"), of("format", "bug_type", "frames"), 0.95, "unscoped"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+#: Kinds that structured mentions give, which are then not taken from plain ones.
+_STRUCTURED = (_version, _behavior, _flag)
+
+
+def claims_table(reports: DataFrame, products: dict[str, str] | None = None, programs: list[str] | None = None, prefixes: list[str] | None = None, external: Iterable[str] = ()) -> DataFrame:
+    """All claims of reports in one table: the columns of extract_claims, and details (JSON) of kinds that hold more than a value.
+
+    Roles and provenance of symbols and files follow from the reports' traces too. Lines of traces and mentions are written once: much is worked out for each, and more than one step reads them."""
+    known = tuple((pattern, functools.partial(_symbol, further=external) if read is _symbol else read, *rest) for pattern, read, *rest in SOURCES if read not in _STRUCTURED)
+    lines = staged(traces.trace_lines(reports))
+    mentions = staged(extracted(reports, products, known).withColumn("details", F.lit(None).cast("string")).unionByName(structured(reports, lines, products, programs, prefixes)))
+    return from_traces(merged(mentions), traces.frames(lines))
+
+
+def affected_ranges(claims: DataFrame) -> DataFrame:
+    """report_id, claim_id, lower, lower_inclusive, upper, upper_inclusive (bounds as numbers) of a claims table's ranges of versions."""
+    said = F.from_json("details", "relation string, lower string, lower_inclusive boolean, upper string, upper_inclusive boolean")
+    rows = claims.where("kind = 'version' AND NOT negated").withColumn("d", said).where("d.relation = 'affected_range'")
+    numbers = lambda c: F.when(F.col(c).isNotNull(), tag(F.concat(F.lit("v"), F.col(c)))["trimmed"])
+    return rows.select("report_id", "claim_id", numbers("d.lower").alias("lower"), "d.lower_inclusive", numbers("d.upper").alias("upper"), "d.upper_inclusive")
+
+
+def said_calls(claims: DataFrame) -> DataFrame:
+    """report_id, subject, object, claim_ids and denied of a claims table's calls between functions."""
+    said = F.from_json("details", "subject string, predicate string, object string")
+    rows = claims.where("kind = 'behavior'").withColumn("d", said).where("d.predicate = 'calls_api'")
+    return rows.select("report_id", T.bare_function(F.col("d.subject")).alias("subject"), T.bare_function(F.col("d.object")).alias("object"), F.array("claim_id").alias("claim_ids"), F.col("negated").alias("denied"))
+
+
+def core_symbols(claims: DataFrame) -> DataFrame:
+    """report_id and symbol of the functions that a report is about."""
+    return claims.where("kind = 'symbol' AND role = 'core'").select("report_id", F.col("value").alias("symbol")).distinct()
+
+
 def from_traces(claims: DataFrame, frames: DataFrame) -> DataFrame:
     """Claims with what traces say of them: symbols of a trace's functions are the project's, and what names a trace's top frame of the program is core.
 
@@ -191,17 +272,12 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n\s*\n|\n(?=[-*#] )", -1), F.trim), lambda s: s != "")
 
 
-#: Fixed value: how far a sentence reaches from a mention.
-REACH = 600
-_ENDS = r"[.!?](?=\s)|\n[ \t]*\n|\n(?=[ \t]*(?:[-*+]|[0-9]{1,3}[.)]|#{1,6})\s)"
-
-
 def sentence_around(body: Column, start: Column, end: Column) -> Column:
     """The sentence around body[start:end): bounded by . ! ? before white space, blank lines, list items and headings."""
-    before = F.substr(body, F.greatest(start - REACH + 1, F.lit(1)), F.least(start, F.lit(REACH)))
-    after = F.substr(body, end + 1, F.lit(REACH))
-    parts = F.split(before, _ENDS, -1)
-    return F.concat(F.element_at(parts, -1), F.substr(body, start + 1, end - start), F.get(F.split(after, _ENDS, 2), F.lit(0)))
+    before = F.substr(body, F.greatest(start - X.REACH + 1, F.lit(1)), F.least(start, F.lit(X.REACH)))
+    after = F.substr(body, end + 1, F.lit(X.REACH))
+    parts = F.split(before, X.ENDS, -1)
+    return F.concat(F.element_at(parts, -1), F.substr(body, start + 1, end - start), F.get(F.split(after, X.ENDS, 2), F.lit(0)))
 
 
 def attributed(claims: DataFrame, reports: DataFrame) -> DataFrame:

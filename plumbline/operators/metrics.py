@@ -82,6 +82,15 @@ def features(evidence: DataFrame, outcomes: list[str]) -> DataFrame:
     return evidence.groupBy("report_id").agg(*[F.count_if(F.col("outcome") == o).alias(f"n_{o.lower()}") for o in outcomes])
 
 
+def outcome_features(evidence: DataFrame, known: list[str] | None = None) -> DataFrame:
+    """Per report how often each check gave each outcome: report_id and a map of check.outcome to its count, zeros left out; or with the known names, one column for each, zeros too."""
+    name = F.concat_ws(".", "check_id", "outcome")
+    if known is not None:
+        return evidence.groupBy("report_id").agg(*[F.count_if(name == k).alias(k.replace(".", "_").lower()) for k in known])
+    counts = evidence.groupBy("report_id", name.alias("feature")).agg(F.count("*").alias("n"))
+    return counts.groupBy("report_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "n")))).alias("features"))
+
+
 def distributions(rows: DataFrame, by: list[str], verdict: str) -> DataFrame:
     """Of each group how often every verdict came, and its share."""
     return rows.groupBy(*by, verdict).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 4))

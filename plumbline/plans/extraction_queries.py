@@ -36,7 +36,7 @@ def version_places(spark, sf_dir):
 
 
 def location_claims(spark, sf_dir):
-    return extraction.location_claims(reports(spark, sf_dir).where("report_id % 4 = 2 OR report_id % 4 = 1")).select("report_id", "kind", "path", "line", "end_line", "col", "provenance", F.concat_ws("/", "permalink.host", "permalink.owner", "permalink.repo", "permalink.ref").alias("permalink"))
+    return extraction.location_claims(reports(spark, sf_dir)).select("report_id", "kind", "path", "line", "end_line", "col", "provenance", F.concat_ws("/", "permalink.host", "permalink.owner", "permalink.repo", "permalink.ref").alias("permalink"))
 
 
 def symbol_claims(spark, sf_dir):
@@ -74,7 +74,7 @@ def option_claims(spark, sf_dir):
 
 
 def behavior_claims(spark, sf_dir):
-    return extraction.behavior_claims(reports(spark, sf_dir))
+    return extraction.behavior_claims(reports(spark, sf_dir)).drop("start")
 
 
 QUERIES = {f.__name__: f for f in (version_claims, version_places, location_claims, symbol_claims, fenced_code, block_commands, poc_claims, snippet_claims, patch_hunks, patch_claims, option_claims, behavior_claims)}

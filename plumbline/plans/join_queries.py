@@ -182,7 +182,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
     for name, letters in AXES:
         parts.append(F.concat(F.lit(f"/{name}:"), F.substr(F.lit(letters), (F.floor(F.col("id") / size) % len(letters) + 1).cast("int"), F.lit(1))))
         size *= len(letters)
-    return spark.range(size).select("id", F.concat(*parts).alias("vector"))
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % size).alias("id")).distinct().select("id", F.concat(*parts).alias("vector"))
 
 
 def _axis_sql() -> str:
@@ -190,7 +190,7 @@ def _axis_sql() -> str:
     for name, letters in AXES:
         parts.append(f"substr('{letters}', ((id // {size}) % {len(letters)} + 1)::INTEGER, 1) AS {name}")
         size *= len(letters)
-    return f"SELECT id, {', '.join(parts)} FROM range({size}) r(id)"
+    return f"SELECT id, {', '.join(parts)} FROM (SELECT DISTINCT o_orderkey % {size} AS id FROM orders)"
 
 
 def cvss_base_score(spark, sf_dir):
