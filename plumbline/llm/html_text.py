@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Common words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -63,7 +65,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r""")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:"[^"]*+"|'[^']*+'|[^>"'])*+)(?:>|\Z)|(?P<text>[^<]++|<)""",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, so that what looks like one within a value is none.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s"'<>/=]+)(?:\s*=\s*("[^"]*+"?|'[^']*+'?|[^\s"'>]+))?|[\s"'=<>/]""")
 _WORD = re.compile(r"\w+")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -80,18 +83,24 @@ class Block:
 def _left_out(tag: str, rest: str, main: bool) -> bool:
     if tag in OUT or (tag in OUT_ABOVE and not main):
         return True
-    if tag in ("body", "html") or tag in MAIN or "=" not in rest and "hidden" not in rest:
+    if tag in ("body", "html") or tag in MAIN or "=" not in rest and "hidden" not in rest.lower():
         return False
-    for name, value in _NAMED.findall(rest):
-        value = value.strip("\"'").lower()
-        name = name.lower()
-        if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and (not NAMES.isdisjoint(_PARTS.split(value)) or not LEADING.isdisjoint(_PARTS.split(value.strip().partition(" ")[0]))):
+        if name in ("class", "id") and _names_a_part(value, main):
             return True
     return False
 
 
+def _names_a_part(value: str, main: bool) -> bool:
+    """Whether a class or id names a part that is left out: within the main part by one of its names as a whole, since there a longer one may speak of what the text is about."""
+    if main:
+        return any(name in NAMES or name in LEADING for name in value.split())
+    return not NAMES.isdisjoint(_PARTS.split(value)) or not LEADING.isdisjoint(_PARTS.split(value.strip().partition(" ")[0]))
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in page order."""
     out: list[Block] = []
@@ -240,8 +249,9 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             texts = [main_text(p.as_py()) for p in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), "text", "n_chars"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string, n_chars long"])
-    return pages.select(*(f.name for f in kept), column).mapInArrow(run, schema)
+    schema = StructType([*kept, StructField("text", StringType()), StructField("n_chars", LongType())])
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    return pages.select(*(quoted(f.name) for f in kept), quoted(column)).mapInArrow(run, schema)
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:

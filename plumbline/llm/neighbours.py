@@ -5,7 +5,8 @@ Vectors are dealt by a hash of vec_id to shards of about `shard_rows`, up to MOS
 equal vectors are one node. Nodes get levels drawn from a geometric law. On each level a node's candidates are its nearest nodes, found by matrix products
 in blocks (a shard is bounded, and this costs a fraction of searching the growing graph in numpy), and its nearest nodes of the next level, so that every
 node hangs on one that is met earlier. Neighbours are chosen among them so that none is nearer to another chosen one than to the node, and the links back are
-pruned alike. One more component makes all norms equal, so that the largest inner product is the least distance.
+pruned alike. One more component makes all norms equal, so that the largest inner product is the least distance. That component would hide all else beside a much longer
+vector, so vectors are dealt by the nearest power of two of their norm first: within a shard norms differ by little, and a few long vectors are shards of their own.
 
 A graph is one row of flat arrays, written to the shared folder. Blocks of queries meet each shard by an equality join on (shard, block);
 both sides of a task are bounded. Every shard returns its k nearest with inner products of the original vectors in double
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import staged
@@ -174,7 +175,8 @@ class Graph:
 
 
 def level_norms(vectors: np.ndarray) -> np.ndarray:
-    """float32 vectors with one more component that makes all norms equal."""
+    """float32 vectors, scaled by their largest entry, with one more component that makes all norms equal."""
+    vectors = vectors / max(np.abs(vectors).max(initial=0), np.finfo(float).tiny)
     square = (vectors.astype(np.float64) ** 2).sum(1)
     return np.concatenate([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1).astype(np.float32)
 
@@ -185,7 +187,14 @@ FOUND = "query_id long, vec_id long, score double"
 
 def _valid(vectors: DataFrame) -> DataFrame:
     good = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim")).withColumn("band", _band(F.col("embedding")))
+
+
+def _band(vector: Column) -> Column:
+    """The power of two that is nearest a vector's norm, worked out so that no square is too large."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    rest = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / largest) * (x / largest))
+    return F.floor(F.log2(largest) + F.log2(rest) / 2 + 0.5).cast("int")
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -196,9 +205,11 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, most_rows: int
     """One row of flat arrays for each shard, written to the shared folder; a shard is a task of its own."""
     rows = _valid(vectors)
     shards = F.greatest(F.least(F.ceil(F.count("*") / shard_rows), F.lit(MOST_SHARDS)), F.ceil(F.count("*") / most_rows))
-    counts = staged(rows.groupBy("dim").agg(shards.cast("int").alias("shards")))
+    counts = rows.groupBy("dim", "band").agg(shards.cast("int").alias("shards"))
+    below = F.coalesce(F.sum("shards").over(Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = staged(counts.withColumn("first", below.cast("int")))
     total = counts.agg(F.sum("shards")).first()[0] or 1
-    dealt = rows.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    dealt = rows.join(counts, ["dim", "band"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
     dealt = dealt.repartition(min(8 * total, MOST_TASKS), "dim", "shard")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -162,3 +162,41 @@ def test_mixing_without_training(spark):
     r = mixing.score(docs, F.lit(False)).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
     assert mixing.score(docs.limit(0), F.lit(True)).collect() == []
+
+
+def test_neighbours_of_vectors_of_very_different_length(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=32).astype(np.float32) for i in range(3000)}
+    for i, factor in ((7, 1e4), (20, 1e20), (40, 1e-20), (1000, 300.0)):
+        vectors[i] = vectors[i] * np.float32(factor)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    index = neighbours.build_index(table, shard_rows=1000)
+    got = {}
+    for r in neighbours.nearest(table.where("vec_id % 20 = 0"), index, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(i, v) for i, v in vectors.items()]
+    asked = [i for i in vectors if i % 20 == 0]
+    hits = sum(len({i for i, _ in exact(rows, vectors[q], q, 20)} & got[q]) for q in asked)
+    assert hits / (20 * len(asked)) > 0.95
+
+
+KEPT = "A paragraph of the article which is about what has been said of this and that, and of all the other things there are."
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'title="a hidden gem"', 'data-id="menu"', 'data-class="ad"', 'class="social-history"', 'id="related-work"', "data-x='class=\"ad\"'", 'data-hidden="1"', "title=hidden-gem"],
+)
+def test_attributes_that_say_nothing_of_a_part(attributes):
+    assert H.main_text(f"<html><body><article><p>{KEPT}</p><div {attributes}><p>{KEPT} Twice.</p></div></article></body></html>") == f"{KEPT}\n{KEPT} Twice."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', 'hidden="hidden"', 'HIDDEN="until-found"', 'class="ad"', 'class="x related"', 'role="navigation"', 'aria-hidden="true"', 'title="x" id=menu'])
+def test_attributes_of_parts_that_are_left_out(attributes):
+    assert H.main_text(f"<html><body><article><p>{KEPT}</p><div {attributes}><p>{KEPT} Twice.</p></div></article></body></html>") == KEPT
+
+
+def test_pages_keep_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{KEPT}</p></article>", 3)], "page_id long, url string, html string, `a.b` int")
+    row = H.extract(pages).collect()[0]
+    assert (row["a.b"], row.text) == (3, KEPT)
