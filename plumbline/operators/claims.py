@@ -96,9 +96,9 @@ def _behavior(t: Column, clause: Column) -> Column:
     return _read("behavior", "behavior", F.regexp_extract(t, r"([A-Za-z0-9_]+)`?$", 1), 0.7, "project_attributed")
 
 
-#: Each kind's pattern, how a match is read, what a text must hold to have one, and whether what surrounds it counts.
+#: Each kind's pattern (none for versions, whose phrases are found by their words), how a match is read, what a text must hold to have one, and whether what surrounds it counts.
 SOURCES = (
-    (lambda names: X.version_pattern(names), _version, (".", "_", "HEAD", "master", "main", "trunk", "latest", "commit"), False),
+    (None, _version, (".", "_", "HEAD", "master", "main", "trunk", "latest", "commit"), False),
     (lambda names: X.LOCATIONS, _location, (".",), True),
     (lambda names: X.SYMBOLS, _symbol, ("`", "(", "_"), True),
     (lambda names: REFERENCES, _reference, ("http", "CVE-", "CWE-", "GHSA-", "commit "), False),
@@ -115,7 +115,7 @@ def extracted(reports: DataFrame, products: dict[str, str] | None = None, source
     Each kind is one pattern over the prose; what surrounds a mention comes with it, so that bodies are not shuffled. sources may hold further kinds."""
     text, names = F.col("prose"), tuple(k.lower() for k in products or {})
 
-    def found(pattern: str, read, marks: tuple[str, ...], context: bool) -> Column:
+    def found(pattern: str | None, read, marks: tuple[str, ...], context: bool) -> Column:
         def alone(m: Column) -> Column:
             return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit("").alias("sentence"), F.lit("").alias("clause"), F.lit(False).alias("negated"))
 
@@ -132,14 +132,15 @@ def extracted(reports: DataFrame, products: dict[str, str] | None = None, source
             core = exists & ~((r["kind"] == "symbol") & (r["provenance"] == "third_party")) & ((m["start"] < F.col("lead_end")) | F.contains(F.coalesce(F.col("title"), F.lit("")), r["value"]) | m["sentence"].rlike(BUG_WORDS))
             return F.struct(*[r[c].alias(c) for c in ("kind", "extractor", "value")], (m["start"] + place).alias("start"), (m["start"] + place + size).alias("end"), r["confidence"].alias("confidence"), r["provenance"].alias("provenance"), (exists & m["negated"]).alias("negated"), core.alias("core"))
 
-        rows = F.transform(spans.mentions(text, pattern, X.REACH), around) if context else F.transform(spans.matches(text, pattern), alone)
+        rows = F.transform(F.col("phrases"), alone) if pattern is None else F.transform(spans.mentions(text, pattern, X.REACH), around) if context else F.transform(spans.matches(text, pattern), alone)
         rows = F.transform(rows, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), m["sentence"].alias("sentence"), m["negated"].alias("negated"), read(m["text"], m["clause"]).alias("r")))
         rows = F.transform(F.filter(rows, lambda m: m["r"]["value"] != ""), one)
         some = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(mark)) for mark in marks]) if marks else F.lit(True)
         return F.coalesce(F.when(some, rows), F.array()).cast(MENTION)
 
     rows = X.with_plain(reports).select("report_id", "title", F.col("plain").alias("prose")).withColumn("lead_end", _lead_end(text))
-    whole = F.concat(*[found(pattern(names), *rest) for pattern, *rest in sources])
+    rows = X.with_phrases(rows, "prose", names) if any(pattern is None for pattern, *_ in sources) else rows
+    whole = F.concat(*[found(pattern and pattern(names), *rest) for pattern, *rest in sources])
     return rows.select("report_id", F.explode(whole).alias("m")).select("report_id", "m.*")
 
 
