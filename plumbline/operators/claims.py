@@ -43,7 +43,7 @@ def _read(kind, extractor, value, confidence, provenance) -> Column:
     return F.struct(lit(kind).alias("kind"), lit(extractor).alias("extractor"), value.alias("value"), lit(confidence).alias("confidence"), lit(provenance).alias("provenance"))
 
 
-def _version(t: Column, clause: Column) -> Column:
+def _version(t: Column, m: Column) -> Column:
     sha = F.lower(F.regexp_extract(t, r"(?i)(?:commit/|(?:commit|rev|revision|sha|hash|at)\b\s{0,3}[:#]?\s{0,3}`?)([0-9a-f]{7,40})`?$", 1))
     tag = F.replace(F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9]{1,30}[-_]([0-9]{1,4}(?:_[0-9]{1,4}){1,3}[a-z]?)$", 1), F.lit("_"), F.lit("."))
 
@@ -54,9 +54,9 @@ def _version(t: Column, clause: Column) -> Column:
     return _read("version", "versions", T.bound(F.regexp_extract_all(t, F.lit(f"(?i){X.V}"), F.lit(0)), of), 0.9, "project_attributed")
 
 
-def _location(t: Column, clause: Column) -> Column:
+def _location(t: Column, m: Column) -> Column:
     def whole(at: Column) -> Column:
-        return T.bound(at.withField("path", F.when(at["path"].isNull() & at["line"].isNotNull(), X.only_path(clause)).otherwise(at["path"])), of)
+        return T.bound(at.withField("path", F.when(at["path"].isNull() & at["line"].isNotNull(), X.only_path(m["clause"])).otherwise(at["path"])), of)
 
     def of(at: Column) -> Column:
         line, link = at["line"].isNotNull(), at["permalink"].isNotNull()
@@ -67,32 +67,32 @@ def _location(t: Column, clause: Column) -> Column:
     return T.bound(X.location_of(t), whole)
 
 
-def _symbol(t: Column, clause: Column, further: Iterable[str] = ()) -> Column:
-    near = F.filter(F.regexp_extract_all(clause, F.lit(rf"(?<![\w/.@:~-])({X.PATH})(?![\w/-])"), F.lit(1)), lambda p: T.is_path_candidate(p) & (T.path_owner(p) == "project_attributed"))
+def _symbol(t: Column, m: Column, further: Iterable[str] = ()) -> Column:
+    near = F.filter(F.regexp_extract_all(m["clause"], F.lit(rf"(?<![\w/.@:~-])({X.PATH})(?![\w/-])"), F.lit(1)), lambda p: T.is_path_candidate(p) & (T.path_owner(p) == "project_attributed"))
 
     def of(s: Column) -> Column:
         provenance = F.when(is_external(s["name"], further), "third_party").when(F.size(near) > 0, "project_attributed").otherwise("unscoped")
         return _read("symbol", "symbols", F.when(X.acceptable(s["name"]), s["name"]).otherwise(""), F.when(s["kind"] == "unknown", 0.7).otherwise(0.85), provenance)
 
-    return T.bound(X.symbol_of(t), of)
+    return T.bound(X.symbol_of(t, m["left"], m["right"]), of)
 
 
-def _reference(t: Column, clause: Column) -> Column:
+def _reference(t: Column, m: Column) -> Column:
     name = F.when(t.startswith("http"), "url").when(t.startswith("CVE"), "cve").when(t.startswith("CWE"), "cwe").when(t.startswith("GHSA"), "ghsa").otherwise("commit")
     return _read("reference", F.concat(F.lit("references."), name), F.regexp_replace(t, "^commit ", ""), 0.95, F.when(name == "commit", "project_attributed").otherwise("unscoped"))
 
 
-def _impact(t: Column, clause: Column) -> Column:
+def _impact(t: Column, m: Column) -> Column:
     vector = t.startswith("CVSS:")
     extractor = F.when(vector, "impact.vector").when(t.rlike("(?i)severity"), "impact.severity").otherwise("impact.score")
     return _read("impact", extractor, F.when(vector, t).otherwise(F.regexp_extract(t, r"([\w.]+)$", 1)), F.when(vector, 0.95).otherwise(0.7), "project_attributed")
 
 
-def _flag(t: Column, clause: Column) -> Column:
+def _flag(t: Column, m: Column) -> Column:
     return _read("option", "options.flag", t, 0.8, "project_attributed")
 
 
-def _behavior(t: Column, clause: Column) -> Column:
+def _behavior(t: Column, m: Column) -> Column:
     return _read("behavior", "behavior", F.regexp_extract(t, r"([A-Za-z0-9_]+)`?$", 1), 0.7, "project_attributed")
 
 
@@ -117,12 +117,12 @@ def extracted(reports: DataFrame, products: dict[str, str] | None = None, source
 
     def found(pattern: str | None, read, marks: tuple[str, ...], context: bool) -> Column:
         def alone(m: Column) -> Column:
-            return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit("").alias("sentence"), F.lit("").alias("clause"), F.lit(False).alias("negated"))
+            return F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit("").alias("sentence"), F.lit("").alias("clause"), F.lit(False).alias("negated"), F.lit("").alias("left"), F.lit("").alias("right"))
 
         def around(m: Column) -> Column:
             near = X.around(m)
             negated = T.is_negated(F.right(m["before"], F.lit(48)), F.left(m["after"], F.lit(48)))
-            return F.struct(m["start"].alias("start"), m["text"].alias("text"), near["sentence"].alias("sentence"), near["clause"].alias("clause"), negated.alias("negated"))
+            return F.struct(m["start"].alias("start"), m["text"].alias("text"), near["sentence"].alias("sentence"), near["clause"].alias("clause"), negated.alias("negated"), F.right(m["before"], F.lit(X.BESIDE)).alias("left"), F.left(m["after"], F.lit(X.BESIDE)).alias("right"))
 
         def one(m: Column) -> Column:
             r = m["r"]
@@ -133,7 +133,7 @@ def extracted(reports: DataFrame, products: dict[str, str] | None = None, source
             return F.struct(*[r[c].alias(c) for c in ("kind", "extractor", "value")], (m["start"] + place).alias("start"), (m["start"] + place + size).alias("end"), r["confidence"].alias("confidence"), r["provenance"].alias("provenance"), (exists & m["negated"]).alias("negated"), core.alias("core"))
 
         rows = F.transform(F.col("phrases"), alone) if pattern is None else F.transform(spans.mentions(text, pattern, X.REACH), around) if context else F.transform(spans.matches(text, pattern), alone)
-        rows = F.transform(rows, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), m["sentence"].alias("sentence"), m["negated"].alias("negated"), read(m["text"], m["clause"]).alias("r")))
+        rows = F.transform(rows, lambda m: F.struct(m["start"].alias("start"), m["text"].alias("text"), m["sentence"].alias("sentence"), m["negated"].alias("negated"), read(m["text"], m).alias("r")))
         rows = F.transform(F.filter(rows, lambda m: m["r"]["value"] != ""), one)
         some = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(mark)) for mark in marks]) if marks else F.lit(True)
         return F.coalesce(F.when(some, rows), F.array()).cast(MENTION)
