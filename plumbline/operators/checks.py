@@ -15,7 +15,7 @@ from plumbline.functions.text import collapsed, path_owner, path_parts, reposito
 from plumbline.functions.versions import base_score, severity_band, tag
 from plumbline.operators.alignment import anchored_alignment, line_likeness
 from plumbline.operators.fusion import gated
-from plumbline.operators.joins import suffix_join
+from plumbline.operators.joins import compatible, suffix_join
 from plumbline.operators.series import covered, introduced, kgrams, winnowed
 
 #: Strengths by check and outcome; what is not named is neutral.
@@ -132,10 +132,21 @@ def _located(claims: DataFrame, targets: DataFrame, tree: DataFrame) -> DataFram
     return rows.join(targets, "report_id").join(met, F.col("path_") == F.col("cited")).join(tree, ["release", "path"])
 
 
-def c04_line_in_bounds(claims: DataFrame, targets: DataFrame, tree: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Does the file have so many lines? Any of the files that the path can mean is enough; a missing file is another check's matter."""
-    rows = _located(claims, targets, tree).join(blobs, "blob").groupBy("report_id", "subject", "claim_ids", "attributed", "negated").agg(F.bool_or(F.col("line") <= F.col("n_lines")).alias("ok"))
-    return evidence(rows, "C04", "location", F.when(F.col("ok"), "in_bounds").otherwise("past_end"))
+def c04_line_in_bounds(claims: DataFrame, targets: DataFrame, tree: DataFrame, blobs: DataFrame, generated: DataFrame | None = None) -> DataFrame:
+    """Does the file have so many lines? Any of the files that the path can mean is enough; a missing file is another check's matter.
+
+    What can't be judged is neutral: a path that a build makes (generated: cited), one that is no regular file (tree may have mode), and one that shares but its end with a file elsewhere."""
+    rows = _located(claims, targets, tree)
+    regular = F.coalesce(F.col("mode").startswith("100"), F.lit(True)) if "mode" in tree.columns else F.lit(True)
+    fits = compatible(F.col("path_"), F.col("path"))
+    known = rows.join(blobs, "blob", "left").withColumn("regular", regular).withColumn("fits", fits)
+    judged = F.col("regular") & F.col("fits") & F.col("n_lines").isNotNull()
+    found = known.groupBy("report_id", "subject", "claim_ids", "attributed", "negated", "path_").agg(F.bool_or(judged & (F.col("line") <= F.col("n_lines"))).alias("ok"), F.bool_or(judged).alias("judged"), F.bool_or("fits").alias("fits"), F.bool_or("regular").alias("regular"))
+    made = F.lit(False)
+    if generated is not None:
+        found, made = found.join(generated.select(F.col("cited").alias("path_"), F.lit(True).alias("made")).distinct(), "path_", "left"), F.coalesce("made", F.lit(False))
+    key = F.when(F.coalesce("ok", F.lit(False)), "in_bounds").when(made, "generated_or_release_only").when(F.col("judged"), "past_end").when(~F.col("fits"), "other_file").when(~F.col("regular"), "not_a_regular_file").otherwise("unreadable")
+    return evidence(found, "C04", "location", key)
 
 
 def c05_line_in_function(frames: DataFrame, tree: DataFrame, blobs: DataFrame, symbols: DataFrame, nearby: DataFrame | None = None) -> DataFrame:
@@ -197,11 +208,31 @@ def consistency(good: Column, all_: Column) -> Column:
     return F.when(all_ == 0, "no_checkable_frames").when(good == all_, "all_consistent").when(good * 10 >= all_ * 8, "mostly").when(good * 2 >= all_, "mixed").otherwise("inconsistent")
 
 
+#: Folders of other people's code.
+OTHERS = ("/.cargo/registry/", "/.m2/repository/", "/dist-packages/", "/external/", "/go/pkg/mod/", "/node_modules/", "/site-packages/", "/third_party/", "/thirdparty/", "/usr/include/", "/usr/lib/", "/usr/lib64/", "/usr/local/", "/usr/share/", "/usr/src/", "/vendor/")
+
+
+def others_code(path: Column, module: Column) -> Column:
+    """Whether a frame says of itself that it lies in a shared library or in a folder of other people's code."""
+    slashed = lambda x: F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\\\\", "/"), "^/+", ""))
+    library = F.regexp_replace(slashed(module), "^.*/", "").rlike(r"\.(?:so|dll|dylib)$|\.so\.")
+    inside = lambda x: F.coalesce(*[F.when(F.contains(slashed(x), F.lit(mark)), True) for mark in OTHERS], F.lit(False))
+    return library | inside(path) | inside(module)
+
+
+def made_by_runtime(function: Column) -> Column:
+    """Whether no source defines a function of this name: <module>, <init>, {closure#0}, func1."""
+    return F.coalesce(function.rlike(r"(?:^|[.:])(?:<[^<>]*>|\{[^{}]*\}|func[0-9]{1,9}(?:\.[0-9]{1,9})*)$"), F.lit(False))
+
+
 def frame_status(frames: DataFrame, tree: DataFrame, blobs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """frames (report_id, release, function, path, line) with a status: skipped, uncertain, consistent or inconsistent."""
+    """frames (report_id, release, function, path, line, maybe module) with a status: skipped, third_party (no file of the project, and other people's by its own
+    words), uncertain (the file can't be read, or no source has such a name), consistent or inconsistent."""
     met = frames.join(tree, ["release", "path"], "left").join(blobs, "blob", "left")
     held = met.join(symbols.select("blob", F.col("name").alias("function"), "start", "end"), ["blob", "function"], "left")
-    status = F.when(F.col("path").isNull(), "skipped").when(F.col("blob").isNull(), "inconsistent").when(~F.col("parsed"), "uncertain").when(F.col("line").between(F.col("start"), F.col("end")), "consistent").otherwise("inconsistent")
+    module = F.col("module") if "module" in frames.columns else F.lit(None).cast("string")
+    foreign = F.col("blob").isNull() & others_code(F.col("path"), module)
+    status = F.when(foreign, "third_party").when(F.col("path").isNull(), "skipped").when(F.col("blob").isNull(), "inconsistent").when(~F.col("parsed") | made_by_runtime(F.col("function")), "uncertain").when(F.col("line").between(F.col("start"), F.col("end")), "consistent").otherwise("inconsistent")
     rank = F.when(F.col("status") == "consistent", 0).when(F.col("status") == "uncertain", 1).otherwise(2)
     return held.withColumn("status", status).groupBy("report_id", "release", "index").agg(F.min_by("status", rank).alias("status"))
 

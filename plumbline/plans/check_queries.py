@@ -85,6 +85,29 @@ def _frames(spark, sf_dir) -> DataFrame:
     return rows.select("report_id", "release", "index", F.concat(F.lit("src/m"), doc % 17, F.lit("/f"), doc, F.lit(".c")).alias("path"), (F.col("report_id") % 9 + 1).cast("int").alias("line"), F.concat(F.lit("fn_"), doc).alias("function"), F.array().cast("array<string>").alias("claim_ids"))
 
 
+LINE_CLAIMS = "concat(CASE event_id % 4 WHEN 0 THEN 'src/m3/' WHEN 1 THEN concat('/home/a/src/m', event_id % 1100 % 17, '/') ELSE '' END, 'f', event_id % 1100, '.c:', event_id % 30 + 1)"
+
+
+def c04_outcomes(spark, sf_dir):
+    """Lines of files that may be links or made by a build, and of paths that name another folder."""
+    trees = tree(spark, sf_dir).withColumn("mode", F.when(F.col("blob") % 11 == 0, "120000").otherwise("100644"))
+    said = claims(spark, sf_dir, "line", LINE_CLAIMS)
+    made = said.where("report_id % 1100 % 19 = 0").select(F.regexp_replace("value", ":[0-9]+$", "").alias("cited"))
+    return _out(checks.c04_line_in_bounds(said, targets(spark, sf_dir), trees, blobs(spark, sf_dir), made))
+
+
+def c08_outcomes(spark, sf_dir):
+    """Frames of the project, of libraries by their path or module, and of functions that a runtime names."""
+    e = F.col("event_id")
+    frames = table(spark, sf_dir, "events").select(e.alias("report_id"), F.concat(F.lit("v1."), e % 12, F.lit(".0")).alias("release"), F.posexplode(F.expr("array(0, 1, 2, 3)")).alias("index", "k"))
+    doc = (F.col("report_id") + F.col("k")) % 1100
+    path = F.when(F.col("k") == 1, F.concat(F.lit("/usr/include/x"), doc, F.lit(".h"))).when((F.col("k") == 2) & (F.col("report_id") % 2 == 0), F.lit("lost.c")).otherwise(F.concat(F.lit("src/m"), doc % 17, F.lit("/f"), doc, F.lit(".c")))
+    function = F.when((F.col("k") == 3) & (F.col("report_id") % 3 == 0), "run.<locals>.<lambda>").otherwise(F.concat(F.lit("fn_"), doc))
+    frames = frames.select("report_id", "release", "index", function.alias("function"), path.alias("path"), (F.col("report_id") % 9 + 1).alias("line"), F.when(F.col("k") == 2, F.when(F.col("report_id") % 4 == 0, "/x/libz.so.1")).alias("module"))
+    status = checks.frame_status(frames, tree(spark, sf_dir), blobs(spark, sf_dir), symbols(spark, sf_dir))
+    return status.groupBy("report_id").agg(*[F.count_if(F.col("status") == k).alias(k) for k in ("consistent", "inconsistent", "uncertain", "third_party")])
+
+
 def c05_line_in_function(spark, sf_dir):
     rows = _frames(spark, sf_dir).where(F.col("index") == 0)
     return _out(checks.c05_line_in_function(rows, tree(spark, sf_dir), blobs(spark, sf_dir), symbols(spark, sf_dir)))
@@ -100,11 +123,13 @@ def c05_nearby_release(spark, sf_dir):
 
 
 def c06_line_content(spark, sf_dir):
-    """Events quote the line two further on than they say, or a line of nowhere."""
-    quotes = table(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), (F.col("event_id") % 500).alias("blob"), (F.col("event_id") % 4 + 1).cast("int").alias("line"), (F.col("event_id") % 3 * 2).alias("by"))
+    """Events quote the line two further on than they say, or a line of nowhere, which the history of every other file holds."""
+    n = table(spark, sf_dir, "documents").count()
+    quotes = table(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), (F.col("event_id") % n).alias("blob"), (F.col("event_id") % 4 + 1).cast("int").alias("line"), (F.col("event_id") % 3 * 2).alias("by"))
     found = lines(spark, sf_dir).withColumnRenamed("text", "quoted")
     quotes = quotes.join(found, (quotes["blob"] == found["blob"]) & (F.col("line") + F.col("by") == F.col("line_no"))).select("report_id", F.concat(F.lit("q"), F.col("report_id")).alias("subject"), F.array().cast("array<string>").alias("claim_ids"), quotes["blob"], "line", F.when(F.col("report_id") % 7 == 0, F.concat(F.lit("nowhere "), F.col("quoted"))).otherwise(F.concat(F.lit("  "), F.col("quoted"))).alias("quoted"))
-    return _out(checks.c06_line_content(quotes, lines(spark, sf_dir), lines(spark, sf_dir).limit(0)))
+    past = lines(spark, sf_dir).where("blob % 2 = 0").select(F.concat(F.lit("nowhere "), "text").alias("text"))
+    return _out(checks.c06_line_content(quotes, lines(spark, sf_dir), past))
 
 
 def c07_snippet_provenance(spark, sf_dir):
@@ -240,7 +265,7 @@ def checks_to_verdicts(spark, sf_dir):
     return fusion.verdicts(rows).groupBy("label", "rule").agg(F.count("*").alias("reports"))
 
 
-QUERIES = {f.__name__: f for f in (c01_version_resolves, c02_file_exists, c03_symbol_exists, c04_line_in_bounds, c05_line_in_function, c05_nearby_release, c06_line_content, c07_snippet_provenance, c08_trace_frames, c09_trace_call_edges, c10_trace_version_fit, c11_sanitizer_sanity, c12_patch_applies, c13_fix_status, c14_option_exists, c15_commits, c15_cve_records, cwe_compat, c16_fixed_in, c16_version_range, c17_impact_consistency, c18_api_usage, c21_hygiene, checks_to_verdicts)}
+QUERIES = {f.__name__: f for f in (c01_version_resolves, c02_file_exists, c03_symbol_exists, c04_line_in_bounds, c04_outcomes, c08_outcomes, c05_line_in_function, c05_nearby_release, c06_line_content, c07_snippet_provenance, c08_trace_frames, c09_trace_call_edges, c10_trace_version_fit, c11_sanitizer_sanity, c12_patch_applies, c13_fix_status, c14_option_exists, c15_commits, c15_cve_records, cwe_compat, c16_fixed_in, c16_version_range, c17_impact_consistency, c18_api_usage, c21_hygiene, checks_to_verdicts)}
 
 
 def _ladder(check: str, source: str, cases: str, *, gate: bool = True, factor: str = "1.0") -> str:
@@ -268,9 +293,14 @@ ORACLE_SQL = {
     "c05_nearby_release": f"WITH {_E}, x AS (SELECT *, concat('src/m', doc % 17, '/f', doc, '.c:', report_id % 9 + 1, ':fn_', doc) AS subject FROM j WHERE doc_id IS NOT NULL AND here), "
     + _ladder("C05", "x", "CASE WHEN report_id % 9 + 1 <= n_lines // 2 + 1 THEN 'in_function' WHEN report_id % 9 + 1 <= n_lines // 2 + 3 THEN 'fits_nearby_release' WHEN report_id % 9 + 1 > n_lines THEN 'line_past_end' WHEN doc % 13 = 0 THEN 'parse_incomplete' ELSE 'outside_function' END", gate=False),
     "c06_line_content": f"""WITH {_D}, ln AS (SELECT doc_id AS blob, unnest(range(1, n_lines + 1)) AS pos, trim(regexp_replace(unnest(l), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM d),
- q AS (SELECT event_id AS r, event_id % 500 AS blob, event_id % 4 + 1 AS line, event_id % 3 * 2 AS stp FROM events), y AS (SELECT r, q.blob, line, CASE WHEN r % 7 = 0 THEN trim('nowhere ' || t) ELSE t END AS t FROM q JOIN ln ON ln.blob = q.blob AND ln.pos = line + stp),
- b AS (SELECT r AS report_id, 'q' || r AS subject, min(abs(ln.pos - line)) FILTER (abs(ln.pos - line) <= 3 AND (contains(ln.t, y.t) OR (y.t = trim('nowhere ' || ln.t) AND 2.0 * length(ln.t) / (length(ln.t) + length(y.t)) >= 0.9))) AS off, bool_or(ln.t = y.t) AS elsewhere FROM y LEFT JOIN ln ON ln.blob = y.blob WHERE length(y.t) >= 8 GROUP BY r), """
-    + _ladder("C06", "b", "CASE WHEN off = 0 THEN 'exact' WHEN off <= 3 THEN 'near_by_offset' WHEN elsewhere THEN 'elsewhere_in_file' ELSE 'nowhere_in_history' END", gate=False),
+ h AS (SELECT DISTINCT trim('nowhere ' || t) AS t FROM ln WHERE blob % 2 = 0), q AS (SELECT event_id AS r, event_id % (SELECT count(*) FROM documents) AS blob, event_id % 4 + 1 AS line, event_id % 3 * 2 AS stp FROM events), y AS (SELECT r, q.blob, line, CASE WHEN r % 7 = 0 THEN trim('nowhere ' || t) ELSE t END AS t FROM q JOIN ln ON ln.blob = q.blob AND ln.pos = line + stp),
+ b AS (SELECT r AS report_id, 'q' || r AS subject, min(abs(ln.pos - line)) FILTER (abs(ln.pos - line) <= 3 AND (contains(ln.t, y.t) OR (y.t = trim('nowhere ' || ln.t) AND 2.0 * length(ln.t) / (length(ln.t) + length(y.t)) >= 0.9))) AS off, bool_or(ln.t = y.t) AS elsewhere, bool_or(y.t IN (SELECT t FROM h)) AS ever FROM y LEFT JOIN ln ON ln.blob = y.blob WHERE length(y.t) >= 8 GROUP BY r), """
+    + _ladder("C06", "b", "CASE WHEN off = 0 THEN 'exact' WHEN off <= 3 THEN 'near_by_offset' WHEN elsewhere THEN 'elsewhere_in_file' WHEN ever THEN 'other_release_only' ELSE 'nowhere_in_history' END", gate=False),
+    "c04_outcomes": f"WITH {_E}, x AS (SELECT *, {LINE_CLAIMS.replace('event_id', 'report_id')} AS subject, report_id % 4 <> 0 OR doc % 17 = 3 AS fits FROM j WHERE doc_id IS NOT NULL AND here), "
+    + _ladder("C04", "x", "CASE WHEN fits AND doc % 11 <> 0 AND report_id % 30 + 1 <= n_lines THEN 'in_bounds' WHEN doc % 19 = 0 THEN 'generated_or_release_only' WHEN fits AND doc % 11 <> 0 THEN 'past_end' WHEN NOT fits THEN 'other_file' ELSE 'not_a_regular_file' END"),
+    "c08_outcomes": f"""WITH {_D}, e AS (SELECT event_id AS r, unnest(range(4)) AS i FROM events),
+ s AS (SELECT r, CASE WHEN i = 1 THEN 'third_party' WHEN i = 2 AND r % 4 = 0 THEN 'third_party' WHEN i = 2 AND r % 2 = 0 THEN 'inconsistent' WHEN i = 3 AND r % 3 = 0 AND d.doc_id IS NOT NULL AND d.doc_id % 12 <= r % 12 THEN 'uncertain' ELSE {_STATUS.format(m='r % 12')} END AS st FROM e LEFT JOIN d ON d.doc_id = (r + i) % 1100)
+ SELECT r AS report_id, count(*) FILTER (st = 'consistent') AS consistent, count(*) FILTER (st = 'inconsistent') AS inconsistent, count(*) FILTER (st = 'uncertain') AS uncertain, count(*) FILTER (st = 'third_party') AS third_party FROM s GROUP BY r""",
     "c08_trace_frames": f"WITH {_D}, e AS (SELECT event_id AS r, unnest(range(4)) AS i FROM events), s AS (SELECT r, {_STATUS.format(m='r % 12')} AS st FROM e LEFT JOIN d ON d.doc_id = (r + i) % 1100), b AS (SELECT r AS report_id, 'trace' AS subject, count(*) FILTER (st = 'consistent') AS good, count(*) FILTER (st <> 'uncertain') AS n FROM s GROUP BY r), "
     + _ladder("C08", "b", _BANDS, gate=False),
     "c10_trace_version_fit": f"""WITH {_D}, e AS (SELECT event_id AS r, unnest(range(4)) AS i FROM events), g AS (SELECT r, i, m FROM e, (SELECT unnest(range(12)) AS m) WHERE abs(m - r % 12) <= 3),

@@ -9,11 +9,13 @@ import email.policy
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
+from plumbline.operators.extraction import code_blocks
+from plumbline.operators.spans import matches
 
 #: The largest file that is read, parts and depth of an e-mail.
 MOST_BYTES, MOST_PARTS, MOST_DEPTH = 20 * 1024 * 1024, 500, 32
@@ -49,20 +51,43 @@ def as_reports(rows: DataFrame) -> DataFrame:
 
 
 def fenced_blocks(reports: DataFrame) -> DataFrame:
-    """Fenced code blocks of Markdown bodies: report_id, block, info, content, role. A fence that is never closed reaches to the end.
-
-    Fences are lines of three or more ` or ~; counting them numbers the stretches between; odd stretches are blocks."""
-    rows = reports.select("report_id", F.posexplode(X.lines_of(F.col("body"))).alias("line_no", "line"))
-    fence = F.col("line").rlike("^ {0,3}(```+|~~~+)")
-    by = Window.partitionBy("report_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("fence", fence).withColumn("n", F.sum(F.col("fence").cast("int")).over(by)).where(F.col("n") % 2 == 1)
-    blocks = marked.groupBy("report_id", ((F.col("n") - 1) / 2).cast("int").alias("block")).agg(
-        F.max(F.when(F.col("fence"), F.regexp_extract("line", "^ {0,3}(?:```+|~~~+)\\s*([\\w+#.-]*)", 1))).alias("info"),
-        F.array_sort(F.collect_list(F.when(~F.col("fence"), F.struct("line_no", "line")))).alias("lines"),
-        F.min("line_no").alias("first_line"),
-    )
-    content = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    return blocks.select("report_id", "block", "info", "first_line", content.alias("content")).withColumn("role", X.block_role(F.col("info"), F.col("content")))
+    """Fenced code blocks of Markdown bodies: report_id, block, info, first_line, content, role. A fence is closed by one of its own kind; one that is never closed reaches to the end."""
+    blocks = reports.select("report_id", "body", F.posexplode(code_blocks(F.col("body"))).alias("block", "b"))
+    before = F.substr("body", F.lit(1), F.col("b.start"))
+    first = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    # the text's last line end belongs to no line of a block that is never closed
+    open_ = (F.col("b.end") == F.length("body")) & ~F.col("body").rlike(r"\n {0,3}(?:`{3,}|~{3,})[ \t]*\z")
+    content = F.when(open_, F.regexp_replace("b.content", r"\n\z", "")).otherwise(F.col("b.content"))
+    return blocks.select("report_id", "block", "b.info", first.alias("first_line"), content.alias("content")).withColumn("role", X.block_role(F.col("info"), F.col("content")))
+
+
+#: References of HTML by name, those of markup last, so that what they spell isn't read again.
+REFERENCES = (
+    ("nbsp", " "), ("copy", "\u00a9"), ("reg", "\u00ae"), ("deg", "\u00b0"), ("middot", "\u00b7"), ("laquo", "\u00ab"), ("raquo", "\u00bb"), ("times", "\u00d7"), ("sect", "\u00a7"), ("para", "\u00b6"), ("euro", "\u20ac"), ("trade", "\u2122"),
+    ("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"), ("rsquo", "\u2019"), ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("bull", "\u2022"), ("hellip", "\u2026"), ("larr", "\u2190"), ("rarr", "\u2192"), ("le", "\u2264"), ("ge", "\u2265"), ("ne", "\u2260"),
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&"),
+)
+
+
+def unreferenced(text: Column) -> Column:
+    """Text whose references are characters: by number, decimal or hexadecimal, and those of REFERENCES by name. Numbers of no character stay as they are."""
+
+    def spelled(found: Column) -> Column:
+        def one(m: Column) -> Column:
+            hexadecimal = F.regexp_extract(m["text"], "(?i)^&#x([0-9a-f]+);$", 1)
+            code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("long")).otherwise(F.regexp_extract(m["text"], "^&#([0-9]+);$", 1).try_cast("long"))
+            valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+            # what a number spells begins no other reference
+            return F.when(code == 38, "&amp;").when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(m["text"])
+
+        begin = lambda i: F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
+        parts = F.transform(found, lambda m, i: F.concat(F.substr(text, begin(i) + 1, m["start"] - begin(i)), one(m)))
+        return F.concat(F.array_join(parts, ""), F.substr(text, begin(F.size(found)) + 1, F.length(text)))
+
+    out = F.when(F.contains(text, F.lit("&#")), X.bound(matches(text, "(?i)&#(?:[0-9]{1,7}|x[0-9a-f]{1,6});"), spelled)).otherwise(text)
+    for name, char in REFERENCES:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
 
 
 def html_text(html: Column) -> Column:
@@ -74,9 +99,7 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(out, "(?i)</?code[^>]*>", "`")
     out = F.regexp_replace(out, "(?i)<(/?(p|div|li|ul|ol|h[1-6]|tr|table|blockquote|section|article)|br)\\b[^>]*>", "\n")
     out = F.regexp_replace(out, "<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, "\\n{3,}", "\n\n"))
+    return F.trim(F.regexp_replace(unreferenced(out), "\\n{3,}", "\n\n"))
 
 
 def _leaves(message, depth: int = 0) -> Iterator:

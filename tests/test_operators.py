@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import external
 from plumbline.functions import text as X
 from plumbline.functions import versions as V
-from plumbline.operators import checks, claims, fusion, joins, series, spans, traces
+from plumbline.operators import checks, claims, extraction, fusion, history, joins, lookup, scopes, series, spans, traces
 from plumbline.sources import reports
 
 
@@ -282,3 +283,82 @@ def test_patch_ladder(spark):
     df = spark.createDataFrame(rows, "report_id string, hunk int, blob int, start int, context array<string>, target array<string>, lead int, trail int")
     got = {r.report_id: r.outcome_key for r in checks.c12_patch_applies(df, lines, df.select("report_id", "hunk", F.lit(2).alias("blob"))).collect()}
     assert got == {"clean": "applies_clean", "moved": "applies_with_fuzz", "fuzzy": "applies_with_fuzz", "applied": "already_applied", "other": "other_release_only", "none": "context_not_found", "worst": "context_not_found"}
+
+
+def test_references_of_html(spark):
+    df = spark.createDataFrame([("a &lt;b&gt; &#38;lt; &#x1F600;&#233; &amp;amp; &#0; &#55296; &hellip;&nbsp;x",), ("plain",), (None,)], "t string")
+    got = [r[0] for r in df.select(reports.unreferenced(F.col("t"))).collect()]
+    assert got == ["a <b> &lt; \U0001f600\u00e9 &amp; &#0; &#55296; \u2026 x", "plain", None]
+
+
+def test_fences_of_two_kinds(spark):
+    body = "~~~\ntext with a ``` fence\n```\nstill inside\n~~~\n```c\nint x;\n\n```\n"
+    got = rows(reports.fenced_blocks(spark.createDataFrame([("r", body)], "report_id string, body string")).select("block", "info", "first_line", "content"))
+    assert got == [(0, "", 0, "text with a ``` fence\n```\nstill inside"), (1, "c", 5, "int x;\n")]
+
+
+def test_external_names(spark):
+    names = [("getline", True), ("std::sort", True), ("ns::memcpy", True), ("clock_gettime", True), ("SHA256", True), ("tokenize", False), ("isvalid", False), ("total", False), ("SSL_my_custom", False), ("my_lib_call", False)]
+    df = spark.createDataFrame(names, "name string, expected boolean")
+    assert df.where(external.is_external(F.col("name")) != F.col("expected")).collect() == []
+    assert df.where(external.is_external(F.col("name"), ["my_lib_call"]) & (F.col("name") == "my_lib_call")).count() == 1
+
+
+def test_hunks_follow_their_counts(spark):
+    diff = "--- a/x.c\n+++ b/x.c\n@@ -1,2 +1,2 @@\n--- old\n+++ new\n same\n--- a/y.c\n+++ b/y.c\n@@ -5 +5 @@\n-a\n+b\n@@ -9,3 +9,3 @@\n c\ndiff --git a/z.c b/z.c\n--- a/z.c\n+++ b/z.c\n@@ -1 +1 @@\n-d\n+e"
+    df = spark.createDataFrame([("r", 0, 0, diff)], "report_id string, patch int, start int, diff string")
+    got = [(r.hunk, r.path, [x.op + x.text for x in r.lines], r.sound) for r in extraction.patch_hunks(df).orderBy("hunk").collect()]
+    assert got == [(1, "x.c", ["--- old", "+++ new", " same"], True), (2, "y.c", ["-a", "+b"], True), (3, "y.c", [" c"], False), (4, "z.c", ["-d", "+e"], True)]
+
+
+def test_behaviors_have_functions_as_subjects(spark):
+    texts = ["The attacker calls `free_buf` here.", "`parse()` does not check the length. Then read_all() never calls `check_it`.", "A missing NULL check in `open_it`; integer overflow in mul_size().", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "report_id long, body string")
+    got = rows(extraction.behavior_claims(df).select("report_id", "subject", "predicate"))
+    assert got == [(1, "parse", "missing_bounds_check"), (2, "mul_size", "integer_overflow"), (2, "open_it", "missing_null_check")]
+
+
+def test_bare_lines_are_of_the_only_path(spark):
+    texts = ["In src/a.c the loop at line 12 runs.", "Of src/a.c and src/b.c see line 4.", "See line 7. In src/a.c.", "In src/a.c, lines 3-9; there line 5."]
+    df = spark.createDataFrame(list(enumerate(texts)), "report_id long, body string")
+    got = rows(extraction.location_claims(df).where("line IS NOT NULL").select("report_id", "path", "line"))
+    assert got == [(0, "src/a.c", 12), (3, "src/a.c", 3)]
+
+
+def test_ancestors_like_brute_force(spark):
+    rng = random.Random(8)
+    parents = {i: sorted({i - 1 if rng.random() < 0.8 else rng.randrange(i)} | ({rng.randrange(i)} if rng.random() < 0.2 else set())) for i in range(1, 60)}
+    edges = [(0, None)] + [(c, p) for c, ps in parents.items() for p in ps]
+
+    def reach(c):
+        seen, todo = {c}, [c]
+        while todo:
+            todo += [p for p in parents.get(todo.pop(), []) if p not in seen and not seen.add(p)]
+        return seen
+
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(150)] + [(3, 99), (99, 3), (5, 5)]
+    got = history.ancestors(spark.createDataFrame(edges, "commit long, parent long"), spark.createDataFrame(pairs, "older long, newer long"))
+    known = set(range(60))
+    expected = {(a, b, (a in reach(b)) if a in known and b in known else None) for a, b in pairs}
+    assert {tuple(r) for r in got.select("older", "newer", "ancestor").collect()} == expected
+
+
+def test_new_operators_of_no_rows(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    lines = empty("blob long, line_no int, line string")
+    index = lookup.word_index(lines)
+    assert lookup.provenance(empty("snippet_id long, line_no int, line string"), lines, index).collect() == []
+    assert lookup.definitions_of(empty("name string"), empty("blob long, lang string, text string"), index).collect() == []
+    assert history.ancestors(empty("commit long, parent long"), empty("older long, newer long")).collect() == []
+    assert spans.longest_first(empty("k long, start long, end long"), ["k"]).collect() == []
+    assert joins.resolve_paths(empty("cited string"), empty("path string")).collect() == []
+    assert scopes.symbols(empty("blob long, lang string, text string")).collect() == []
+    assert claims.claims_table(empty("report_id long, title string, body string")).collect() == []
+    homes = empty("k long, home long")
+    assert series.outward(empty("k long, ord long, ratio double"), homes, ["k"], 2, 0.8, 5).collect() == []
+
+
+def test_claims_of_null_and_odd_texts(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "t", ""), (3, None, "```\n"), (4, "t", "@@ \n@@ -1 +1 @@\n" * 50), (5, "", "x " * 60_000 + "`f_x` crash")], "report_id long, title string, body string")
+    got = claims.claims_table(df).where("report_id = 5").select("kind", "value").collect()
+    assert ("symbol", "f_x") in {tuple(r) for r in got}
