@@ -97,6 +97,16 @@ def base_score(vector: Column) -> Column:
     return F.when(vector.rlike("^CVSS:3\\.[01]/"), let(let(metrics, parts), lambda x: F.when(known(x), score(x))))
 
 
+#: Metrics beside the base ones, version 3: a vector that sets one has a second score, and a report may give either.
+MODIFIERS = "E RL RC CR IR AR MAV MAC MPR MUI MS MC MI MA".split()
+
+
+def modifiers(vector: Column) -> Column:
+    """The metrics beside the base ones that a vector sets to something, sorted; X sets nothing."""
+    parts = F.transform(F.split(F.upper(F.trim(vector)), "/", -1), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("key"), F.split_part(x, F.lit(":"), F.lit(2)).alias("value")))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda x: x["key"].isin(MODIFIERS) & ~x["value"].isin("X", "")), lambda x: x["key"])))
+
+
 def severity_band(score: Column, generation: int = 3) -> Column:
     if generation < 3:
         return F.when(score < 4, "low").when(score < 7, "medium").when(score.isNotNull(), "high")

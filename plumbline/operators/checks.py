@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.bugs import same_class
 from plumbline.functions.text import collapsed, path_owner, path_parts, repository
-from plumbline.functions.versions import base_score, severity_band, tag
+from plumbline.functions.versions import base_score, modifiers, severity_band, tag
 from plumbline.operators.alignment import anchored_alignment, line_likeness
 from plumbline.operators.fusion import gated
 from plumbline.operators.joins import compatible, suffix_join
@@ -416,11 +416,12 @@ def c16_fixed_in(fixes: DataFrame, digests: DataFrame, lineage: DataFrame | None
 
 
 def c17_impact(impacts: DataFrame) -> DataFrame:
-    """impacts: report_id, subject, claim_ids, vector, score, word. The vector must give the score, the word must be its band's."""
+    """impacts: report_id, subject, claim_ids, vector, score, word. The vector must give the score, the word must be its band's. A vector with metrics beside the base
+    ones has a second score, so that another number than the base score says nothing."""
     rows = impacts.withColumn("computed", base_score(F.col("vector")))
     word = F.when(F.lower("word") == "moderate", "medium").otherwise(F.lower("word"))
     band = severity_band(F.coalesce("score", "computed"))
-    key = F.when(F.col("computed").isNull(), "vector_unparseable").when(F.abs(F.col("computed") - F.col("score")) > 0.1 + 1e-9, "score_mismatch").when(word.isNotNull() & (word != band), "severity_mismatch").otherwise("consistent_impact")
+    key = F.when(F.col("computed").isNull(), "vector_unparseable").when(F.abs(F.col("computed") - F.col("score")) > 0.1 + 1e-9, F.when(F.size(modifiers(F.col("vector"))) > 0, "modified_score_possible").otherwise("score_mismatch")).when(word.isNotNull() & (word != band), "severity_mismatch").otherwise("consistent_impact")
     return evidence(rows, "C17", "impact", key)
 
 

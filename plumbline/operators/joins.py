@@ -85,6 +85,10 @@ def deletions(word, distance: int):
     return F.array_distinct(out)
 
 
+#: Characters of a cell of places and lengths.
+CELL = 8
+
+
 def suggest(names: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
     """For each name the nearest known ones: edit distance, lower-cased, of at most max(1, a quarter of its length);
     then the more shared name parts, then the word. names: name; known: word.
@@ -104,7 +108,12 @@ def suggest(names: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
     gram = lambda i: F.array(*[F.struct((i - 1).alias("at"), F.substr(F.col("low_word"), i, F.lit(n)).alias("block")) for n in (3, 4)])
     long = a.where("radius > 2").withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("radius")), piece))).select("name", "low", "radius", "p.*")
     grams = b.where(F.length("low_word") >= 3).withColumn("p", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low_word") - 2), gram)))).select("word", "low_word", "p.*")
-    met = met.drop("block").unionByName(long.join(grams, "block").where(band & (F.abs(F.col("start") - F.col("at")) <= F.col("radius"))).drop("block", "start", "at")).distinct()
+    # common pieces are hot blocks: places and lengths, in cells, are part of the key, so that a piece meets only words of about its name's length that hold it about there
+    cell = lambda x: F.floor(x / CELL).cast("int")
+    around = lambda x: F.explode(F.sequence(cell(x - F.col("radius")), cell(x + F.col("radius"))))
+    long = long.withColumn("place", around(F.col("start"))).withColumn("size", around(F.length("low")))
+    grams = grams.withColumn("place", cell(F.col("at"))).withColumn("size", cell(F.length("low_word")))
+    met = met.drop("block").unionByName(long.join(grams, ["block", "place", "size"]).where(band & (F.abs(F.col("start") - F.col("at")) <= F.col("radius"))).drop("block", "start", "at", "place", "size")).distinct()
     near = met.withColumn("distance", F.call_function("levenshtein", F.col("low"), F.col("low_word"), F.col("radius"))).where("distance >= 0")
     near = near.withColumn("shared", F.round(jaccard(name_parts(F.col("name")), name_parts(F.col("word"))), 6))
     by = Window.partitionBy("name").orderBy("distance", F.desc("shared"), "word")

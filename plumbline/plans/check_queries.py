@@ -229,6 +229,14 @@ def c16_version_range(spark, sf_dir):
     return _out(checks.c16_version_range(ranges, introduced))
 
 
+def c17_modified_scores(spark, sf_dir):
+    """Scores that are not the base score, of vectors with and without metrics beside the base ones."""
+    e = F.col("event_id")
+    vector = F.concat(F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"), F.get(F.array(F.lit(""), F.lit("/E:X"), F.lit("/E:P/RL:O"), F.lit("/MAV:L")), (e % 4).cast("int")))
+    rows = table(spark, sf_dir, "events").select(e.alias("report_id"), F.lit("impact").alias("subject"), F.array().cast("array<string>").alias("claim_ids"), vector.alias("vector"), F.when(e % 3 == 0, 8.8).otherwise(9.8).alias("score"), F.when(e % 5 == 0, "critical").alias("word"))
+    return _out(checks.c17_impact(rows))
+
+
 def c17_impact_consistency(spark, sf_dir):
     i = F.col("event_id")
     vector = F.when(i % 6 == 0, "CVSS:3.1/AV:N").otherwise(F.concat(F.lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:"), F.substr(F.lit("HLN"), (i % 3 + 1).cast("int"), F.lit(1)), F.lit("/I:H/A:H")))
@@ -265,7 +273,7 @@ def checks_to_verdicts(spark, sf_dir):
     return fusion.verdicts(rows).groupBy("label", "rule").agg(F.count("*").alias("reports"))
 
 
-QUERIES = {f.__name__: f for f in (c01_version_resolves, c02_file_exists, c03_symbol_exists, c04_line_in_bounds, c04_outcomes, c08_outcomes, c05_line_in_function, c05_nearby_release, c06_line_content, c07_snippet_provenance, c08_trace_frames, c09_trace_call_edges, c10_trace_version_fit, c11_sanitizer_sanity, c12_patch_applies, c13_fix_status, c14_option_exists, c15_commits, c15_cve_records, cwe_compat, c16_fixed_in, c16_version_range, c17_impact_consistency, c18_api_usage, c21_hygiene, checks_to_verdicts)}
+QUERIES = {f.__name__: f for f in (c01_version_resolves, c02_file_exists, c03_symbol_exists, c04_line_in_bounds, c04_outcomes, c08_outcomes, c17_modified_scores, c05_line_in_function, c05_nearby_release, c06_line_content, c07_snippet_provenance, c08_trace_frames, c09_trace_call_edges, c10_trace_version_fit, c11_sanitizer_sanity, c12_patch_applies, c13_fix_status, c14_option_exists, c15_commits, c15_cve_records, cwe_compat, c16_fixed_in, c16_version_range, c17_impact_consistency, c18_api_usage, c21_hygiene, checks_to_verdicts)}
 
 
 def _ladder(check: str, source: str, cases: str, *, gate: bool = True, factor: str = "1.0") -> str:
@@ -298,6 +306,8 @@ ORACLE_SQL = {
     + _ladder("C06", "b", "CASE WHEN off = 0 THEN 'exact' WHEN off <= 3 THEN 'near_by_offset' WHEN elsewhere THEN 'elsewhere_in_file' WHEN ever THEN 'other_release_only' ELSE 'nowhere_in_history' END", gate=False),
     "c04_outcomes": f"WITH {_E}, x AS (SELECT *, {LINE_CLAIMS.replace('event_id', 'report_id')} AS subject, report_id % 4 <> 0 OR doc % 17 = 3 AS fits FROM j WHERE doc_id IS NOT NULL AND here), "
     + _ladder("C04", "x", "CASE WHEN fits AND doc % 11 <> 0 AND report_id % 30 + 1 <= n_lines THEN 'in_bounds' WHEN doc % 19 = 0 THEN 'generated_or_release_only' WHEN fits AND doc % 11 <> 0 THEN 'past_end' WHEN NOT fits THEN 'other_file' ELSE 'not_a_regular_file' END"),
+    "c17_modified_scores": """SELECT event_id AS report_id, 'impact' AS subject, k AS outcome_key, CASE k WHEN 'consistent_impact' THEN 'NEUTRAL' WHEN 'modified_score_possible' THEN 'NEUTRAL' ELSE 'REFUTES' END AS outcome, (CASE k WHEN 'score_mismatch' THEN -0.6 WHEN 'severity_mismatch' THEN -0.3 ELSE 0 END)::DOUBLE AS strength
+ FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'consistent_impact' WHEN event_id % 4 > 1 THEN 'modified_score_possible' ELSE 'score_mismatch' END AS k FROM events)""",
     "c08_outcomes": f"""WITH {_D}, e AS (SELECT event_id AS r, unnest(range(4)) AS i FROM events),
  s AS (SELECT r, CASE WHEN i = 1 THEN 'third_party' WHEN i = 2 AND r % 4 = 0 THEN 'third_party' WHEN i = 2 AND r % 2 = 0 THEN 'inconsistent' WHEN i = 3 AND r % 3 = 0 AND d.doc_id IS NOT NULL AND d.doc_id % 12 <= r % 12 THEN 'uncertain' ELSE {_STATUS.format(m='r % 12')} END AS st FROM e LEFT JOIN d ON d.doc_id = (r + i) % 1100)
  SELECT r AS report_id, count(*) FILTER (st = 'consistent') AS consistent, count(*) FILTER (st = 'inconsistent') AS inconsistent, count(*) FILTER (st = 'uncertain') AS uncertain, count(*) FILTER (st = 'third_party') AS third_party FROM s GROUP BY r""",
