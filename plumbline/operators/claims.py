@@ -31,11 +31,29 @@ BUG_WORDS = (
 MOST = 500
 
 
+#: Words whose line, with a colon, tells facts of the report rather than its subject.
+LABELS = ("affected", "severity", "component", "version")
+
+
+def _tells_facts(line: Column) -> Column:
+    """Whether a paragraph of one line is a list of facts, such as versions and scores."""
+    low = F.lower(line)
+    label = F.exists(F.array(*[F.lit(w) for w in LABELS]), lambda w: F.rlike(low, F.concat(F.lit(r"(?<!\w)"), w, F.lit(r"s? {0,2}:"))))
+    marked = line.startswith("**") | line.startswith("|") | line.startswith(">") | F.contains(line, F.lit(":**"))
+    return ~F.contains(line, F.lit("\n")) & (marked | low.rlike(r"(?<!\w)cvss(?!\w)") | label)
+
+
 def _lead_end(body: Column) -> Column:
-    """Where the first paragraph after leading comments and a heading ends."""
+    """Where the first paragraph after leading comments and a heading ends; after a line of facts the next one counts too."""
     head = F.length(F.regexp_extract(body, r"\A(?:\s*<!--(?s:.*?)-->)*\s*(?:#[^\n]*\n?\s*)?", 0))
-    blank = F.instr(F.substr(body, head + 1), "\n\n")
-    return F.when(blank > 0, head + blank).otherwise(F.length(body))
+
+    def first(blank: Column) -> Column:
+        whole = F.length(body)
+        after = F.instr(F.substr(body, head + blank + 2), "\n\n")
+        facts = _tells_facts(F.trim(F.substr(body, head + 1, blank - 1)))
+        return F.when(blank == 0, whole).when(facts, F.when(after > 0, head + blank + 1 + after).otherwise(whole)).otherwise(head + blank)
+
+    return T.bound(F.instr(F.substr(body, head + 1), "\n\n"), first)
 
 
 def _read(kind, extractor, value, confidence, provenance) -> Column:

@@ -362,3 +362,16 @@ def test_claims_of_null_and_odd_texts(spark):
     df = spark.createDataFrame([(1, None, None), (2, "t", ""), (3, None, "```\n"), (4, "t", "@@ \n@@ -1 +1 @@\n" * 50), (5, "", "x " * 60_000 + "`f_x` crash")], "report_id long, title string, body string")
     got = claims.claims_table(df).where("report_id = 5").select("kind", "value").collect()
     assert ("symbol", "f_x") in {tuple(r) for r in got}
+
+
+def test_lead_paragraph_after_a_line_of_facts(spark):
+    texts = ["# T\n\n**Affected:** 1.2.3, CVSS 9.8\n\n`first_one` here.\n\n`second_one` there.", "`first_one` here.\n\n`second_one` there.", "Severity: high\n\n`first_one`", "one paragraph `first_one`"]
+    df = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "report_id long, title string, body string")
+    got = rows(claims.extract_claims(df).where("kind = 'symbol' AND role = 'core'").select("report_id", "value"))
+    assert got == [(0, "first_one"), (1, "first_one"), (2, "first_one"), (3, "first_one")]
+
+
+def test_sentences_reach_600_characters(spark):
+    body = "Intro.\n\nIn `helper_x()` " + "and so on " * 20 + "there is a heap overflow."
+    df = spark.createDataFrame([(1, "t", body)], "report_id long, title string, body string")
+    assert rows(claims.extract_claims(df).where("kind = 'symbol'").select("value", "role")) == [("helper_x", "core")]
