@@ -51,6 +51,11 @@ def discard(*frames: DataFrame | None) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(df: DataFrame, *kept: str) -> DataFrame:
+    """df with numbers for the names of all columns but some: functions over Arrow batches look columns up by name, which fails for names with dots."""
+    return df.toDF(*[name if name in kept else f"_{i}" for i, name in enumerate(df.columns)])
+
+
 def fresh(df: DataFrame, name: str, *others: str) -> str:
     """A column name that neither df nor the others have."""
     taken = {c.lower() for c in (*df.columns, *others)}

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from plumbline.llm.common import numbered
+
 #: Common words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its more no not of on
@@ -242,16 +244,18 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with text (the main text of the column) and n_chars (its code points); the column itself is dropped."""
-    kept = [f for f in pages.schema.fields if f.name not in (column, "text", "n_chars")]
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    names = [f.name for f in pages.schema.fields if f.name not in (column, "text", "n_chars")]
+    rows = numbered(pages.select(*map(quoted, names), quoted(column)))
+    kept = rows.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p.as_py()) for p in batch.column(column)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), "text", "n_chars"])
+            texts = [main_text(p.as_py()) for p in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in kept), "text", "n_chars"])
 
     schema = StructType([*kept, StructField("text", StringType()), StructField("n_chars", LongType())])
-    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
-    return pages.select(*(quoted(f.name) for f in kept), quoted(column)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, "text", "n_chars")
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:

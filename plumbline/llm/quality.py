@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fraction_of, id_crc, mixed, sliced, word_hashes
+from plumbline.llm.common import fraction_of, id_crc, mixed, numbered, sliced, word_hashes
 
 BITS, SCALE, BOUND, THRESHOLD = 18, 24.0, 6000, 0.3
 #: Bytes map to themselves but for ASCII white space: letter case and marks are what tells good from bad.
@@ -121,7 +121,8 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
                 yield batch.slice(at, len(ids)).filter(pa.array(held.value.scores(texts) >= threshold))
                 at += len(ids)
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs, "doc_id", "text")
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def fold() -> Column:

@@ -200,3 +200,10 @@ def test_pages_keep_columns_of_any_name(spark):
     pages = spark.createDataFrame([(1, "u", f"<article><p>{KEPT}</p></article>", 3)], "page_id long, url string, html string, `a.b` int")
     row = H.extract(pages).collect()[0]
     assert (row["a.b"], row.text) == (3, KEPT)
+
+
+def test_good_documents_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, ("a good text of words " if i % 2 else "%% xx 11 ") * 9, i) for i in range(40)], "doc_id long, text string, `a.b` long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, quality.train(docs, labels))
+    assert kept.columns == docs.columns and {(r.doc_id, r["a.b"]) for r in kept.collect()} == {(i, i) for i in range(1, 40, 2)}
