@@ -81,7 +81,7 @@ def test_run_gives_the_last_stage(spark, stages):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_like_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got = registry.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
