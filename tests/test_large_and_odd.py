@@ -11,3 +11,13 @@ def test_blocks_share_the_most_tokens():
     assert alignment.shared(["the", "old", "cat", "sat", "on", "a", "mat"], words) == 5
     assert alignment.shared("a b c c e f g".split(), "a b c c c e f g".split()) == 7
     assert alignment.shared([], ["a"]) == 0 and alignment.shared(["a"], []) == 0 and alignment.shared(None, ["a"]) == 0
+
+
+def test_the_likest_line_counts_before_the_nearest(spark):
+    from plumbline.operators import checks
+
+    text = "value of the register number one"
+    lines = spark.createDataFrame([(1, 1, text + "s"), (1, 2, text.replace("one", "two")), (1, 3, text)], "blob long, line_no int, text string")
+    quotes = spark.createDataFrame([(7, "q", [], 1, 2, text)], "report_id long, subject string, claim_ids array<string>, blob long, line int, quoted string")
+    # the cited line is alike, the lines beside it hold the quote
+    assert checks.c06_line_content(quotes, lines, lines.select("text").limit(0)).first()["outcome_key"] == "near_by_offset"
