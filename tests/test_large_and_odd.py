@@ -28,3 +28,11 @@ def test_sentences_keep_their_digits(spark):
 
     df = spark.createDataFrame([("0997 is first. 1 is second 1!   \n\n Third.",)], "t string")
     assert df.select(claims.sentences(F.col("t"))).first()[0] == ["0997 is first.", "1 is second 1!", "Third."]
+
+
+def test_versions_of_many_digits(spark):
+    from plumbline.operators import extraction
+
+    df = spark.createDataFrame([(1, "t", "It shows from 1.123456.0 to 1.123456.9 and in tag curl-8_123456_0; so.")], "report_id long, title string, body string")
+    rows = extraction.version_claims(df).orderBy("start").collect()
+    assert [(r["raw"], r["lower"], r["upper"], r["parsed"]) for r in rows] == [("from 1.123456.0 to 1.123456.9", "1.123456.0", "1.123456.9", None), ("curl-8_123456_0", None, None, "8.123456.0")]
