@@ -33,9 +33,9 @@ def _planted(body: Column, kind: Column, pick: Column) -> Column:
 
 
 def mutated(reports: DataFrame, seeds: int = 3) -> DataFrame:
-    """report_id, kind, seed, expected, body and applied, for every report, kind and seed."""
+    """report_id, kind, seed, expected, body, original (the body before) and applied, for every report, kind and seed."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("expected")) for k, v in KINDS.items()])
     spread = reports.select("report_id", "body", F.explode(kinds).alias("m")).select("report_id", "body", "m.kind", "m.expected", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
     pick = F.pmod(F.crc32(F.concat_ws(":", "report_id", "kind", "seed").cast("binary")), F.lit(100)).cast("string")
     out = spread.withColumn("new", _planted(F.col("body"), F.col("kind"), pick))
-    return out.select("report_id", "kind", "seed", "expected", F.col("new").alias("body"), (F.col("new") != F.col("body")).alias("applied"))
+    return out.select("report_id", "kind", "seed", "expected", F.col("new").alias("body"), F.col("body").alias("original"), (F.col("new") != F.col("body")).alias("applied"))

@@ -61,10 +61,9 @@ def outcome_features(spark, sf_dir):
 
 def planted_places(spark, sf_dir):
     """What each kind of planted mistake changes in reports that have places for most."""
-    rows = claim_table_queries.reports(spark, sf_dir)
-    found = mutations.mutated(rows).join(rows.select("report_id", F.col("body").alias("old")), "report_id")
+    found = mutations.mutated(claim_table_queries.reports(spark, sf_dir))
     marks = {"M1": "_impl", "M3": "1.9", "M5": " x /* ", "M6": "-planted"}
-    held = F.coalesce(*[F.when(F.col("kind") == k, F.contains("body", F.lit(m)) & ~F.contains("old", F.lit(m))) for k, m in marks.items()], F.lit(False))
+    held = F.coalesce(*[F.when(F.col("kind") == k, F.contains("body", F.lit(m)) & ~F.contains("original", F.lit(m))) for k, m in marks.items()], F.lit(False))
     return found.groupBy("kind").agg(F.count("*").alias("cases"), F.count_if("applied").alias("applied"), F.count_if(held & F.col("applied")).alias("marked"))
 
 

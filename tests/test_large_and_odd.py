@@ -36,3 +36,10 @@ def test_versions_of_many_digits(spark):
     df = spark.createDataFrame([(1, "t", "It shows from 1.123456.0 to 1.123456.9 and in tag curl-8_123456_0; so.")], "report_id long, title string, body string")
     rows = extraction.version_claims(df).orderBy("start").collect()
     assert [(r["raw"], r["lower"], r["upper"], r["parsed"]) for r in rows] == [("from 1.123456.0 to 1.123456.9", "1.123456.0", "1.123456.9", None), ("curl-8_123456_0", None, None, "8.123456.0")]
+
+
+def test_planted_reports_meet_no_second_copy_of_their_bodies(spark, sf):
+    from plumbline.plans import registry
+
+    plan = registry.QUERIES["planted_places"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
