@@ -43,3 +43,20 @@ def test_planted_reports_meet_no_second_copy_of_their_bodies(spark, sf):
 
     plan = registry.QUERIES["planted_places"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_what_literals_are_looked_up_in_is_not_broadcast(spark):
+    from plumbline.operators import lookup
+
+    rows = [(blob, 1, f"same line of all, number {blob % 2}") for blob in range(30)] + [(30, 1, "call foo(); now"), (31, 1, "call xfoo(); now"), (32, 1, "of all")]
+    lines = spark.createDataFrame(rows, "blob long, line_no int, line string")
+    wanted = spark.createDataFrame([(1, 0, "same line of all, number 1"), (1, 1, "number"), (2, 0, "foo()"), (3, 0, "of all"), (4, 0, "gone from all"), (5, 0, "--")], "snippet_id long, rank int, probe string")
+    index = lookup.word_index(lines)
+    found = lookup.found(wanted, index, lines)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    held = {(r["snippet_id"], r["rank"]): set() for r in wanted.collect()}
+    for r in found.collect():
+        held[r["snippet_id"], r["rank"]].add(r["blob"])
+    assert held == {(1, 0): set(range(1, 30, 2)), (1, 1): set(range(30)), (2, 0): {30}, (3, 0): {*range(30), 32}, (4, 0): set(), (5, 0): set()}
+    near = lookup.candidates(wanted, index, lines, 12).where("snippet_id IN (1, 3)").orderBy("snippet_id", "place").collect()
+    assert [r["blob"] for r in near] == [*range(1, 24, 2), *range(12)] and {r["rank"] for r in near} == {0}
