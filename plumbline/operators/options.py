@@ -44,6 +44,8 @@ def c14_options(claims: DataFrame, targets: DataFrame, tree: DataFrame, lines: D
 
     Blobs, not files of releases, are indexed by words; options, their name forms and their lower-cased spelling are looked up by their rarest word. Present as written; else
     named only (one form of a flag, all parts of a key); else in another release, where a file that is generated decides nothing; else in no release but in history, or there in another case."""
+    # what files and blobs come to is not known beforehand: none of it is broadcast
+    tree = tree.hint("merge")
     rows = checks.subjects(claims, ["option"]).join(targets, "report_id", "left").withColumn("option_kind", option_kind(F.col("subject")))
     tokens = rows.select("subject").distinct()
     exact = _lookup(tokens.select("subject", F.col("subject").alias("probe")), lines).select("subject", "blob").distinct().join(tree, "blob")
