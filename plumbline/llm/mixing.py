@@ -11,9 +11,10 @@ The kind is followed online: after every KIND_STEP words of a text, to its end,
 mixtures of words the text most resembles.
 
 What is learned grows with the training texts. Counters come from all of them, by way of their word counts, in 2**LEAST_BITS slots or, up to
-2**MOST_BITS, as many as there are distinct words. The kinds come from one text in KIND_SHARE (all of few), by expectation maximisation whose sums Spark
-adds up. The gated weights and the map are trained online, word by word in small groups, on one word occurrence in SHARE (but on LEAST_SAMPLE of
-few), each left out of its own counters: tasks of about TASK_SAMPLE occurrences go on from the same weights, which are averaged after each round.
+2**MOST_BITS, as many as there are distinct words. The kinds come from all of them too, by expectation maximisation whose sums Spark
+adds up; only where it starts is taken from a few texts. The gated weights and the map are trained online, in small groups of words, on every word occurrence,
+each left out of its own counters: every distinct (word, kind) pair is met with the weight of its count, in units of UNIT occurrences (smaller
+ones for few, so that there are LEAST_UNITS), a frequent pair once for each unit. Tasks of about TASK_UNITS units go on from the same weights, which are averaged after each round.
 Predictors then stay as they are, so that a text's score depends on the training texts alone.
 
 Contexts end at a word's start, but for repeats and the kind; the README gives what contexts over words before would have cost.
@@ -39,14 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER_AND_SPACE, discard, fraction_of, id_crc, mixed, powers, sliced, staged
+from plumbline.llm.common import LOWER_AND_SPACE, discard, id_crc, mixed, powers, sliced, staged
 
 #: log2 of the counters' slots, least and most (5 bytes a slot are broadcast); for each predictor the reach in bytes (-1: the whole word so far) and whether it knows the kind.
 LEAST_BITS, MOST_BITS = 22, 24
 PREDICTORS = ((1, True), (2, True), (3, True), (4, False), (-1, False), (-1, True))
-SHARE, LEAST_SAMPLE, TASK_SAMPLE, ROUNDS = 400, 20_000, 20_000, 2
+UNIT, LEAST_UNITS, TASK_UNITS, ROUNDS = 400, 20_000, 20_000, 1
 FREQUENT, KEPT_COUNTS = 150_000, 150_000
-KINDS, KIND_SHARE, KIND_TEXTS, KIND_WORDS, KIND_STEP, KIND_ROUNDS = 12, 40, 800, 1000, 8, 10
+KINDS, KIND_WORDS, KIND_STEP, KIND_ROUNDS = 12, 1000, 8, 10
 #: Texts that the mixtures start from: the ones that lie farthest apart among so many.
 START_TEXTS = 400
 CLIP, MAP_STEPS, MAP_CONTEXTS, GATES = 12.0, 33, 256, 64
@@ -226,13 +227,15 @@ class Mixer:
         gate = _gates(self.seen[slots[-1]], self.seen[slots[2]], s.place[part])
         return bits, self.predict(self.inputs[slots], gate, s.last[part])[-1]
 
-    def learn(self, words: list[bytes], kinds: np.ndarray, counts: tuple[np.ndarray, np.ndarray], rate: float = 0.02, group: int = 24, seed: int = 7) -> None:
-        """Trains weights and map on word occurrences, each left out of its own counters (zeros and ones)."""
+    def learn(self, words: list[bytes], kinds: np.ndarray, units: np.ndarray, counts: tuple[np.ndarray, np.ndarray], rate: float = 0.02, group: int = 24, seed: int = 7) -> None:
+        """Trains weights and map on words that weigh so many units each (at most 1), each left out of its own counters (zeros and ones)."""
         rows = np.arange(len(words))
         np.random.default_rng(seed).shuffle(rows)
         n, flat_map = self.hits, self.map.ravel()
-        for a in range(0, len(rows), group):
-            at = rows[a : a + group]
+        # groups weigh about as many units as words of a whole unit each would
+        edges = np.flatnonzero(np.diff(np.cumsum(units[rows]) // group, prepend=-1))
+        for a, b in zip(edges, [*edges[1:], len(rows)], strict=True):
+            at = rows[a:b]
             s = spelled([words[i] for i in at], kinds[at])
             for part in chunks(s):
                 bits, slots = bits_of(s, part, self.log2)
@@ -241,15 +244,16 @@ class Mixer:
                 x = _inputs(zeros, ones)
                 gate = _gates(_seen(zeros[-1] + ones[-1]), _seen(zeros[2] + ones[2]), s.place[part])
                 first, context, share, _ = self.predict(x, gate, s.last[part])
-                error = bits - first
+                unit = np.repeat(units[at][s.owner[part]], 8).reshape(bits.shape)
+                error = (bits - first) * unit
                 step = np.zeros(self.weights.shape)
                 flat = gate.ravel()
                 for k in range(len(PREDICTORS)):
                     step[:, k] = np.bincount(flat, (x[k] * error).ravel(), GATES)
-                self.weights += (rate * step / np.sqrt(np.maximum(np.bincount(flat, minlength=GATES), 1))[:, None]).astype(np.float32)
-                for side, amount in ((context, 1 - share), (context + 1, share)):
-                    np.add.at(n, side, amount)
-                    np.add.at(flat_map, side, (amount * (bits - flat_map[side]) / (n[side] + 12)).astype(np.float32))
+                self.weights += (rate * step / np.sqrt(np.maximum(np.bincount(flat, unit.ravel(), GATES), 1))[:, None]).astype(np.float32)
+                for side, amount in ((context, (1 - share) * unit), (context + 1, share * unit)):
+                    n += np.bincount(side.ravel(), amount.ravel(), len(n)).astype(np.float32)
+                    flat_map += np.bincount(side.ravel(), (amount * (bits - flat_map[side]) / (n[side] + 12)).ravel(), len(flat_map)).astype(np.float32)
 
     def averaged(self, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Takes on the weights that several tasks went on to (occurrences, weights, map, hits), by how much each has learned from."""
@@ -363,11 +367,9 @@ SCORED = "word binary, c long, base double, cost array<float>"
 
 
 def mixtures(docs: DataFrame, training: Column) -> Kinds:
-    """The kinds of a share of the training texts: its most frequent words, then mixtures of them, each round's sums added up by Spark."""
+    """The kinds of the training texts: their most frequent words, then mixtures of them, each round's sums added up by Spark."""
     spark = docs.sparkSession
-    rows = docs.where(training & F.col("text").isNotNull()).select("doc_id", "text")
-    share = max(1 / KIND_SHARE, KIND_TEXTS / max(1, rows.count()))
-    texts = staged(rows.where(fraction_of(F.concat_ws(":", F.col("doc_id"), F.crc32(F.col("text").cast("binary")))) < share).select("text"))
+    texts = docs.where(training & F.col("text").isNotNull()).select("text")
 
     def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -387,18 +389,16 @@ def mixtures(docs: DataFrame, training: Column) -> Kinds:
         for batch in batches:
             lists = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                at = np.fromiter(map(place.get, split(text)[:-1], repeat(-1)), np.int64)
-                lists.append(at[at >= 0].tolist())
+                at = np.fromiter(map(place.get, split(text)[:-1], repeat(-1)), np.int32)
+                lists.append(at[at >= 0])
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], names=["bag"])
 
     bagged = staged(texts.mapInArrow(bags, "bag array<int>").where(F.size("bag") > 5))
 
     def grid(column: pa.Array) -> np.ndarray:
-        lists = column.to_pylist()
-        out = np.zeros((len(lists), len(top)), np.float32)
-        for row, bag in zip(out, lists, strict=True):
-            np.add.at(row, bag, 1)
-        return out
+        size, at = column.value_lengths().to_numpy(), column.flatten().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        return np.bincount(row * len(top) + at, minlength=len(size) * len(top)).reshape(len(size), len(top)).astype(np.float32)
 
     first = bagged.orderBy(F.xxhash64("bag"), "bag").limit(START_TEXTS).toArrow().column("bag").combine_chunks()
     kinds = Kinds.started(top, grid(first))
@@ -418,25 +418,29 @@ def mixtures(docs: DataFrame, training: Column) -> Kinds:
         out[added.column("kind").to_numpy(), added.column("at").to_numpy()] = added.column("x").to_numpy()
         kinds = Kinds(top, out)
         held.destroy()
-    discard(texts, bagged)
+    discard(bagged)
     return kinds
 
 
 LEARNED = "n long, weights binary, map binary, hits binary"
 
 
+def units_met(vocabulary: DataFrame, n: int, size: int) -> DataFrame:
+    """Every (word, kind) pair that occurs, its share of `size` units of all n occurrences: word, kind, unit, one; a pair of more than one unit in several rows, which share evenly."""
+    units = F.col("n") * (size / n)
+    times = F.ceil(units).cast("int")
+    pairs = vocabulary.where("c > 0").select("word", F.posexplode(F.array(*[f"k{k}" for k in range(KINDS)])).alias("kind", "n")).where("n > 0")
+    return pairs.select("word", "kind", (units / times).alias("unit"), F.explode(F.sequence(F.lit(1), times)).alias("one"))
+
+
 def mixed_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray, n: int) -> Mixer:
-    """Weights and map, trained in tasks on a share of all word occurrences and averaged after each round."""
+    """Weights and map, trained in tasks on all word occurrences and averaged after each round."""
     spark = vocabulary.sparkSession
     model = Mixer.new(zeros, ones)
-    size = max(LEAST_SAMPLE, n // SHARE)
-    expected = F.col("n") * (size / n)
-    pairs = vocabulary.where("c > 0").select("word", F.posexplode(F.array(*[f"k{k}" for k in range(KINDS)])).alias("kind", "n")).where("n > 0")
-    key = F.concat(F.hex("word"), F.lit(":"), "kind")
-    # whole occurrences by count, and one more with the probability of what is left
-    times = F.floor(expected) + (fraction_of(key) < expected - F.floor(expected)).cast("int")
-    tasks = max(1, size // TASK_SAMPLE)
-    drawn = staged(pairs.withColumn("times", times.cast("int")).where("times > 0").withColumn("one", F.explode(F.sequence(F.lit(1), F.col("times")))).select("word", "kind", F.pmod(F.xxhash64("word", "kind", "one"), F.lit(tasks)).cast("int").alias("task")))
+    size = max(LEAST_UNITS, n // UNIT)
+    tasks = max(1, size // TASK_UNITS)
+    met = units_met(vocabulary, n, size)
+    drawn = staged(met.select("word", "kind", "unit", F.pmod(F.xxhash64("word", "kind", "one"), F.lit(tasks)).cast("int").alias("task")))
     counts = spark.sparkContext.broadcast((zeros, ones))
 
     def learner(turn: int, state: tuple[np.ndarray, np.ndarray, np.ndarray]):
@@ -444,7 +448,7 @@ def mixed_weights(vocabulary: DataFrame, zeros: np.ndarray, ones: np.ndarray, n:
             order = table.sort_by([("word", "ascending"), ("kind", "ascending")])
             weights, map_, hits = (x.copy() for x in state)
             own = Mixer(weights, map_, np.empty(len(counts.value[0]), np.uint8), np.zeros(0, np.uint8), hits)
-            own.learn(order.column("word").to_pylist(), order.column("kind").to_numpy(), counts.value, rate=0.02 / (1 + turn), seed=7 + turn)
+            own.learn(order.column("word").to_pylist(), order.column("kind").to_numpy(), order.column("unit").to_numpy(), counts.value, rate=0.02 / (1 + turn), seed=7 + turn)
             return pa.table({"n": [table.num_rows], "weights": [own.weights.tobytes()], "map": [own.map.tobytes()], "hits": [own.hits.tobytes()]})
 
         return run

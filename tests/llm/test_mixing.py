@@ -1,9 +1,11 @@
-"""Mixing: the kind is followed to the end of a text."""
+"""Mixing: the kind is followed to the end of a text; all training texts are learned from."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from plumbline.llm import mixing
 from plumbline.llm.mixing import KIND_STEP, Kinds
 
 
@@ -36,3 +38,21 @@ def test_kind_is_that_of_all_words_before_the_step():
         seen = words[: n // KIND_STEP * KIND_STEP]
         total = kinds.start + sum((kinds.rows[kinds.place.get(w, -1)] for w in seen), np.zeros(2))
         assert found[n] == np.argmax(total)
+
+
+def test_kinds_come_from_every_training_text(spark, monkeypatch):
+    """The most frequent words are those of all 3,000 texts: one that only a few texts have, but often, is among them."""
+    monkeypatch.setattr(mixing, "KIND_WORDS", 50)
+    monkeypatch.setattr(mixing, "KIND_ROUNDS", 1)
+    docs = spark.createDataFrame([(i, "a b c d e f " + (f"seldom{i // 60} " * 90 if i % 60 == 0 else f"x{i}")) for i in range(3000)], "doc_id long, text string")
+    kinds = mixing.mixtures(docs, F.lit(True))
+    assert set(kinds.place) == {*b"a b c d e f".split(), *(b"seldom%d" % k for k in sorted(range(50), key=str)[:44])}
+
+
+def test_every_occurrence_is_learned_from(spark):
+    """Words of less than one unit are met too: each pair's units add up to its share of all occurrences."""
+    rows = [(f"r{i}".encode(), 1, *([1] + [None] * (mixing.KINDS - 1))) for i in range(200)] + [(b"often", 90_000, *([None] * (mixing.KINDS - 1) + [90_000]))]
+    schema = "word binary, c long, " + ", ".join(f"k{k} long" for k in range(mixing.KINDS))
+    met = mixing.units_met(spark.createDataFrame(rows, schema), 90_200, 225).groupBy("word").agg(F.sum("unit").alias("units"), F.max("unit").alias("most")).collect()
+    assert len(met) == 201
+    assert all(abs(r.units - (90_000 if bytes(r.word) == b"often" else 1) * 225 / 90_200) < 1e-6 and r.most <= 1 for r in met)
