@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import lines_of
 from plumbline.operators import spans
+from plumbline.staging import dealt
 
 #: How a trace of each format begins; group 1 is what went wrong, group 2 the message.
 HEADERS = (
@@ -50,6 +51,10 @@ LABELS = (("alloc", r"allocated by|was created by|Uninitialized value was create
 RUNTIME = r"^(?:__asan_|__interceptor_|__sanitizer|__libc_|_start$|abort$|raise$|java\.|jdk\.|sun\.|runtime\.|std::|core::|node:|rust_begin_unwind|panic\()"
 
 
+#: Reports in one part.
+REPORTS_EACH = 25_000
+
+
 def _follows(name: str) -> Column:
     """An error's name and message begin a trace of one format only before a frame: they also end tracebacks of another one."""
     return F.coalesce(F.col("next").rlike(r"^\s+at "), F.lit(False)) if name == "node" else F.lit(True)
@@ -67,7 +72,7 @@ def trace_lines(reports: DataFrame, text: str = "body") -> DataFrame:
         label = F.when(line.rlike(pattern), F.lit(name)).otherwise(label)
     by = Window.partitionBy("report_id").orderBy("line_no")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = reports.select("report_id", F.posexplode(lines_of(F.col(text))).alias("line_no", "line")).withColumn("next", F.lead("line").over(by)).withColumn("header", header).withColumn("label", F.when(F.col("header").isNull(), label))
+    rows = dealt(reports.select("report_id", text), "report_id", REPORTS_EACH).select("report_id", F.posexplode(lines_of(F.col(text))).alias("line_no", "line")).withColumn("next", F.lead("line").over(by)).withColumn("header", header).withColumn("label", F.when(F.col("header").isNull(), label))
     rows = rows.withColumn("trace_no", F.count("header").over(so_far)).withColumn("format", F.last("header", ignorenulls=True).over(so_far))
     within = Window.partitionBy("report_id", "trace_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     # the first goroutine is the one that broke
@@ -168,14 +173,19 @@ def sanity(found: DataFrame, stacks: DataFrame) -> DataFrame:
     Rules: one process id; frames numbered from 0 without gaps; addresses of header, access and region equal, but for an address clamped to the region's
     end; the region's size and distance fit its bounds; the summary names a top frame; bugs of freed or allocated memory show the
     stacks they need; the access has a possible size."""
-    by = Window.partitionBy("report_id", "trace_no", "stack_no").orderBy("line_no")
-    numbered = stacks.where("shown_index IS NOT NULL").withColumn("step", F.col("shown_index") - F.coalesce(F.lag("shown_index").over(by), F.lit(-1)))
-    gaps = numbered.groupBy("report_id", "trace_no").agg(F.bool_and(F.col("step") == 1).alias("frames_numbered"))
-    app = stacks.where("stack_no = 0 AND NOT is_runtime").groupBy("report_id", "trace_no").agg(F.min_by("function", "index").alias("app_function"), F.min_by("line", "index").alias("app_line"))
-    top = stacks.where("stack_no = 0 AND index = 0").groupBy("report_id", "trace_no").agg(F.max("function").alias("top_function"))
-    kinds = stacks.groupBy("report_id", "trace_no").agg(F.bool_or(F.col("stack") == "alloc").alias("has_alloc"), F.bool_or(F.col("stack") == "free").alias("has_free"))
+    before = Window.partitionBy("report_id", "trace_no", "stack_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.col("shown_index") - F.coalesce(F.last("shown_index", ignorenulls=True).over(before), F.lit(-1))
+    app = F.min(F.when((F.col("stack_no") == 0) & ~F.col("is_runtime"), F.struct("index", "function", "line")))
     key = ["report_id", "trace_no"]
-    rows = found.join(gaps, key, "left").join(app, key, "left").join(top, key, "left").join(kinds, key, "left")
+    shown = stacks.withColumn("step", step).groupBy(*key).agg(
+        F.bool_and(F.when(F.col("shown_index").isNotNull(), F.col("step") == 1)).alias("frames_numbered"),
+        app["function"].alias("app_function"),
+        app["line"].alias("app_line"),
+        F.max(F.when((F.col("stack_no") == 0) & (F.col("index") == 0), F.col("function"))).alias("top_function"),
+        F.bool_or(F.col("stack") == "alloc").alias("has_alloc"),
+        F.bool_or(F.col("stack") == "free").alias("has_free"),
+    )
+    rows = found.join(shown, key, "left")
     asan = F.col("format") == "asan"
     size = F.col("region_end") - F.col("region_start")
     distance = F.when(F.col("relation") == "after", F.col("region_address") - F.col("region_end")).when(F.col("relation") == "before", F.col("region_start") - F.col("region_address")).when(F.col("relation") == "inside", F.col("region_address") - F.col("region_start"))
