@@ -1,89 +1,115 @@
 """Commit graphs: which commits are in the history of which.
 
 Histories are long and mostly straight. Runs of commits with one parent whose parent has one child become segments first, by pointer doubling: a run of n takes log2(n)
-rounds. A commit's label is its segment and its place there; within a segment, places answer alone. Between segments, frontiers of (question, segment, place) walk back over the
-segments' parents, all questions at once, each segment at most once a question and place; generations of segments stop a walk that is past what it looks for. Every round is written, so lineage stays short."""
+rounds. A commit's label is its segment and its place there; within a segment, places answer alone. A segment's level is its generation and two words of bits, one in each for every segment of its
+history: most questions are refused by them without a walk. For the others, frontiers of (question, segment) walk back over the segments' parents, all questions at once, each segment at most
+once a question, and only where the level leaves the older commit possible. Every round is written, so lineage stays short."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.staging import staged
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def segments(parents: DataFrame) -> DataFrame:
     """commit, segment (the oldest commit of its straight run) and place in it (from 0). parents: commit, parent (null for a root), one row for each."""
-    edges = parents.where("parent IS NOT NULL").select("commit", "parent").distinct()
-    one_parent = edges.groupBy("commit").agg(F.count("*").alias("n")).where("n = 1").select("commit")
-    one_child = edges.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select("parent")
-    straight = edges.join(one_parent, "commit", "left_semi").join(one_child, "parent", "left_semi")
-    every = parents.select("commit").unionByName(edges.select(F.col("parent").alias("commit"))).distinct()
-    at = staged(every.join(straight, "commit", "left").select("commit", F.coalesce("parent", "commit").alias("up"), F.col("parent").isNotNull().cast("long").alias("steps")))
-    while True:
-        above = at.select(F.col("commit").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
-        at = staged(at.join(above, "up").select("commit", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
-        if not at.where("moved").limit(1).count():
-            return at.select("commit", F.col("up").alias("segment"), F.col("steps").alias("place"))
+    parents = staged(parents.select("commit", "parent"))
+    edges = parents.where("parent IS NOT NULL")
+    one_parent = edges.groupBy("commit").agg(F.min("parent").alias("least"), F.max("parent").alias("most")).where("least = most").select("commit")
+    one_child = edges.groupBy("parent").agg(F.min("commit").alias("commit"), F.max("commit").alias("most")).where("commit = most").select("commit", "parent")
+    none = F.lit(None).cast(parents.schema["parent"].dataType)
+    every = parents.select("commit", none.alias("up")).unionByName(edges.select(F.col("parent").alias("commit"), none.alias("up")))
+    at = staged(every.unionByName(one_child.join(one_parent, "commit", "left_semi").withColumnRenamed("parent", "up")).groupBy("commit").agg(F.max("up").alias("up")))
+    done = [at.where("up IS NULL").select("commit", F.col("commit").alias("segment"), F.lit(0).cast("long").alias("place"))]
+    settled, moving = [], at.where("up IS NOT NULL").withColumn("steps", F.lit(1).cast("long"))
+    while moving.limit(1).count():
+        above = _all([*settled, moving]).select(F.col("commit").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more"))
+        found = staged(moving.join(above, "up", "left").select("commit", F.coalesce("further", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")))
+        settled.append(found.where("NOT moved").drop("moved"))
+        moving = found.where("moved").drop("moved")
+    return _all([*done, *[part.select("commit", F.col("up").alias("segment"), F.col("steps").alias("place")) for part in settled]])
 
 
 def _links(parents: DataFrame, labels: DataFrame) -> DataFrame:
-    """segment, to and at: the segments and places that a segment's oldest commit has as parents."""
-    edges = parents.where("parent IS NOT NULL").select(F.col("commit").alias("segment"), "parent").distinct()
-    roots = edges.join(labels.where("place = 0").select("segment").distinct(), "segment", "left_semi")
-    return roots.join(labels.select(F.col("commit").alias("parent"), F.col("segment").alias("to"), F.col("place").alias("at")), "parent").select("segment", "to", "at")
+    """segment, to and at: the segments and places that a segment's oldest commit has as parents, of several places of one segment the highest."""
+    edges = parents.where("parent IS NOT NULL").select(F.col("commit").alias("segment"), "parent")
+    roots = edges.join(labels.where("place = 0").select("segment"), "segment", "left_semi")
+    rows = roots.join(labels.select(F.col("commit").alias("parent"), F.col("segment").alias("to"), F.col("place").alias("at")), "parent")
+    return rows.groupBy("segment", "to").agg(F.max("at").alias("at"))
+
+
+#: Bits of a segment in the two words of a level, from two parts of one hash.
+BITS = ("shiftleft(1L, CAST(xxhash64({0}) & 63 AS INT))", "shiftleft(1L, CAST(shiftright(xxhash64({0}), 6) & 63 AS INT))")
 
 
 def generations(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """segment, generation: one more than the highest of its parents'; a segment is settled once all it links to are."""
-    every = labels.select("segment").distinct()
-    done = staged(every.join(links, "segment", "left_anti").select("segment", F.lit(0).cast("long").alias("generation")))
-    parts = [done]
-    open_ = staged(links.select("segment", "to").distinct().withColumn("known", F.lit(-1).cast("long")))
-    while open_.limit(1).count():
-        found = done.select(F.col("segment").alias("to"), "generation")
-        open_ = staged(open_.join(found, "to", "left").select("segment", "to", F.greatest("known", F.coalesce("generation", F.lit(-1))).alias("known")))
-        whole = open_.groupBy("segment").agg(F.min("known").alias("least"), (F.max("known") + 1).alias("generation"))
-        done = staged(whole.where("least >= 0").select("segment", "generation"))
+    """segment, generation (one more than the highest of its parents'), low and high: bits of it and of all segments in its history. A segment is settled once all it links to are;
+    a link is written again only until its end is settled."""
+    own = [F.expr(b.format("segment")) for b in BITS]
+    first = labels.where("place = 0").select("segment").join(links.select("segment").distinct(), "segment", "left_anti")
+    done = staged(first.select("segment", F.lit(0).cast("long").alias("generation"), own[0].alias("low"), own[1].alias("high")))
+    parts, waiting = [done], None
+    counts = links.groupBy("segment").agg(F.count("*").alias("n"))
+    open_ = staged(links.select("segment", "to").join(counts, "segment"))
+    while True:
+        met = staged(open_.join(done.select(F.col("segment").alias("to"), (F.col("generation") + 1).alias("generation"), "low", "high"), "to", "left"))
+        open_ = met.where("generation IS NULL").select("segment", "to", "n")
+        told = met.where("generation IS NOT NULL").select("segment", "n", F.lit(1).cast("long").alias("got"), "generation", "low", "high")
+        told = told if waiting is None else told.unionByName(waiting)
+        state = staged(told.groupBy("segment", "n").agg(F.sum("got").alias("got"), F.max("generation").alias("generation"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high")))
+        waiting = state.where("got < n")
+        done = state.where("got = n").select("segment", "generation", F.col("low").bitwiseOR(own[0]).alias("low"), F.col("high").bitwiseOR(own[1]).alias("high"))
         if not done.limit(1).count():
-            break  # a circle, which no history has; its commits stay without a generation
+            return _all(parts)  # links that stay open are those of a circle, which no history has; its commits stay without a generation
         parts.append(done)
-        open_ = open_.join(done, "segment", "left_anti")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+
+def _possible(generation: str, low: str, high: str) -> Column:
+    """Whether the level of a segment (null in a circle) leaves it possible that the older commit's segment is in its history."""
+    bits = [F.expr(f"({word} & {b.format('old_segment')}) <> 0") for word, b in zip((low, high), BITS, strict=True)]
+    return F.coalesce((F.col(generation) > F.col("floor")) & bits[0] & bits[1], F.lit(True))
 
 
 def ancestors(parents: DataFrame, questions: DataFrame) -> DataFrame:
     """Whether `older` is `newer` or in its history: older, newer, ancestor (null if a commit is not in the graph).
 
     parents: commit, parent; questions: older, newer."""
+    parents = staged(parents.select("commit", "parent"))
     labels = segments(parents)
     links = staged(_links(parents, labels))
     level = staged(generations(labels, links))
-    label = lambda name, prefix: labels.select(F.col("commit").alias(name), F.col("segment").alias(f"{prefix}_segment"), F.col("place").alias(f"{prefix}_place"))
-    asked = questions.select("older", "newer").distinct().join(label("older", "old"), "older", "left").join(label("newer", "new"), "newer", "left")
-    asked = asked.join(level.select(F.col("segment").alias("old_segment"), F.col("generation").alias("floor")), "old_segment", "left")
-    asked = staged(asked)
+    labels = staged(labels.join(level, "segment", "left"))
+    links = staged(links.join(level.withColumnRenamed("segment", "to"), "to", "left"))
+    old = labels.select(F.col("commit").alias("older"), F.col("segment").alias("old_segment"), F.col("place").alias("old_place"), F.col("generation").alias("floor"))
+    new = labels.select(F.col("commit").alias("newer"), F.col("segment").alias("new_segment"), F.col("place").alias("new_place"), "generation", "low", "high")
+    placed = questions.select("older", "newer").distinct().join(old, "older", "left").join(new, "newer", "left")
+    same = F.col("old_segment") == F.col("new_segment")
+    sure = F.when(F.col("old_segment").isNull() | F.col("new_segment").isNull(), None).when(same, F.col("new_place") >= F.col("old_place")).when(~_possible("generation", "low", "high"), False)
+    walked = F.col("old_segment").isNotNull() & F.col("new_segment").isNotNull() & ~same & _possible("generation", "low", "high")
+    kept = lambda name: F.when(F.col("walks"), F.col(name)).alias(name)
     key = ["older", "newer", "old_segment", "old_place", "floor"]
-    known = asked.where("old_segment IS NOT NULL AND new_segment IS NOT NULL")
-    front = staged(known.select(*key, F.col("new_segment").alias("segment"), F.col("new_place").alias("place")))
-    hit = lambda rows: rows.where("segment = old_segment AND place >= old_place").select("older", "newer")
-    seen, hits = front.select("older", "newer", "segment", "place"), [hit(front)]
+    asked = staged(placed.withColumn("ancestor", sure).withColumn("walks", F.coalesce(walked, F.lit(False))).select("older", "newer", "ancestor", "walks", *map(kept, key[2:]), kept("new_segment")))
+    front, seen, hits = asked.where("walks").select(*key, F.col("new_segment").alias("segment")), [], []
     while True:
-        onward = front.join(hit(front), ["older", "newer"], "left_anti").join(links, "segment").select(*key, F.col("to").alias("segment"), F.col("at").alias("place"))
-        # a segment below the one that is looked for leads only further down; the higher of two places of a segment sees all the lower one does
-        onward = onward.join(level, "segment", "left").where("generation IS NULL OR floor IS NULL OR generation >= floor").groupBy(*key, "segment").agg(F.max("place").alias("place"))
-        before = seen.groupBy("older", "newer", "segment").agg(F.max("place").alias("reached"))
-        front = staged(onward.join(before, ["older", "newer", "segment"], "left").where("reached IS NULL OR reached < place").select(*key, "segment", "place"))
+        # what is beyond a segment doesn't depend on the place at which it is met; the older commit's own segment leads only further down
+        found = F.col("to") == F.col("old_segment")
+        met = front.join(links, "segment").withColumn("hit", found & (F.col("at") >= F.col("old_place"))).where(F.col("hit") | (~found & _possible("generation", "low", "high")))
+        met = staged(met.groupBy(*key).agg(F.max("hit").alias("hit"), F.collect_set("to").alias("to")))
+        hits.append(met.where("hit").select("older", "newer"))
+        front = met.where("NOT hit").select(*key, F.explode("to").alias("segment"))
+        if seen:
+            front = front.join(_all(seen), ["older", "newer", "segment"], "left_anti")
+        front = staged(front)
         if not front.limit(1).count():
             break
-        hits.append(hit(front))
-        seen = staged(seen.unionByName(front.select(*seen.columns)))
-    found = hits[0]
-    for part in hits[1:]:
-        found = found.unionByName(part)
-    rows = asked.join(found.distinct().withColumn("_hit", F.lit(True)), ["older", "newer"], "left")
-    missing = F.col("old_segment").isNull() | F.col("new_segment").isNull()
-    return rows.select("older", "newer", F.when(~missing, F.coalesce("_hit", F.lit(False))).alias("ancestor"))
+        seen.append(front.select("older", "newer", "segment"))
+    walks = asked.where("walks").select("older", "newer").join(_all(hits).withColumn("ancestor", F.lit(True)), ["older", "newer"], "left")
+    return asked.where("NOT walks").select("older", "newer", "ancestor").unionByName(walks.select("older", "newer", F.coalesce("ancestor", F.lit(False)).alias("ancestor")))
