@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.versions import tag
 from plumbline.operators.joins import as_of
+from plumbline.staging import staged
 
 #: The rungs, best first.
 RUNGS = ("explicit_ref", "explicit_version", "permalink", "tested_on", "affected_range", "fixed_in", "commit", "branch")
@@ -18,7 +19,7 @@ def resolve(reports: DataFrame, versions: DataFrame, permalinks: DataFrame, rele
     reports: report_id, repo, ref, version (both null unless given from outside), epoch (of the report); versions: version claims; permalinks: report_id, ref, start; releases: repo,
     name, commit, trimmed, kind; commits: repo, sha; tips: repo, branch, epoch, commit (commits of the default branch). Versions of another product must be
     left out before. Everything meets on equal keys: releases on their numbers, ids on their first seven digits, neighbours and tips by as-of windows over
-    distinct versions and reports of a repository."""
+    distinct versions and reports of a repository. Claims are written once: each rung takes its own from them, and texts are not read again for each."""
     known = reports.select("report_id", "repo")
     names = releases.select("repo", F.col("name").alias("ref"), "commit").unionByName(commits.select("repo", F.col("sha").alias("ref"), F.col("sha").alias("commit"))).dropDuplicates(["repo", "ref"])
 
@@ -28,7 +29,7 @@ def resolve(reports: DataFrame, versions: DataFrame, permalinks: DataFrame, rele
     told = reports.where("ref IS NOT NULL").select("report_id", "repo", "ref", F.lit(0).alias("start")).join(names, ["repo", "ref"])
     linked = permalinks.join(known, "report_id").join(names, ["repo", "ref"])
     # a version is the release of its numbers and kind, or the last one before it
-    claimed = versions.join(known, "report_id")
+    claimed = staged(versions.select("report_id", "start", "relation", "parsed", "upper", "upper_inclusive", "special_ref", "commit").join(known, "report_id"))
     wanted = [
         ("explicit_version", reports.where("version IS NOT NULL").select("report_id", "repo", F.lit(0).alias("start"), F.col("version").alias("raw"), F.lit(False).alias("below"))),
         ("tested_on", claimed.where("relation = 'tested_on' AND parsed IS NOT NULL").select("report_id", "repo", "start", F.col("parsed").alias("raw"), F.lit(False).alias("below"))),
@@ -39,7 +40,7 @@ def resolve(reports: DataFrame, versions: DataFrame, permalinks: DataFrame, rele
     for name, rows in wanted:
         part = rows.withColumn("rung", F.lit(RUNGS.index(name)))
         asked = part if asked is None else asked.unionByName(part)
-    asked = asked.withColumn("v", tag(F.col("raw"))).where("v.numbers IS NOT NULL").select("report_id", "repo", "start", "rung", "below", F.col("v.trimmed").alias("trimmed"), F.col("v.kind").alias("kind"))
+    asked = staged(asked.withColumn("v", tag(F.col("raw"))).where("v.numbers IS NOT NULL").select("report_id", "repo", "start", "rung", "below", F.col("v.trimmed").alias("trimmed"), F.col("v.kind").alias("kind")))
     same = releases.groupBy("repo", "trimmed", "kind").agg(F.min_by(F.struct(F.col("name").alias("ref"), "commit"), "name").alias("r"))
     exact = asked.where("NOT below").join(same, ["repo", "trimmed", "kind"])
     final = releases.where("kind = 'final'").groupBy("repo", "trimmed").agg(F.min_by(F.struct(F.col("name").alias("ref"), "commit"), "name").alias("r"))

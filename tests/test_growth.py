@@ -1,6 +1,9 @@
 """Steps that once grew faster than their input: what they write, send or leave in one task."""
 
-from plumbline.operators import history
+from pyspark.sql import functions as F
+
+from plumbline.functions import versions as V
+from plumbline.operators import history, targets
 
 
 def test_questions_of_other_histories_are_not_walked(spark, monkeypatch):
@@ -21,3 +24,26 @@ def test_questions_of_other_histories_are_not_walked(spark, monkeypatch):
     got = history.ancestors(spark.createDataFrame(edges, "commit long, parent long"), spark.createDataFrame(pairs, "older long, newer long"))
     assert {tuple(r) for r in got.collect()} == {(a, b, a // 10 == b // 10) for a, b in pairs}
     assert sum(fronts) <= 120, fronts
+
+
+def test_claims_of_versions_are_read_once(spark):
+    """Texts are searched once for all rungs of the ladder, not once for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, None, None, 5) for i in range(20)]
+    reports = spark.createDataFrame(rows, "report_id long, ref string, version string, epoch long").withColumn("repo", F.lit("r"))
+    versions = spark.createDataFrame(
+        [(i, 0, "affected_range" if i % 2 else "fixed_in", None if i % 2 else "1.1.0", "1.1.0" if i % 2 else None, True if i % 2 else None, None, None) for i in range(20)],
+        "report_id long, start int, relation string, parsed string, upper string, upper_inclusive boolean, special_ref string, commit string",
+    )
+    versions = versions.mapInArrow(counted, versions.schema)
+    releases = spark.range(3).select(F.lit("r").alias("repo"), F.concat(F.lit("v1."), "id", F.lit(".0")).alias("name"), F.concat(F.lit("c"), "id").alias("commit")).withColumn("x", V.tag(F.col("name"))).select("repo", "name", "commit", "x.trimmed", "x.kind")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = targets.resolve(reports, versions, empty("report_id long, ref string, start int"), releases, empty("repo string, sha string"), empty("repo string, branch string, epoch long, commit string"))
+    assert {(r["report_id"], r["ref"], r["method"]) for r in found.collect()} == {(i, "v1.1.0" if i % 2 else "v1.0.0", "affected_range" if i % 2 else "fixed_in") for i in range(20)}
+    assert seen.value == 20
