@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import versions as V
-from plumbline.operators import history, targets
+from plumbline.operators import history, scopes, targets
+from plumbline.plans import scope_queries
+from plumbline.sources import tables
 
 
 def test_questions_of_other_histories_are_not_walked(spark, monkeypatch):
@@ -47,3 +49,20 @@ def test_claims_of_versions_are_read_once(spark):
     found = targets.resolve(reports, versions, empty("report_id long, ref string, start int"), releases, empty("repo string, sha string"), empty("repo string, branch string, epoch long, commit string"))
     assert {(r["report_id"], r["ref"], r["method"]) for r in found.collect()} == {(i, "v1.1.0" if i % 2 else "v1.0.0", "affected_range" if i % 2 else "fixed_in") for i in range(20)}
     assert seen.value == 20
+
+
+def test_files_of_definitions_are_shuffled_once_and_not_sent_to_all(spark):
+    files = spark.range(40).select(F.col("id").alias("blob"), F.lit("python").alias("lang"), F.concat(F.lit("class C"), "id", F.lit(":\n    def f(a,\n          b):\n        pass\n")).alias("text"))
+    found = scopes.symbols(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+    assert {(r["blob"], r["line_no"], r["qname"], r["kind"]) for r in found.collect()} == {x for i in range(40) for x in ((i, 1, f"C{i}", "class"), (i, 2, f"C{i}.f", "method"))}
+
+
+def test_heavy_work_is_dealt_by_rows(spark, tmp_path):
+    """A table of few files is dealt into parts of a bounded number of rows, however few cores there are."""
+    spark.range(0, 2 * tables.EACH + 1, 1, 1).write.parquet(str(tmp_path / "t.parquet"))
+    rows = tables.spread(tables.table(spark, str(tmp_path), "t"))
+    assert max(rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) <= tables.EACH
+    spark.range(1, numPartitions=1).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    assert scope_queries.files(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
