@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import extraction
 from plumbline.sources.tables import spread, table
+from plumbline.staging import staged
 
 #: Reports by shape; {k} is the event's user, {n} a number from 1 to 300.
 VERSIONS = "It shows from 1.{k}.0 to 1.{k}.9 and was fixed in 2.0.{k}. Tested on 1.{k}.3 as of 2026-05-02.\n\nExample 1.2.{k} and earlier are open, all versions before 3.{k}.1 too, since 0.{k}.5 or so.\nConstraint >= 1.0.1, < 1.{k}.7rc1. Seen on master, at commit abcdef{n}f and in tag curl-8_{k}_0; not at 0x1234abcd1234.\n```\nversion 9.9.9 in a log\n```\nversion 7.{k} here"
@@ -65,7 +66,7 @@ def patch_hunks(spark, sf_dir):
 
 
 def patch_claims(spark, sf_dir):
-    diffs = extraction.diff_texts(reports(spark, sf_dir))
+    diffs = staged(extraction.diff_texts(reports(spark, sf_dir)))
     return extraction.patch_claims(diffs, extraction.patch_hunks(diffs)).select("report_id", "patch", F.array_join("files", ",").alias("files"), F.col("n_hunks").cast("int").alias("n_hunks"), "confidence")
 
 

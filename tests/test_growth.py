@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import versions as V
 from plumbline.operators import history, scopes, targets
-from plumbline.plans import scope_queries
+from plumbline.plans import extraction_queries, scope_queries
 from plumbline.sources import tables
 
 
@@ -66,3 +66,11 @@ def test_heavy_work_is_dealt_by_rows(spark, tmp_path):
     assert max(rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) <= tables.EACH
     spark.range(1, numPartitions=1).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
     assert scope_queries.files(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_reports_are_searched_after_they_are_dealt_and_once(spark, sf):
+    """No pattern is tried below the step that deals reports over all cores, and diffs are cut out once for patches and their hunks."""
+    for name in ("location_claims", "symbol_claims"):
+        plan = extraction_queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan()
+        assert "Filter isnotnull(transform" not in plan.toString(), name
+    assert "posexplode(array_sort" not in extraction_queries.patch_claims(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
