@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import checks, claims
 from plumbline.plans import check_queries, history_queries
 from plumbline.sources.tables import spread, table
+from plumbline.staging import staged
 
 #: The report of an event: {k} is its user, {m} a number from 3 to 9.
 BODY = "Bug in `fn_{k}`.\n\n`fn_{k}` calls `low_{k}`. It shows from 1.2.0 to 1.{m}.0 here; getline() and tokenize() too.\n\nCode of src/a{k}.c:\n```c\nint part_{k}(int a)\n{\n  return a;\n}\n```\n\nRun:\n```sh\nhdrcat --fold-{k} x\n```\n\n```diff\n--- a/src/p{k}.c\n+++ b/src/p{k}.c\n@@ -1,2 +1,3 @@\n--- old_{k}\n+++ new_{k}\n x\n+y\n```\n\n```\n==7==ERROR: AddressSanitizer: heap-buffer-overflow on address 0x1\n    #0 0x1 in fn_{k} src/a{k}.c:1:1\n```\n\nSee lib/b{k}.c, where the loop at line {m} runs."
@@ -36,7 +37,7 @@ def _said(spark, sf_dir) -> DataFrame:
 
 def claims_to_checks(spark, sf_dir):
     """From texts to evidence: calls and affected ranges as reports tell them, against the project's functions and releases."""
-    found = claims.claims_table(_said(spark, sf_dir))
+    found = staged(claims.claims_table(_said(spark, sf_dir)))
     docs = table(spark, sf_dir, "documents")
     name = lambda x: F.concat(F.lit("fn_"), x)
     calls = docs.select(name(F.col("doc_id")).alias("caller"), name(F.col("doc_id") + 1).alias("callee"))
