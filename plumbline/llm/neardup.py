@@ -127,31 +127,41 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 HOT_EDGES, HOT_NODES = 1000, 10_000
 
 
+def shape(edges: DataFrame) -> tuple[int, int, bool]:
+    """Of edges (a, b), each once: how many there are, the most that one node has, and whether every node has one root at most, and no root has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    open_ = (F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))
+    size, most, unfinished = nodes.agg(F.sum("out"), F.max(F.col("out") + F.col("into")), F.max(open_.cast("int"))).first()
+    return size or 0, most or 0, not unfinished
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until the edges stay as they are. Nodes of very many edges, of
+    Large-star and small-star steps in turn, each written to the shared folder, until every node points to a root. Nodes of very many edges, of
     which there are few, are broadcast with their smallest neighbour, so that no task gathers such a node's edges."""
-    edges = staged(edges.select("a", "b").where("a <> b").distinct())
-    size, state = edges.count(), None
+    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
+        size, most, done = shape(edges)
+        if done:
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), F.count("*").alias("n"))
         up = both.where("b > a")
-        large = up.join(least.select("a", "root"), "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        if size > HOT_EDGES:
-            hot = F.broadcast(least.where(F.col("n") > max(HOT_EDGES, 2 * size // HOT_NODES)).select("a", "root"))
-            cold = up.join(hot, "a", "left_anti").join(least.select("a", "root"), "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
-            large = cold.union(up.join(hot, "a").select(F.col("b").alias("a"), F.col("root").alias("b")))
-        down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        small_least = down.groupBy("a").agg(F.min("b").alias("root"))
-        small = down.join(small_least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).union(small_least.select("a", F.col("root").alias("b")))
+        many = max(HOT_EDGES, 2 * size // HOT_NODES)
+        cold = up
+        if most > many:
+            hot = F.broadcast(least.where(F.col("n") > many).select("a", "root"))
+            cold = up.join(hot, "a", "left_anti")
+        large = cold.join(least.select("a", "root"), "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
+        if most > many:
+            large = large.union(up.join(hot, "a").select(F.col("b").alias("a"), F.col("root").alias("b")))
+        # a root is no greater than the node it is of, and so less than its greater neighbours
+        small_least = large.groupBy("a").agg(F.min("b").alias("root"))
+        small = large.join(small_least, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).union(small_least.select("a", F.col("root").alias("b")))
         before, edges = edges, staged(small.where("a <> b").distinct())
         discard(before)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        size, state = now[0], now
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own)
 

@@ -12,6 +12,7 @@ empty) is scored by the bias alone. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,15 +63,18 @@ def ngrams(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray
     return out, 2 * bounds
 
 
-def fit(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 4, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.0, l2: float = 1.0, seed: int = 7) -> QualityModel:
-    """Follow-the-regularised-leader over the sample, text by text, in a drawn order for each epoch."""
+def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's buckets in order, repeats too, in a row, and where each text's begin (one more at the end)."""
+    at, bounds = ngrams(texts, bits)
+    keys = np.repeat(np.arange(len(texts)) << bits, np.diff(bounds)) | at
+    keys.sort()
+    return (keys & ((1 << bits) - 1)).astype(np.int32), bounds
+
+
+def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int = 4, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.0, l2: float = 1.0, seed: int = 7) -> QualityModel:
+    """Follow-the-regularised-leader over the sample's features, text by text, in a drawn order for each epoch."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     rng = np.random.default_rng(seed)
-    rows = []
-    for text in texts:
-        at = ngrams([text.encode()], bits)[0]
-        at, count = np.unique(at, return_counts=True)
-        rows.append((np.append(at, 1 << bits), np.append(SCALE * count / max(1, count.sum()), 1.0)))
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         zi = z[at]
@@ -78,25 +82,40 @@ def fit(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = 4,
 
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            at, x = rows[i]
-            w = weights(at)
+            first = np.flatnonzero(np.diff(rows[i], prepend=-1))
+            own = np.append(rows[i][first], 1 << bits)
+            x = np.append(SCALE * np.diff(first, append=len(rows[i])) / max(1, len(rows[i])), 1.0)
+            w = weights(own)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -40, 40))) - labels[i]) * x
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
-            n[at] += g * g
+            z[own] += g - (np.sqrt(n[own] + g * g) - np.sqrt(n[own])) / alpha * w
+            n[own] += g * g
     w = weights(slice(None))
     return QualityModel(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, bound: int = BOUND, **options) -> QualityModel:
-    """Fits on docs (doc_id, text) with a quality in labels (doc_id, quality); where: a condition on doc_id."""
+def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, bound: int = BOUND, bits: int = BITS, **options) -> QualityModel:
+    """Fits on docs (doc_id, text) with a quality in labels (doc_id, quality); where: a condition on doc_id. The driver gets the drawn texts' features, not the texts."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.where(where) if where is not None else marked
     marked = marked.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     count = marked.count()
     drawn = marked.where(fraction_of(F.col("doc_id")) < bound / max(1, count)).limit(2 * bound)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [r.quality for r in rows], **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for ids, texts in sliced(iter([batch])):
+                at, bounds = features(texts, bits)
+                kept = [batch.column(c).slice(done, len(ids)) for c in ("doc_id", "key", "quality")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at))], names=["doc_id", "key", "quality", "at"])
+                done += len(ids)
+
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("key")).join(F.broadcast(drawn), "doc_id")
+    table = rows.mapInArrow(run, "doc_id long, key long, quality int, at array<int>").toArrow()
+    # views of the few large arrays that came: an array for each text would stay in the driver's memory in pieces
+    views = [values[a:b] for x in table.column("at").chunks for values, edges in [(x.values.to_numpy(), x.offsets.to_numpy())] for a, b in itertools.pairwise(edges)]
+    order, marks = np.lexsort([table.column(c).to_numpy() for c in ("key", "doc_id")]).tolist(), table.column("quality").to_pylist()
+    return fit([views[i] for i in order], [marks[i] for i in order], bits, **options)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
