@@ -37,6 +37,8 @@ from plumbline.llm.packing import END, WordTokens, default_tokenizer
 CAPACITY = 2048
 #: A sweep is repeated while it places more than this share of the pieces that wait.
 SHARE = 0.02
+#: Words whose ids a worker keeps; more than in packing, as no other step has left anything in these workers.
+KEPT_WORDS = 1_200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -58,7 +60,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENS:
-            _TOKENS[path] = WordTokens(path)
+            _TOKENS[path] = WordTokens(path, KEPT_WORDS)
         for ids, raw in sliced(batches):
             rows = []
             for doc, tokens in zip(ids, _TOKENS[path].batch([t.decode() if t else "" for t in raw]), strict=True):

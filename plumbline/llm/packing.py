@@ -14,20 +14,24 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import sliced, staged
 
 CAPACITY, LONGEST, BLOCK_DOCS, END = 1024, 320, 400, 0
-#: Words whose ids a worker keeps; later new words are worked out anew in each slice.
-KEPT_WORDS, HOT_WORDS = 700_000, 10_000
+#: Words whose ids a worker keeps; beyond, those met in one batch alone are worked out anew.
+KEPT_WORDS = 450_000
+#: Fixed value: ASCII marks, which the split of byte-level vocabularies always parts from the letters before them.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -84,11 +88,16 @@ _SPACES = frozenset(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0,
 _ODD = re.compile("[" + "".join(sorted(_SPACES - {" ", "\n"})) + "]")
 
 
+def _plain(text: str) -> bool:
+    """Whether each space of a text stands alone between characters that are no white space."""
+    return text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text and "\n " not in text and not _ODD.search(text)
+
+
 def _parts(text: str) -> list[str]:
     """A text cut at each single space between two characters that are no white space: byte-level vocabularies always split a text before it."""
     words = text.split(" ")
-    if text[0] not in " \n" and text[-1] not in " \n" and "  " not in text and " \n" not in text and "\n " not in text and not _ODD.search(text):
-        return words  # each space stands alone
+    if _plain(text):
+        return words
     closed = [k for i, w in enumerate(words) if not w or w[0] in _SPACES or w[-1] in _SPACES for k in ((i, i + 1) if not w else (i,) * (w[0] in _SPACES) + (i + 1,) * (w[-1] in _SPACES))]
     if not closed:
         return words
@@ -116,25 +125,48 @@ class WordTokens:
     """Token ids of texts, as `tokenizers` gives them for the vocabulary file (added tokens in a text are ids of their own, as the library has it).
 
     A text is cut before single spaces between characters that are no white space, where the tokenizer always splits too; the ids of each
-    distinct part are kept, so that a worker pays for a part once. Parts with other white space are tokenized whole."""
+    distinct part are kept, so that a worker pays for a part once; marks that end a part have ids apart from those of its letters. Parts with other white space are tokenized whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         # tokens that begin with a space: words after a space start with one and hold no other
         n = self.tokenizer.get_vocab_size()
         self.spaced = np.fromiter(((self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)), bool, n)
+        held = json.loads(self.tokenizer.to_str())
+        split = held["pre_tokenizer"] or {}
+        self.parted = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not held["normalizer"]
+        self.added = [x["content"] for x in held["added_tokens"]]
         self.clear()
 
     def clear(self) -> None:
-        self.heads: dict[str, int] = {}  # parts that begin a text
+        self.heads: dict[str, int] = {}  # parts that begin a text, and marks that end a part
         self.place: dict[str, int] = {}  # parts after a space
-        self.hot: dict[str, int] = {}  # the first of these, most of the frequent ones among them: a table that stays in the processor's cache
-        # of each part where its ids begin and how many there are
-        self.begin, self.size, self.parts = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        # of each part where its ids begin and how many there are, and in how many batches it was met
+        self.begin, self.size, self.met, self.parts = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
         self.ids, self.used = np.zeros(1024, np.uint32), 0
 
+    def forget(self) -> None:
+        """Keeps what was met in several batches, if that is less than half."""
+        keep = np.flatnonzero(self.met[: self.parts] > 1)
+        if 2 * len(keep) > self.parts:
+            self.clear()
+            return
+        number = np.full(self.parts, -1)
+        number[keep] = np.arange(len(keep))
+        self.heads, self.place = ({word: n for word, n in zip(of, number[np.fromiter(of.values(), np.int64, len(of))].tolist(), strict=True) if n >= 0} for of in (self.heads, self.place))
+        self.ids = self._gathered(keep)
+        size = self.size[keep]
+        self.begin, self.size, self.met, self.parts, self.used = np.cumsum(size) - size, size, np.zeros(len(keep), np.int32), len(keep), len(self.ids)
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        """The ids of parts by number, in a row."""
+        size = self.size[at]
+        where = np.cumsum(size) - size
+        return self.ids[np.repeat(self.begin[at] - where, size) + np.arange(int(size.sum()))]
+
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -146,11 +178,14 @@ class WordTokens:
         self.begin[where], self.size[where] = self.used + begin, np.diff(begin, append=len(flat))
         self.used += len(flat)
 
+    def _room(self, n: int) -> None:
+        if self.parts + n > len(self.size):
+            more = np.zeros(self.parts + 2 * n, np.int64)
+            self.begin, self.size, self.met = np.concatenate([self.begin, more]), np.concatenate([self.size, more]), np.concatenate([self.met, more.astype(np.int32)])
+
     def _learn(self, parts: list[str]) -> None:
         """Parts that begin a text come as they are, all others after their space."""
-        if self.parts + len(parts) > len(self.size):
-            more = np.zeros(self.parts + 2 * len(parts), np.int64)
-            self.begin, self.size = np.concatenate([self.begin, more]), np.concatenate([self.size, more])
+        self._room(len(parts))
         plain = np.fromiter((part[:1] == " " and " " not in part[1:] for part in parts), bool, len(parts))
         joined = list(itertools.compress(parts, plain))
         where = self.parts + np.flatnonzero(plain)
@@ -163,38 +198,64 @@ class WordTokens:
             self._keep(self.parts + np.flatnonzero(~plain), np.fromiter(itertools.chain.from_iterable(rest), np.uint32), np.cumsum(size) - size)
         self.parts += len(parts)
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if self.parts > KEPT_WORDS:
-            self.clear()
-        parts, heads, bounds = [], [], [0]
-        for text in texts:
-            if text:
-                heads.append(len(parts))
-                parts += _parts(text)
-            bounds.append(len(parts))
-        at = np.fromiter(map(self.hot.get, parts, itertools.repeat(-1)), np.int64, len(parts))
-        cold = np.flatnonzero(at < 0)
-        at[cold] = np.fromiter(map(self.place.get, map(parts.__getitem__, cold.tolist()), itertools.repeat(-1)), np.int64, len(cold))
-        at[heads] = [self.heads.get(parts[i], -1) for i in heads]
+    def _numbers(self, of: dict[str, int], words: list[str], lead: str) -> np.ndarray:
+        """The numbers of distinct parts in a table of parts; new ones are learned, each after `lead`."""
+        at = np.fromiter(map(of.get, words, itertools.repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
-        first, new, number = set(heads), [], self.parts
-        found = []
-        for i in missing.tolist():
-            of = self.heads if i in first else self.place
-            k = of.setdefault(parts[i], number)
-            found.append(k)
-            if k == number:
-                new.append(parts[i] if i in first else " " + parts[i])
-                number += 1
-        at[missing] = found
-        if new:
-            self._learn(new)
-        if len(self.hot) < HOT_WORDS:
-            self.hot = dict(itertools.islice(self.place.items(), HOT_WORDS))
+        new = [words[i] for i in missing.tolist()]
+        bare = [word.rstrip(_MARKS) for word in new] if lead and self.parted and not any(x in " ".join(new) for x in self.added) else new
+        # letters and the marks after them have ids of their own
+        cut = [i for i, (a, b) in enumerate(zip(bare, new, strict=True)) if len(a) < len(b) and a[-1:].isalpha() and a[-1] < "\u0250"]
+        marked = set(cut)
+        first = [*(word for i, word in enumerate(new) if i not in marked)]
+        first += dict.fromkeys(bare[i] for i in cut if bare[i] not in of).keys() - set(first)
+        if first:
+            of.update(zip(first, range(self.parts, self.parts + len(first)), strict=True))
+            self._learn([lead + word for word in first])
+        if cut:
+            tails = [new[i][len(bare[i]) :] for i in cut]
+            kinds = list(dict.fromkeys(tails))
+            tail = dict(zip(kinds, self._numbers(self.heads, kinds, "").tolist(), strict=True))
+            two = np.fromiter(itertools.chain.from_iterable(zip([of[bare[i]] for i in cut], map(tail.__getitem__, tails), strict=True)), np.int64, 2 * len(cut))
+            size = self.size[two].reshape(-1, 2).sum(1)
+            self._room(len(cut))
+            number = np.arange(self.parts, self.parts + len(cut))
+            self._keep(number, self._gathered(two), np.cumsum(size) - size)
+            of.update(zip([new[i] for i in cut], number.tolist(), strict=True))
+            self.parts += len(cut)
+        at[missing] = np.fromiter(map(of.__getitem__, new), np.int64, len(new))
+        self.met[at] += 1
+        return at
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        if self.parts > (self.kept or KEPT_WORDS):
+            self.forget()
+        # plain texts are cut, and equal parts found, in Arrow: a part costs Python something once a batch
+        plain = [i for i, text in enumerate(texts) if text and _plain(text)]
+        kept = set(plain)
+        rest = [i for i, text in enumerate(texts) if text and i not in kept]
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        others = [_parts(texts[i]) for i in rest]
+        order = np.array(plain + rest, np.int64)
+        many = np.concatenate([lists.value_lengths().to_numpy(), np.fromiter(map(len, others), np.int64, len(others))]).astype(np.int64)
+        if not len(order):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        parts = pa.concat_arrays([lists.flatten().cast(pa.large_string()), pa.array(list(itertools.chain.from_iterable(others)), pa.large_string())])
+        heads = np.cumsum(many) - many
+        first = np.zeros(len(parts), bool)
+        first[heads] = True
+        at = np.empty(len(parts), np.int64)
+        for mask, of, lead in ((first, self.heads, ""), (~first, self.place, " ")):
+            coded = parts.filter(pa.array(mask)).dictionary_encode()
+            at[mask] = self._numbers(of, coded.dictionary.to_numpy(zero_copy_only=False).tolist(), lead)[coded.indices.to_numpy()]
+        del parts, coded, lists, others
         size = self.size[at]
         where = np.cumsum(size) - size
-        gathered = self.ids[np.repeat(self.begin[at] - where, size) + np.arange(int(size.sum()))]
-        return np.split(gathered, np.append(where, len(gathered))[bounds[1:-1]]) if texts else []
+        gathered = self._gathered(at)
+        out = [gathered[:0]] * len(texts)
+        for i, ids in zip(order.tolist(), np.split(gathered, where[heads[1:]]), strict=True):
+            out[i] = ids
+        return out
 
 
 _TOKENS: dict[str, WordTokens] = {}
