@@ -105,7 +105,7 @@ def foreign_repositories(spark, sf_dir):
 
 
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(claims.sentences(F.col("text"))).alias("n"), F.element_at(claims.sentences(F.col("text")), 1).alias("first"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(claims.sentences(F.col("text"))).alias("n"), F.get(claims.sentences(F.col("text")), F.lit(0)).alias("first"))
 
 
 QUERIES = {f.__name__: f for f in (extract_claims, claim_spans, resolve_ladder, trace_claims, hygiene_missing, foreign_repositories, sentence_split)}

@@ -60,3 +60,11 @@ def test_what_literals_are_looked_up_in_is_not_broadcast(spark):
     assert held == {(1, 0): set(range(1, 30, 2)), (1, 1): set(range(30)), (2, 0): {30}, (3, 0): {*range(30), 32}, (4, 0): set(), (5, 0): set()}
     near = lookup.candidates(wanted, index, lines, 12).where("snippet_id IN (1, 3)").orderBy("snippet_id", "place").collect()
     assert [r["blob"] for r in near] == [*range(1, 24, 2), *range(12)] and {r["rank"] for r in near} == {0}
+
+
+def test_texts_without_sentences(spark, tmp_path):
+    from plumbline.plans import registry
+
+    spark.createDataFrame([(1, ""), (2, " \n\n "), (3, None), (4, "One. Two.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n"], r["first"]) for r in registry.QUERIES["sentence_split"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, None), 2: (0, None), 3: (None, None), 4: (2, "One.")}
