@@ -68,3 +68,17 @@ def test_texts_without_sentences(spark, tmp_path):
     spark.createDataFrame([(1, ""), (2, " \n\n "), (3, None), (4, "One. Two.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n"], r["first"]) for r in registry.QUERIES["sentence_split"](spark, str(tmp_path)).collect()}
     assert got == {1: (0, None), 2: (0, None), 3: (None, None), 4: (2, "One.")}
+
+
+def test_equal_lines_count_before_alike_ones(spark):
+    from plumbline.operators import checks
+
+    whole = "the value of the register number one is kept by all callers"
+    alike = whole.replace("is kept", "was kept")
+    ending = whole[4:]
+    lines = spark.createDataFrame([(1, 1, ending), (1, 9, whole), (2, 1, alike), (3, 1, alike), (4, 1, ending), (5, 1, whole)], "blob long, line_no int, text string")
+    quotes = spark.createDataFrame([(b, f"q{b}", [], b, 1, f"{whole} of f" if b == 3 else whole) for b in range(1, 6)], "report_id long, subject string, claim_ids array<string>, blob long, line int, quoted string")
+    past = spark.createDataFrame([(whole,)], "text string")
+    got = {r["report_id"]: r["outcome_key"] for r in checks.c06_line_content(quotes, lines, past).collect()}
+    # likeness alone still counts where the quote is nowhere else
+    assert got == {1: "elsewhere_in_file", 2: "other_release_only", 3: "exact", 4: "exact", 5: "exact"}
