@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import versions as V
-from plumbline.operators import checks, claims, extraction, targets, traces
+from plumbline.operators import checks, claims, extraction, targets
 from plumbline.sources.tables import spread, table
 
 #: The report of an event: {i} is its id, {k} its user, {n} a line number.
@@ -45,10 +45,10 @@ def extract_claims(spark, sf_dir):
 
 
 def claim_spans(spark, sf_dir):
-    rows = reports(spark, sf_dir)
-    found = claims.extract_claims(rows).join(rows.select("report_id", "body"), "report_id")
-    one = found.select("report_id", "value", "body", F.explode("spans").alias("s"))
-    return one.groupBy("report_id").agg(F.count("*").alias("spans"), F.count_if(F.contains(F.substr("body", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), F.col("value"))).alias("exact"))
+    # the text stays with its report's claims: nothing is joined
+    found = claims.read(reports(spark, sf_dir).withColumn("said", F.col("body")), claims.Reader()).where(F.size("claims") > 0)
+    spans = F.flatten(F.transform("claims", lambda c: F.transform(c["spans"], lambda s: F.contains(F.substr("said", s["start"] + 1, s["end"] - s["start"]), c["value"]))))
+    return found.select("report_id", spans.alias("spans")).select("report_id", F.size("spans").cast("long").alias("spans"), F.size(F.filter("spans", lambda x: x)).cast("long").alias("exact"))
 
 
 #: What reports say of their target, by event_id % 10; the last two are told a version and a ref from outside.
@@ -85,8 +85,7 @@ def trace_claims(spark, sf_dir):
     i, k = F.col("event_id"), F.col("user_id").cast("string")
     frames = F.concat(F.lit("==7==ERROR: AddressSanitizer: heap-buffer-overflow on address 0x1\n    #0 0x1 in memcpy (/lib/libc.so+0x1)\n    #1 0x2 in zlib_"), k, F.lit(" /usr/lib/z.c:1:1\n    #2 0x3 in top_"), k, F.lit(" src/top.c:2:1\n    #3 0x4 in low_"), k, F.lit(" src/low.c:3:1\n"))
     rows = spread(table(spark, sf_dir, "events")).select(i.alias("report_id"), F.lit("t").alias("title"), F.concat(F.lit("One.\n\nHere `top_"), k, F.lit("` and `low_"), k, F.lit("` and `far_"), k, F.lit("` are named.\n\n```\n"), frames, F.lit("```\n")).alias("body"))
-    found = claims.from_traces(claims.extract_claims(rows), traces.frames(traces.trace_lines(rows)))
-    return found.select("report_id", "kind", "value", "provenance", "role")
+    return claims.extract_claims(rows, traced=True).select("report_id", "kind", "value", "provenance", "role")
 
 
 def hygiene_missing(spark, sf_dir):

@@ -82,3 +82,44 @@ def test_equal_lines_count_before_alike_ones(spark):
     got = {r["report_id"]: r["outcome_key"] for r in checks.c06_line_content(quotes, lines, past).collect()}
     # likeness alone still counts where the quote is nowhere else
     assert got == {1: "elsewhere_in_file", 2: "other_release_only", 3: "exact", 4: "exact", 5: "exact"}
+
+
+REPORT = "report_id long, title string, body string"
+
+
+def test_a_report_keeps_all_its_claims(spark):
+    """Once 500 of a report were kept."""
+    from plumbline.operators import claims
+
+    body = "Names: " + " ".join(f"`name_{i}`" for i in range(700)) + "."
+    df = spark.createDataFrame([(1, "t", body)], REPORT)
+    for found in (claims.extract_claims(df), claims.claims_table(df)):
+        assert {r["value"] for r in found.where("kind = 'symbol'").collect()} == {f"name_{i}" for i in range(700)}
+
+
+def test_no_kind_of_claim_needs_a_sign_of_another(spark):
+    """Texts that hold none of the signs by which kinds were once left out."""
+    from plumbline.operators import claims
+
+    texts = ["the function parseHeader fails", "SCORE: 9.8 of all", "It Validates parse first", "seen at abcdef012345", "as of 2026-05-02", "Latest release"]
+    rows = claims.extract_claims(spark.createDataFrame([(i, "t", x) for i, x in enumerate(texts)], REPORT)).select("report_id", "kind", "value").collect()
+    assert sorted(tuple(r) for r in rows) == [(0, "symbol", "parseHeader"), (1, "impact", "9.8"), (2, "behavior", "parse"), (3, "version", "abcdef012345"), (4, "version", "as of 2026-05-02"), (5, "version", "Latest release")]
+
+
+def test_a_sentence_is_seen_whole(spark):
+    """What surrounds a mention once ended at the second mention before it; names within links are the links'; a product that a sentence names makes its symbols the project's."""
+    from plumbline.operators import claims
+
+    lead = "First words.\n\n"
+    body = lead + "A crash is shown by `aa_one` with `bb_two` and `cc_three` and `dd_four`. See https://x.org/ee_five(c) too.\n\nIn Foo Lib the `ff_six` is used. The `gg_seven` is not."
+    got = {r["value"]: (r["role"], r["provenance"]) for r in claims.extract_claims(spark.createDataFrame([(1, "t", body)], REPORT), {"Foo Lib": "foolib"}).where("kind = 'symbol'").collect()}
+    core = {name: ("core", "unscoped") for name in ("aa_one", "bb_two", "cc_three", "dd_four")}
+    assert got == core | {"ff_six": ("supporting", "project_attributed"), "gg_seven": ("supporting", "unscoped")}
+
+
+def test_claims_are_not_shuffled(spark, sf):
+    from plumbline.plans import registry
+
+    for name in ("claims_table", "extract_claims", "claim_spans", "trace_claims"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Join" not in plan, name
