@@ -84,6 +84,24 @@ def test_equal_lines_count_before_alike_ones(spark):
     assert got == {1: "elsewhere_in_file", 2: "other_release_only", 3: "exact", 4: "exact", 5: "exact"}
 
 
+def test_heads_of_many_lines_define(spark):
+    """A body was once looked for in four lines; both forms, of columns and of whole reports, look on."""
+    from plumbline.operators import reading, scopes
+
+    text = "int spread(int a,\n" + "".join(f"    int b{i},\n" for i in range(8)) + "    int c)\n{\n  return a;\n}\nint told(int a,\n  int b,\n  int c,\n  int d,\n  int e);\nint last()\n{\n}\n"
+    assert spark.createDataFrame([(text,)], "t string").select(scopes.defined_names(F.col("t"))).first()[0] == ["spread", "last"]
+    assert reading.Reader().defined_names(reading._patterns(False, (), ()), text) == ["spread", "last"]
+
+
+def test_heads_of_all_languages_define(spark):
+    """Heads of Java with arrays or annotations and private methods of JavaScript were once passed over."""
+    from plumbline.operators import reading, scopes
+
+    text = "class A {\n  @Override public String[] parts(int[] at) {\n    return call(at);\n  }\n  #hidden(x) {\n    if (x) { run(x); }\n  }\n  java.util.List<int[]> all(char... c)\n  {\n  }\n}\n"
+    assert spark.createDataFrame([(text,)], "t string").select(scopes.defined_names(F.col("t"))).first()[0] == ["parts", "#hidden", "all"]
+    assert reading.Reader().defined_names(reading._patterns(False, (), ()), text) == ["parts", "#hidden", "all"]
+
+
 REPORT = "report_id long, title string, body string"
 
 
