@@ -74,3 +74,25 @@ def test_reports_are_searched_after_they_are_dealt_and_once(spark, sf):
         plan = extraction_queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan()
         assert "Filter isnotnull(transform" not in plan.toString(), name
     assert "posexplode(array_sort" not in extraction_queries.patch_claims(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_wanted_places_are_shuffled(spark, monkeypatch):
+    """Words and pairs of neighbours that no literal is looked up by are left out where lines are read, not by a join."""
+    from plumbline.operators import lookup
+
+    rows = [(blob, 1, " ".join(f"w{blob}_{i}" for i in range(50))) for blob in range(200)] + [(200, 1, "a rare line of all"), (201, 1, "said a rare line of all too, and lone")]
+    lines = spark.createDataFrame(rows, "blob long, line_no int, line string")
+    wanted = spark.createDataFrame([(1, 0, "a rare line of all"), (2, 0, "lone"), (3, 0, "gone for good")], "snippet_id long, rank int, probe string")
+    write, indexes = lookup.staged, []
+
+    def counted(df):
+        out = write(df)
+        if out.columns == ["word", "blob", "line_no"]:
+            indexes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lookup, "staged", counted)
+    found = lookup.found(wanted, lookup.word_index(lines), lines)
+    assert sorted((r["snippet_id"], r["blob"]) for r in found.collect()) == [(1, 200), (1, 201), (2, 201)]
+    # of 10,000 words the wanted one, and at most what shares its bit
+    assert len(indexes) == 1 and indexes[0] < 10
